@@ -5,8 +5,8 @@ are. Their values are also the labelled credentials from which formats are learn
 character classes is built per kind of label and its states are merged while their continuation
 frequencies are compatible (the Hoeffding test of ALERGIA), which leaves a small probabilistic
 automaton. Every other token of the text that is long enough is a candidate and is scored by its
-likelihood per character under the best automaton against that of ordinary tokens; those above the
-threshold become spans of kind ``format``.
+likelihood per character under the best automaton that accepts it, against that of ordinary tokens;
+those above the threshold become spans of kind ``format``.
 
 Training reads a bounded sample: the ``MAX_LABELLED`` values of each kind, and as many ordinary
 tokens, that come first by hash. Everything else covers whole texts of all rows.
@@ -37,6 +37,8 @@ HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MAX_LABELLED, MERGE_ERROR, THRESHOLD = 2000, 0.05, 0.5
+#: Log likelihood of a step that ordinary tokens never took.
+UNSEEN = math.log(1e-4)
 SPANS = "array<struct<kind:int,start:int,stop:int,value:string>>"
 END = "$"
 
@@ -56,8 +58,8 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
 
 
 def classes(value: str) -> str:
-    """Character classes: lower-case hex digits, other lower case, upper case, digits; symbols are themselves."""
-    return "".join("d" if c.isdigit() else "h" if c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else c for c in value)
+    """Character classes: digits and lower-case hex letters x, other lower case l, upper case u; symbols are themselves."""
+    return "".join("x" if c.isdigit() or c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else c for c in value)
 
 
 class Automaton:
@@ -135,14 +137,13 @@ class Automaton:
     def states(self) -> int:
         return len({0} | {self.same[t] for s in set(self.same) for t in self.next[s].values()})
 
-    def log_likelihood(self, value: str) -> float:
-        """Natural log per symbol; what was never seen costs as much as one observation in the state's total and a class's share."""
+    def log_likelihood(self, value: str, floor: float = -math.inf) -> float:
+        """Natural log per symbol, the end included; a step that was never seen costs ``floor``."""
         at, total, seen = 0, 0.0, classes(value) + END
         for c in seen:
-            counts = self.count[at] if at is not None else Counter()
-            n = sum(counts.values())
-            total += math.log((counts[c] + 0.05) / (n + 1))
-            at = self.same[self.next[at][c]] if at is not None and c in self.next[at] else None
+            counts = self.count[at] if at is not None else {}
+            total += math.log(counts[c] / counts.total()) if c in counts else floor
+            at = self.same[self.next[at][c]] if c in counts and c != END else None
         return total / len(seen)
 
 
@@ -154,10 +155,9 @@ class Formats:
         self.ordinary = Automaton(ordinary)
 
     def score(self, value: str) -> float:
-        """Best log likelihood per symbol under a credential format, over that of ordinary tokens."""
-        if not self.formats:
-            return -math.inf
-        return max(f.log_likelihood(value) for f in self.formats.values()) - self.ordinary.log_likelihood(value)
+        """Best log likelihood per symbol under a credential format, over that of ordinary tokens; minus infinity if no format accepts it."""
+        best = max((f.log_likelihood(value) for f in self.formats.values()), default=-math.inf)
+        return best - self.ordinary.log_likelihood(value, UNSEEN) if best > -math.inf else best
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
