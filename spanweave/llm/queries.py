@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, url_filter
+from . import exact_dedup, html_text, packing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, url_filter
 from .common import read_table
 
 
@@ -19,6 +19,10 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"))
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_best_fit_packing,
         op2_url_filter,
+        op3_html_text,
         op4_substring_dedup,
         op6_exact_dedup,
         op7_sentencepiece,
