@@ -1,0 +1 @@
+"""Reconciliation of timed events on two timelines, as Spark DataFrame operators."""
