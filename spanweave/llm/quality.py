@@ -133,12 +133,12 @@ def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
     steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.lit(risk.grid), F.ceil(F.col(c) / F.col("n_words") / F.lit(top / risk.grid))).cast("int").alias("step")) for r, (c, top) in RULES.items())))
     # a value in step s lies in ((s - 1) * width, s * width]: a cutoff of s * width keeps it; the last step is open above
     histogram = held.select("stratum", steps.alias("x")).groupBy("stratum", "x.rule", "x.step").agg(F.count(F.lit(1)).alias("n"))
-    strata = counts.select("stratum").distinct().agg(F.count(F.lit(1)).alias("strata"))
+    strata = counts.select("stratum").distinct().count()
     schema = "stratum string, " + ", ".join(f"{r} double" for r in RULES)
     grid, rate = risk.grid, risk.max_false_rejection / len(RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        error = risk.error / (int(pdf["strata"].iloc[0]) * len(RULES) * grid)
+        error = risk.error / (strata * len(RULES) * grid)
         row = {"stratum": pdf["stratum"].iloc[0]} | dict.fromkeys(RULES)
         for rule, part in pdf.groupby("rule"):
             seen = np.zeros(grid + 1, np.int64)
@@ -149,7 +149,7 @@ def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
             row[rule] = min(fit) * RULES[rule][1] / grid if fit else None
         return pd.DataFrame([row])
 
-    return histogram.join(F.broadcast(strata)).groupBy("stratum").applyInPandas(choose, schema)  # strata: one row
+    return histogram.groupBy("stratum").applyInPandas(choose, schema)
 
 
 def judge(counts: DataFrame, chosen: DataFrame) -> DataFrame:
