@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 from .common import checkpoint, small_batches
 
 SEQUENCE, END_ID = 2048, 0
-#: Rows of pieces for each salt.
+#: Rows of pieces for each salt, once there are more salts than shuffle partitions.
 SALT_ROWS = 20_000
 #: Words whose ids a worker remembers; it starts afresh beyond.
 CACHED_WORDS = 1_000_000
@@ -215,7 +215,7 @@ def place_pieces(pieces: DataFrame) -> DataFrame:
     for length, n in pieces.groupBy("length").agg(F.count(F.lit(1))).collect():  # at most SEQUENCE rows
         counts[length] = n
     runs = layout(counts)
-    salts = max(1, int(counts.sum()) // SALT_ROWS)
+    salts = max(int(counts.sum()) // SALT_ROWS, int(pieces.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     each = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n"))
     below = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
