@@ -44,7 +44,7 @@ def recipes(docs: DataFrame, identify: Callable[[Column], Column] = F.xxhash64)
         return plain
     number = F.row_number().over(Window.partitionBy("id").orderBy("chunk"))
     numbered = distinct.join(shared, "id", "left_semi").select("id", "chunk", number.alias("number"))
-    each = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.posexplode(chunks(F.col("text"))).alias("pos", "chunk"))
+    each = docs.withColumn("row", F.monotonically_increasing_id()).select("row", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.posexplode(chunks(F.col("text"))).alias("pos", "chunk"))
     each = each.withColumn("id", identify(F.col("chunk"))).join(numbered, ["id", "chunk"], "left")
     step = F.struct("pos", "id", F.coalesce("number", F.lit(0)).alias("k"))
     rows = each.groupBy("row", "doc_id", "text_sha256").agg(F.array_sort(F.collect_list(step)).alias("steps"))
