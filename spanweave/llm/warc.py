@@ -70,7 +70,11 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict | None, str]:
     head = HEAD.match(data, at)
     if head is None:
         return at, None, "no header"
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head[1].decode("utf-8", "replace").split("\r\n"))}
+    lines = [x.partition(":") for x in head[1].decode("utf-8", "replace").split("\r\n") if x]
+    fields = {k.strip().lower(): v.strip() for k, _, v in lines}
+    # a header that breaks off and runs into the next has a line that is no field, or fields twice
+    if not all(colon for _, colon, _ in lines) or len({k.strip().lower() for k, _, _ in lines} - {"warc-concurrent-to"}) < sum(k.strip().lower() != "warc-concurrent-to" for k, _, _ in lines):
+        return at, None, "broken header"
     if not re.fullmatch("[0-9]{1,18}", fields.get("content-length", "")):
         return at, None, "no length"
     stop = head.end() + int(fields["content-length"])
