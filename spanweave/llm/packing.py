@@ -15,6 +15,7 @@ not read.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,65 +36,88 @@ from .common import checkpoint, small_batches
 SEQUENCE, END_ID = 2048, 0
 #: Rows of pieces for each salt, once there are more salts than shuffle partitions.
 SALT_ROWS = 20_000
-#: Words whose ids a worker remembers; it starts afresh beyond.
-CACHED_WORDS = 1_000_000
+#: Words met once, and met again, whose ids a worker remembers; it starts afresh beyond.
+CACHED_WORDS = 300_000
 #: Steps of the least-squares fit; grid of lengths that three-document patterns start from.
 FIT_STEPS, TRIPLE_LENGTHS = 300, 160
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-#: Words of Latin letters, perhaps with symbols behind them; the vocabulary's own rule parts the two.
-PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: Lower-case words of Latin letters, and where a symbol follows a letter: the vocabulary's own rule parts texts there.
+PLAIN = re.compile("[a-zß-öø-ÿ]+")
+TAIL = re.compile("(?<=[a-zß-öø-ÿ])(?=[!-/:-@\\[-`{-~])")
 
 
 class WordEncoder:
     """Ids of texts for a vocabulary whose merges end at white space, as little-endian unsigned 32-bit bytes.
 
-    Each distinct word is encoded once; a word of letters is one unit whose last token alone has the
-    end-of-word mark, so many are encoded in one call and parted at the marks.
+    Texts of Latin-1 without special tokens are lower-cased and parted between letter and symbol first, as
+    the vocabulary would do itself, so that fewer distinct words remain. Each distinct word is encoded once
+    and remembered from its second occurrence on; words of letters go many in one call, whose ids are
+    parted at the tokens that end a word.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # lower-case letters need neither the normaliser nor the pattern
+        light = json.loads(self.tokenizer.to_str())
+        stages = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]
+        self.plain = Tokenizer.from_str(json.dumps(light | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": stages}}))
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.once: dict[str, bytes] = {}
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
-    def _each(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, "<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > CACHED_WORDS:
-            self.words.clear()
-            self.parts = {"": b""}
-        plain, other = [], []
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        out: dict[str, bytes] = {}
+        letters, other = [], []
         for w in new:
-            m = PLAIN.fullmatch(w)
-            plain.append((w, m[1].lower(), m[2])) if m else other.append(w)
-        letters = list({a for _, a, _ in plain}.difference(self.parts))
+            (letters if PLAIN.fullmatch(w) else other).append(w)
         for at in range(0, len(letters), 2048):
             part = letters[at : at + 2048]
-            (ids,) = self._each([" ".join(part)])
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             ends = (4 * np.flatnonzero(self.last[ids]) + 4).tolist()
             raw = ids.tobytes()
-            self.parts.update(zip(part, (raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
-        tails = list({b for _, _, b in plain}.difference(self.parts))
-        self.parts.update(zip(tails, (x.tobytes() for x in self._each(tails)), strict=True))
-        self.words.update((w, self.parts[a] + self.parts[b]) for w, a, b in plain)
-        self.words.update(zip(other, (x.tobytes() for x in self._each(other)), strict=True))
+            out.update(zip(part, (raw[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)), strict=True))
+        encoded = self.tokenizer.encode_batch_fast(other, add_special_tokens=False) if other else []
+        out.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(other, encoded, strict=True))
+        return out
+
+    def _resolve(self, missing: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not remembered; those met before are from now on."""
+        again = missing & self.once.keys()
+        out = {w: self.once.pop(w) for w in again}
+        if len(self.words) + len(out) > CACHED_WORDS:
+            self.words.clear()
+        self.words.update(out)
+        fresh = self._learn(list(missing - again))
+        if len(self.once) + len(fresh) > CACHED_WORDS:
+            self.once.clear()
+        self.once.update(fresh)
+        out.update(fresh)
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set(chain.from_iterable(split))
-        if missing := new.difference(self.words):
-            if len(self.words) + len(missing) > CACHED_WORDS:
-                missing = new
-            self._learn(list(missing))
-        return [b"".join(map(self.words.__getitem__, w)) for w in split]
+        split = []
+        for t in texts:
+            t = t.replace("\n", " ")
+            if "<|" not in t and _latin(t):
+                t = TAIL.sub(" ", t.lower())
+            split.append(t.split(" "))
+        found = [list(map(self.words.get, w)) for w in split]
+        missing = {x for w, f in zip(split, found, strict=True) if None in f for x, y in zip(w, f, strict=True) if y is None}
+        new = self._resolve(missing) if missing else {}
+        return [b"".join(f if None not in f else [new[x] if y is None else y for x, y in zip(w, f, strict=True)]) for w, f in zip(split, found, strict=True)]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 @lru_cache(maxsize=2)
