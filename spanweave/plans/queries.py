@@ -11,10 +11,10 @@ from pyspark.sql.window import Window
 
 from spanweave.config import GATES, AlignConfig
 from spanweave.functions import levels, names, texts, timecode
-from spanweave.operators import asof, gates, intervals, islands, mapping, segments, sequence, store
+from spanweave.operators import asof, gates, intervals, islands, mapping, segments, sequence, store, timeline
 from spanweave.operators import names as fuzzy
 from spanweave.plans import alignment, reports
-from spanweave.sources import scripts, tables
+from spanweave.sources import files, scripts, tables
 from spanweave.session import cut_lineage
 from spanweave.sources.tables import BIN_S, read
 
@@ -540,6 +540,144 @@ def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sample_strata(read(spark, sf_dir, "events"), ["event_type"], "user_id", order, 40).select("event_type", "user_id", "event_id", "pick")
 
 
+# ---- inventories ----
+
+
+@query("""WITH RECURSIVE n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name, true AS folder FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, n_name, true FROM nation
+  UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name, false FROM supplier),
+t AS (SELECT id, folder, 0 AS depth, name AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, n.folder, depth + 1, path || '/' || n.name FROM t JOIN n ON n.parent = t.id WHERE depth < 3)
+SELECT id, depth, path FROM t WHERE NOT folder""")
+def tree_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files below folders, three levels deep."""
+    node = lambda t, i, parent, name, folder: read(spark, sf_dir, t).select(F.expr(i).alias("id"), F.expr(parent).alias("parent"), F.col(name).alias("name"), F.lit(folder).alias("folder"))
+    nodes = node("region", "concat('r', r_regionkey)", "cast(null as string)", "r_name", True).union(node("nation", "concat('n', n_nationkey)", "concat('r', n_regionkey)", "n_name", True)).union(node("supplier", "concat('s', s_suppkey)", "concat('n', s_nationkey)", "s_name", False))
+    return files.scan_tree(nodes, F.col("parent").isNull())
+
+
+@query("SELECT p_brand, p_partkey, p_name FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY length(p_name), p_partkey) = 1")
+def asset_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shortest name of each brand, of equals the first listed."""
+    return files.pick(read(spark, sf_dir, "part"), ["p_brand"], [F.length("p_name"), F.col("p_partkey")]).select("p_brand", "p_partkey", "p_name")
+
+
+@query("""WITH t AS (SELECT s_nationkey AS key, s_suppkey, 'mix_' || s_name || '.wav' AS name FROM supplier), c AS (SELECT key, count(*) AS n FROM t GROUP BY key),
+p AS (SELECT key, CASE WHEN n > 1 THEN substr(name, 5, length(name) - 8) ELSE substr(name, 1, length(name) - 4) END AS channel, name AS path FROM t JOIN c USING (key)) SELECT key, channel, path, row_number() OVER (PARTITION BY key ORDER BY channel) AS channel_ord FROM p""")
+def track_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audio files as channels without their common prefix."""
+    name = F.concat(F.lit("mix_"), "s_name", F.lit(".wav"))
+    return files.tracks(read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), name.alias("name"), name.alias("path")), ["key"])
+
+
+@query("""WITH f AS (SELECT p_brand AS key, p_type AS folder, CASE p_size % 4 WHEN 0 THEN 'script' WHEN 1 THEN 'original' WHEN 2 THEN 'track' ELSE 'other' END AS kind FROM part),
+g AS (SELECT key, folder, count(*) FILTER (kind = 'track') AS tracks, bool_or(kind = 'script') AS script, bool_or(kind = 'original') AS original FROM f GROUP BY ALL)
+SELECT key, bool_or(script) AS script, bool_or(original) AS original, count(*) FILTER (tracks >= 2) AS folders, bool_or(script) AND bool_or(original) AND count(*) FILTER (tracks >= 2) >= 1 AS ready FROM g GROUP BY key""")
+def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Episodes with a script, an original and enough tracks."""
+    size = F.col("p_size") % 4
+    name = F.when(size == 0, "a.docx").when(size == 1, "a.mp4").when(size == 2, "a.wav").otherwise("a.txt")
+    return files.readiness(read(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_type").alias("folder"), files.classify(name, F.col("p_type")).alias("kind")), ["key"])
+
+
+@query("""WITH r AS (SELECT DISTINCT split_part(p_name, ' ', 1) || ' ' || lower(p_type) AS request FROM part), q AS (SELECT request, regexp_replace(lower(request), '[^a-z0-9]', '', 'g') AS q FROM r),
+n AS (SELECT DISTINCT p_type AS entry, regexp_replace(lower(p_type), '[^a-z0-9]', '', 'g') AS n FROM part)
+SELECT request, entry, 2 AS step FROM q JOIN n ON contains(q, n) OR contains(n, q) QUALIFY row_number() OVER (PARTITION BY request ORDER BY entry) = 1""")
+def series_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests resolved to registered series."""
+    p = read(spark, sf_dir, "part")
+    kinds = p.select(F.col("p_type").alias("entry")).distinct()
+    registry = kinds.select("entry", F.col("entry").alias("ord"), F.col("entry").alias("key"), F.array().cast("array<string>").alias("aliases"))
+    return files.resolve(p.select(F.concat_ws(" ", F.element_at(F.split("p_name", " "), 1), F.lower("p_type")).alias("request")), registry)
+
+
+@query("""WITH a(entry, alias) AS (VALUES ('metal', 'ring'), ('metal', 'gear'), ('tool', 'widget'), ('colour', 'red'), ('colour', 'blue')), w AS (SELECT DISTINCT p_name, unnest(string_split(lower(p_name), ' ')) AS alias FROM part)
+SELECT p_name, CASE WHEN count(DISTINCT entry) = 1 THEN min(entry) END AS entry, count(DISTINCT entry) AS hits FROM w JOIN a USING (alias) GROUP BY p_name""")
+def alias_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts bound to the one entry whose alias they hold as a word."""
+    aliases = spark.createDataFrame([("metal", "ring"), ("metal", "gear"), ("tool", "widget"), ("colour", "red"), ("colour", "blue")], "entry string, alias string")
+    return files.alias_hits(read(spark, sf_dir, "part").select("p_name").distinct(), aliases, "p_name")
+
+
+@query("WITH c AS (SELECT c_nationkey, c_mktsegment, count(*) AS votes, min(c_custkey) AS first FROM customer GROUP BY ALL) SELECT c_nationkey, c_mktsegment, votes FROM c QUALIFY row_number() OVER (PARTITION BY c_nationkey ORDER BY votes DESC, first) = 1")
+def mode_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The most frequent segment of each nation, of equals the first seen."""
+    return files.mode_vote(read(spark, sf_dir, "customer"), ["c_nationkey"], "c_mktsegment", "c_custkey")
+
+
+@query("SELECT p_brand, count(*) AS n, min(p_retailprice) AS low, max(p_retailprice) AS high, count(*) >= 3 AND min(p_retailprice) >= 0.5 * max(p_retailprice) AS uniform FROM part GROUP BY p_brand")
+def track_uniformity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the tracks of a key are alike in length."""
+    return files.uniform(read(spark, sf_dir, "part"), ["p_brand"], "p_retailprice", 0.5)
+
+
+@query(r"""SELECT page_id, CASE WHEN contains(lower(url), 'spam') THEN 'spam' WHEN contains(lower(url), 'pills') THEN 'pharmacy' WHEN contains(lower(url), '/de/') THEN 'german' END AS hint FROM pages""")
+def first_hint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first hint that applies."""
+    return read(spark, sf_dir, "pages").select("page_id", reports.first_hint(F.col("url"), [("spam", "spam"), ("pills", "pharmacy"), ("/de/", "german")]).alias("hint"))
+
+
+# ---- timelines, levels and totals ----
+
+
+@query(f"""WITH {SPANS}, p AS (SELECT key, id, start_s, greatest(0, start_s - 2) AS from_s, end_s + 2 AS to_s FROM spans WHERE kind = 'click') SELECT key, id, from_s, to_s, coalesce(sum(to_s - from_s + 5) OVER (PARTITION BY key ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_s FROM p""")
+def concat_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where windows lie when joined in a row."""
+    return timeline.concatenated(tables.spans(spark, sf_dir).where("kind = 'click'").select("key", "id", "start_s", "end_s"), ["key"], 2.0, 5.0).select("key", "id", "from_s", "to_s", "at_s")
+
+
+@query(f"""WITH {SPANS}, b AS (SELECT key, id, start_s, end_s, coalesce(start_s - lag(end_s) OVER w > 7200 OR lag(kind = 'error') OVER w OR floor(start_s / 864000) <> lag(floor(start_s / 864000)) OVER w, true) AS b FROM spans WINDOW w AS (PARTITION BY key ORDER BY start_s, id)),
+r AS (SELECT *, sum(b::INT) OVER (PARTITION BY key ORDER BY start_s, id ROWS UNBOUNDED PRECEDING) AS line FROM b) SELECT key, line::BIGINT AS line, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS words FROM r GROUP BY key, line""")
+def word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words joined to lines at pauses, sentence ends and windows."""
+    words = tables.spans(spark, sf_dir).select("key", F.col("id").alias("word"), "start_s", "end_s", (F.col("kind") == "error").alias("ends"), F.floor(F.col("start_s") / 864_000).alias("window"))
+    return timeline.words_to_lines(words, ["key"], 7_200.0)
+
+
+@query(f"""WITH {SPANS} SELECT key, id, (SELECT count(*) FROM spans o WHERE o.kind = 'view' AND o.key = s.key AND abs(o.start_s - s.start_s) <= 36000) AS n FROM spans s WHERE kind = 'purchase'""")
+def nearby_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many readable lines lie near each line."""
+    s = tables.spans(spark, sf_dir).withColumnRenamed("start_s", "at_s")
+    return timeline.nearby(s.where("kind = 'purchase'").select("key", "id", "at_s"), s.where("kind = 'view'").select("key", "at_s"), ["key"], ["id"], 36_000.0)
+
+
+@query("""SELECT user_id, event_type, round(20 * log10(greatest(sqrt(avg(floor(value) * floor(value))) / 500, 1e-9)), 1) AS level_db, round(20 * log10(greatest(max(value) / 500, 1e-9)), 1) AS peak_db FROM events GROUP BY ALL""")
+def line_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Level and peak of lines from frames."""
+    frames = read(spark, sf_dir, "events").select("user_id", "event_type", (F.floor("value") / 500).alias("rms"), (F.col("value") / 500).alias("peak"))
+    return segments.line_levels(frames, ["user_id", "event_type"])
+
+
+@query(f"""WITH {TIERED}, b AS (SELECT *, CASE WHEN block_n IS NOT NULL THEN line // 100 END AS block_id FROM tiers) SELECT kind, count(*) AS missing, count(DISTINCT block_id) AS blocks,
+  greatest(count(DISTINCT block_id), count(*) - count(block_id) - count(*) FILTER (song_reprise) - count(*) FILTER (fragment) + count(DISTINCT block_id)) AS findings FROM b GROUP BY kind""")
+def finding_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings as a person counts them."""
+    block = F.when(F.col("block_n").isNotNull(), F.floor(F.col("line") / 100))
+    return reports.totals(_tiered(spark, sf_dir).withColumn("block_id", block), ["kind"])
+
+
+@query(f"""WITH {TIERED}, b AS (SELECT *, CASE WHEN block_n IS NOT NULL THEN line // 100 END AS block_id FROM tiers WHERE NOT song_reprise AND line % 6 <> 0) SELECT kind, count(*) FILTER (tier = 'high') AS n_high, count(*) FILTER (tier = 'medium') AS n_medium, count(*) FILTER (tier = 'low') AS n_low,
+  count(*) FILTER (block_id IS NULL) + count(DISTINCT block_id) AS findings FROM b GROUP BY kind""")
+def actionable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to act on."""
+    block = F.when(F.col("block_n").isNotNull(), F.floor(F.col("line") / 100))
+    return reports.actionable(_tiered(spark, sf_dir).withColumns({"block_id": block, "sung": F.col("line") % 6 == 0}), ["kind"])
+
+
+@query(f"""WITH {XLANG} SELECT character, coalesce(sum(missing) FILTER (lang = 'NATION_0'), 0)::BIGINT AS NATION_0, coalesce(sum(missing) FILTER (lang = 'NATION_5'), 0)::BIGINT AS NATION_5, coalesce(sum(missing) FILTER (lang = 'NATION_10'), 0)::BIGINT AS NATION_10 FROM stats GROUP BY character""")
+def language_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing lines per character, a column per language."""
+    return reports.by_language(reports.language_stats(*_languages(spark, sf_dir)), ["NATION_0", "NATION_5", "NATION_10"])
+
+
+@query("""WITH u AS (SELECT p_name, count(DISTINCT p_brand) AS uses FROM part GROUP BY p_name) SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'not in list' WHEN p_size % 7 = 0 THEN '-' WHEN p_size % 5 = 0 THEN 'no voice id' WHEN p_size % 4 = 0 THEN 'no language id'
+  WHEN uses > 24 THEN 'duplicate id' WHEN p_size < 49 AND p_size >= 43 THEN 'verify match' ELSE 'ok' END AS check_result FROM part JOIN u USING (p_name)""")
+def voice_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with each character's voice."""
+    p, size = read(spark, sf_dir, "part"), F.col("p_size")
+    uses = p.groupBy("p_name").agg(F.count_distinct("p_brand").alias("uses"))
+    given = lambda n: F.when(size % n != 0, F.lit("x"))
+    return p.join(uses, "p_name").select("p_partkey", reports.voice_check(given(9), given(7), given(5), given(4), F.col("uses") - 23, size / 50, 0.98, 0.86).alias("check_result"))
+
+
 # ---- no SQL form: sequential or iterative ----
 
 
@@ -602,3 +740,22 @@ def transcript_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How well each turn compresses."""
     return read(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(texts.compression_ratio(F.col("text")), 6).alias("ratio"))
+
+
+@query()
+def roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part names against a roster of types, unless two are alike."""
+    p = read(spark, sf_dir, "part")
+    left = p.select("p_brand", F.col("p_name").alias("channel")).distinct()
+    roster = p.select(F.col("p_name").alias("entry")).distinct()
+    first = F.element_at(F.split("entry", " "), 1)
+    pairs = left.join(roster.withColumn("base", first), F.element_at(F.split("channel", " "), 1) == F.col("base")).withColumn("generic", F.length("channel") < 8)
+    return fuzzy.match_roster(fuzzy.score_names(pairs, "channel", "entry"), ["p_brand", "channel"], "entry", "base", "generic")
+
+
+@query()
+def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windows of a user's values that match the values shifted by three."""
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    frames = read(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("i"), F.col("value").alias("a"), F.coalesce(F.lag("value", 3).over(w), F.lit(0.0)).alias("b"))
+    return timeline.drift(frames, "user_id", 30, 10, 6)

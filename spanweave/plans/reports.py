@@ -75,3 +75,55 @@ def recall_of_truth(truth: DataFrame, findings: DataFrame, keys: list[str], tole
     near = ~((F.col("f_end") + tolerance < F.col("start_s")) | (F.col("end_s") + tolerance < F.col("f_start")))
     hit = truth.join(other, keys).where(near).select(*keys, "truth").distinct().withColumn("found", F.lit(True))
     return truth.join(hit, [*keys, "truth"], "left").fillna(False, ["found"])
+
+
+def totals(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings as a person counts them: blocks once, reprises and fragments not. Columns: block_id, song_reprise, fragment, tier."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    blocks = F.count_distinct("block_id")
+    grouped, reprise, fragment = F.count("block_id"), F.count_if(yes("song_reprise")), F.count_if(yes("fragment"))
+    n = F.count(F.lit(1))
+    return findings.groupBy(*keys).agg(n.alias("missing"), blocks.alias("blocks"), F.greatest(blocks, n - grouped - reprise - fragment + blocks).alias("findings"))
+
+
+def actionable(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """What is left to act on without sung lines and reprises: per tier (none counts as low), loose lines and blocks."""
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    kept = findings.where(~yes("sung") & ~yes("song_reprise")).withColumn("tier", F.coalesce("tier", F.lit("low")))
+    return kept.groupBy(*keys).agg(*(F.count_if(F.col("tier") == t).alias(f"n_{t}") for t in ("high", "medium", "low")), (F.count_if(F.col("block_id").isNull()) + F.count_distinct("block_id")).alias("findings"))
+
+
+def by_language(stats: DataFrame, languages: list[str]) -> DataFrame:
+    """Missing lines of each character, a column per language."""
+    return stats.groupBy("character").pivot("lang", languages).agg(F.sum("missing")).na.fill(0)
+
+
+def voice_check(entry: Column, voice: Column, voice_id: Column, language: Column, uses: Column, score: Column, exact: float = 0.98, weak: float = 0.86) -> Column:
+    """What is wrong with a character's voice, the first that applies."""
+    return (
+        F.when(entry.isNull(), "not in list")
+        .when(voice.isNull(), "-")
+        .when(voice_id.isNull(), "no voice id")
+        .when(language.isNull(), "no language id")
+        .when(uses > 1, "duplicate id")
+        .when((score < exact) & (score >= weak), "verify match")
+        .otherwise("ok")
+    )
+
+
+def first_hint(text: Column, hints: list[tuple[str, str]]) -> Column:
+    """The hint of the first needle that the text holds, in the order given."""
+    out = F.lit(None).cast("string")
+    for needle, hint in reversed(hints):
+        out = F.when(F.contains(F.lower(text), F.lit(needle.lower())), hint).otherwise(out)
+    return out
+
+
+def write_report(report: DataFrame, path: str) -> None:
+    """A table of findings as JSON lines."""
+    report.write.mode("overwrite").json(path)
+
+
+def write_markers(rows: DataFrame, path: str) -> None:
+    """Marker rows as CSV with a header, in time order."""
+    rows.orderBy("no").write.mode("overwrite").option("header", True).csv(path)

@@ -173,3 +173,35 @@ def test_root_causes(spark):
 def test_upper_half(spark):
     df = spark.createDataFrame(pd.DataFrame({"k": [1] * 4, "v": [1.0, 2.0, 3.0, 10.0]}))
     assert segments.upper_half(df, ["k"], "v").first().upper_median == 3.0
+
+
+def test_joined_timelines_map_back(spark):
+    from spanweave.operators import timeline
+
+    placed = timeline.concatenated(spark.createDataFrame([(1, 10.0, 12.0), (1, 30.0, 33.0), (1, 60.0, 65.0)], "key int, start_s double, end_s double"), ["key"])
+    assert [round(r.at_s, 3) for r in placed.orderBy("start_s").collect()] == [0.0, 2.9, 6.8]
+    points = spark.createDataFrame([(1, 0.2), (1, 2.0), (1, 3.0), (1, 6.0), (1, 6.5), (1, 11.0)], "key int, at double")
+    got = [round(r.original_s, 1) for r in timeline.map_back(points, placed, ["key"]).orderBy("at").collect()]
+    assert got == [10.0, 11.8, 29.9, 32.9, 33.2, 64.0]
+
+
+def test_drift_finds_the_shift():
+    from spanweave.operators.timeline import best_shift
+
+    a = np.random.default_rng(1).random(200)
+    assert best_shift(a[5:], a[:-5], 10)[0] in (5, -5)
+
+
+def test_inventories(spark):
+    from spanweave.sources import files
+
+    rows = [(1, "ep1 - Ann.wav", "a"), (1, "ep1 - Bob.wav", "b"), (1, "notes.txt", "c"), (2, "Solo.wav", "d")]
+    got = files.tracks(spark.createDataFrame(rows, "key int, name string, path string"), ["key"]).collect()
+    assert sorted((r.key, r.channel, r.channel_ord) for r in got) == [(1, "Ann", 1), (1, "Bob", 2), (2, "Solo", 1)]
+    kinds = spark.createDataFrame([("a.srt", ""), ("x.mp4", ""), ("final_mix.wav", ""), ("Ann.wav", ""), ("Ann.wav", "Original"), ("z.pdf", "")], "n string, f string").select(files.classify(F.col("n"), F.col("f")).alias("k"))
+    assert [r.k for r in kinds.collect()] == ["script", "original", "original", "track", "original", "other"]
+    registry = spark.createDataFrame([("A", 1, "alpha", ["first one"]), ("B", 2, "alphabet", [])], "entry string, ord int, key string, aliases array<string>")
+    asked = spark.createDataFrame([("Alphabet",), ("First One",), ("alphab",), ("zz",)], "request string")
+    assert {r.request: r.entry for r in files.resolve(asked, registry).collect()} == {"Alphabet": "B", "First One": "A", "alphab": "A"}
+    v = spark.range(1).select(files.voice_ids(F.lit("Ann Hindi abcdefghij0123456789\nBob ABCDEFGHIJ0123456789zz")).alias("v")).first().v
+    assert [(x.name, x.id) for x in v] == [("Ann Hindi", "abcdefghij0123456789"), ("Bob", "ABCDEFGHIJ0123456789zz")]
