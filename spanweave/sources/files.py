@@ -103,4 +103,4 @@ def read_results(spark: SparkSession, paths: list[str], schema: T.StructType) ->
 def voice_ids(cell: Column) -> Column:
     """(name, id) pairs of a cell: an id is a word of 20 to 22 letters and digits, its name what stands before it."""
     parts = F.regexp_extract_all(cell, F.lit(r"(?s)(.*?)(?<![A-Za-z0-9])([A-Za-z0-9]{20,22})(?![A-Za-z0-9])"), F.lit(0))
-    return F.transform(parts, lambda p: F.struct(F.trim(F.regexp_replace(p, r"[A-Za-z0-9]{20,22}$", "")).alias("name"), F.regexp_extract(p, "([A-Za-z0-9]{20,22})$", 1).alias("id")))
+    return F.transform(parts, lambda p: F.struct(F.regexp_replace(F.regexp_replace(p, r"[A-Za-z0-9]{20,22}$", ""), r"^\s+|\s+$", "").alias("name"), F.regexp_extract(p, "([A-Za-z0-9]{20,22})$", 1).alias("id")))
