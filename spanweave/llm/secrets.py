@@ -22,8 +22,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Callable
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,11 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
     """Long tokens that no base span overlaps."""
     found = [(3, m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
-    return [c for c in found if not any(s[1] < c[2] and c[1] < s[2] for s in taken)]
+    if not taken:
+        return found
+    starts, reach = [s[1] for s in taken], list(accumulate((s[2] for s in taken), max))
+    # of the spans that start before a candidate ends, none may reach beyond its start
+    return [c for c in found if not (k := bisect_left(starts, c[2])) or reach[k - 1] <= c[1]]
 
 
 def classes(value: str) -> str:

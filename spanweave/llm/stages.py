@@ -10,8 +10,9 @@ from .common import checkpoint
 
 
 def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``; of repeated rows one."""
-    return docs.join(kept.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """The rows of ``docs`` whose doc_id is in ``kept``. Rows with one doc_id stay or go together, those without one too."""
+    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -26,7 +27,7 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each SimHash component: that with the smallest doc_id."""
-    return keep_ids(docs, simhash.simhash_components(docs).where(F.col("doc_id") == F.col("component_id")))
+    return keep_ids(docs, simhash.simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
 
 
 def redacted(docs: DataFrame) -> DataFrame:
