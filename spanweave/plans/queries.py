@@ -377,7 +377,7 @@ def tier_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def verify_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which to check findings."""
     rows = _tiered(spark, sf_dir).withColumn("block_id", F.when(F.col("block_n").isNotNull(), 1))
-    return reports.verify_order(rows, ["key"]).select("key", "line", "position")
+    return reports.verify_order(rows, ["key"]).select("key", "line", F.col("position").cast("long").alias("position"))
 
 
 @query(f"""WITH {TIERED}, {SPANS}, m AS (SELECT t.key, t.line, t.tier, t.kind, s.start_s - 1704067200 AS at_s FROM tiers t JOIN spans s ON s.id = t.line WHERE NOT song_reprise AND t.line % 2 = 0)
@@ -386,7 +386,7 @@ def marker_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Editor markers of missing lines."""
     at = tables.spans(spark, sf_dir).select(F.col("id").alias("line"), (F.col("start_s") - 1_704_067_200).alias("at_s"))
     rows = _tiered(spark, sf_dir).drop("start_s").join(at, "line").withColumnsRenamed({"at_s": "start_s", "kind": "speaker"})
-    return reports.marker_rows(rows.withColumns({"type": F.when(F.col("line") % 2 == 0, "MISSING").otherwise("EXTRA"), "sung": F.lit(False)}), ["key"])
+    return reports.marker_rows(rows.withColumns({"type": F.when(F.col("line") % 2 == 0, "MISSING").otherwise("EXTRA"), "sung": F.lit(False)}), ["key"]).withColumn("no", F.col("no").cast("long"))
 
 
 @query("""WITH w AS (SELECT doc_id, source, list_sort(list_distinct(list_filter(string_split_regex(lower(text), '[^0-9a-zA-ZÀ-ɏऀ-ൿ]+'), lambda x: length(x) > 2))) AS ws FROM documents),
@@ -458,7 +458,7 @@ def xlang_root_cause(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT side, row_number() OVER (PARTITION BY side ORDER BY affected DESC, worst_rate DESC, character) AS rank, character, cause, affected, greatest(count(*) OVER (PARTITION BY side) - 3, 0) AS more FROM s) SELECT * FROM r WHERE rank <= 3""")
 def headline_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The three worst characters of each side."""
-    return reports.headline(_causes(spark, sf_dir))
+    return reports.headline(_causes(spark, sf_dir)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(f"""WITH {XLANG}, d AS (SELECT lang, sum(missing)::BIGINT AS missing, count(*) AS characters, count(*) FILTER (missing = lines) AS undelivered, arg_max(character, struct_pack(m := missing, c := character)) AS worst FROM stats GROUP BY lang)
@@ -495,7 +495,7 @@ def latest_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events QUALIFY rank <= 5")
 def keep_newest_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest five events of each user: a bounded store."""
-    return store.newest(read(spark, sf_dir, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5).select("user_id", "event_id", "rank")
+    return store.newest(read(spark, sf_dir, "events"), ["user_id"], [F.col("ts").desc(), F.col("event_id").desc()], 5).select("user_id", "event_id", F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT o_custkey, count(*) AS orders FROM orders n WHERE o_orderdate >= TIMESTAMP '1998-01-01' AND NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_custkey = n.o_custkey AND b.o_orderdate < TIMESTAMP '1998-01-01') GROUP BY o_custkey")
@@ -537,7 +537,7 @@ SELECT event_type, user_id, event_id, row_number() OVER (PARTITION BY event_type
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forty events of each type, in turn over users: a sampling operator."""
     order = F.struct(F.col("event_id") * 7919 % 10007, F.col("event_id"))
-    return store.sample_strata(read(spark, sf_dir, "events"), ["event_type"], "user_id", order, 40).select("event_type", "user_id", "event_id", "pick")
+    return store.sample_strata(read(spark, sf_dir, "events"), ["event_type"], "user_id", order, 40).select("event_type", "user_id", "event_id", F.col("pick").cast("long").alias("pick"))
 
 
 # ---- inventories ----
@@ -565,7 +565,7 @@ p AS (SELECT key, CASE WHEN n > 1 THEN substr(name, 5, length(name) - 8) ELSE su
 def track_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audio files as channels without their common prefix."""
     name = F.concat(F.lit("mix_"), "s_name", F.lit(".wav"))
-    return files.tracks(read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), name.alias("name"), name.alias("path")), ["key"])
+    return files.tracks(read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), name.alias("name"), name.alias("path")), ["key"]).withColumn("channel_ord", F.col("channel_ord").cast("long"))
 
 
 @query("""WITH f AS (SELECT p_brand AS key, p_type AS folder, CASE p_size % 4 WHEN 0 THEN 'script' WHEN 1 THEN 'original' WHEN 2 THEN 'track' ELSE 'other' END AS kind FROM part),
