@@ -66,4 +66,11 @@ def materialize(df: DataFrame) -> DataFrame:
     """Like checkpoint(), but as compressed Parquet, for tables that grow with the corpus."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a folder of intermediate files, which must exist, when the driver ends; results may be read from it until then."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -30,7 +30,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_dir, small_batches
+from .common import checkpoint, checkpoint_dir, drop_at_exit, small_batches
 
 ROLL_BYTES = 16 << 20
 LAST = (1 << 63) - 1
@@ -226,8 +226,10 @@ def gaps(found: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to as read back from archives of ``pages``."""
     spark = pages.sparkSession
-    written = write_archives(pages, f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}", min_revisit)
-    paths = [r.path for r in written.select("path").collect()]  # the list of files, as a commit would have it
+    folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
+    paths = [r.path for r in write_archives(pages, folder, min_revisit).select("path").collect()]  # the list of files, as a commit would have it
+    if paths:
+        drop_at_exit(spark, folder)
     found = read_archives(spark, paths, payloads=False).where("problem is null")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))
