@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def once(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """``fn`` of a value that is computed once, however often ``fn`` uses it: Spark repeats shared parts of array functions."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def split_words(text: Column) -> Column:
     """Lower-case words between white space."""
     return F.filter(F.split(F.lower(text), r"[ \t\n\r\f]+"), lambda w: w != "")
@@ -22,8 +28,7 @@ def content_words(text: Column) -> Column:
 
 def songlike(text: Column) -> Column:
     """Six words or more, fewer than half of them distinct."""
-    w = split_words(text)
-    return (F.size(w) >= 6) & (F.size(F.array_distinct(w)) < 0.5 * F.size(w))
+    return once(split_words(text), lambda w: (F.size(w) >= 6) & (F.size(F.array_distinct(w)) < 0.5 * F.size(w)))
 
 
 def reliable(quality: Column, text: Column) -> Column:
@@ -46,5 +51,5 @@ def compression_ratio(text: pd.Series) -> pd.Series:
 
 def line_key(text: Column) -> Column:
     """Sorted distinct words longer than two characters, or null for fewer than three: one key for a line however it is sung."""
-    w = F.sort_array(F.filter(content_words(text), lambda x: F.length(x) > 2))
-    return F.when(F.size(w) >= 3, F.array_join(w, " "))
+    long = F.sort_array(F.filter(content_words(text), lambda x: F.length(x) > 2))
+    return once(long, lambda w: F.when(F.size(w) >= 3, F.array_join(w, " ")))

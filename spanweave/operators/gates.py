@@ -62,7 +62,8 @@ def classify_fill(level_db: Column, reference_db: Column, spread_db: Column, sec
 
 def song_lines(lines: DataFrame, line_id: str, group: str, least: int = 2) -> DataFrame:
     """Words of lines that at least ``least`` groups (episodes) share, however ordered: a song bank."""
-    keyed = lines.select(group, line_key(F.col("text")).alias("line")).where("line is not null").distinct()
+    # exploding keeps the filter from being pushed below and its key from being computed twice
+    keyed = lines.select(group, F.explode(F.filter(F.array(line_key(F.col("text"))), lambda x: x.isNotNull())).alias("line")).distinct()
     shared = keyed.groupBy("line").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") >= least)
     return shared.select(F.explode(F.split("line", " ")).alias("word")).distinct()
 
