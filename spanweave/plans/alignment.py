@@ -10,11 +10,9 @@ from spanweave.operators.asof import offsets
 from spanweave.operators.intervals import best_covering, coalesce_spans, coverage, overlap_join, uncovered
 
 
-def judge_lines(shifted: DataFrame, own: DataFrame, siblings: DataFrame | None, cfg: AlignConfig = ALIGN) -> DataFrame:
-    """Type, coverage and drift of each line (key, line, start_s, end_s corrected) from its own coverage and its best sibling's."""
-    side = siblings.select("key", "line", F.col("channel").alias("sibling"), F.col("coverage").alias("sibling_coverage")) if siblings is not None else None
-    out = shifted.join(own.select("key", "line", "coverage", "hull_start_s", "hull_end_s"), ["key", "line"], "left")
-    out = out.join(side, ["key", "line"], "left") if side is not None else out.withColumns({"sibling": F.lit(None).cast("string"), "sibling_coverage": F.lit(None).cast("double")})
+def judge_lines(shifted: DataFrame, covered: DataFrame, ids: list[str], cfg: AlignConfig = ALIGN) -> DataFrame:
+    """Type, coverage and drift of each line (start_s, end_s corrected) from its own coverage and hull and its best sibling's."""
+    out = shifted.join(covered, ids, "left")
     silent = F.col("coverage").isNull() | (F.col("coverage") < cfg.missing_coverage)
     kind = F.when(silent & F.coalesce(F.col("sibling_coverage") >= cfg.mismatch_coverage, F.lit(False)), "MISMATCH").when(silent, "MISSING").when(F.col("coverage") < cfg.aligned_coverage, "MISALIGNED").otherwise("OK")
     middle = (F.greatest("start_s", "hull_start_s") + F.least("end_s", "hull_end_s")) / 2 - (F.col("start_s") + F.col("end_s")) / 2
@@ -36,26 +34,26 @@ def align(lines: DataFrame, regions: DataFrame, mapping: DataFrame, bin_width: f
     mapped = lines.join(mapping.select("speaker").distinct(), "speaker", "left_semi")
     moved = mapped.join(shift.select(*who, "offset_s"), who, "left").fillna(0.0, ["offset_s"])
     moved = moved.withColumns({"start_s": F.col("start_s") + F.col("offset_s"), "end_s": F.col("end_s") + F.col("offset_s")})
-    own = coverage(moved.select(*who, "line", "start_s", "end_s"), owned.select(*who, "start_s", "end_s"), who, ["line"], bin_width)
-    hit = moved.select("key", "line", "speaker", "start_s", "end_s")
-    findings = judge_lines(moved, own, _best_of_others(hit, owned, bin_width), cfg)
+    findings = judge_lines(moved, _covered(moved, owned, bin_width), [*who, "line"], cfg)
     free = regions.join(mapping.select("channel"), "channel", "left_anti")
-    raw = findings.where("type = 'MISSING'").select("key", "line", (F.col("start_s") - F.col("offset_s")).alias("start_s"), (F.col("end_s") - F.col("offset_s")).alias("end_s"))
-    maybe = best_covering(raw, free.select("key", "channel", "start_s", "end_s"), ["key"], ["line"], bin_width).where(F.col("coverage") >= cfg.unclaimed_coverage)
-    findings = findings.join(maybe.select("key", "line", F.col("channel").alias("possibly_in")), ["key", "line"], "left")
+    raw = findings.where("type = 'MISSING'").select(*who, "line", (F.col("start_s") - F.col("offset_s")).alias("start_s"), (F.col("end_s") - F.col("offset_s")).alias("end_s"))
+    maybe = best_covering(raw, free.select("key", "channel", "start_s", "end_s"), ["key"], ["speaker", "line"], bin_width).where(F.col("coverage") >= cfg.unclaimed_coverage)
+    findings = findings.join(maybe.select(*who, "line", F.col("channel").alias("possibly_in")), [*who, "line"], "left")
     long = owned.where(F.col("end_s") - F.col("start_s") >= cfg.min_extra_s)
     extras = uncovered(long.select(*who, "channel", "region", "start_s", "end_s"), moved.select(*who, "start_s", "end_s"), who, ["channel", "region"], bin_width)
     sync = shift.where(F.abs("offset_s") >= cfg.sync_warn_s).withColumn("direction", F.when(F.col("offset_s") > 0, "late").otherwise("early"))
     return {"findings": findings, "extras": extras, "offsets": shift, "sync": sync}
 
 
-def _best_of_others(hit: DataFrame, owned: DataFrame, bin_width: float) -> DataFrame:
-    """The channel of another speaker that covers each line best."""
-    pairs = overlap_join(hit, owned.select("key", "channel", F.col("speaker").alias("owner"), "start_s", "end_s"), ["key"], bin_width).where("r_owner <> speaker")
+def _covered(lines: DataFrame, owned: DataFrame, bin_width: float) -> DataFrame:
+    """Per line and speaker the coverage and hull of the speaker's own channels and the best other speaker's channel, from one join."""
+    pairs = overlap_join(lines.select("key", "line", "speaker", "start_s", "end_s"), owned.select("key", "channel", F.col("speaker").alias("owner"), "start_s", "end_s"), ["key"], bin_width)
     shared = F.sum(F.least("end_s", "r_end_s") - F.greatest("start_s", "r_start_s"))
-    each = pairs.groupBy("key", "line", "start_s", "end_s", "r_channel").agg((shared / F.greatest(F.lit(1e-9), F.col("end_s") - F.col("start_s"))).alias("coverage"))
-    best = each.groupBy("key", "line").agg(F.min(F.struct((-F.col("coverage")).alias("c"), F.col("r_channel").alias("channel"))).alias("b"))
-    return best.select("key", "line", F.col("b.channel").alias("channel"), (-F.col("b.c")).alias("coverage"))
+    each = pairs.groupBy("key", "speaker", "line", "start_s", "end_s", "r_owner", "r_channel").agg(shared.alias("s"), F.min("r_start_s").alias("h0"), F.max("r_end_s").alias("h1"))
+    own, seconds = F.col("r_owner") == F.col("speaker"), F.greatest(F.lit(1e-9), F.col("end_s") - F.col("start_s"))
+    best = F.min(F.when(~own, F.struct((-F.col("s") / seconds).alias("c"), F.col("r_channel").alias("channel"))))
+    out = each.groupBy("key", "speaker", "line").agg(F.sum(F.when(own, F.col("s") / seconds)).alias("coverage"), F.min(F.when(own, F.col("h0"))).alias("hull_start_s"), F.max(F.when(own, F.col("h1"))).alias("hull_end_s"), best.alias("best"))
+    return out.withColumns({"sibling": F.col("best.channel"), "sibling_coverage": -F.col("best.c")}).drop("best")
 
 
 def compare_timelines(original: DataFrame, dub: DataFrame, bin_width: float, cfg: AlignConfig = ALIGN) -> dict[str, DataFrame]:
@@ -65,7 +63,8 @@ def compare_timelines(original: DataFrame, dub: DataFrame, bin_width: float, cfg
     shift = offsets(lines.select("key", "line", "start_s"), union.select("key", "start_s"), ["key"], ["line"], cfg.max_offset_s, cfg.min_anchors)
     move = lambda df: df.join(shift.select("key", "offset_s"), "key", "left").fillna(0.0, ["offset_s"]).withColumns({"start_s": F.col("start_s") + F.col("offset_s"), "end_s": F.col("end_s") + F.col("offset_s")})
     moved = move(lines)
-    findings = judge_lines(moved, coverage(moved.select("key", "line", "start_s", "end_s"), union, ["key"], ["line"], bin_width), None, cfg)
+    own = coverage(moved.select("key", "line", "start_s", "end_s"), union, ["key"], ["line"], bin_width).select("key", "line", "coverage", "hull_start_s", "hull_end_s")
+    findings = judge_lines(moved, own.withColumns({"sibling": F.lit(None).cast("string"), "sibling_coverage": F.lit(None).cast("double")}), ["key", "line"], cfg)
     long = dub.where(F.col("end_s") - F.col("start_s") >= cfg.min_extra_s)
     extras = uncovered(long.select("key", "channel", "region", "start_s", "end_s"), move(original).select("key", "start_s", "end_s"), ["key"], ["channel", "region"], bin_width)
     return {"findings": findings, "extras": extras, "offsets": shift}
