@@ -1,11 +1,19 @@
 """Quality rules with risk-controlled thresholds (operator 9).
 
 Every document gets counts that depend on its whole text. Two fixed base rules reject outright. The
-method adds one upper cutoff per rule and stratum (language): labelled documents of good quality are
-the holdout, the candidate cutoffs are a grid fixed beforehand, and a cutoff is admissible when the
-exact (Clopper-Pearson) upper bound of its false rejection rate stays within the rule's share of
-``max_false_rejection``. The bounds hold at once for all strata, rules and cutoffs (Bonferroni). The
-strictest admissible cutoff is taken; where no cutoff is admissible the rule rejects nothing.
+method adds upper cutoffs, at most one per rule and stratum (language): labelled documents of good
+quality are the holdout, and a set of cutoffs is admissible when the exact (Clopper-Pearson) upper bound
+of its false rejection rate stays within ``max_false_rejection``, for all its rules together.
+
+Cutoffs are searched along chains fixed beforehand, from loose to strict, that end at the first failure;
+such a fixed sequence needs no division of the error by its length. Of the five plans of a stratum, four
+are chains of joint cutoffs, one beginning with each rule: it goes down the grid in one rule, then in the
+next, and each step counts the documents that any rule so far rejects. The fifth, ``apart``, gives each rule
+a chain of its own and an equal share of the rate. The plans have shares of the error (``SHARES``), which is
+divided by the strata that have labels of good quality, so the bounds of all plans hold at once and one may
+be chosen freely: that which rejects most labelled documents of bad quality, of equal ones ``apart`` before
+the others and these in the order of RULES; plans without cutoffs come last. Where no plan has one, only the
+base rules reject.
 
 Defined results: a null text is an empty one (no words, base rule fails it); a null language is a
 stratum of its own; null and repeated labels count once per document with the lowest quality given;
@@ -16,11 +24,14 @@ read, so their names cannot clash.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_texts, words
@@ -47,6 +58,8 @@ RULES = {
     "repeats": ("n_repeat_words", 0.5),
     "word_length": ("word_chars", 40.0),
 }
+#: Plan -> its share of the error: rules apart, or the rule that a chain of joint cutoffs begins with.
+SHARES = {"apart": 1 / 8, "symbols": 1 / 2, "dup_lines": 1 / 8, "repeats": 1 / 8, "word_length": 1 / 8}
 COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
@@ -120,44 +133,61 @@ def admits(k: int, n: int, rate: float, error: float) -> bool:
     return n > 0 and k < n and binomial_cdf(k, n, rate) <= error
 
 
+def chain(first: str) -> list[str]:
+    """The rules in the order of the chain that begins with ``first``."""
+    return [first, *(r for r in RULES if r != first)]
+
+
+def over(cutoff: Callable[[str], Column]) -> Column:
+    """Whether a value lies above its cutoff; a null cutoff rejects nothing."""
+    return reduce(or_, (F.coalesce(F.col(c) / F.col("n_words") > cutoff(rule), F.lit(False)) for rule, (c, _) in RULES.items()))
+
+
+def walk(left: np.ndarray, steps: int, rate: float, error: float) -> int:
+    """Steps of a chain until the first that fails; ``left`` counts documents by the step that rejects them, the last those that none does."""
+    lost, n = np.cumsum(left), int(left.sum())
+    return next((k for k in range(steps) if not admits(int(lost[k]), n, rate, error)), steps)
+
+
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """One row per stratum: a nullable cutoff per rule. Reads every labelled document."""
-    good = (
-        labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
-        .agg(F.min("quality").alias("quality"))
-        .where("quality = 1")
-        .select("doc_id")
-    )
-    held = counts.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
-    steps = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.least(F.lit(risk.grid), F.ceil(F.col(c) / F.col("n_words") / F.lit(top / risk.grid))).cast("int").alias("step")) for r, (c, top) in RULES.items())))
+    quality = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    known = counts.where(~F.col("base_failed")).join(quality, "doc_id")
+    grid, names = risk.grid, list(RULES)
     # a value in step s lies in ((s - 1) * width, s * width]: a cutoff of s * width keeps it; the last step is open above
-    histogram = held.select("stratum", steps.alias("x")).groupBy("stratum", "x.rule", "x.step").agg(F.count(F.lit(1)).alias("n"))
-    strata = counts.select("stratum").distinct().count()
-    schema = "stratum string, " + ", ".join(f"{r} double" for r in RULES)
-    grid, rate = risk.grid, risk.max_false_rejection / len(RULES)
+    step = {r: F.least(F.lit(grid), F.ceil(F.col(c) / F.col("n_words") / F.lit(top / grid))).cast("int") for r, (c, top) in RULES.items()}
+    # chains try the cutoffs of steps grid - 1 to 0 of each rule, so step s of a chain's k-th rule is rejected k * grid + grid - s steps down
+    alone = [F.struct(F.lit(r).alias("path"), (grid - step[r]).alias("at")) for r in names]
+    joint = [F.struct(F.lit(f"joint {first}").alias("path"), F.coalesce(*(F.when(step[r] > 0, k * grid + grid - step[r]) for k, r in enumerate(chain(first))), F.lit(len(names) * grid)).alias("at")) for first in names]
+    histogram = known.where("quality = 1").select("stratum", F.explode(F.array(*alone, *joint)).alias("x")).groupBy("stratum", "x.path", "x.at").agg(F.count(F.lit(1)).alias("n"))
+    histogram = checkpoint(histogram)
+    strata = histogram.select("stratum").distinct().count()
+    schema = "stratum string, plan string, place int, " + ", ".join(f"{r} double" for r in RULES)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        error = risk.error / (strata * len(RULES) * grid)
-        row = {"stratum": pdf["stratum"].iloc[0]} | dict.fromkeys(RULES)
-        for rule, part in pdf.groupby("rule"):
-            seen = np.zeros(grid + 1, np.int64)
-            np.add.at(seen, part["step"].to_numpy(), part["n"].to_numpy())
-            above = seen.sum() - np.cumsum(seen)
-            # the last step also holds what lies above the grid, so its edge is no cutoff
-            fit = [s for s in range(grid) if admits(int(above[s]), int(seen.sum()), rate, error)]
-            row[rule] = min(fit) * RULES[rule][1] / grid if fit else None
-        return pd.DataFrame([row])
-
-    return histogram.groupBy("stratum").applyInPandas(choose, schema)
+        error = risk.error / strata
+        left = {p: np.bincount(part["at"], part["n"], len(names) * grid + 1).astype(np.int64) for p, part in pdf.groupby("path")}
+        edge = lambda rule, taken: (grid - taken) * RULES[rule][1] / grid if taken > 0 else None
+        rows = []
+        for place, (plan, share) in enumerate(SHARES.items()):
+            if plan == "apart":
+                down = {r: walk(left[r], grid, risk.max_false_rejection / len(RULES), error * share / len(RULES)) for r in names}
+            else:
+                taken = walk(left[f"joint {plan}"], len(names) * grid, risk.max_false_rejection, error * share)
+                down = {r: min(grid, taken - k * grid) for k, r in enumerate(chain(plan))}
+            rows.append({"stratum": pdf["stratum"].iloc[0], "plan": plan, "place": place} | {r: edge(r, down[r]) for r in names})
+        return pd.DataFrame(rows).astype(dict.fromkeys(names, float))
+
+    plans = checkpoint(histogram.groupBy("stratum").applyInPandas(choose, schema))
+    bad = known.where("quality <> 1").join(F.broadcast(plans), "stratum").where(over(F.col)).groupBy("stratum", "plan").agg(F.count(F.lit(1)).alias("caught"))
+    rank = F.struct(F.coalesce("caught", F.lit(0)), F.coalesce(*RULES).isNotNull(), -F.col("place"))
+    best = plans.join(bad, ["stratum", "plan"], "left").groupBy("stratum").agg(F.max_by(F.struct(*RULES), rank).alias("x"))
+    return best.select("stratum", "x.*")
 
 
 def judge(counts: DataFrame, chosen: DataFrame) -> DataFrame:
     """Verdicts: kept unless a base rule fails or a value lies above its stratum's cutoff."""
-    over = F.lit(False)
-    for rule, (c, _) in RULES.items():
-        over = over | F.coalesce(F.col(c) / F.col("n_words") > F.col(rule), F.lit(False))
-    return counts.join(chosen, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over)
+    return counts.join(chosen, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~over(F.col))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), **columns: str) -> DataFrame:

@@ -54,3 +54,32 @@ def test_base_rules(spark):
     rows = [(1, "w " * 49), (2, " ".join(map(str, range(50)))), (3, "a b c " * 30), (4, " ".join(map(str, range(60))) + " x y z x y z")]
     out = {r.doc_id: r.base_failed for r in quality.quality_rules(spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, lang string"), spark.createDataFrame([], "doc_id long, quality int")).collect()}
     assert out == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_small_strata_get_cutoffs(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice("abcdefgh") * 3 + str(rng.randrange(10**6)) for _ in range(60))
+    rows = [(i, prose() if i % 11 else prose().replace(" ", " # ", 20), "de") for i in range(330)] + [(i, prose() + " $" * (i % 7), "fr") for i in range(1000, 1330)]
+    labels = [(i, int(lang == "fr" or i % 11 != 0)) for i, _, lang in rows]
+    # a language without labels takes no share of the error
+    rows += [(i, prose(), f"x{i}") for i in range(5000, 5010)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = quality.quality_rules(docs, spark.createDataFrame(labels, "doc_id long, quality int")).collect()
+    assert not any(r.kept for r in out if r.stratum == "de" and r.doc_id % 11 == 0)
+    for lang in ("de", "fr"):
+        good = [r for r in out if r.stratum == lang and (lang == "fr" or r.doc_id % 11)]
+        assert quality.admits(sum(not r.kept for r in good), len(good), 0.02, 0.05 / 2)
+    assert all(r.kept for r in out if r.stratum.startswith("x"))
+
+
+def test_chain_ends_at_first_failure():
+    import numpy as np
+
+    left = np.zeros(11, np.int64)
+    left[[4, 10]] = 30, 300
+    assert quality.walk(left, 10, 0.02, 0.0125) == 4
+    left[4] = 0
+    assert quality.walk(left, 10, 0.02, 0.0125) == 10
+    left[10] = 216
+    assert quality.walk(left, 10, 0.02, 0.0125) == 0
+    assert math.isclose(sum(quality.SHARES.values()), 1)
