@@ -4,9 +4,12 @@ Three base patterns find assignments, access keys and long hexadecimal runs; the
 are. Their values are also the labelled credentials from which formats are learned: a prefix tree of
 character classes is built per kind of label and its states are merged while their continuation
 frequencies are compatible (the Hoeffding test of ALERGIA), which leaves a small probabilistic
-automaton. Every other token of the text that is long enough is a candidate and is scored by its
-likelihood per character under the best automaton that accepts it, against that of ordinary tokens;
-those above the threshold become spans of kind ``format``.
+automaton. What the base spans leave of the runs of the labels' alphabet is scored by its likelihood per
+character under the best automaton that accepts it, against that of ordinary tokens; what is above the
+threshold becomes a span of kind ``format``. As a run may hold a key, a path or a full stop beside the
+value, everything in it that begins at its start or after a symbol and ends at its end or before one is
+scored, from the labels' least length on: single pieces and whole runs of any length, several pieces
+together up to the length of the longest label. Of overlapping ones the longest stays.
 
 Training reads a bounded sample: the ``MAX_LABELLED`` values of each kind, and as many ordinary
 tokens, that come first by hash. Everything else covers whole texts of all rows.
@@ -22,7 +25,8 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+import string
+from bisect import bisect_left, bisect_right
 from collections import Counter, deque
 from collections.abc import Callable
 from itertools import accumulate
@@ -37,6 +41,9 @@ ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 MIN_ASSIGN, MIN_ACCESS = 8, 16
+ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
+RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_ASSIGN},}}")
+SYMBOL = re.compile("[+/_.=-]")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MAX_LABELLED, MERGE_ERROR, THRESHOLD = 2000, 0.05, 0.5
 #: Log likelihood of a step that ordinary tokens never took.
@@ -63,6 +70,48 @@ def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[
     return [c for c in found if not (k := bisect_left(starts, c[2])) or reach[k - 1] <= c[1]]
 
 
+def free_runs(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
+    """What base spans leave of the runs of the labels' alphabet, where it is as long as a label."""
+    found, k, reach = [], 0, 0
+    for m in RUN.finditer(text):
+        at = max(m.start(), reach)
+        while k < len(taken) and taken[k][1] < m.end():
+            if taken[k][1] - at >= MIN_ASSIGN:
+                found.append((at, taken[k][1]))
+            reach = max(reach, taken[k][2])
+            at = max(at, reach)
+            k += 1
+        if m.end() - at >= MIN_ASSIGN:
+            found.append((at, m.end()))
+    return found
+
+
+def credentials(text: str, taken: list[tuple[int, int, int, str]], formats: Formats, threshold: float) -> list[tuple[int, int, int, str]]:
+    """Spans beside those of the base patterns that read like a learned format."""
+    if not formats.formats or not formats.may.search(text):
+        return []
+    found = {c[1:3] for c in candidates(text, taken) if formats.score(c[3]) > threshold}
+    for a, b in free_runs(text, taken):
+        if not formats.may.search(text, a, b):
+            continue
+        symbols = [m.start() for m in SYMBOL.finditer(text, a, b)]
+        ends = [*symbols, b]
+        for start in [a, *(x + 1 for x in symbols)]:
+            k = bisect_right(ends, start)
+            far = bisect_right(ends, start + formats.longest)
+            stops = ends[k : max(far, k + 1)] + ([b] if start == a and far < len(ends) else [])
+            lengths = sorted({x - start for x in stops if x - start >= MIN_ASSIGN})
+            if lengths:
+                value = text[start : start + lengths[-1]]
+                found |= {(start, start + n) for n, score in zip(lengths, formats.scores(value, lengths), strict=True) if score > threshold}
+    chosen: list[tuple[int, int]] = []
+    for span in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
+        k = bisect_left(chosen, span)
+        if (k == 0 or chosen[k - 1][1] <= span[0]) and (k == len(chosen) or span[1] <= chosen[k][0]):
+            chosen.insert(k, span)
+    return [(3, a, b, text[a:b]) for a, b in chosen]
+
+
 def classes(value: str) -> str:
     """Character classes: digits and lower-case hex letters x, other lower case l, upper case u; symbols are themselves."""
     return "".join("x" if c.isdigit() or c in "abcdef" else "l" if c.islower() else "u" if c.isupper() else c for c in value)
@@ -139,18 +188,27 @@ class Automaton:
             known = {self._state(r) for r in red}
             blue = deque(sorted({t for r in known for t in map(self._state, self.next[r].values())} - known))
         self.same = [self._state(s) for s in range(len(self.same))]
+        self.steps = [{c: math.log(n / counts.total()) for c, n in counts.items() if n} for counts in self.count]
 
     def states(self) -> int:
         return len({0} | {self.same[t] for s in set(self.same) for t in self.next[s].values()})
 
+    def log_likelihoods(self, seen: str, lengths: list[int], floor: float = -math.inf) -> list[float]:
+        """Natural log per symbol, the end included, of the beginnings of classes; a step that was never seen costs ``floor``."""
+        at, total, done, out = 0, 0.0, 0, []
+        for n in lengths:
+            for c in seen[done:n]:
+                steps = self.steps[at] if at is not None else {}
+                total += steps.get(c, floor)
+                if total == -math.inf:
+                    return out + [total] * (len(lengths) - len(out))
+                at = self.same[self.next[at][c]] if c in steps else None
+            done = n
+            out.append((total + (self.steps[at] if at is not None else {}).get(END, floor)) / (n + 1))
+        return out
+
     def log_likelihood(self, value: str, floor: float = -math.inf) -> float:
-        """Natural log per symbol, the end included; a step that was never seen costs ``floor``."""
-        at, total, seen = 0, 0.0, classes(value) + END
-        for c in seen:
-            counts = self.count[at] if at is not None else {}
-            total += math.log(counts[c] / counts.total()) if c in counts else floor
-            at = self.same[self.next[at][c]] if c in counts and c != END else None
-        return total / len(seen)
+        return self.log_likelihoods(classes(value), [len(value)], floor)[0]
 
 
 class Formats:
@@ -159,26 +217,37 @@ class Formats:
     def __init__(self, labelled: dict[int, list[str]], ordinary: list[str]):
         self.formats = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
         self.ordinary = Automaton(ordinary)
+        known = {c for f in self.formats.values() for steps in f.steps for c in steps}
+        # no format accepts a value with other symbols, so text without such a run needs no scoring
+        self.may = re.compile("[" + re.escape("".join(c for c in ALPHABET if classes(c) in known) or "-") + f"]{{{MIN_ASSIGN},}}")
+        self.longest = max((len(x) for v in labelled.values() for x in v), default=0)
+
+    def scores(self, value: str, lengths: list[int]) -> list[float]:
+        """Of the beginnings of ``value``: best log likelihood per symbol under a credential format, over that of ordinary tokens; minus infinity if no format accepts it."""
+        seen = classes(value)
+        best = [max(x) for x in zip(*(f.log_likelihoods(seen, lengths) for f in self.formats.values()), strict=True)] or [-math.inf] * len(lengths)
+        if max(best) == -math.inf:
+            return best
+        return [b - o if b > -math.inf else b for b, o in zip(best, self.ordinary.log_likelihoods(seen, lengths, UNSEEN), strict=True)]
 
     def score(self, value: str) -> float:
-        """Best log likelihood per symbol under a credential format, over that of ordinary tokens; minus infinity if no format accepts it."""
-        best = max((f.log_likelihood(value) for f in self.formats.values()), default=-math.inf)
-        return best - self.ordinary.log_likelihood(value, UNSEEN) if best > -math.inf else best
+        return self.scores(value, [len(value)])[0]
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and all base spans and candidates of every row."""
+def spans_of(docs: DataFrame, id_col: str, text_col: str, find: Callable[[str], list[tuple[int, int, int, str]]]) -> DataFrame:
+    """doc_id and the spans that ``find`` has of every row."""
 
     def batch(ids: list, texts: list) -> dict:
-        spans = []
-        for text in texts:
-            base = base_spans(text or "")
-            spans.append([dict(zip(("kind", "start", "stop", "value"), s, strict=True)) for s in base + candidates(text or "", base)])
-        return {"doc_id": ids, "spans": spans}
+        return {"doc_id": ids, "spans": [[dict(zip(("kind", "start", "stop", "value"), s, strict=True)) for s in find(text or "")] for text in texts]}
 
     return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col)), batch, f"doc_id long, spans {SPANS}")
 
 
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and the base spans of every row."""
+    return spans_of(docs, id_col, text_col, base_spans)
+
+
 def ordinary_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Tokens of letters alone, as long as candidates or at least ten characters, for the contrast."""
     return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![\p{L}\d])[A-Za-z]{10,}(?![\p{L}\d])"), F.lit(0))).alias("value"))
@@ -194,19 +263,16 @@ def learn(scanned: DataFrame, docs: DataFrame, text_col: str = "text", most: int
     return Formats(labelled, [r.value for r in plain.collect()])
 
 
-def score_spans(scanned: DataFrame, formats: Formats, threshold: float = THRESHOLD) -> DataFrame:
-    """Keep base spans and the candidates that read like a learned format."""
-
-    def batch(ids: list, spans: list) -> dict:
-        return {"doc_id": ids, "spans": [sorted((s for s in found or [] if s["kind"] < 3 or formats.score(s["value"]) > threshold), key=lambda s: (s["start"], s["kind"])) for found in spans]}
-
-    return map_texts(scanned.select("doc_id", "spans"), batch, f"doc_id long, spans {SPANS}")
+def all_spans(text: str, formats: Formats, threshold: float = THRESHOLD) -> list[tuple[int, int, int, str]]:
+    """Base spans and what else reads like a learned format."""
+    base = base_spans(text)
+    return sorted(base + credentials(text, base, formats, threshold), key=lambda s: (s[1], s[0]))
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and spans (kind as an index of KINDS, start, stop, value), one row per row of ``docs``."""
-    scanned = checkpoint(scan(docs, id_col, text_col))
-    return score_spans(scanned, learn(scanned, docs, text_col), threshold)
+    formats = learn(checkpoint(scan(docs, id_col, text_col)), docs, text_col)
+    return spans_of(docs, id_col, text_col, lambda text: all_spans(text, formats, threshold))
 
 
 def spelled(spans: list[dict]) -> str:
@@ -232,10 +298,8 @@ def redact(docs: DataFrame, formats: Formats, text_col: str = "text", threshold:
     def clean(text: str | None) -> str | None:
         if not text:
             return text
-        base = base_spans(text)
-        more = [c for c in candidates(text, base) if formats.score(c[3]) > threshold]
         out, done = [], 0
-        for kind, _, stop, value in sorted(base + more, key=lambda s: (s[1], s[0])):
+        for kind, _, stop, value in all_spans(text, formats, threshold):
             start = max(done, stop - len(value))
             if start < stop:
                 out += [text[done:start], mark(KINDS[kind])]

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from spanweave.llm import secrets
 
@@ -73,3 +74,36 @@ def test_digests_and_redaction(spark):
     clean = {r.doc_id: r.text for r in secrets.redact(docs, formats).collect()}
     assert clean[0] == "before token = [assign] after plain words only" and clean[900] is None and clean[901] == "plain"
     assert clean[1].startswith("before token = [assign] after loose ") and not re.search("[0-9a-f]{18}", clean[1])
+
+
+def test_values_inside_runs_and_short_ones():
+    rng = random.Random(5)
+    hexa, upper = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    labelled = [key(rng, 20, hexa) for _ in range(300)] + [key(rng, 10, hexa) for _ in range(300)]
+    dotted = [key(rng, 6, upper) + "." + key(rng, 8, upper) for _ in range(500)]
+    words = ["".join(rng.choice("bcdfghklmnprst") + rng.choice("aeiou") for _ in range(rng.randrange(5, 10))) for _ in range(1000)]
+    formats = secrets.Formats({0: labelled, 1: dotted}, words)
+    a, b, c, stem = key(rng, 20, hexa), key(rng, 10, hexa), dotted[0], key(rng, 40, hexa)
+    found = lambda t: [s[3] for s in secrets.all_spans(t, formats) if s[0] == 3]
+    for text, want in {
+        f"AUTH_KEY={a} x": [a],
+        f"see org/a/{a}.": [a],
+        f"of {b} and {c}, {words[0]}": [b, c],
+        f"KEY={c}.": [c],
+        f"x_{a}-y_{b}/z": [a, b],
+        f"{stem}/{a}": [a],
+        f"{a}/token={b}": [a],
+        f"my_secret_token: {a}/{b}": [],
+        f"{words[1]}/{words[2]}.{words[3]}={words[4]}": [],
+    }.items():
+        assert found(text) == want, text
+
+
+def test_long_runs_take_time_in_proportion():
+    rng = random.Random(6)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789/+"
+    formats = secrets.Formats({0: [key(rng, rng.randrange(8, 41), alphabet) for _ in range(500)]}, ["ordinary", "longerwords"])
+    for text in ("a/" * 50_000, "Ab9/" * 25_000, "token=abcdefgh12/" * 5_000, "x" * 100_000):
+        began = time.time()
+        secrets.all_spans(text, formats)
+        assert time.time() - began < 20
