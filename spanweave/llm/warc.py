@@ -8,7 +8,10 @@ tasks do no harm.
 
 The reader checks each member and record (gzip trailer, framing, length, block digest). After a failed
 check it searches for the next valid member or version line, goes on from there, and logs the bytes
-between as a quarantined gap. Compressed and plain archives and mixtures of both are read.
+between as a quarantined gap. Inside a member it goes on at the next version line too and logs the gap by
+offset within the member's content. Of a damaged member, what can be inflated is read; there only records
+whose digest is right count, as the trailer vouches for nothing. Compressed and plain archives and mixtures
+of both are read.
 
 Defined results: a null page is an empty payload; a null page_id is larger than all others and never
 referred to while another has the payload; repeated rows each have their record, of one smallest
@@ -36,8 +39,10 @@ ROLL_BYTES = 16 << 20
 LAST = (1 << 63) - 1
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+CHUNK = 1 << 16
 MAGIC = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
 RECORDS = "file string, start long, stop long, problem string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
@@ -65,8 +70,8 @@ def member(raw: bytes) -> bytes:
     return z.compress(raw) + z.flush()
 
 
-def parse_record(data: bytes, at: int) -> tuple[int, dict | None, str]:
-    """The record at ``at``: its end, its parts, or what is wrong with it."""
+def parse_record(data: bytes, at: int, digest: bool = False) -> tuple[int, dict | None, str]:
+    """The record at ``at``: its end, its parts, or what is wrong with it; with ``digest``, having none is wrong."""
     head = HEAD.match(data, at)
     if head is None:
         return at, None, "no header"
@@ -81,8 +86,10 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict | None, str]:
     if data[stop : stop + 4] != b"\r\n\r\n":
         return at, None, "wrong length"
     block = data[head.end() : stop]
-    if (said := fields.get("warc-block-digest")) and said.lower().startswith("sha1:") and said[5:] != base32_sha1(block):
-        return at, None, "wrong block digest"
+    if (said := fields.get("warc-block-digest", "")).lower().startswith("sha1:"):
+        if said[5:] != base32_sha1(block):
+            return at, None, "wrong block digest"
+        digest = False
     http, _, payload = block.partition(b"\r\n\r\n") if fields.get("content-type", "").startswith("application/http") else (b"", b"", block)
     found = {"record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"), "refers_to": fields.get("warc-refers-to"), "target_uri": fields.get("warc-target-uri")}
     said = fields.get("warc-payload-digest", "")
@@ -91,67 +98,112 @@ def parse_record(data: bytes, at: int) -> tuple[int, dict | None, str]:
         found |= {"payload": None, "payload_bytes": int(length[1]) if length else None, "payload_digest": said[5:] or None}
     else:
         found |= {"payload": payload, "payload_bytes": len(payload), "payload_digest": base32_sha1(payload)}
-        if said.lower().startswith("sha1:") and said[5:] != found["payload_digest"]:
-            return at, None, "wrong payload digest"
+        if said.lower().startswith("sha1:"):
+            if said[5:] != found["payload_digest"]:
+                return at, None, "wrong payload digest"
+            digest = False
+    if digest:
+        return at, None, "no digest in a damaged member"
     return stop + 4, found, ""
 
 
-def inflate(data: bytes, at: int) -> tuple[int, bytes | None]:
-    """The gzip member at ``at``: its end and content, or nothing if it is damaged."""
-    z, out, view = zlib.decompressobj(31), [], memoryview(data)
+def inflate(data: bytes, start: int) -> tuple[int, bytes, bool]:
+    """The gzip member at ``start``: its end, its content and whether it is sound; of a damaged one where inflating ends and what comes before."""
+    z, out, view, at = zlib.decompressobj(31), [], memoryview(data), start
     try:
         while not z.eof and at < len(data):
-            out.append(z.decompress(view[at : at + (1 << 16)]))
-            at += min(1 << 16, len(data) - at)
+            out.append(z.decompress(view[at : at + CHUNK]))
+            at += min(CHUNK, len(data) - at)
     except zlib.error:
-        return at, None
-    return (at - len(z.unused_data), b"".join(out)) if z.eof else (at, None)
+        # the chunk's content before the error is lost with it, so it is read again by single bytes
+        z = zlib.decompressobj(31)
+        for k in range(start, at, CHUNK):
+            z.decompress(view[k : k + CHUNK])
+        try:
+            while True:
+                out.append(z.decompress(view[at : at + 1]))
+                at += 1
+        except zlib.error:
+            return at, b"".join(out), False
+    return (at - len(z.unused_data) if z.eof else at), b"".join(out), z.eof
+
+
+def inflated_from(data: bytes, start: int, length: int) -> int:
+    """The end of the bytes that the first ``length`` bytes of a member's content are inflated from."""
+    z, view, at, n, step = zlib.decompressobj(31), memoryview(data), start, 0, CHUNK
+    while n < length:
+        before = z.copy() if step > 1 else z
+        try:
+            got = len(z.decompress(view[at : at + step]))
+        except zlib.error:  # what is wrong comes after these bytes
+            got = length
+        if step > 1 and n + got >= length:
+            z, step = before, 1
+        else:
+            n, at = n + got, at + step
+    return at
+
 
+def member_records(content: bytes, sound: bool = True) -> tuple[list[dict], int]:
+    """The records of a member's content and its gaps, ``problem`` set, and the end of the last record."""
+    found, at, last, why = [], 0, 0, ""
+
+    def lost(stop: int) -> list[dict]:
+        return [{"problem": f"{why}, bytes {last} to {stop} of the member's content"}] if stop > last else []
 
-def member_records(content: bytes) -> tuple[list[dict], str]:
-    """The records of a member up to the first that fails, and why that failed."""
-    found, at = [], 0
     while at < len(content):
-        at, parts, problem = parse_record(content, at)
+        stop, parts, problem = parse_record(content, at, not sound)
         if parts is None:
-            return found, problem
-        found.append(parts)
-    return found, ""
+            why = why or problem
+            following = VERSION.search(content, at + 1)
+            at = following.start() if following else len(content)
+            continue
+        found += [*lost(at), {"problem": None} | parts]
+        at, last, why = stop, stop, ""
+    return (found + lost(at) if sound else found), last
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Every valid record of an archive with its byte range, and a gap (``problem`` set) for every range given up."""
+    """Every valid record of an archive with its byte range, and a gap (``problem`` set) for every range given up or read in part."""
     at, gap, why = 0, None, ""
+    held: list[dict] = []  # what a damaged member at ``gap`` still gives; its range ends where the next sound part begins
+
+    def close(stop: int) -> Iterator[dict]:
+        yield from ({"start": gap, "stop": stop} | r for r in [*held, {"problem": why}])
+
     while at < len(data):
         rows: list[dict] = []
-        stop, problem = at, "no record"
+        stop, problem, onward = at, "no record", at + 1
         if data.startswith(MAGIC, at):
-            end, content = inflate(data, at)
-            if content is None:
-                problem = "damaged member"
-            else:
-                # a sound member ends where it says, so what fails inside costs no later one
-                rows, problem = member_records(content)
+            end, content, sound = inflate(data, at)
+            rows, last = member_records(content, sound)
+            if sound:
                 stop = end
+            else:
+                problem = "damaged member"
+                if rows:
+                    if gap is not None:
+                        yield from close(at)
+                    # bytes that right records are inflated from hold no other member
+                    gap, held, why = at, rows, f"{problem}, lost from byte {last} of its content"
+                    onward = max(onward, inflated_from(data, at, last))
         elif data.startswith(b"WARC/", at):
             end, parts, problem = parse_record(data, at)
             if parts is not None:
-                rows, stop = [parts], end
+                rows, stop = [{"problem": None} | parts], end
         if stop == at:
             gap, why = (at, problem) if gap is None else (gap, why)
-            following = START.search(data, at + 1)
+            following = START.search(data, onward)
             at = following.start() if following else len(data)
             continue
         if gap is not None:
-            yield {"start": gap, "stop": at, "problem": why}
-            gap = None
+            yield from close(at)
+            gap, held = None, []
         for r in rows:
-            yield {"start": at, "stop": stop, "problem": None} | r
-        if problem:
-            yield {"start": at, "stop": stop, "problem": problem}
+            yield {"start": at, "stop": stop} | r
         at = stop
     if gap is not None:
-        yield {"start": gap, "stop": len(data), "problem": why}
+        yield from close(len(data))
 
 
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:

@@ -70,3 +70,44 @@ def test_reader_logs_gaps(spark, tmp_path):
     assert [(r.start, r.stop) for r in log] == [(len(raw[0]), len(raw[0]) + 4), (len(raw[0]) + 4 + len(raw[1]), len(raw[0]) + 44 + len(raw[1]))]
     one = found.where("record_id = '<urn:page:3>'").first()
     assert warc.base32_sha1(bytes(one.payload)) == one.payload_digest and hashlib.sha1(one.payload).digest()
+
+
+def test_damage_inside_a_member_costs_only_what_it_hits():
+    rng = random.Random(11)
+    name = "<urn:page:{}>".format
+    for trial in range(20):
+        raw = records(12, trial)
+        k = rng.randrange(12)
+        # one record is damaged before the archive is compressed as one member
+        broken = bytearray(raw[k])
+        broken[rng.randrange(len(broken) - 300, len(broken) - 6)] ^= 0x55
+        one = warc.member(b"".join(bytes(broken) if i == k else r for i, r in enumerate(raw)))
+        rows = list(warc.salvage(one + warc.member(raw[0])))
+        assert ids(rows) == [name(i) for i in range(12) if i != k] + [name(0)]
+        before = sum(map(len, raw[:k]))
+        assert [r["problem"].partition(", ")[2] for r in rows if r["problem"]] == [f"bytes {before} to {before + len(raw[k])} of the member's content"]
+        # the member itself is cut or has a bad byte; a sound one follows
+        one = warc.member(b"".join(raw))
+        at = rng.randrange(len(one) // 3, len(one) - 9)
+        for bad in (one[:at], one[:at] + bytes([one[at] ^ 0x55]) + one[at + 1 :]):
+            z = warc.zlib.decompressobj(31)
+            whole = len(z.decompress(one[: at - 600])) if at > 600 else 0
+            safe = [i for i in range(12) if sum(map(len, raw[: i + 1])) <= whole]
+            rows = list(warc.salvage(b"junk" + bad + warc.member(warc.record(99, "http://x/99", b"z", None))))
+            assert set(ids(rows)) >= {name(i) for i in safe} | {name(99)} and len(ids(rows)) == len(set(ids(rows)))
+            assert any(r["problem"] for r in rows)
+            spans = sorted({(r["start"], r["stop"]) for r in rows})
+            assert spans[0][0] == 0 and all(a[1] == b[0] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_stored_records_of_a_damaged_member_are_read_once():
+    raw = records(5)
+    z = warc.zlib.compressobj(0, warc.zlib.DEFLATED, 31)
+    one = z.compress(b"".join(raw)) + z.flush()
+    assert ids(warc.salvage(one[:-8] + b"\0" * 8)) == [f"<urn:page:{i}>" for i in range(5)]
+
+
+def test_member_cut_after_its_last_record():
+    for n in range(1, 14):
+        rows = list(warc.salvage(warc.member(records(1)[0])[:-n] + warc.member(warc.record(99, "http://x/99", b"z", None))))
+        assert ids(rows)[-1] == "<urn:page:99>" and (n > 9 or len(ids(rows)) == 2)
