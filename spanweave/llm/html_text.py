@@ -3,10 +3,10 @@
 Markup is read into a tree: void elements hold nothing, raw-text elements end at their own end tag,
 end tags that the standard lets authors leave out (``p``, ``li``, ``dt``, ``dd``, ``option``, table
 parts) are implied, stray end tags are dropped. The tree is then rendered: elements that browsers do
-not show, by name, by the ``hidden`` attribute or by an inline ``display: none`` or
-``visibility: hidden``, are left out; blocks stand on lines of their own, headings and paragraphs with
+not show, by name, by the ``hidden`` attribute or by an inline ``display: none``, are left out; an inline
+``visibility: hidden`` leaves out text but not descendants made visible again; blocks stand on lines of their own, headings and paragraphs with
 a blank line around; list items carry their mark and indentation; the cells of a table are aligned in
-columns; preformatted text keeps its white space; elsewhere white space collapses.
+columns, also below cells of several rows; preformatted text keeps its white space; elsewhere white space collapses.
 
 Defined results: a null or empty page has an empty text; markup that never closes runs to the end of
 the page; nesting of any depth is rendered without recursion limits; repeated rows each return their
@@ -25,7 +25,9 @@ from .common import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg math datalist audio video canvas noembed noframes title meta link".split())
+HIDDEN = frozenset("head script style template noscript iframe datalist audio video canvas noembed noframes title meta link".split())
+#: Elements of foreign content that are not shown where they stand.
+UNSHOWN = {"svg": frozenset("title desc defs metadata".split()), "math": frozenset("annotation annotation-xml".split())}
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure hr dl".split())
 BLOCK = APART | frozenset("html body div section article aside header footer nav main address form fieldset ul ol li dt dd figcaption details summary tr caption thead tbody tfoot center option select".split())
 #: Start tag -> the open elements whose end it implies, and the elements that it does not look beyond.
@@ -41,9 +43,11 @@ IMPLIED = {
     **{x: (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), TABLE) for x in ("thead", "tbody", "tfoot")},
     **{x: (frozenset(["p"]), frozenset(["button", "td", "th", "table", "object"])) for x in (APART | BLOCK) - frozenset("html body li dt dd tr caption thead tbody tfoot option select summary figcaption".split())},
 }
-PARSED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-UNSEEN = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+PARSED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)*+)(?:>|\Z)|([^<]+|<)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
+CLOSED = re.compile(r"""(?:^|[\s"']|\s[^\s="']+)/\Z""")
+UNSEEN = re.compile(r"display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -104,6 +108,8 @@ def parse(html: str) -> Node:
                     close(to)
             node = Node(name, attributes(m[3]) if m[3].strip(" /\n\t\r\f") else {})
             stack[-1].children.append(node)
+            if (open_names.get("svg") or open_names.get("math") or name in UNSHOWN) and CLOSED.search(m[3]):
+                continue
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
                 stop_at = end.start() if end else len(html)
@@ -122,6 +128,12 @@ def shown(node: Node) -> bool:
     return not ("style" in node.attrs and UNSEEN.search(node.attrs["style"]))
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether the element's own text is visible: the last inline declaration, or else what its parent has."""
+    said = VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else []
+    return said[-1].lower() in ("visible", "initial") if said else inherited
+
+
 class Page:
     """Lines under construction: pending blank lines, the line's prefix and whether a space is due."""
 
@@ -183,13 +195,14 @@ def aligned(rows: list[list[str]]) -> list[str]:
 def rendered(root: Node) -> str:
     """The visible text of a tree; a work list instead of recursion, as pages nest at will."""
     page = Page()
-    # each step: (what, node or text, page, extra)
-    work: list[tuple] = [("node", root, page, False)]
+    # each step: (what, node or text, page, extra); extra of nodes and texts: white space stays, visible, what the foreign content around does not show
+    work: list[tuple] = [("node", root, page, (False, True, frozenset()))]
     counters: list[list] = []
     while work:
         what, x, page, extra = work.pop()
         if what == "text":
-            page.text(x, extra)
+            if extra[1]:
+                page.text(x, extra[0])
         elif what == "end":
             page.end(blank=x.name in APART)
             if extra is not None:
@@ -204,16 +217,17 @@ def rendered(root: Node) -> str:
                     page.add(line)
                     page.end()
             page.end(blank=True)
-        elif shown(x):
-            keep = extra or x.name in ("pre", "textarea")
+        elif shown(x) and x.name not in extra[2]:
+            inner = (extra[0] or x.name in ("pre", "textarea"), visible(x, extra[1]), UNSHOWN.get(x.name, extra[2]) if x.name != "foreignobject" else frozenset())
             if x.name == "br":
                 page.end(force=True)
             elif x.name == "hr":
                 page.end(blank=True)
             elif x.name == "img":
-                page.text(x.attrs.get("alt", ""), False)
+                if inner[1]:
+                    page.text(x.attrs.get("alt", ""), False)
             elif x.name == "table":
-                _table(x, page, work)
+                _table(x, page, work, inner[1])
             else:
                 before = None
                 if x.name in BLOCK:
@@ -230,36 +244,53 @@ def rendered(root: Node) -> str:
                     start = x.attrs.get("start", "1")
                     counters.append([x.name, int(start) - 1 if re.fullmatch(r"-?[0-9]{1,9}", start) else 0])
                 for child in reversed(x.children):
-                    work.append(("text", child, page, keep) if isinstance(child, str) else ("node", child, page, keep))
+                    work.append(("text" if isinstance(child, str) else "node", child, page, inner))
     return page.result()
 
 
-def _table(table: Node, page: Page, work: list[tuple]) -> None:
+def _span(raw: str, most: int) -> int:
+    return min(int(raw), most) if re.fullmatch("[0-9]{1,9}", raw) else 1
+
+
+def _table(table: Node, page: Page, work: list[tuple], seen: bool) -> None:
     """Plan a table: its caption, then its cells, each on a page of its own, then their alignment."""
     rows: list[list[Page]] = []
     plan: list[tuple] = []
-    todo = list(reversed(table.children))
+    # column -> rows that cells above still reach into, and the columns of this row that they take
+    below: dict[int, int] = {}
+    covered: frozenset[int] = frozenset()
+    todo = [(c, seen) for c in reversed(table.children)]
     while todo:
-        x = todo.pop()
+        x, seen = todo.pop()
         if isinstance(x, str):
             if x.strip(" \t\n\f\r"):
-                plan.append(("text", x, page, False))
-        elif not shown(x):
+                plan.append(("text", x, page, (False, seen, frozenset())))
+            continue
+        if not shown(x):
             continue
-        elif x.name in ("td", "th"):
+        inner = (False, visible(x, seen), frozenset())
+        if x.name in ("td", "th"):
             if not rows:
                 rows.append([])
-            cell = Page()
-            rows[-1].append(cell)
-            plan += [("text", c, cell, False) if isinstance(c, str) else ("node", c, cell, False) for c in x.children]
-            span = x.attrs.get("colspan", "1")
-            rows[-1] += [Page() for _ in range(min(int(span), 1000) - 1)] if re.fullmatch("[0-9]{1,4}", span) and int(span) else []
+            row, cell = rows[-1], Page()
+            while len(row) in covered:
+                row.append(Page())
+            start = len(row)
+            row.append(cell)
+            plan += [("text" if isinstance(c, str) else "node", c, cell, inner) for c in x.children]
+            row += [Page() for _ in range(_span(x.attrs.get("colspan", "1"), 1000) - 1)]
+            down = _span(x.attrs.get("rowspan", "1"), 65_534) or 65_534  # 0: to the end of the row group
+            if down > 1:
+                below |= dict.fromkeys(range(start, len(row)), down - 1)
         elif x.name in ("tr", "thead", "tbody", "tfoot"):
             if x.name == "tr":
                 rows.append([])
-            todo += reversed(x.children)
+                covered, below = frozenset(below), {c: n - 1 for c, n in below.items() if n > 1}
+            else:
+                below = {}
+            todo += [(c, inner[1]) for c in reversed(x.children)]
         elif x.name not in ("col", "colgroup"):
-            plan.append(("node", x, page, False))
+            plan.append(("node", x, page, (False, seen, frozenset())))
     work.append(("table", table, page, rows))
     work.extend(reversed(plan))
     page.end(blank=True)

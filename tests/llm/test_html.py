@@ -60,3 +60,31 @@ def test_bad_markup_ends_in_time():
 def test_extract(spark):
     df = spark.createDataFrame([(1, "<p>a"), (2, None)], "page_id long, html string")
     assert {r.page_id: r.text for r in extract(df).collect()} == {1: "a", 2: ""}
+
+
+SHOWN = {
+    "a <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>TeX</annotation></math> b": "a x=2 b",
+    "<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><metadata>no</metadata><text>yes</text></svg>": "yes",
+    "<svg><defs/><title/><path d='M0'/><text>yes</text></svg> on": "yes on",
+    "<object data=x.swf><param name=a>fallback</object>": "fallback",
+    "<div style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</div>": "yes",
+    "<div style='display:none'><b style='visibility:visible'>no</b></div>yes": "yes",
+    "<table style='visibility:hidden'><tr><td>no<td style='visibility:visible'>yes</table>": "  yes",
+    "<p title=don't>Hello it's fine</p>": "Hello it's fine",
+    "<p title=x'hidden'>shown</p>": "shown",
+    "<p title = 'a>b' class=\"c>d\">q</p>": "q",
+    "<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>": "a  b\n   c\nd  e",
+    "<table><tr><td>a<td rowspan=0 colspan=2>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g</table>": "a  b    c\nd       e\nf  g",
+}
+
+
+@pytest.mark.parametrize("html", SHOWN)
+def test_shown_text_stays(html):
+    assert visible_text(html) == SHOWN[html]
+
+
+def test_bad_attributes_end_in_time():
+    for bad in ["<a b=" * 50_000, "<a b='" * 30_001, '<p x="' * 30_001 + ">", "<p " + "=" * 100_000, "<p a" + " " * 100_000]:
+        began = time.time()
+        visible_text(bad)
+        assert time.time() - began < 20
