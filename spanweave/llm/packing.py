@@ -6,7 +6,8 @@ to three lengths that fill a sequence exactly are enumerated, their repeat count
 histogram by non-negative least squares and rounded down, and what is left is packed best-fit
 decreasing, on counts too. The resulting layout says where the r-th piece of each length goes; pieces
 get their rank by windows over (length, salt) plus the counts of lower salts, so no length, however
-common, is gathered in one task.
+common, is gathered in one task. At most some 350,000 patterns exist for 2,048 tokens, so all are
+enumerated, once per corpus.
 
 Defined results: a null text is an empty one (the end id alone); the length of a piece is at least
 one; repeated rows are packed once each; an empty table gives an empty result; further columns are
@@ -38,8 +39,8 @@ SEQUENCE, END_ID = 2048, 0
 SALT_ROWS = 20_000
 #: Words met once, and met again, whose ids a worker remembers; it starts afresh beyond.
 CACHED_WORDS = 300_000
-#: Steps of the least-squares fit; grid of lengths that three-document patterns start from.
-FIT_STEPS, TRIPLE_LENGTHS = 300, 160
+#: Steps of the least-squares fit.
+FIT_STEPS = 300
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,6 +49,22 @@ PLAIN = re.compile("[a-zß-öø-ÿ]+")
 TAIL = re.compile("(?<=[a-zß-öø-ÿ])(?=[!-/:-@\\[-`{-~])")
 
 
+#: The rule by which the vocabulary parts texts into words; what is below relies on it.
+WORD_RULE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def refuse_other_vocabularies(path: str, spec: dict) -> None:
+    """Raise unless the vocabulary is lower-cased BPE with an end-of-word mark, parted by ``WORD_RULE``."""
+    model, normal, first = spec["model"], spec["normalizer"] or {}, (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+    plain = not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "byte_fallback", "ignore_merges"))
+    if model["type"] != "BPE" or model.get("end_of_word_suffix") != "</w>" or not plain:
+        raise ValueError(f"{path}: only BPE with the end-of-word mark </w> is supported")
+    if [n["type"] for n in normal.get("normalizers", ())] != ["NFC", "Replace", "Lowercase"]:
+        raise ValueError(f"{path}: only texts brought to NFC, white space to spaces and lower case are supported")
+    if [p.get("type") for p in first] != ["Split", "ByteLevel"] or first[0]["pattern"] != {"Regex": WORD_RULE}:
+        raise ValueError(f"{path}: only words parted by {WORD_RULE} are supported")
+
+
 class WordEncoder:
     """Ids of texts for a vocabulary whose merges end at white space, as little-endian unsigned 32-bit bytes.
 
@@ -63,6 +80,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # lower-case letters need neither the normaliser nor the pattern
         light = json.loads(self.tokenizer.to_str())
+        refuse_other_vocabularies(path, light)
         stages = [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": False, "use_regex": False}]
         self.plain = Tokenizer.from_str(json.dumps(light | {"normalizer": None, "added_tokens": [], "pre_tokenizer": {"type": "Sequence", "pretokenizers": stages}}))
         self.words: dict[str, bytes] = {}
@@ -152,9 +170,8 @@ def patterns(counts: np.ndarray) -> np.ndarray:
     full = len(counts) - 1
     there = np.flatnonzero(counts)
     two = np.array([(full - a, a, 0) for a in there if 2 * a <= full and counts[full - a]], np.int64).reshape(-1, 3)
-    few = np.unique(there[np.linspace(0, len(there) - 1, TRIPLE_LENGTHS).astype(np.int64)]) if len(there) > TRIPLE_LENGTHS else there
     three = []
-    for a in few.tolist():
+    for a in there.tolist():
         b = there[(there >= a) & (full - a - there >= there)]
         b = b[counts[full - a - b] > 0]
         three.append(np.c_[full - a - b, b, np.full(len(b), a)])
@@ -164,9 +181,14 @@ def patterns(counts: np.ndarray) -> np.ndarray:
 
 def fit(counts: np.ndarray, pats: np.ndarray) -> np.ndarray:
     """Repeat counts x >= 0 that bring pattern use close to the histogram: min |A x - counts|², by accelerated projected gradient."""
-    n = len(counts)
-    use = lambda x: np.bincount(pats.ravel(), np.repeat(x, 3), minlength=n) * (np.arange(n) > 0)
-    back = lambda r: r[pats].sum(axis=1)
+    n, parts = len(counts), [np.ascontiguousarray(pats[:, k]) for k in range(3)]
+
+    def use(x: np.ndarray) -> np.ndarray:
+        out = sum(np.bincount(p, x, minlength=n) for p in parts)
+        out[0] = 0  # no length at all
+        return out
+
+    back = lambda r: sum(r[p] for p in parts)
     goal = counts.astype(float)
     v = np.ones(len(pats))
     for _ in range(20):  # the largest eigenvalue of A'A gives the step

@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import defaultdict
@@ -70,3 +71,21 @@ def test_pack(spark, library):
             assert at == end
             end += n
         assert end <= 2048
+
+
+def test_all_triples_are_patterns():
+    rng = np.random.default_rng(1)
+    counts = np.bincount(rng.integers(1, 61, 500), minlength=61)
+    there = [n for n in range(1, 61) if counts[n]]
+    want = {tuple(sorted((a, b, c))) for a in there for b in there for c in there if a + b + c == 60} | {(0, *sorted((a, b))) for a in there for b in there if a + b == 60} | ({(0, 0, 60)} if counts[60] else set())
+    assert {tuple(sorted(p)) for p in packing.patterns(counts).tolist()} == want
+    full = np.ones(2049, int)
+    assert len(packing.patterns(full)) > 349_000
+
+
+def test_other_vocabularies_are_refused(tmp_path):
+    spec = json.loads(Tokenizer.from_file(PATH).to_str())
+    for change in ({"model": spec["model"] | {"end_of_word_suffix": "@"}}, {"normalizer": None}, {"pre_tokenizer": {"type": "Whitespace"}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError, match="supported"):
+            packing.WordEncoder(str(tmp_path / "v.json"))
