@@ -2,11 +2,16 @@
 
 The model's pieces, scores and byte pieces are read once per worker. A text is normalised as the
 model says (dummy prefix, spaces as U+2581) and cut into words where no merge can cross: no piece
-holds the mark after another character. The distinct words of a batch lie in one flat array of
-symbols; each round finds every word's best pair (highest score, then leftmost), merges it in all
-words at once and compacts the array, until no pair is left. That is the library's order of merges,
-since merges of one word never depend on another. Words of more than ``LONG_WORD`` characters take
-the same merges one at a time from a heap, as rounds over them would grow with the square.
+holds the mark after another character. Words are cut further into segments between two characters that
+no piece has next to each other, so that texts without spaces come in short parts, too. The distinct
+words of a batch lie in one flat array of symbols; each round finds every segment's best rank (highest
+score), merges all pairs of that rank from the left, in all segments at once, and compacts the array,
+until no pair is left.
+
+That is the library's order of merges: it takes the best pair first, of equals the leftmost. Merging all
+pairs of one rank at once differs from that only if a merge makes a pair of the same rank or a better
+one; in a segment where that would happen the round takes the leftmost pair alone. Rounds are thus
+bounded by the ranks that occur, not by the length of the longest word.
 
 Defined results: a null text is an empty one, encoded as the end id alone and decoded to an empty
 text; repeated rows each return their row; an empty table gives an empty result; further columns are
@@ -17,7 +22,6 @@ user-defined pieces; others are refused.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from functools import lru_cache
 from itertools import chain
@@ -29,10 +33,12 @@ from pyspark.sql import functions as F
 from .common import map_texts
 
 SPACE = "▁"
-LONG_WORD = 256
-#: Words whose ids a worker remembers; it starts afresh beyond.
-CACHED_WORDS = 600_000
+#: Words, and characters in them, whose ids a worker remembers; it starts afresh beyond.
+CACHED_WORDS, CACHED_CHARACTERS = 600_000, 16_000_000
+#: Texts whose new words are merged together.
+LEARNT_TEXTS = 256
 WORD = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+SLOT_BITS = 20
 FAR = np.iinfo(np.int64).max
 
 
@@ -71,85 +77,102 @@ class Codec:
         self._pairs()
         #: Ids as 32-bit integers, which take a third of the room of Python's.
         self.words: dict[str, bytes] = {}
+        self.characters = 0
 
     def _pairs(self) -> None:
-        """The sorted pairs of pieces that make a piece, for lookup by binary search."""
+        """The sorted pairs of pieces that make a piece, and of characters next to each other in a piece, sorted for lookup."""
+        self.neighbours = np.array(sorted({ord(x) << 21 | ord(y) for piece in self.ids for x, y in zip(piece, piece[1:], strict=False)} | {-1}), np.int64)
         made = [(a * self.size + b, i) for piece, i in self.ids.items() for k in range(1, len(piece)) if (a := self.ids.get(piece[:k])) is not None and (b := self.ids.get(piece[k:])) is not None]
-        made.sort()
-        self.pair_keys = np.array([k for k, _ in made], np.int64)
-        self.pair_ids = np.array([i for _, i in made], np.int64)
+        made.append((-2, -1))  # no pair, so that there is one
+        keys, ids = np.array([k for k, _ in made], np.int64), np.array([i for _, i in made], np.int64)
+        slot = self._slot(keys)
+        order = np.argsort(slot, kind="stable")
+        #: Pairs by slot, and where each slot's begin; a slot has few.
+        self.pair_keys, self.pair_ids = keys[order], ids[order]
+        self.begins = np.searchsorted(slot[order], np.arange((1 << SLOT_BITS) + 1)).astype(np.int32)
+        self.most = int(np.diff(self.begins).max())
+
+    @staticmethod
+    def _slot(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - SLOT_BITS)).view(np.int64)
 
     def _made(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The piece of each pair, -1 where there is none."""
-        key = np.where((left < self.size) & (right < self.size), left * self.size + right, -1)
-        at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
-        return np.where(self.pair_keys[at] == key, self.pair_ids[at], -1)
-
-    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Flat symbols and each one's word."""
+        key = left * self.size + right
+        key[(left >= self.size) | (right >= self.size)] = -1
+        at, out, last = self.begins[self._slot(key)], np.full(len(key), -1), len(self.pair_keys) - 1
+        for k in range(self.most):
+            here = np.minimum(at + k, last)
+            np.copyto(out, self.pair_ids[here], where=self.pair_keys[here] == key)
+        return out
+
+    def _symbols(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Flat symbols, each one's segment, and each segment's word."""
         points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
         kinds, which = np.unique(points, return_inverse=True)
         known = np.array([self.ids.get(chr(c), self.size + c) for c in kinds.tolist()], np.int64)
-        return known[which], np.repeat(np.arange(len(words)), [len(w) for w in words])
+        word = np.repeat(np.arange(len(words)), [len(w) for w in words])
+        pair = points[:-1] << 21 | points[1:]
+        found = self.neighbours[np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)] == pair
+        starts = np.r_[True, ~found | (word[1:] != word[:-1])][: len(points)]
+        return known[which], np.cumsum(starts) - 1, word[starts]
+
+    def _rank(self, piece: np.ndarray) -> np.ndarray:
+        return np.where(piece >= 0, self.level[piece], FAR)
+
+    def _rounds(self, symbols: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge within the parts until no pair is left; parts without a pair leave the working arrays."""
+
+        def made(at: np.ndarray, symbol: np.ndarray, to: np.ndarray) -> np.ndarray:
+            """The piece of ``symbol`` in place ``at`` and what stands at ``to``, -1 where that is another part."""
+            near = np.clip(to, 0, len(symbols) - 1)
+            left, right = (symbol, symbols[near]) if (to > at).all() else (symbols[near], symbol)
+            return np.where((near == to) & (part[near] == part[at]), self._made(left, right), -1)
 
-    def _rounds(self, symbols: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Merge until no pair is left; words without a pair leave the working arrays."""
         done: list[tuple[np.ndarray, np.ndarray]] = []
+        every = np.arange(len(symbols))
+        piece = made(every, symbols, every + 1)
+        rank = self._rank(piece)
         while len(symbols):
-            piece = np.full(len(symbols), -1)
-            if len(symbols) > 1:
-                piece[:-1] = np.where(word[1:] == word[:-1], self._made(symbols[:-1], symbols[1:]), -1)
-            first = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-            rank = np.where(piece >= 0, self.level[piece], FAR)
-            best = np.minimum.reduceat(rank, first)
-            size = np.diff(np.r_[first, len(symbols)])
-            over = np.repeat(best == FAR, size)
-            if over.any():
-                done.append((symbols[over], word[over]))
-            hit = np.flatnonzero((rank == np.repeat(best, size)) & ~over)
-            hit = hit[np.r_[True, word[hit[1:]] != word[hit[:-1]]]] if len(hit) else hit  # the leftmost of each word
-            symbols[hit] = piece[hit]
-            keep = ~over
+            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+            best, size = np.minimum.reduceat(rank, first), np.diff(np.r_[first, len(symbols)])
+            if (over := best == FAR).any():
+                live = ~np.repeat(over, size)
+                done.append((symbols[~live], part[~live]))
+                symbols, part, piece, rank, best, size = symbols[live], part[live], piece[live], rank[live], best[~over], size[~over]
+                if not len(symbols):
+                    break
+            goal = np.repeat(best, size)
+            hit = np.flatnonzero(rank == goal)
+            # of pairs that overlap, every other one from the left
+            k = np.arange(len(hit))
+            run = np.maximum.accumulate(np.where(np.r_[True, hit[1:] != hit[:-1] + 1], k, 0))
+            hit = hit[(k - run) % 2 == 0]
+            new = piece[hit]
+            # the pairs that merges from left to right make: with what follows, and with what is then before
+            after = self._rank(made(hit, new, hit + 2))
+            joined = np.r_[False, hit[1:] == hit[:-1] + 2]
+            before = self._rank(np.where(joined, self._made(np.r_[new[:1], new[:-1]], new), made(hit, new, hit - 1)))
+            early = np.minimum(after, before) <= goal[hit]
+            if early.any():
+                alone = np.isin(part[hit], part[hit[early]])
+                leftmost = np.r_[True, part[hit[1:]] != part[hit[:-1]]]
+                hit, new = hit[~alone | leftmost], new[~alone | leftmost]
+            keep = np.ones(len(symbols), bool)
             keep[hit + 1] = False
-            symbols, word = symbols[keep], word[keep]
+            symbols[hit] = new
+            symbols, part, piece, rank = symbols[keep], part[keep], piece[keep], rank[keep]
+            at = hit - np.arange(len(hit))
+            piece[at] = made(at, symbols[at], at + 1)
+            rank[at] = self._rank(piece[at])
+            at = at[at > 0]
+            piece[at - 1] = made(at, symbols[at], at - 1)
+            rank[at - 1] = self._rank(piece[at - 1])
         if not done:
-            return symbols, word
-        symbols, word = (np.concatenate(x) for x in zip(*done, strict=True))
-        order = np.argsort(word, kind="stable")
-        return symbols[order], word[order]
-
-    def _long(self, text: str) -> list[int]:
-        """The same merges for one long word, best pair first from a heap."""
-        symbols = [self.ids.get(c, self.size + ord(c)) for c in text]
-        n = len(symbols)
-        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
-        pairs = self._pair_table()
-        heap: list[tuple[int, int, int, int, int]] = []
-
-        def offer(i: int) -> None:
-            j = after[i]
-            if i >= 0 and j >= 0 and (p := pairs.get((symbols[i], symbols[j]))) is not None:
-                heapq.heappush(heap, (int(self.level[p]), i, symbols[i], symbols[j], p))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b, p = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = p, -1
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            if before[i] >= 0:
-                offer(before[i])
-            offer(i)
-        return [s for s in symbols if s >= 0]
-
-    @lru_cache(maxsize=1)
-    def _pair_table(self) -> dict[tuple[int, int], int]:
-        return {divmod(k, self.size): i for k, i in zip(self.pair_keys.tolist(), self.pair_ids.tolist(), strict=True)}
+            return symbols, part
+        symbols, part = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(part, kind="stable")
+        return symbols[order], part[order]
 
     def _final(self, symbols: list[int]) -> bytes:
         """Characters that are no piece become the pieces of their bytes."""
@@ -157,16 +180,16 @@ class Codec:
         return np.fromiter(ids, np.int32).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        short = [w for w in new if len(w) <= LONG_WORD]
-        if short:
-            symbols, word = self._rounds(*self._symbols(short))
-            raw, ends = symbols.astype(np.int32).tobytes(), np.cumsum(np.bincount(word, minlength=len(short))).tolist()
-            plain = np.bincount(word, symbols >= self.size, minlength=len(short)) == 0
-            for w, i, j, p in zip(short, [0, *ends[:-1]], ends, plain.tolist(), strict=True):
-                self.words[w] = raw[4 * i : 4 * j] if p else self._final(symbols[i:j].tolist())
-        for w in new:
-            if len(w) > LONG_WORD:
-                self.words[w] = self._final(self._long(w))
+        if not new:
+            return
+        symbols, segment, owner = self._symbols(new)
+        symbols, segment = self._rounds(symbols, segment)
+        word = owner[segment]
+        raw, ends = symbols.astype(np.int32).tobytes(), np.cumsum(np.bincount(word, minlength=len(new))).tolist()
+        plain = np.bincount(word, symbols >= self.size, minlength=len(new)) == 0
+        for w, i, j, p in zip(new, [0, *ends[:-1]], ends, plain.tolist(), strict=True):
+            self.words[w] = raw[4 * i : 4 * j] if p else self._final(symbols[i:j].tolist())
+            self.characters += len(w)
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         """The ids of each text and the end id."""
@@ -179,9 +202,9 @@ class Codec:
                 split.append([SPACE + w for w in t.split(SPACE)[1:]])
         distinct = set(chain.from_iterable(split))
         missing = distinct.difference(self.words)
-        if len(self.words) + len(missing) > CACHED_WORDS:
+        if len(self.words) + len(missing) > CACHED_WORDS or self.characters > CACHED_CHARACTERS:
             self.words.clear()
-            missing = distinct
+            self.characters, missing = 0, distinct
         self._learn(list(missing))
         return [[*np.frombuffer(b"".join(map(self.words.__getitem__, w)), np.int32).tolist(), self.end_id] for w in split]
 
@@ -225,7 +248,7 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     """doc_id and ids (array<int>, the end id last), one row per row of ``docs``."""
 
     def batch(ids: list, texts: list) -> dict:
-        return {"doc_id": ids, "ids": [x for at in range(0, len(texts), 64) for x in codec(model).encode([t or "" for t in texts[at : at + 64]])]}
+        return {"doc_id": ids, "ids": [x for at in range(0, len(texts), LEARNT_TEXTS) for x in codec(model).encode([t or "" for t in texts[at : at + LEARNT_TEXTS]])]}
 
     return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col)), batch, "doc_id long, ids array<int>")
 
@@ -245,8 +268,8 @@ def round_trip(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: st
 
     def batch(doc: list, texts: list) -> dict:
         n, ids_sha, text_sha = [], [], []
-        for at in range(0, len(texts), 64):
-            for ids in codec(model).encode([t or "" for t in texts[at : at + 64]]):
+        for at in range(0, len(texts), LEARNT_TEXTS):
+            for ids in codec(model).encode([t or "" for t in texts[at : at + LEARNT_TEXTS]]):
                 n.append(len(ids))
                 ids_sha.append(sha(" ".join(map(str, ids))))
                 text_sha.append(sha(codec(model).decode(ids)))
