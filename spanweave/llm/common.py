@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch that carries whole texts; bounds what a Python worker holds.
-TEXT_BATCH_ROWS = 1024
+#: Rows of a batch that are worked on at a time; Spark itself bounds batches by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
+SLICE_ROWS = 1024
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,11 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; an own one only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; where it is unset, a temporary one in local mode and an error on a cluster."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if spark.sparkContext.getCheckpointDir() is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spanweave-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
@@ -34,19 +36,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Lower Spark's default Arrow batch of 10,000 rows, which whole texts make too large."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) > TEXT_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of at most ``SLICE_ROWS`` rows, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str) -> DataFrame:
     """Apply ``fn`` to lists of the columns of ``df``; it returns lists by the names in ``schema``."""
-    small_batches(df.sparkSession)
     arrow = df.sparkSession.createDataFrame([], schema).toArrow().schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = fn(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in arrow}, schema=arrow)
 

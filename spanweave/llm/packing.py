@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, small_batches
+from .common import checkpoint, slices
 
 SEQUENCE, END_ID = 2048, 0
 #: Rows of pieces for each salt, once there are more salts than shuffle partitions.
@@ -146,11 +146,10 @@ def word_encoder(path: str) -> WordEncoder:
 
 def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32."""
-    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = word_encoder(vocabulary)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             ids, texts = (c.to_pylist() for c in batch.columns)
             for at in range(0, len(ids), 64):

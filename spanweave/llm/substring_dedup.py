@@ -1,17 +1,28 @@
 """Repeated passages by a compacted de Bruijn graph of token k-mers (operator 4).
 
-Every run of ``WINDOW`` words that also starts in a document with a smaller doc_id is removed. The
-graph's nodes are ``KMER``-word k-mers, and of the k-mers of each window the one with the least hash
-stands for it, so equal windows always meet at equal k-mers. Consecutive windows with one such k-mer
-are an edge: a stretch of the document, known by its source coordinates and a 128-bit digest of its
-words. Joins compact the graph: where all edges at a repeated k-mer are equal the path does not
-branch and is judged whole; where they differ, each distinct edge is opened once, from the text at
-its source coordinates, into its windows, and those are compared one by one. What is removed is thus
-always the verified coverage of whole windows.
-
-Edges are aggregated (least document, agreement) before they are joined back, so no group of copies
-is gathered in one task. Texts move only to open distinct edges and to be cut; a bitmap of fixed size
-spares most others the way, and costs nothing but that when it is full.
+Every run of ``WINDOW`` words that also starts in a document with a smaller doc_id is removed. These
+k-mers are the graph's edges, each from the node of its first to that of its last ``WINDOW - 1`` words.
+
+Runs of consecutive edges that share their minimizer, the ``MINIMIZER`` words in them with the least
+hash, are cut from the documents as super-k-mers, known by their coordinates and a digest. Equal edges
+have equal minimizers, so the graph falls into a bucket per minimizer, and buckets that one document
+alone reaches hold no repeat. In a bucket with one distinct super-k-mer all inner nodes have one way in
+and one way out: it is a path already. Others branch and are opened, each distinct super-k-mer once,
+from the text at its coordinates, into edges, which an aggregate and a join tell apart.
+
+Paths of different buckets meet at a node that does not branch where every occurrence of the one goes on
+to the other and every occurrence of the other comes from it, by counts of occurrences and of arcs, and
+where their first occurrences follow each other, too. Such arcs are contracted by joins that double the
+distance of each path's pointer to its head, so a path of any length takes logarithmically many rounds.
+An occurrence of a compacted path in a document with a larger doc_id than its first one is a repeat as a
+whole. Spans that continue each other at both coordinates are merged, and each is removed only if the
+words at its own coordinates and those at its source have one BLAKE2b digest, in which no rolling hash
+takes part.
+
+Super-k-mers are aggregated (least and largest document, agreement, count) before they are joined back
+on unique keys, so no group of copies is gathered in one task and adaptive execution can split a hot key;
+what is collected is bounded by one document. Texts move only to open super-k-mers, to read sources and
+to be cut; a bitmap of fixed size spares most others the way, and costs nothing but that when it is full.
 
 Defined results: a null text has no words; a null doc_id counts as larger than all others; rows with
 one doc_id are one document and never each other's source; fewer than ``WINDOW`` words are kept;
@@ -29,11 +40,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import checkpoint, materialize, small_batches, words
+from .common import checkpoint, materialize, slices, words
 
-WINDOW, KMER = 50, 16
+WINDOW, MINIMIZER = 50, 16
 #: Bits of the map of documents whose texts must move: 2 MiB, whatever the corpus.
 MAP_BITS = 1 << 24
 LAST = (1 << 63) - 1
@@ -68,7 +80,7 @@ class Rolling:
         return x ^ x >> np.uint64(33)
 
 
-def least_kmers(hashes: np.ndarray, width: int) -> np.ndarray:
+def least_places(hashes: np.ndarray, width: int) -> np.ndarray:
     """For each run of ``width`` hashes the place of its least one, the leftmost of equals."""
     at, span = np.arange(len(hashes)), 1
     while span < width:
@@ -79,53 +91,97 @@ def least_kmers(hashes: np.ndarray, width: int) -> np.ndarray:
     return at
 
 
-def edges_of(w: list[bytes]) -> tuple[np.ndarray, ...]:
-    """k-mer hash, first window, number of windows and two digests of every edge of a document."""
+def super_kmers(w: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Minimizer hash, first window, number of windows and two digests of every super-k-mer of a document."""
     if len(w) < WINDOW:
         return (np.empty(0, np.int64),) * 5
     rolling = Rolling(w)
-    k = np.arange(len(w) - KMER + 1)
-    kmers = rolling.digest(0, k, k + KMER)
-    at = least_kmers(kmers, WINDOW - KMER + 1)
+    k = np.arange(len(w) - MINIMIZER + 1)
+    hashes = rolling.digest(0, k, k + MINIMIZER)
+    at = least_places(hashes, WINDOW - MINIMIZER + 1)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     many = np.diff(np.r_[first, len(at)])
     stop = first + many - 1 + WINDOW
-    return kmers[at[first]].view(np.int64), first, many, *(rolling.digest(i, first, stop).view(np.int64) for i in (0, 1))
+    return hashes[at[first]].view(np.int64), first, many, *(rolling.digest(i, first, stop).view(np.int64) for i in (0, 1))
 
 
-def _find_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["kmer", "d", "rid", "pos", "n", "b1", "b2"]
-    for batch in batches:
+    for batch in slices(batches):
         d, rid = (batch.column(i).to_numpy() for i in (0, 1))
-        found = [edges_of(words(t)) for t in batch.column(2).to_pylist()]
+        found = [super_kmers(words(t)) for t in batch.column(2).to_pylist()]
         size = [len(x[0]) for x in found]
         kmer, pos, n, b1, b2 = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, np.int64),) * 5
         columns = [kmer, np.repeat(d, size), np.repeat(rid, size), pos.astype(np.int32), n.astype(np.int32), b1, b2]
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
 
 
+#: A super-k-mer has at most WINDOW - MINIMIZER + 1 windows, so its number and a window's in it fit one long.
+REF_BITS = 6
+
+
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The windows of the edges given for each text."""
-    for batch in batches:
+    """The windows of the super-k-mers given for each text: two digests, document and number."""
+    for batch in slices(batches):
         rows = []
-        for d, text, edges in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for d, text, given in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             rolling = Rolling(words(text))
-            pos, n, b1, b2 = (np.array([e[k] for e in edges], np.int64) for k in ("pos", "n", "b1", "b2"))
+            pos, n, number = (np.array([e[k] for e in given], np.int64) for k in ("pos", "n", "number"))
             j = np.concatenate([np.arange(x) for x in n])
             start = np.repeat(pos, n) + j
             w1, w2 = (rolling.digest(i, start, start + WINDOW).view(np.int64) for i in (0, 1))
-            rows.append((w1, w2, np.full(len(j), d, np.int64), np.repeat(b1, n), np.repeat(b2, n), j))
-        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "d", "b1", "b2", "j"])
+            rows.append((w1, w2, np.full(len(j), d, np.int64), np.repeat(number << REF_BITS, n) + j))
+        columns = [np.concatenate(c) for c in zip(*rows, strict=True)] if rows else [np.empty(0, np.int64)] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["w1", "w2", "d", "ref"])
+
+
+SPAN = "pos int, n int, sd long, srid long, spos int"
+
+
+def merged_spans(spans: list[dict]) -> list[list[int]]:
+    """Spans (pos, n, sd, srid, spos) of one document, those that continue each other here and at the source as one."""
+    out: list[list[int]] = []
+    for pos, n, *source, spos in sorted([s["pos"], s["n"], s["sd"], s["srid"], s["spos"]] for s in spans):
+        last = out[-1] if out else None
+        if last and pos == last[0] + last[1] and source == last[2:4] and spos == last[4] + last[1]:
+            last[1] += n
+        elif not last or pos > last[0]:  # repeated rows give their spans repeatedly
+            out.append([pos, n, *source, spos])
+    return out
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches):
+        rows = [(d, rid, *s) for d, rid, spans in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True) for s in merged_spans(spans)]
+        columns = zip(*rows, strict=True) if rows else [()] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["d", "rid", "pos", "n", "sd", "srid", "spos"])
+
+
+def spelled(w: list[bytes], pos: int, n: int) -> bytes:
+    """A digest of the words that ``n`` windows from ``pos`` on cover."""
+    return hashlib.blake2b(b" ".join(w[pos : pos + n - 1 + WINDOW]), digest_size=16).digest()
+
+
+def _spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the spans that are asked of each text."""
+    for batch in slices(batches):
+        rows = []
+        for d, rid, text, asked in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            w = words(text)
+            rows += [(d, rid, s["pos"], s["n"], spelled(w, s["pos"], s["n"])) for s in asked]
+        columns = zip(*rows, strict=True) if rows else [()] * 5
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["sd", "srid", "spos", "n", "said"])
 
 
 def _kept(w: list[bytes], spans: list[dict] | None) -> tuple[int, str]:
-    """Words removed, and the digest of those kept."""
+    """Words removed, which are those of spans that read as their sources do, and the digest of those kept."""
     gone = np.zeros(len(w) + 1, np.int64)
     for s in spans or []:
-        starts = s["pos"] + np.array(s["js"], np.int64) if s["js"] is not None else np.array([s["pos"]])
-        np.add.at(gone, starts, 1)
-        np.add.at(gone, starts + (WINDOW if s["js"] is not None else s["n"] - 1 + WINDOW), -1)
+        if spelled(w, s["pos"], s["n"]) == s["said"]:
+            gone[s["pos"]] += 1
+            gone[s["pos"] + s["n"] - 1 + WINDOW] -= 1
     gone = np.cumsum(gone)[:-1] > 0
     left = [x for x, g in zip(w, gone.tolist(), strict=True) if not g] if gone.any() else w
     return int(gone.sum()), hashlib.sha256(b" ".join(left)).hexdigest()
@@ -135,7 +191,7 @@ RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         columns = [batch.column(i).to_pylist() for i in range(batch.num_columns)]
         spans = columns[2] if len(columns) > 2 else repeat(None, len(columns[0]))
         n, removed, sha = [], [], []
@@ -171,30 +227,71 @@ def mapped(base: DataFrame, bits: np.ndarray, inside: bool, *columns: str) -> Da
     return picked.mapInArrow(choose, picked.drop("bit").schema)
 
 
-def repeated_spans(base: DataFrame) -> DataFrame:
-    """d, rid and spans (pos, n, js: windows from pos on, all n or those in js) of every document with repeated windows."""
-    found = materialize(base.select("d", "rid", "text").mapInArrow(_find_edges, "kmer long, d long, rid long, pos int, n int, b1 long, b2 long"))
-    agree = (F.min("b1") == F.max("b1")) & (F.min("b2") == F.max("b2"))
-    repeated = checkpoint(found.groupBy("kmer").agg(F.min("d").alias("least"), F.max("d").alias("most"), agree.alias("whole")).where("least < most").select("kmer", "least", "whole"))
-    met = materialize(found.join(repeated, "kmer"))
+def contract(arcs: DataFrame) -> DataFrame:
+    """node, head and windows between them for every node behind another on a path; ``arcs``: node, head (the one before), far (its windows).
+
+    Each round replaces a pointer by its target's own, so the distance doubles; arcs go forward in one document and form no ring.
+    """
+    at = checkpoint(arcs.select("node", "head", "far", F.lit(True).alias("more")))
+    while at.agg(F.bool_or("more")).first()[0]:
+        onward = at.select(F.col("node").alias("head"), F.col("head").alias("beyond"), F.col("far").alias("further"))
+        step = at.where("more").join(onward, "head", "left")
+        moved = step.select("node", F.coalesce("beyond", "head").alias("head"), (F.col("far") + F.coalesce("further", F.lit(0))).alias("far"), F.col("beyond").isNotNull().alias("more"))
+        at = checkpoint(moved.union(at.where("not more")))
+    return at.select("node", "head", "far")
+
+
+def path_spans(whole: DataFrame) -> DataFrame:
+    """Repeats among super-k-mers that are alone in their buckets (kmer, d, rid, pos, n, many), as spans of compacted paths."""
+    node = checkpoint(whole.groupBy("kmer").agg(F.min(F.struct("d", "rid", "pos")).alias("at"), F.max("n").alias("n")))
+    following = F.lead(F.struct("kmer", "pos", "many")).over(Window.partitionBy("d", "rid").orderBy("pos"))
+    met = whole.select("kmer", "d", "rid", "pos", "n", "many").withColumn("then", following).where((F.col("then.pos") == F.col("pos") + F.col("n")) & (F.col("then.many") == F.col("many")))
+    single = met.groupBy("kmer", F.col("then.kmer").alias("node"), "many").agg(F.count(F.lit(1)).alias("both")).where("both = many")
+    here = node.select(F.col("kmer"), F.col("at").alias("from"), F.col("n").alias("far"))
+    there = node.select(F.col("kmer").alias("node"), F.col("at").alias("to"))
+    goes_on = (F.col("from.d") == F.col("to.d")) & (F.col("from.rid") == F.col("to.rid")) & (F.col("to.pos") == F.col("from.pos") + F.col("far"))
+    paths = contract(single.join(here, "kmer").join(there, "node").where(goes_on).select("node", F.col("kmer").alias("head"), "far"))
+    length = paths.join(node.select(F.col("kmer").alias("node"), "n"), "node").groupBy(F.col("head").alias("kmer")).agg(F.max(F.col("far") + F.col("n")).alias("total"))
+    heads = node.join(paths.select(F.col("node").alias("kmer")), "kmer", "left_anti").join(length, "kmer", "left").select("kmer", "at", F.coalesce("total", "n").alias("n"))
+    return whole.select("kmer", "d", "rid", "pos").join(heads, "kmer").where("d > at.d").select("d", "rid", "pos", "n", F.col("at.d").alias("sd"), F.col("at.rid").alias("srid"), F.col("at.pos").alias("spos"))
+
+
+def branch_spans(base: DataFrame, branching: DataFrame) -> DataFrame:
+    """Repeats among super-k-mers of buckets that branch (kmer, b1, b2, d, rid, pos, n): whole ones as their first occurrence, the first one's windows one by one."""
     edge = ["kmer", "b1", "b2"]
-    branching = met.where("not whole")
     first = F.min(F.struct("d", "rid", "pos", "n")).alias("at")
-    distinct = checkpoint(branching.groupBy(*edge).agg(first).select(*edge, "at.*"))
-    wanted = checkpoint(distinct.groupBy("d", "rid").agg(F.collect_list(F.struct("pos", "n", "b1", "b2")).alias("edges")))
+    distinct = checkpoint(branching.groupBy(*edge).agg(first).select(*edge, "at.*", F.monotonically_increasing_id().alias("number")))
+    wanted = checkpoint(distinct.groupBy("d", "rid").agg(F.collect_list(F.struct("pos", "n", "number")).alias("given")))
     texts = mapped(base, document_map(wanted), True, "d", "rid", "text")
-    windows = materialize(texts.dropDuplicates(["d", "rid"]).join(wanted, ["d", "rid"]).select("d", "text", "edges").mapInArrow(_open, "w1 long, w2 long, d long, b1 long, b2 long, j long"))
-    least = checkpoint(windows.groupBy("w1", "w2").agg(F.min("d").alias("least"), F.max("d").alias("most")).where("least < most").drop("most"))
-    partial = windows.join(least, ["w1", "w2"]).where("least < d").groupBy("b1", "b2").agg(F.sort_array(F.collect_set("j")).alias("js"))
-    judged = checkpoint(distinct.select(*edge, F.col("d").alias("first")).join(partial, ["b1", "b2"], "left"))
-    whole = met.where("whole and d > least").select("d", "rid", "pos", "n", F.lit(None).cast("array<bigint>").alias("js"))
-    opened = branching.join(judged, edge).where("d > first or js is not null").select("d", "rid", "pos", "n", F.when(F.col("d") == F.col("first"), F.col("js")).alias("js"))
-    return checkpoint(whole.union(opened).groupBy("d", "rid").agg(F.collect_list(F.struct("pos", "n", "js")).alias("spans")))
+    windows = materialize(texts.join(wanted, ["d", "rid"]).select("d", "text", "given").mapInArrow(_open, "w1 long, w2 long, d long, ref long"))
+    least = checkpoint(windows.groupBy("w1", "w2").agg(F.min("d").alias("least"), F.max("d").alias("most"), F.min_by("ref", "d").alias("source")).where("least < most").drop("most"))
+    number, place = (lambda c: F.shiftright(c, REF_BITS)), (lambda c: F.col(c).bitwiseAND((1 << REF_BITS) - 1).cast("int"))
+    hit = windows.join(least, ["w1", "w2"]).where("least < d").select(number("ref").alias("number"), place("ref").alias("j"), number("source").alias("owner"), place("source").alias("sj"))
+    owners = distinct.select(F.col("number").alias("owner"), F.col("d").alias("sd"), F.col("rid").alias("srid"), F.col("pos").alias("sp"))
+    found = hit.join(owners, "owner").groupBy("number").agg(F.collect_list(F.struct("j", F.lit(1).alias("n"), "sd", "srid", (F.col("sp") + F.col("sj")).alias("spos"))).alias("found"))
+    judged = checkpoint(distinct.select(*edge, "number", F.struct("d", "rid", "pos").alias("first")).join(found, "number", "left").drop("number"))
+    later = F.struct(F.lit(0).alias("j"), "n", F.col("first.d").alias("sd"), F.col("first.rid").alias("srid"), F.col("first.pos").alias("spos"))
+    opened = branching.join(judged, edge).select("d", "rid", "pos", F.explode(F.when(F.col("d") > F.col("first.d"), F.array(later)).otherwise(F.col("found"))).alias("x"))
+    return opened.select("d", "rid", (F.col("pos") + F.col("x.j")).alias("pos"), "x.n", "x.sd", "x.srid", "x.spos")
+
+
+def repeated_spans(base: DataFrame) -> DataFrame:
+    """d, rid and spans (pos, n, said: the digest of the source's words) of every document with repeated windows."""
+    found = materialize(base.select("d", "rid", "text").mapInArrow(_find, "kmer long, d long, rid long, pos int, n int, b1 long, b2 long"))
+    agree = (F.min("b1") == F.max("b1")) & (F.min("b2") == F.max("b2"))
+    repeated = found.groupBy("kmer").agg(F.min("d").alias("least"), F.max("d").alias("most"), agree.alias("whole"), F.count(F.lit(1)).alias("many")).where("least < most")
+    met = materialize(found.join(checkpoint(repeated.select("kmer", "whole", "many")), "kmer"))
+    spans = path_spans(met.where("whole")).union(branch_spans(base, met.where("not whole")))
+    grouped = spans.groupBy("d", "rid").agg(F.collect_list(F.struct("pos", "n", "sd", "srid", "spos")).alias("spans"))
+    merged = materialize(grouped.mapInArrow(_merge, f"d long, rid long, {SPAN}"))
+    asked = checkpoint(merged.select(F.col("sd").alias("d"), F.col("srid").alias("rid"), F.col("spos").alias("pos"), "n").distinct().groupBy("d", "rid").agg(F.collect_list(F.struct("pos", "n")).alias("asked")))
+    sources = mapped(base, document_map(asked), True, "d", "rid", "text").join(asked, ["d", "rid"])
+    said = sources.select("d", "rid", "text", "asked").mapInArrow(_spell, "sd long, srid long, spos int, n int, said binary")
+    return checkpoint(merged.join(said, ["sd", "srid", "spos", "n"]).groupBy("d", "rid").agg(F.collect_list(F.struct("pos", "n", "said")).alias("spans")))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, one row per row of ``docs``."""
-    small_batches(docs.sparkSession)
     doc, text = F.col(id_col).cast("long"), F.col(text_col)
     base = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("d"), F.xxhash64(text).alias("rid"), text.alias("text"))
     spans = repeated_spans(base)

@@ -33,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_dir, drop_at_exit, small_batches
+from .common import checkpoint, checkpoint_dir, drop_at_exit, slices
 
 ROLL_BYTES = 16 << 20
 LAST = (1 << 63) - 1
@@ -213,7 +213,6 @@ def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
 
 def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write a record per row of ``pages`` into new files of ``folder``; the files: path, bytes, records."""
-    small_batches(pages.sparkSession)
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
     each = pages.select(doc.alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
@@ -227,7 +226,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col:
         files: list[tuple[str, int, int]] = []
         out = None
         try:
-            for batch in batches:
+            for batch in slices(batches):
                 for page, url, html, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     if out is None:
                         name = f"{uuid.uuid4().hex}.warc.gz"

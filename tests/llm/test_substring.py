@@ -47,12 +47,12 @@ def test_against_brute_force(spark):
     assert sum(r[2] for r in want) > 1000
 
 
-def test_least_kmers_are_leftmost():
+def test_least_places_are_leftmost():
     h = np.array([5, 3, 3, 9, 1, 1, 7], np.uint64)
-    assert substring_dedup.least_kmers(h, 3).tolist() == [1, 1, 4, 4, 4]
+    assert substring_dedup.least_places(h, 3).tolist() == [1, 1, 4, 4, 4]
     for n in (1, 2, 7):
         x = np.random.default_rng(n).integers(0, 9, 40).astype(np.uint64)
-        assert substring_dedup.least_kmers(x, n).tolist() == [i + int(np.argmin(x[i : i + n])) for i in range(40 - n + 1)]
+        assert substring_dedup.least_places(x, n).tolist() == [i + int(np.argmin(x[i : i + n])) for i in range(40 - n + 1)]
 
 
 def test_stretches_hash_by_content():
@@ -67,3 +67,33 @@ def test_document_map_keeps_and_leaves(spark):
     inside = {r.x for r in substring_dedup.mapped(base, bits, True, "x").collect()}
     outside = {r.x for r in substring_dedup.mapped(base, bits, False, "x").collect()}
     assert set(range(40)) <= inside and inside | outside == set(range(100)) and not inside & outside
+
+
+def test_paths_are_contracted_to_their_heads(spark):
+    chain = [(f"a{i + 1}", f"a{i}", i % 3 + 1) for i in range(37)] + [("b1", "b0", 5)]
+    got = {r.node: (r.head, r.far) for r in substring_dedup.contract(spark.createDataFrame(chain, "node string, head string, far int")).collect()}
+    assert got == {f"a{i + 1}": ("a0", sum(k % 3 + 1 for k in range(i + 1))) for i in range(37)} | {"b1": ("b0", 5)}
+
+
+def test_only_what_reads_as_its_source_goes():
+    w = [str(i).encode() for i in range(120)]
+    said = substring_dedup.spelled(w, 10, 3)
+    gone = lambda pos: substring_dedup._kept(w, [{"pos": pos, "n": 3, "said": said}])[0]
+    assert gone(10) == substring_dedup.WINDOW + 2 and gone(11) == 0
+
+
+def test_merged_spans_go_on_at_both_ends():
+    span = lambda pos, n, sd, spos: {"pos": pos, "n": n, "sd": sd, "srid": 0, "spos": spos}
+    spans = [span(5, 2, 1, 9), span(0, 5, 1, 4), span(7, 1, 1, 30), span(8, 2, 2, 31), span(0, 5, 1, 4)]
+    assert substring_dedup.merged_spans(spans) == [[0, 7, 1, 0, 4], [7, 1, 1, 0, 30], [8, 2, 2, 0, 31]]
+
+
+def test_long_shared_passages_are_few_spans(spark):
+    rng = random.Random(9)
+    passage = [str(rng.randrange(10**6)) for _ in range(1500)]
+    rows = [(i, " ".join([*(f"{i}_{k}" for k in range(20)), *passage])) for i in range(5)] + [(9, " ".join(passage[200:900]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substring_dedup.remove_repeats(df).collect()), key=repr) == brute(rows)
+    base = df.select("doc_id", F.col("doc_id").alias("d"), F.xxhash64("text").alias("rid"), "text")
+    spans = {r.d: len(r.spans) for r in substring_dedup.repeated_spans(base).collect()}
+    assert set(spans) == {1, 2, 3, 4, 9} and max(spans.values()) <= 4
