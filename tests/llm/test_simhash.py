@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pytest
 import xxhash
 
 from spanweave.llm import simhash
@@ -62,8 +63,7 @@ def test_components_against_brute_force(spark):
     assert len(set(want.values())) < 250
 
 
-def test_links_span_dense_and_sparse_groups(spark):
-    rng = random.Random(4)
+def scattered(rng):
     points = {0, (1 << 64) - 1}
     for _ in range(5):
         x = rng.getrandbits(64)
@@ -71,7 +71,13 @@ def test_links_span_dense_and_sparse_groups(spark):
             points.add(x)
             for _ in range(rng.choice([1, 2, 2, 3])):
                 x ^= 1 << rng.randrange(64)
-    points = sorted(points)
+    return sorted(points)
+
+
+@pytest.mark.parametrize("short", [2, simhash.SHORT_LIST, 1000])
+def test_links_span_dense_and_sparse_groups(spark, monkeypatch, short):
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    points = scattered(random.Random(4))
     df = spark.createDataFrame([(simhash.signed(p),) for p in points], "fp long")
     found = simhash.components(simhash.links(df)).collect()
     label = {p: p for p in points} | {r.node % 2**64: r.root % 2**64 for r in found}
@@ -79,14 +85,51 @@ def test_links_span_dense_and_sparse_groups(spark):
     assert len({(label[p], want[p]) for p in points}) == len(set(label.values())) == len(set(want.values()))
 
 
-def test_lists_go_on_across_batches():
+def index_rows(points, rank):
+    posted = pd.concat(simhash.posts(iter([pd.DataFrame({"fp": points[:100]}), pd.DataFrame({"fp": points[100:]})]), rank))
+    return posted.sort_values(["list", "fp"], ignore_index=True)
+
+
+def parted(frame, sizes):
+    at = 0
+    for n in sizes:
+        yield frame.iloc[at : at + n]
+        at += n
+    yield frame.iloc[at:]
+
+
+@pytest.mark.parametrize("short", [2, 5, 1000])
+def test_every_near_pair_is_retained_or_in_a_long_list(monkeypatch, short):
+    monkeypatch.setattr(simhash, "SHORT_LIST", short)
+    rng = random.Random(5)
+    points = np.array([simhash.signed(p) for p in scattered(rng)])
+    rows = index_rows(points, np.array(rng.sample(range(2048), 2048)))
+    near = {(a, b) for a, b in combinations(sorted(points.tolist()), 2) if ((a ^ b) & 2**64 - 1).bit_count() <= 2}
+    outs = []
+    for sizes in ([], [1] * 200, [rng.randrange(1, 40) for _ in range(60)]):
+        out = pd.concat(simhash._tally(parted(rows, sizes)))
+        pairs = {tuple(sorted(x)) for x in out[out["shared"] >= 0][["a", "b"]].to_numpy().tolist()}
+        crowded = set(out.loc[out["shared"] == -1, "a"])
+        assert all(p in pairs or (p[0] in crowded and p[1] in crowded) for p in near)
+        outs.append((pairs, crowded))
+    assert outs[0] == outs[1] == outs[2]
+    if short == 1000:
+        assert not outs[0][1]
+
+
+def test_tallies_are_shared_positional_bytes():
+    a, b = 0x0102030405060708, 0x01020304050607FF
+    rows = index_rows(np.array([a, b]), np.arange(2048))
+    out = pd.concat(simhash._tally(iter([rows])))
+    assert set(out["shared"]) == {7} and len(out) == 5  # sets of four of the first six positions, without the one that differs
+
+
+def test_lists_of_six_bytes_go_on_across_batches():
     rng = random.Random(6)
     fp = sorted({simhash.signed(0xABCD << 48 | rng.getrandbits(16)) for _ in range(300)})
     pdf = pd.DataFrame({"which": 0, "key": 5, "fp": fp})
-    whole = list(simhash._links(iter([pdf])))
-    parts = list(simhash._links(iter([pdf.iloc[:100], pdf.iloc[100:101], pdf.iloc[101:]])))
     as_set = lambda frames: {tuple(x) for f in frames for x in f.to_numpy().tolist()}
-    assert as_set(whole) == as_set(parts)
+    assert as_set(simhash._forest(iter([pdf]))) == as_set(simhash._forest(iter([pdf.iloc[:100], pdf.iloc[100:101], pdf.iloc[101:]]))) != set()
 
 
 def test_components_of_a_long_chain(spark):
