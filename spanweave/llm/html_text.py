@@ -1,12 +1,14 @@
 """Layout-aware text of HTML pages (operator 3).
 
 Markup is read into a tree: void elements hold nothing, raw-text elements end at their own end tag,
-end tags that the standard lets authors leave out (``p``, ``li``, ``dt``, ``dd``, ``option``, table
-parts) are implied, stray end tags are dropped. The tree is then rendered: elements that browsers do
+end tags that the standard lets authors leave out (``p``, ``li``, ``dt``, ``dd``, ``option``, ``optgroup``,
+ruby and table parts) are implied, stray end tags are dropped. A ``head`` ends, without its end tag, at
+the first text or element that no head may hold; ``html``, ``head`` and ``body`` exist once, later tags of
+theirs open nothing. The tree is then rendered: elements that browsers do
 not show, by name, by the ``hidden`` attribute or by an inline ``display: none``, are left out; an inline
 ``visibility: hidden`` leaves out text but not descendants made visible again; blocks stand on lines of their own, headings and paragraphs with
 a blank line around; list items carry their mark and indentation; the cells of a table are aligned in
-columns, also below cells of several rows; preformatted text keeps its white space; elsewhere white space collapses.
+columns by the width that characters take, also below cells of several rows; preformatted text keeps its white space; elsewhere white space collapses.
 
 Defined results: a null or empty page has an empty text; markup that never closes runs to the end of
 the page; nesting of any depth is rendered without recursion limits; repeated rows each return their
@@ -16,6 +18,7 @@ row; an empty table gives an empty result; further columns are not read.
 from __future__ import annotations
 
 import re
+import unicodedata
 from html import unescape
 
 from pyspark.sql import DataFrame
@@ -26,6 +29,8 @@ from .common import map_texts
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript iframe datalist audio video canvas noembed noframes title meta link".split())
+#: What may stand in a head; anything else ends it.
+METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements of foreign content that are not shown where they stand.
 UNSHOWN = {"svg": frozenset("title desc defs metadata".split()), "math": frozenset("annotation annotation-xml".split())}
 APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure hr dl".split())
@@ -37,6 +42,8 @@ IMPLIED = {
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"])),
     "option": (frozenset(["option"]), frozenset(["select"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select"])),
+    **{x: (frozenset(["rb", "rt", "rtc", "rp"]), frozenset(["ruby"])) for x in ("rb", "rt", "rtc", "rp")},
     "tr": (frozenset(["tr", "td", "th", "caption", "colgroup"]), TABLE),
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
@@ -72,6 +79,7 @@ def parse(html: str) -> Node:
     root = Node("#root", {})
     stack, at = [root], 0
     open_names: dict[str, int] = {}
+    headed = False  # no head may begin any more
 
     def close(depth: int) -> None:
         while len(stack) > depth:
@@ -85,10 +93,17 @@ def parse(html: str) -> Node:
             stack[-1].children.append(unescape(m[0]))
             continue
         at = m.end()
+        name = m[2].lower() if m[2] is not None else None
+        if stack[-1].name == "head" and (m[4] is not None and m[4].strip(" \t\n\f\r") or name is not None and (name not in METADATA if not m[1] else name in ("body", "html", "br"))):
+            close(len(stack) - 1)
+        headed |= m[4] is not None and stack[-1].name != "head" and m[4].strip(" \t\n\f\r") != ""
         if m[4] is not None:
             stack[-1].children.append(unescape(m[4]))
-        elif m[2] is not None:
-            name = m[2].lower()
+        elif name is not None:
+            if not m[1]:
+                if (name == "head" and headed) or (name in ("html", "body") and open_names.get(name)):
+                    continue
+                headed |= name != "html" and name not in METADATA
             if m[1]:
                 if open_names.get(name):
                     depth = max(i for i, node in enumerate(stack) if node.name == name)
@@ -185,11 +200,19 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
+def width(text: str) -> int:
+    """Columns that a text takes: two for wide characters, none for combining ones."""
+    if text.isascii():
+        return len(text)
+    return sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
+
+
 def aligned(rows: list[list[str]]) -> list[str]:
     """Rows of cells with columns of even width; a cell of several lines makes its row several lines high."""
     split = [[c.split("\n") for c in row] for row in rows]
-    wide = [max((len(x) for row in split if k < len(row) for x in row[k]), default=0) for k in range(max(map(len, split), default=0))]
-    return ["  ".join((c[i] if i < len(c) else "").ljust(w) for c, w in zip(row, wide, strict=False)).rstrip(" ") for row in split for i in range(max(map(len, row), default=0))]
+    wide = [max((width(x) for row in split if k < len(row) for x in row[k]), default=0) for k in range(max(map(len, split), default=0))]
+    fill = lambda x, w: x + " " * (w - width(x))
+    return ["  ".join(fill(c[i] if i < len(c) else "", w) for c, w in zip(row, wide, strict=False)).rstrip(" ") for row in split for i in range(max(map(len, row), default=0))]
 
 
 def rendered(root: Node) -> str:

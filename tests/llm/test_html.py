@@ -40,14 +40,39 @@ def test_columns_line_up():
 
 def test_no_visible_text_is_lost():
     rng = random.Random(2)
-    tags = ["p", "div", "b", "li", "ul", "td", "tr", "table", "pre", "a", "h2", "ol", "dd"]
-    for _ in range(500):
-        n, parts = 0, []
+    tags = ["p", "div", "b", "li", "ul", "td", "tr", "table", "pre", "a", "h2", "ol", "dd", "html", "head", "title", "body", "meta", "option", "optgroup", "rt"]
+    for _ in range(1500):
+        n, parts, shown, title = 0, [], [], False
         for _ in range(rng.randrange(40)):
-            parts.append(rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", f" w{n} "]))
-            n += parts[-1] == f" w{n} "
+            part = rng.choice([f"<{rng.choice(tags)}>", f"</{rng.choice(tags)}>", f" w{n} "])
+            parts.append(part)
+            # only a title hides text, up to its own end tag
+            title = part != "</title>" if title else part == "<title>"
+            if part == f" w{n} ":
+                shown += [] if title else [part.strip()]
+                n += 1
         got = visible_text("".join(parts)).split()
-        assert sorted(w for w in got if w[0] == "w") == sorted(f"w{i}" for i in range(n))
+        assert sorted(w for w in got if w[0] == "w") == sorted(shown), "".join(parts)
+
+
+HEADS = {
+    "<html><head><title>T</title><body><p>Hello</p></body></html>": "Hello",
+    "<head><meta charset=x><p>Hello world": "Hello world",
+    "<head><title>T</title> text": "text",
+    "<head><noscript><link></noscript><style>p{}</style><main>m": "m",
+    "<head><title>T</title></head><head><p>still": "still",
+    "text<head>shown</head>": "textshown",
+    "<body>a<body hidden>b": "ab",
+    "<head><template><p>no</p></template><link rel=x>\n<body>yes": "yes",
+    "<table><tr><td>\u4f60\u597d<td>x<tr><td>abcd<td>y</table>": "\u4f60\u597d  x\nabcd  y",
+    "<select><optgroup label=a><option>1<optgroup><option>2</select>": "1\n2",
+    "<ruby>\u6f22<rp>(<rt>kan<rp>)</ruby>": "\u6f22(kan)",
+}
+
+
+@pytest.mark.parametrize("html", HEADS)
+def test_heads_end_where_their_content_does(html):
+    assert visible_text(html) == HEADS[html]
 
 
 def test_bad_markup_ends_in_time():
