@@ -11,7 +11,11 @@ check it searches for the next valid member or version line, goes on from there,
 between as a quarantined gap. Inside a member it goes on at the next version line too and logs the gap by
 offset within the member's content. Of a damaged member, what can be inflated is read; there only records
 whose digest is right count, as the trailer vouches for nothing. Compressed and plain archives and mixtures
-of both are read.
+of both are read. An archive is one task's work and is read in blocks, so a task holds a block and the
+member or record at hand; the list of archives stays a table.
+
+Of equal payloads the smallest page_id is an aggregate joined back on unique digests, so adaptive
+execution can split the rows of a common payload, the empty one for instance.
 
 Defined results: a null page is an empty payload; a null page_id is larger than all others and never
 referred to while another has the payload; repeated rows each have their record, of one smallest
@@ -30,7 +34,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, checkpoint_dir, drop_at_exit, slices
@@ -39,10 +43,11 @@ ROLL_BYTES = 16 << 20
 LAST = (1 << 63) - 1
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-CHUNK = 1 << 16
+CHUNK, BLOCK = 1 << 16, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
 START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+LENGTH = re.compile(rb"(?im)^Content-Length[ \t]*:[ \t]*([0-9]{1,18})[ \t]*\r$")
 HEAD = re.compile(rb"WARC/1\.[01]\r\n((?:[^\r\n]+\r\n)*)\r\n")
 RECORDS = "file string, start long, stop long, problem string, record_id string, record_type string, refers_to string, target_uri string, payload_bytes long, payload_digest string, payload binary"
 
@@ -107,34 +112,71 @@ def parse_record(data: bytes, at: int, digest: bool = False) -> tuple[int, dict
     return stop + 4, found, ""
 
 
-def inflate(data: bytes, start: int) -> tuple[int, bytes, bool]:
+class Archive:
+    """The bytes of an open file by offset, read in blocks as they are asked for; of a bytes object, itself."""
+
+    def __init__(self, file: pa.NativeFile | bytes):
+        self.file = pa.BufferReader(file) if isinstance(file, bytes) else file
+        self.size, self.base, self.held = self.file.size(), 0, b""
+
+    def part(self, at: int, stop: int) -> bytes:
+        stop = min(stop, self.size)
+        if at < self.base or stop > self.base + len(self.held):
+            self.file.seek(at)
+            self.base, self.held = at, self.file.read(max(BLOCK, stop - at))
+        return self.held[at - self.base : stop - self.base]
+
+    def startswith(self, prefix: bytes, at: int) -> bool:
+        return self.part(at, at + len(prefix)) == prefix
+
+    def next_start(self, at: int) -> int:
+        """Where the next member or version line may begin, or the end."""
+        while at < self.size:
+            if m := START.search(self.part(at, at + BLOCK)):
+                return at + m.start()
+            at += BLOCK - 16  # a version line may lie across blocks
+        return self.size
+
+    def record(self, at: int) -> tuple[int, dict | None, str]:
+        """The plain record at ``at``, as ``parse_record`` has it; only what its length says is read."""
+        window = self.part(at, at + BLOCK)
+        head = HEAD.match(window)
+        length = LENGTH.search(window, 0, head.end()) if head else None
+        stop = at + head.end() + int(length[1]) + 4 if length else at + len(window)
+        if length and not self.startswith(b"\r\n\r\n", stop - 4):
+            return at, None, "wrong length"
+        end, parts, problem = parse_record(self.part(at, stop), 0)
+        return at + end, parts, problem
+
+
+def inflate(data: Archive, start: int) -> tuple[int, bytes, bool]:
     """The gzip member at ``start``: its end, its content and whether it is sound; of a damaged one where inflating ends and what comes before."""
-    z, out, view, at = zlib.decompressobj(31), [], memoryview(data), start
+    z, out, at = zlib.decompressobj(31), [], start
     try:
-        while not z.eof and at < len(data):
-            out.append(z.decompress(view[at : at + CHUNK]))
-            at += min(CHUNK, len(data) - at)
+        while not z.eof and at < data.size:
+            out.append(z.decompress(data.part(at, at + CHUNK)))
+            at = min(at + CHUNK, data.size)
     except zlib.error:
         # the chunk's content before the error is lost with it, so it is read again by single bytes
         z = zlib.decompressobj(31)
         for k in range(start, at, CHUNK):
-            z.decompress(view[k : k + CHUNK])
+            z.decompress(data.part(k, k + CHUNK))
         try:
             while True:
-                out.append(z.decompress(view[at : at + 1]))
+                out.append(z.decompress(data.part(at, at + 1)))
                 at += 1
         except zlib.error:
             return at, b"".join(out), False
     return (at - len(z.unused_data) if z.eof else at), b"".join(out), z.eof
 
 
-def inflated_from(data: bytes, start: int, length: int) -> int:
+def inflated_from(data: Archive, start: int, length: int) -> int:
     """The end of the bytes that the first ``length`` bytes of a member's content are inflated from."""
-    z, view, at, n, step = zlib.decompressobj(31), memoryview(data), start, 0, CHUNK
+    z, at, n, step = zlib.decompressobj(31), start, 0, CHUNK
     while n < length:
         before = z.copy() if step > 1 else z
         try:
-            got = len(z.decompress(view[at : at + step]))
+            got = len(z.decompress(data.part(at, at + step)))
         except zlib.error:  # what is wrong comes after these bytes
             got = length
         if step > 1 and n + got >= length:
@@ -163,15 +205,15 @@ def member_records(content: bytes, sound: bool = True) -> tuple[list[dict], int]
     return (found + lost(at) if sound else found), last
 
 
-def salvage(data: bytes) -> Iterator[dict]:
+def salvage(archive: pa.NativeFile | bytes) -> Iterator[dict]:
     """Every valid record of an archive with its byte range, and a gap (``problem`` set) for every range given up or read in part."""
-    at, gap, why = 0, None, ""
+    data, at, gap, why = Archive(archive), 0, None, ""
     held: list[dict] = []  # what a damaged member at ``gap`` still gives; its range ends where the next sound part begins
 
     def close(stop: int) -> Iterator[dict]:
         yield from ({"start": gap, "stop": stop} | r for r in [*held, {"problem": why}])
 
-    while at < len(data):
+    while at < data.size:
         rows: list[dict] = []
         stop, problem, onward = at, "no record", at + 1
         if data.startswith(MAGIC, at):
@@ -188,13 +230,12 @@ def salvage(data: bytes) -> Iterator[dict]:
                     gap, held, why = at, rows, f"{problem}, lost from byte {last} of its content"
                     onward = max(onward, inflated_from(data, at, last))
         elif data.startswith(b"WARC/", at):
-            end, parts, problem = parse_record(data, at)
+            end, parts, problem = data.record(at)
             if parts is not None:
                 rows, stop = [{"problem": None} | parts], end
         if stop == at:
             gap, why = (at, problem) if gap is None else (gap, why)
-            following = START.search(data, onward)
-            at = following.start() if following else len(data)
+            at = data.next_start(onward)
             continue
         if gap is not None:
             yield from close(at)
@@ -203,7 +244,7 @@ def salvage(data: bytes) -> Iterator[dict]:
             yield {"start": at, "stop": stop} | r
         at = stop
     if gap is not None:
-        yield from close(len(data))
+        yield from close(data.size)
 
 
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -248,25 +289,24 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col:
     return checkpoint(rows.mapInArrow(write, "path string, bytes long, records long"))
 
 
-def read_archives(spark: SparkSession, paths: list[str], payloads: bool = True) -> DataFrame:
-    """Records and quarantined gaps of archives; a gap has ``problem`` set and only file, start and stop besides."""
-    if not paths:
-        return spark.createDataFrame([], RECORDS)
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """Records and quarantined gaps of the archives in column path; a gap has ``problem`` set and only file, start and stop besides."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):  # an archive at a time
-                name, data = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+            for name in batch.column(0).to_pylist():
+                store, path = _file_system(name)
                 rows: list[dict] = []
-                for r in salvage(data):
-                    rows.append(r | {"file": name} | ({} if payloads else {"payload": None}))
-                    if len(rows) == 256:
-                        yield pa.RecordBatch.from_pylist(rows, schema=arrow)
-                        rows = []
+                with store.open_input_file(path) as file:
+                    for r in salvage(file):
+                        rows.append(r | {"file": name} | ({} if payloads else {"payload": None}))
+                        if len(rows) == 256:
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                            rows = []
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    arrow = spark.createDataFrame([], RECORDS).toArrow().schema
-    return spark.read.format("binaryFile").load(paths).select("path", "content").mapInArrow(read, RECORDS)
+    arrow = archives.sparkSession.createDataFrame([], RECORDS).toArrow().schema
+    return archives.select("path").mapInArrow(read, RECORDS)
 
 
 def gaps(found: DataFrame) -> DataFrame:
@@ -278,9 +318,9 @@ def round_trip(pages: DataFrame, min_revisit: int = 0) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to as read back from archives of ``pages``."""
     spark = pages.sparkSession
     folder = f"{checkpoint_dir(spark)}/warc-{uuid.uuid4().hex}"
-    paths = [r.path for r in write_archives(pages, folder, min_revisit).select("path").collect()]  # the list of files, as a commit would have it
-    if paths:
+    files = write_archives(pages, folder, min_revisit)  # checkpointed: the list of what successful tasks wrote, as a commit would have it
+    if not files.isEmpty():
         drop_at_exit(spark, folder)
-    found = read_archives(spark, paths, payloads=False).where("problem is null")
+    found = read_archives(files, payloads=False).where("problem is null")
     number = lambda c: F.expr(f"try_cast(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1) as bigint)")
     return found.select(number("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to").alias("refers_to"))

@@ -64,7 +64,7 @@ def test_round_trip_against_brute_force(spark):
 def test_reader_logs_gaps(spark, tmp_path):
     raw = [warc.member(r) for r in records(5)]
     (tmp_path / "a.warc.gz").write_bytes(raw[0] + b"junk" + raw[1] + raw[2][:40] + raw[3])
-    found = warc.read_archives(spark, [str(tmp_path / "a.warc.gz")])
+    found = warc.read_archives(spark.createDataFrame([(str(tmp_path / "a.warc.gz"),)], "path string"))
     assert [r.record_id for r in found.where("problem is null").orderBy("start").collect()] == [f"<urn:page:{i}>" for i in (0, 1, 3)]
     log = warc.gaps(found).orderBy("start").collect()
     assert [(r.start, r.stop) for r in log] == [(len(raw[0]), len(raw[0]) + 4), (len(raw[0]) + 4 + len(raw[1]), len(raw[0]) + 44 + len(raw[1]))]
@@ -111,3 +111,22 @@ def test_member_cut_after_its_last_record():
     for n in range(1, 14):
         rows = list(warc.salvage(warc.member(records(1)[0])[:-n] + warc.member(warc.record(99, "http://x/99", b"z", None))))
         assert ids(rows)[-1] == "<urn:page:99>" and (n > 9 or len(ids(rows)) == 2)
+
+
+def test_archives_are_read_in_blocks(monkeypatch):
+    for block in (64, 1000):
+        monkeypatch.setattr(warc, "BLOCK", block)
+        raw = records(6, 3)
+        for data in (b"".join(raw), b"".join(map(warc.member, raw)), warc.member(raw[0]) + b"x" * 500 + raw[1] + raw[2][:-9] + raw[3] + warc.member(b"".join(raw[4:]))):
+            monkeypatch.setattr(warc, "BLOCK", 1 << 20)
+            want = list(warc.salvage(data))
+            monkeypatch.setattr(warc, "BLOCK", max(block, max(map(len, raw))))
+            assert list(warc.salvage(data)) == want and want
+    a = warc.Archive(b"0123456789" * 50)
+    assert a.part(3, 6) == b"345" and a.part(498, 600) == b"89" and a.part(0, 2) == b"01" and a.part(700, 800) == b""
+
+
+def test_a_wrong_length_is_not_read(monkeypatch):
+    raw = records(3, 4)
+    broken = raw[1].replace(b"Content-Length: ", b"Content-Length: 9999999", 2)
+    assert ids(warc.salvage(raw[0] + broken + raw[2])) == ["<urn:page:0>", "<urn:page:2>"]
