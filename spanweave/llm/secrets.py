@@ -12,7 +12,10 @@ scored, from the labels' least length on: single pieces and whole runs of any le
 together up to the length of the longest label. Of overlapping ones the longest stays.
 
 Training reads a bounded sample: the ``MAX_LABELLED`` values of each kind, and as many ordinary
-tokens, that come first by hash. Everything else covers whole texts of all rows.
+tokens, that come first by hash; ordinary is what base spans leave of the same runs, digits and symbols
+included, one a document (that with the least hash) entering the choice, but not what a format accepts
+unless it is all letters. Everything else covers whole
+texts of all rows.
 
 Defined results: a null text is an empty one and has no spans; spans are half-open in code points; an
 added span that overlaps a base span is dropped, base spans never are; without labelled credentials
@@ -33,6 +36,7 @@ from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from .common import checkpoint, map_texts
 
@@ -216,12 +220,18 @@ class Formats:
 
     def __init__(self, labelled: dict[int, list[str]], ordinary: list[str]):
         self.formats = {k: Automaton(v) for k, v in sorted(labelled.items()) if v}
-        self.ordinary = Automaton(ordinary)
+        # what reads like a credential may be one without its key, so it is no ordinary token; words of letters always are
+        self.ordinary = Automaton([v for v in ordinary if v.isalpha() or not self.accepts(v)])
         known = {c for f in self.formats.values() for steps in f.steps for c in steps}
         # no format accepts a value with other symbols, so text without such a run needs no scoring
         self.may = re.compile("[" + re.escape("".join(c for c in ALPHABET if classes(c) in known) or "-") + f"]{{{MIN_ASSIGN},}}")
         self.longest = max((len(x) for v in labelled.values() for x in v), default=0)
 
+    def accepts(self, value: str) -> bool:
+        """Whether some format has a path for the value."""
+        seen = classes(value)
+        return any(f.log_likelihoods(seen, [len(value)])[0] > -math.inf for f in self.formats.values())
+
     def scores(self, value: str, lengths: list[int]) -> list[float]:
         """Of the beginnings of ``value``: best log likelihood per symbol under a credential format, over that of ordinary tokens; minus infinity if no format accepts it."""
         seen = classes(value)
@@ -243,24 +253,34 @@ def spans_of(docs: DataFrame, id_col: str, text_col: str, find: Callable[[str],
     return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col)), batch, f"doc_id long, spans {SPANS}")
 
 
+def plainest(text: str, taken: list[tuple[int, int, int, str]]) -> str | None:
+    """Of what base spans leave of the runs of the labels' alphabet, the one with the least hash."""
+    return min((text[a:b] for a, b in free_runs(text, taken)), key=lambda v: (xxh64_intdigest(v), v), default=None)
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the base spans of every row."""
-    return spans_of(docs, id_col, text_col, base_spans)
+    """doc_id, the base spans of every row, and an ordinary token of it (null: none)."""
+
+    def batch(ids: list, texts: list) -> dict:
+        base = [base_spans(text or "") for text in texts]
+        spans = [[dict(zip(("kind", "start", "stop", "value"), s, strict=True)) for s in found] for found in base]
+        return {"doc_id": ids, "spans": spans, "plain": [plainest(text or "", found) for text, found in zip(texts, base, strict=True)]}
+
+    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col)), batch, f"doc_id long, spans {SPANS}, plain string")
 
 
-def ordinary_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Tokens of letters alone, as long as candidates or at least ten characters, for the contrast."""
-    return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(r"(?<![\p{L}\d])[A-Za-z]{10,}(?![\p{L}\d])"), F.lit(0))).alias("value"))
+def first_by_hash(values: DataFrame, most: int) -> list[str]:
+    """At most ``most`` distinct values of column value."""
+    return [r.value for r in values.select("value").distinct().orderBy(F.xxhash64("value"), "value").limit(most).collect()]
 
 
-def learn(scanned: DataFrame, docs: DataFrame, text_col: str = "text", most: int = MAX_LABELLED) -> Formats:
+def learn(scanned: DataFrame, most: int = MAX_LABELLED) -> Formats:
     """Fit the automata on at most ``most`` distinct values a kind and ``most`` ordinary tokens."""
-    values = scanned.select(F.explode("spans").alias("s")).where("s.kind < 3").select("s.kind", F.col("s.value").alias("value")).distinct()
-    labelled = {k: [r.value for r in values.where(F.col("kind") == k).orderBy(F.xxhash64("value"), "value").limit(most).collect()] for k in range(3)}
+    values = scanned.select(F.explode("spans").alias("s")).where("s.kind < 3").select("s.kind", F.col("s.value").alias("value"))
+    labelled = {k: first_by_hash(values.where(F.col("kind") == k), most) for k in range(3)}
     if not any(labelled.values()):
         return Formats({}, [])
-    plain = ordinary_tokens(docs, text_col).distinct().orderBy(F.xxhash64("value"), "value").limit(most)
-    return Formats(labelled, [r.value for r in plain.collect()])
+    return Formats(labelled, first_by_hash(scanned.where("plain is not null").select(F.col("plain").alias("value")), most))
 
 
 def all_spans(text: str, formats: Formats, threshold: float = THRESHOLD) -> list[tuple[int, int, int, str]]:
@@ -271,7 +291,7 @@ def all_spans(text: str, formats: Formats, threshold: float = THRESHOLD) -> list
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """doc_id and spans (kind as an index of KINDS, start, stop, value), one row per row of ``docs``."""
-    formats = learn(checkpoint(scan(docs, id_col, text_col)), docs, text_col)
+    formats = learn(checkpoint(scan(docs, id_col, text_col)))
     return spans_of(docs, id_col, text_col, lambda text: all_spans(text, formats, threshold))
 
 

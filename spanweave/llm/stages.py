@@ -32,6 +32,6 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """All documents, secrets in their texts replaced by marks and n_chars counted anew."""
-    formats = secrets.learn(checkpoint(secrets.scan(docs)), docs)
+    formats = secrets.learn(checkpoint(secrets.scan(docs)))
     clean = secrets.redact(docs, formats)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
