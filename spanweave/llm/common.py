@@ -10,8 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of a batch that are worked on at a time; Spark itself bounds batches by bytes (``spark.sql.execution.arrow.maxBytesPerBatch``).
-SLICE_ROWS = 1024
+#: Rows of a batch that are worked on at a time, and bytes of a batch where Spark's own bound is not set.
+SLICE_ROWS, BATCH_BYTES = 1024, 8 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +37,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded by bytes: Spark's default of 64 MiB is lowered, a bound that the user set stays."""
+    if df.sparkSession.conf.get(BATCH_SETTING, None) is None:
+        df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+    return df
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches in parts of at most ``SLICE_ROWS`` rows, so that few texts at a time become Python objects."""
     for batch in batches:
@@ -52,7 +60,7 @@ def map_texts(df: DataFrame, fn: Callable[[list], dict], schema: str) -> DataFra
             out = fn(*(c.to_pylist() for c in batch.columns))
             yield pa.RecordBatch.from_pydict({f.name: pa.array(out[f.name], f.type) for f in arrow}, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return bounded(df).mapInArrow(run, schema)
 
 
 def words(text: str | None) -> list[bytes]:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, slices
+from .common import bounded, checkpoint, slices
 
 SEQUENCE, END_ID = 2048, 0
 #: Rows of pieces for each salt, once there are more salts than shuffle partitions.
@@ -161,7 +161,7 @@ def cut(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str
             doc, k, start, n, crc = zip(*rows, strict=True) if rows else ((),) * 5
             yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(k, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
+    return bounded(docs).select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECES)
 
 
 def patterns(counts: np.ndarray) -> np.ndarray:

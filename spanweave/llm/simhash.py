@@ -65,11 +65,14 @@ def fingerprint(text: str | None) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    def batch(ids: list, texts: list) -> dict:
-        return {"doc_id": ids, "fp": [signed(fingerprint(t)) for t in texts]}
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and fp of every row, and the columns to carry."""
 
-    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col)), batch, "doc_id long, fp long")
+    def batch(ids: list, texts: list, *rest: list) -> dict:
+        return {"doc_id": ids, "fp": [signed(fingerprint(t)) for t in texts]} | dict(zip(carry, rest, strict=True))
+
+    further = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
+    return map_texts(docs.select(F.col(id_col).cast("long"), F.col(text_col), *carry), batch, f"doc_id long, fp long{further}")
 
 
 def positional(fp: np.ndarray) -> np.ndarray:
@@ -235,12 +238,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits) and component_id, one row per row of ``docs``."""
-    each = checkpoint(fingerprints(docs, id_col, text_col))
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id and the columns to carry, one row per row of ``docs``."""
+    each = checkpoint(fingerprints(docs, id_col, text_col, carry))
     distinct = checkpoint(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct))
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = checkpoint(rooted.join(named, "root").select("fp", "component_id"))
-    return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return each.join(ids, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *carry)

@@ -1,37 +1,62 @@
-"""The operators as stages over documents: each returns the documents its decisions leave."""
+"""The operators as stages over documents: each returns the documents its decisions leave.
+
+Defined results, for every stage: null and empty texts are empty texts, long ones are read whole; an empty
+table gives an empty table; columns beside those read are carried along whatever their names, and a
+missing ``n_chars`` stays missing. A decision goes by a row's doc_id and text, so of rows that share a
+doc_id, or have none, each has its own verdict. Of repeated rows (equal doc_id and text) quality rules and
+secret scans keep all, exact and near-duplicate removal one. Ties are those of the operators: of equal
+texts the largest doc_id stays, of a SimHash component the smallest.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exact_dedup, quality, secrets, simhash
 from .common import checkpoint
 
+#: Columns of a stage's own while it works; chosen not to clash with those of documents.
+KEY, AGAIN = "_stage_key", "_stage_again"
+
+
+def text_key() -> Column:
+    """What decisions go by: a hash of a row's doc_id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")))
+
 
-def keep_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept``. Rows with one doc_id stay or go together, those without one too."""
-    kept = kept.select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").select(*docs.columns)
+def keep_once(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs``, which has KEY, whose key is in ``kept``, one of those with equal keys."""
+    rows = docs.join(kept.groupBy(KEY).agg((F.count(F.lit(1)) > 1).alias(AGAIN)), KEY)
+    # the join's shuffle serves both sides; only rows whose key comes again are compared
+    return rows.where(~F.col(AGAIN)).union(rows.where(F.col(AGAIN)).dropDuplicates([KEY])).drop(KEY, AGAIN)
 
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Without the documents that the quality rules reject."""
-    return keep_ids(docs, quality.quality_rules(docs, labels).where("kept"))
+    keyed = docs.withColumn(KEY, text_key())
+    known = labels.join(keyed.select("doc_id", KEY), "doc_id").select(F.col(KEY).alias("doc_id"), "quality")
+    verdict = quality.quality_rules(keyed, known, id_col=KEY).where("kept").select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(verdict, KEY, "left_semi").select(*docs.columns)
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """One document of each group of equal texts: that with the largest doc_id."""
-    return keep_ids(docs, exact_dedup.exact_dedup(docs).where("kept"))
+    key = lambda sha: F.xxhash64(F.col("doc_id").cast("long"), sha).alias(KEY)
+    kept = exact_dedup.exact_dedup(docs).where("kept").select(key(F.col("text_sha256")))
+    return keep_once(docs.select("*", key(F.sha2(F.coalesce("text", F.lit("")), 256))), kept).select(*docs.columns)
 
 
 def representatives(docs: DataFrame) -> DataFrame:
     """One document of each SimHash component: that with the smallest doc_id."""
-    return keep_ids(docs, simhash.simhash_components(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    keyed = docs.withColumn(KEY, text_key())
+    kept = simhash.simhash_components(keyed, carry=(KEY,)).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return keep_once(keyed, kept.select(KEY)).select(*docs.columns)
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """All documents, secrets in their texts replaced by marks and n_chars counted anew."""
-    formats = secrets.learn(checkpoint(secrets.scan(docs)))
-    clean = secrets.redact(docs, formats)
+    """All documents, secrets in their texts replaced by marks and n_chars, if there, counted anew."""
+    clean = secrets.redact(docs, secrets.learn(checkpoint(secrets.scan(docs))))
+    if "n_chars" not in docs.columns:
+        return clean
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import checkpoint, materialize, slices, words
+from .common import bounded, checkpoint, materialize, slices, words
 
 WINDOW, MINIMIZER = 50, 16
 #: Bits of the map of documents whose texts must move: 2 MiB, whatever the corpus.
@@ -293,7 +293,7 @@ def repeated_spans(base: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256, one row per row of ``docs``."""
     doc, text = F.col(id_col).cast("long"), F.col(text_col)
-    base = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("d"), F.xxhash64(text).alias("rid"), text.alias("text"))
+    base = bounded(docs).select(doc.alias("doc_id"), F.coalesce(doc, F.lit(LAST)).alias("d"), F.xxhash64(text).alias("rid"), text.alias("text"))
     spans = repeated_spans(base)
     bits = document_map(spans)
     clean = mapped(base, bits, False, "doc_id", "text").mapInArrow(_cut, RESULT)

@@ -37,7 +37,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, checkpoint_dir, drop_at_exit, slices
+from .common import bounded, checkpoint, checkpoint_dir, drop_at_exit, slices
 
 ROLL_BYTES = 16 << 20
 LAST = (1 << 63) - 1
@@ -256,7 +256,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = 0, id_col:
     """Write a record per row of ``pages`` into new files of ``folder``; the files: path, bytes, records."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))
     payload = F.coalesce(F.col(html_col).cast("binary"), F.lit(b""))
-    each = pages.select(doc.alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
+    each = bounded(pages).select(doc.alias("page"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("digest"))
     shared = each.where(F.length("payload") >= min_revisit).groupBy("digest").agg(F.min("page").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     refers = F.when((F.length("payload") >= min_revisit) & (F.col("first") < F.col("page")), F.col("first"))
     rows = each.join(checkpoint(shared), "digest", "left").select("page", "url", "payload", refers.alias("refers"))

@@ -3,7 +3,10 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from spanweave.llm import quality, secrets, simhash
+import pytest
+from pyspark.sql import functions as F
+
+from spanweave.llm import quality, secrets, simhash, stages
 from spanweave.llm.common import read_table
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +59,47 @@ def test_stages(spark):
 def test_run_is_the_stages_in_order(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns) and out.count() > 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def table(spark, rows, extra=True):
+    df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
+    return df.select("*", *(F.lit(7).alias(c) for c in ("kept", "fp", "component_id", "keep_id", "stratum", "spans", "plain", "quality"))) if extra else df
+
+
+GOOD = " ".join(f"word{i} is here" for i in range(40))
+ROWS = [(1, None), (2, ""), (3, GOOD), (3, GOOD), (3, "short"), (4, GOOD + " password = abcdefgh12345678 end"), (None, GOOD + " x"), (None, GOOD + " x"), (None, "bad"), (5, "long " * 30_000), (6, GOOD + " x")]
+
+
+def stage_rows(spark, name, rows):
+    df = table(spark, rows)
+    labels = spark.createDataFrame([(3, 1), (4, 1), (None, 0)], "doc_id long, quality int")
+    run = {"quality": lambda: stages.accepted(df, labels), "exact": lambda: stages.distinct_texts(df), "near": lambda: stages.representatives(df), "secrets": lambda: stages.redacted(df)}[name]
+    out = run()
+    assert out.columns == df.columns
+    return sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+
+
+@pytest.mark.parametrize("name", ["quality", "exact", "near", "secrets"])
+def test_edges_of_stages(spark, name):
+    assert stage_rows(spark, name, []) == []
+    got = stage_rows(spark, name, ROWS)
+    if name == "quality":
+        assert got == sorted([x for x in ROWS if x[1] and x[1].startswith(GOOD)], key=repr)
+    elif name == "exact":
+        last = {}
+        for d, t in ROWS:
+            last[t or ""] = max(-1 if d is None else d, last.get(t or "", -1))
+        assert sorted((-1 if d is None else d, t or "") for d, t in got) == sorted((d, t) for t, d in last.items())
+        assert len(got) == len(last)
+    elif name == "near":
+        assert len(got) == len(set(got)) and (3, GOOD) in got and (3, "short") in got
+    else:
+        assert len(got) == len(ROWS) and any(t and t.endswith("password = [assign] end") for _, t in got)
+
+
+def test_secret_stage_without_n_chars(spark):
+    df = table(spark, ROWS, extra=False).drop("n_chars")
+    assert stages.redacted(df).columns == df.columns and stages.redacted(df).count() == len(ROWS)
