@@ -14,8 +14,10 @@ def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint to the folder that the cluster names in ``spark.checkpoint.dir``, an own one only where it is unset."""
+    """Checkpoint to the folder that the cluster names in ``spark.checkpoint.dir``; where it is unset, to a temporary one in local mode, an error on a cluster."""
     context = df.sparkSession.sparkContext
     if not df.sparkSession.conf.get("spark.checkpoint.dir", None) and context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="spanweave-checkpoint-"))
     return df.checkpoint(eager=True)
