@@ -14,12 +14,17 @@ def canonical_key(name: Column) -> Column:
     return F.replace(F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " ")), F.lit(" "), F.lit("_"))
 
 
+def untagged(raw: Column) -> Column:
+    """A label without what stands in brackets or parentheses."""
+    return F.regexp_replace(raw, r"\[[^\]]*\]|\([^)]*\)", " ")
+
+
 def speakers(raw: Column) -> Column:
     """Distinct canonical keys of a label that may name several speakers, in order."""
-    c = F.regexp_replace(F.lower(raw), r"\[.*?\]|\(.*?\)", " ")
+    c = untagged(F.lower(raw))
     for w in NOISE_WORDS:
         c = F.replace(c, F.lit(w), F.lit(" "))
-    return F.array_distinct(F.filter(F.transform(F.split(c, r"\s*[/&+]\s*"), canonical_key), lambda k: k != ""))
+    return F.array_distinct(F.filter(F.transform(F.split(c, "[/&+]"), canonical_key), lambda k: k != ""))
 
 
 def squash(name: Column) -> Column:

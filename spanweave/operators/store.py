@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanweave.operators.intervals import overlap_join, overlap_seconds
+from spanweave.session import cut_lineage
+
 
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key in ``order``, which must be total."""
@@ -32,55 +36,54 @@ def added(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
 def cluster_draws(draws: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
     """Union of several readings' findings: draw, start_s, end_s, tier (0 low to 2 high).
 
-    Sequential by nature: each finding joins the first cluster whose representative it overlaps within the
-    tolerance, and replaces the representative only with a higher tier. A key is an episode.
+    In the order of draws and times a finding joins the first cluster whose representative it meets within the
+    tolerance, else it opens one; a higher tier becomes the representative. Findings further apart than that from
+    all others never meet, so a key is parted into such islands first, and only an island is one task's work.
     """
-    schema = ", ".join(f"{c} {draws.schema[c].dataType.simpleString()}" for c in keys)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = []
-        for a, b, t in pdf.sort_values(["draw", "start_s", "end_s"])[["start_s", "end_s", "tier"]].itertuples(index=False):
-            for c in found:
-                if not (c[1] + tolerance < a or b + tolerance < c[0]):
-                    c[3] += 1
-                    if t > c[2]:
-                        c[:3] = [a, b, t]
-                    break
-            else:
-                found.append([a, b, t, 1])
-        n = pdf["draw"].nunique()
-        out = pd.DataFrame([(a, b, int(t), min(k, n), n) for a, b, t, k in found], columns=["start_s", "end_s", "tier", "seen", "draws"])
-        for k, c in enumerate(keys):
-            out.insert(k, c, pdf[c].iloc[0])
-        return out
-
-    return draws.groupBy(*keys).applyInPandas(run, f"{schema}, start_s double, end_s double, tier int, seen int, draws int")
-
-
-def merge_passes(passes: DataFrame, keys: list[str]) -> DataFrame:
-    """Two transcripts of one recording: pass (a, b), start_s, end_s, reliable. Keeps a; adopts reliable lines of b that
-    reliable lines of a cover less than half, each retiring unreliable lines that it covers at least half. In order, per recording."""
-    schema = ", ".join(f"{c} {passes.schema[c].dataType.simpleString()}" for c in keys)
-
-    def covered(a: float, b: float, others: list[tuple]) -> float:
-        return sum(max(0.0, min(b, o[1]) - max(a, o[0])) for o in others) / max(0.2, b - a)
+    w = Window.partitionBy(*keys).orderBy("start_s", "end_s", "draw")
+    reach = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    parted = draws.select(*keys, "draw", "start_s", "end_s", "tier").withColumn("_open", F.when(F.col("start_s") - reach <= tolerance, 0).otherwise(1))
+    parted = parted.withColumn("_island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_open")
+    schema = ", ".join(f"`{c}` {draws.schema[c].dataType.simpleString()}" for c in keys)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = [(a, b, bool(r), p) for p, a, b, r in pdf.sort_values(["pass", "start_s", "end_s"])[["pass", "start_s", "end_s", "reliable"]].itertuples(index=False)]
-        out = [r for r in rows if r[3] == "a"]
-        sure = [r for r in out if r[2]]
-        for new in (r for r in rows if r[3] != "a" and r[2]):
-            if covered(new[0], new[1], sure) < 0.5:
-                out = [r for r in out if r[2] or covered(r[0], r[1], [new]) < 0.5] + [new]
-        done = pd.DataFrame(sorted(out), columns=["start_s", "end_s", "reliable", "pass"])
-        for k, c in enumerate(keys):
-            done.insert(k, c, pdf[c].iloc[0])
-        return done
-
-    return passes.groupBy(*keys).applyInPandas(run, f"{schema}, start_s double, end_s double, reliable boolean, pass string")
+        ordered = pdf.sort_values(["draw", "start_s", "end_s"])
+        low, high, tier = (ordered[c].to_numpy() for c in ("start_s", "end_s", "tier"))
+        chief: list[int] = []  # row of each cluster's representative
+        member = np.zeros(len(ordered), np.int64)
+        for row in range(len(ordered)):
+            near = np.flatnonzero((low[chief] <= high[row] + tolerance) & (high[chief] >= low[row] - tolerance)) if chief else []
+            member[row] = near[0] if len(near) else len(chief)
+            if not len(near):
+                chief.append(row)
+            elif tier[row] > tier[chief[near[0]]]:
+                chief[near[0]] = row
+        head = ordered[keys].iloc[:1].loc[ordered.index[:1].repeat(len(chief))].reset_index(drop=True)
+        return head.assign(start_s=low[chief], end_s=high[chief], tier=tier[chief].astype("int32"), members=np.bincount(member))
+
+    found = parted.groupBy(*keys, "_island").applyInPandas(run, f"{schema}, start_s double, end_s double, tier int, members long")
+    total = draws.groupBy(*keys).agg(F.count_distinct("draw").cast("int").alias("draws"))
+    return found.join(total, keys).select(*keys, "start_s", "end_s", "tier", F.least("members", "draws").cast("int").alias("seen"), "draws")
+
+
+def merge_passes(passes: DataFrame, keys: list[str], bin_width: float) -> DataFrame:
+    """Two transcripts of one recording: pass (a, or else b), start_s, end_s, reliable. Keeps a; adopts reliable lines of b that
+    reliable lines of a cover less than half, and retires unreliable lines of a that an adopted one covers at least half.
+
+    Neither step looks at its own results, so both are overlap joins.
+    """
+    rows = passes.select(*keys, "pass", "start_s", "end_s", "reliable").withColumn("_row", F.monotonically_increasing_id())
+    rows = cut_lineage(rows)  # the number must not change between the joins
+    first, second = rows.where("pass = 'a'"), rows.where("pass <> 'a' and reliable")
+    share = overlap_seconds(F.col("start_s"), F.col("end_s"), F.col("r_start_s"), F.col("r_end_s")) / F.greatest(F.lit(0.2), F.col("end_s") - F.col("start_s"))
+    spans = lambda df: df.select(*keys, "start_s", "end_s")
+    known = overlap_join(second, spans(first.where("reliable")), keys, bin_width).groupBy("_row").agg(F.sum(share).alias("known")).where("known >= 0.5")
+    adopted = second.join(known.select("_row"), "_row", "left_anti")
+    retired = overlap_join(first.where("not reliable"), spans(adopted), keys, bin_width).where(share >= 0.5).select("_row").distinct()
+    return first.join(retired, "_row", "left_anti").union(adopted).drop("_row")
 
 
 def sample_strata(df: DataFrame, strata: list[str], group: str, order: Column, n: int) -> DataFrame:
     """``n`` rows of each stratum, taken in turn from its groups."""
-    deep = df.withColumn("depth", F.row_number().over(Window.partitionBy(*strata, group).orderBy(order)))
+    deep = df.withColumn("depth", F.row_number().over(Window.partitionBy(*strata, group).orderBy(order))).where(F.col("depth") <= n)  # deeper rows cannot be picked
     return deep.withColumn("pick", F.row_number().over(Window.partitionBy(*strata).orderBy("depth", group))).where(F.col("pick") <= n)

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,12 +16,12 @@ def concatenated(windows: DataFrame, keys: list[str], pad_s: float = 0.2, gap_s:
     return padded.withColumn("at_s", F.coalesce(F.sum(F.col("to_s") - F.col("from_s") + gap_s).over(before), F.lit(0.0)))
 
 
-def map_back(points: DataFrame, placed: DataFrame, keys: list[str], gap_s: float = 0.5) -> DataFrame:
+def map_back(points: DataFrame, placed: DataFrame, keys: list[str], gap_s: float = 0.5, bin_width: float = 600.0) -> DataFrame:
     """Points (at) of the joined timeline in original time: within the window they fall into, a point in a gap at the window's edge."""
-    p = placed.select(*keys, "from_s", "to_s", "at_s")
     length = F.col("to_s") - F.col("from_s")
-    inside = points.join(p, keys).where((F.col("at") >= F.col("at_s")) & (F.col("at") < F.col("at_s") + length + gap_s))
-    return inside.withColumn("original_s", F.col("from_s") + F.least(F.col("at") - F.col("at_s"), length)).drop("from_s", "to_s", "at_s")
+    p = placed.select(*keys, "from_s", "to_s", "at_s").withColumn("bin", F.explode(F.sequence(F.floor(F.col("at_s") / bin_width), F.floor((F.col("at_s") + length + gap_s) / bin_width))))
+    inside = points.withColumn("bin", F.floor(F.col("at") / bin_width)).join(p, [*keys, "bin"]).where((F.col("at") >= F.col("at_s")) & (F.col("at") < F.col("at_s") + length + gap_s))
+    return inside.withColumn("original_s", F.col("from_s") + F.least(F.col("at") - F.col("at_s"), length)).drop("from_s", "to_s", "at_s", "bin")
 
 
 def words_to_lines(words: DataFrame, keys: list[str], gap_s: float = 0.7) -> DataFrame:
@@ -34,32 +32,71 @@ def words_to_lines(words: DataFrame, keys: list[str], gap_s: float = 0.7) -> Dat
     return runs.groupBy(*keys, "line").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("words"))
 
 
-def best_shift(a: np.ndarray, b: np.ndarray, most: int) -> tuple[int, float, float]:
-    """Shift of b against a with the highest correlation, its peak, and its lead over the best one elsewhere."""
-    scores = np.full(2 * most + 1, -1.0)
-    for k, shift in enumerate(range(-most, most + 1)):
-        x, y = (a[max(0, -shift) : len(b) - shift], b[max(0, shift) : shift + len(a)]) if len(a) else (a, b)
-        n = min(len(x), len(y))
-        if n > 2 and x[:n].std() > 0 and y[:n].std() > 0:
-            scores[k] = np.corrcoef(x[:n], y[:n])[0, 1]
-    top = int(scores.argmax())
-    rest = np.delete(scores, slice(max(0, top - 2), top + 3))
-    return top - most, float(scores[top]), float(scores[top] - (rest.max() if len(rest) else -1))
-
-
 def drift(frames: DataFrame, key: str, window: int, hop: int, most: int, peak: float = 0.55, margin: float = 0.10) -> DataFrame:
-    """Windows of two envelopes (i, a, b) that match at a shift: key, at, shift, peak; a track's frames are one task."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("i")
-        a, b, rows = pdf["a"].to_numpy(float), pdf["b"].to_numpy(float), []
-        for at in range(0, max(1, len(a) - window + 1), hop):
-            shift, top, lead = best_shift(a[at : at + window], b[at : at + window], most)
-            if top >= peak and lead >= margin:
-                rows.append((pdf[key].iloc[0], at, shift, top))
-        return pd.DataFrame(rows, columns=[key, "at", "shift", "peak"])
-
-    return frames.groupBy(key).applyInPandas(run, f"{key} {frames.schema[key].dataType.simpleString()}, at int, shift int, peak double")
+    """Windows of two envelopes (i from 0, a, b) that match at a shift: key, at, shift, peak.
+
+    A window's shift is that with the highest correlation of a[t] and b[t + shift] inside it, accepted from ``peak`` on
+    and with a lead of ``margin`` over all shifts further than two away. Each frame goes to the windows it lies in and
+    each shift, so a track is no single task.
+    """
+    last = F.max("i").over(Window.partitionBy(key))
+    a = frames.select(key, "i", "a", last.alias("last"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")).withColumn("j", F.col("i") + F.col("shift"))
+    pairs = a.join(frames.select(key, F.col("i").alias("j"), "b"), [key, "j"])
+    low, high = F.least("i", "j"), F.greatest("i", "j")
+    # windows begin at multiples of hop, hold both frames and end within the track (a short track is one window)
+    first = F.greatest(F.lit(0), F.ceil((high - (window - 1)) / hop))
+    ends = F.greatest(F.lit(0), F.floor((F.col("last") + 1 - window) / hop))
+    placed = pairs.withColumn("k", F.explode(F.when(F.least(F.floor(low / hop), ends) >= first, F.sequence(first, F.least(F.floor(low / hop), ends)))))
+    scores = placed.groupBy(key, (F.col("k") * hop).cast("int").alias("at"), "shift").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
+    scores = scores.withColumn("r", F.when(F.col("n") > 2, F.col("r")))  # null where a side does not vary
+    top = scores.where("r is not null").groupBy(key, "at").agg(F.max(F.struct("r", (-F.col("shift")).alias("s"))).alias("top")).select(key, "at", F.col("top.r").alias("peak"), (-F.col("top.s")).alias("best"))
+    rest = scores.join(top, [key, "at"]).groupBy(key, "at", "peak", "best").agg(F.max(F.when(F.abs(F.col("shift") - F.col("best")) > 2, F.coalesce("r", F.lit(-1.0)))).alias("second"))
+    kept = rest.where((F.col("peak") >= peak) & (F.col("peak") - F.coalesce("second", F.lit(-1.0)) >= margin))
+    return kept.select(key, "at", F.col("best").cast("int").alias("shift"), "peak")
+
+
+def drift_at(points: DataFrame, windows: DataFrame, keys: list[str], ids: list[str], fallback: float, within: float = 60.0) -> DataFrame:
+    """Points (at_s) with drift_s: that of the nearest confident window (center_s, drift_s) at most ``within`` away, of equals the earlier, else ``fallback``."""
+    p = points.select(*keys, *ids, "at_s").withColumn("bin", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("at_s") / within) + d)))
+    w = windows.select(*keys, "center_s", "drift_s").withColumn("bin", F.floor(F.col("center_s") / within))
+    away = F.abs(F.col("center_s") - F.col("at_s"))
+    near = p.join(w, [*keys, "bin"]).where(away <= within).groupBy(*keys, *ids).agg(F.min(F.struct(away.alias("away"), "center_s", "drift_s")).alias("best"))
+    return points.join(near, [*keys, *ids], "left").withColumn("drift_s", F.coalesce("best.drift_s", F.lit(float(fallback)))).drop("best")
+
+
+def chunked(placed: DataFrame, keys: list[str], most_s: float = 560.0) -> DataFrame:
+    """Placed windows (from_s, to_s, at_s of ``concatenated``) with chunk: runs whose joined length stays within ``most_s``, cut between windows.
+
+    Where a chunk ends depends on where it began, so the windows of a recording are walked in order; a longer window is alone.
+    """
+    rows = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at_s", "from_s", "to_s"))).alias("w"))
+    start = F.struct(F.lit(0.0).alias("begin"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, x: Column) -> Column:
+        fresh = (acc["n"] < 0) | (x["at_s"] + x["to_s"] - x["from_s"] - acc["begin"] > most_s)
+        n = F.when(fresh, acc["n"] + 1).otherwise(acc["n"])
+        return F.struct(F.when(fresh, x["at_s"]).otherwise(acc["begin"]).alias("begin"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
+
+    numbered = rows.select(*keys, F.explode(F.arrays_zip("w", F.aggregate("w", start, step, lambda a: a["out"]).alias("chunk"))).alias("x"))
+    return numbered.select(*keys, "x.w.from_s", "x.w.to_s", "x.w.at_s", F.col("x.chunk").alias("chunk"))
+
+
+def monotone(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
+    """Events that go beyond all before them: reported progress never falls back or repeats."""
+    before = F.max(value).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return events.withColumn("_before", before).where(F.col(value) > F.coalesce("_before", F.lit(float("-inf")))).drop("_before")
+
+
+def resampled(samples: DataFrame, keys: list[str], step_s: float) -> DataFrame:
+    """Samples (at_s, value) linearly interpolated at multiples of ``step_s`` between a key's first and last one."""
+    w = Window.partitionBy(*keys).orderBy("at_s")
+    segments = samples.withColumns({"_to": F.lead("at_s").over(w), "_next": F.lead("value").over(w)})
+    # each stretch owns the multiples from its start on, the last one its end, too
+    last = F.coalesce("_to", F.col("at_s"))
+    low, high = F.ceil(F.col("at_s") / step_s), F.floor(last / step_s) - F.when(F.col("_to").isNotNull() & (F.floor(last / step_s) * step_s == last), 1).otherwise(0)
+    at = segments.withColumn("_k", F.explode(F.when(high >= low, F.sequence(low, high)))).withColumn("_at", F.col("_k") * step_s)
+    share = F.when(F.col("_to") > F.col("at_s"), (F.col("_at") - F.col("at_s")) / (F.col("_to") - F.col("at_s"))).otherwise(0.0)
+    return at.select(*keys, F.col("_at").alias("at_s"), (F.col("value") + share * (F.coalesce("_next", "value") - F.col("value"))).alias("value"))
 
 
 def nearby(points: DataFrame, others: DataFrame, keys: list[str], ids: list[str], within: float) -> DataFrame:

@@ -706,16 +706,31 @@ def mapping_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def dp_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best order-preserving pairing of a conversation's user and assistant turns by shared words."""
-    t = tables.turns(spark, sf_dir).withColumn("w", texts.content_words(F.col("text")))
+    t = tables.turns(spark, sf_dir).select("key", "line", "start_s", (F.col("speaker") == "user").alias("side"), texts.content_words(F.col("text")).alias("w"))
     number = F.row_number().over(Window.partitionBy("key", "side").orderBy("line")) - 1
-    side = t.withColumn("side", F.col("speaker") == "user").withColumn("n", number)
-    a = side.where("side").select("key", F.col("n").alias("i"), "start_s", F.col("w").alias("wa"))
-    b = side.where("not side").select("key", F.col("n").alias("j"), F.col("start_s").alias("other_start_s"), F.col("w").alias("wb"))
-    shared = F.size(F.array_intersect("wa", "wb")) / F.greatest(F.lit(1), F.least(F.size("wa"), F.size("wb")))
-    return sequence.align_sequences(a.join(b, "key").select("key", "i", "j", "start_s", "other_start_s", shared.alias("sim")), "key")
-
-
-@query()
+    side = cut_lineage(t.withColumn("n", number))
+    part = lambda c, n: side.where(c).select("key", F.col("n").alias(n), "start_s", F.size("w").alias(f"size_{n}"), "w")
+    a, b = part("side", "i"), part("not side", "j")
+    # turns that share no word have similarity 0 and never meet
+    words = lambda df, n: df.select("key", n, f"size_{n}", F.explode("w").alias("word"))
+    sims = words(a, "i").join(words(b, "j"), ["key", "word"]).groupBy("key", "i", "j").agg((F.count(F.lit(1)) / F.greatest(F.lit(1), F.least(F.first("size_i"), F.first("size_j")))).alias("sim"))
+    return sequence.align_sequences(a.select("key", "i", "start_s"), b.select("key", "j", "start_s"), sims, "key")
+
+
+FRAMES = """frames AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, value FROM events)"""
+
+
+@query(f"""WITH {FRAMES}, f AS (SELECT user_id, i, least(1.0, value / 100) AS p FROM frames), n AS (SELECT user_id, count(*) * 0.032::DOUBLE AS len FROM f GROUP BY 1),
+g AS (SELECT *, sum(CASE WHEN p >= 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS g FROM f),
+h AS (SELECT user_id, g, min(i) AS a, min(i) FILTER (p < 0.35) AS q, max(i) FILTER (p < 0.35) AS l FROM g WHERE g > 0 GROUP BY ALL),
+o AS (SELECT *, coalesce((l - q) * 0.032::DOUBLE >= 0.12 - 1e-9, false) AS silent, coalesce(lag(coalesce((l - q) * 0.032::DOUBLE >= 0.12 - 1e-9, false)) OVER (PARTITION BY user_id ORDER BY g), true) AS opens FROM h),
+r AS (SELECT *, sum(opens::INT) OVER (PARTITION BY user_id ORDER BY g) AS r FROM o),
+s AS (SELECT user_id, r, min(a * 0.032::DOUBLE) AS start_s, arg_max(CASE WHEN silent THEN q * 0.032::DOUBLE ELSE -1 END, g) AS stop FROM r GROUP BY ALL),
+e AS (SELECT user_id, start_s, CASE WHEN stop < 0 THEN len ELSE stop END AS end_s, len FROM s JOIN n USING (user_id)),
+p AS (SELECT user_id, greatest(0, start_s - 0.12) AS start_s, least(len, end_s + 0.12) AS end_s FROM e WHERE end_s - start_s >= 0.09 - 1e-9),
+c AS (SELECT *, max(end_s) OVER (PARTITION BY user_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM p),
+d AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS k FROM c)
+SELECT user_id, round(min(start_s), 3) AS start_s, round(max(end_s), 3) AS end_s FROM d GROUP BY user_id, k""")
 def vad_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Speech regions of each user's events read as frames."""
     frames = read(spark, sf_dir, "events").select("user_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).alias("i"), F.least(F.lit(1.0), F.col("value") / 100).alias("prob"), F.lit(0.032).alias("step_s"))
@@ -729,11 +744,16 @@ def draw_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.cluster_draws(s.select("key", F.col("kind").alias("draw"), "start_s", "end_s", (F.col("id") % 3).cast("int").alias("tier")), ["key"], 2.5)
 
 
-@query()
+@query(f"""WITH {SPANS}, p AS (SELECT key, id, CASE kind WHEN 'click' THEN 'a' ELSE 'b' END AS pass, start_s, end_s, id % 4 <> 0 AS reliable FROM spans WHERE kind IN ('click', 'view')),
+k AS (SELECT b.id FROM p b JOIN p a ON a.key = b.key AND a.pass = 'a' AND a.reliable AND a.start_s < b.end_s AND b.start_s < a.end_s WHERE b.pass = 'b' GROUP BY b.id, b.start_s, b.end_s
+  HAVING sum((least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)) / greatest(0.2, b.end_s - b.start_s)) >= 0.5),
+adopted AS (SELECT * FROM p WHERE pass = 'b' AND reliable AND id NOT IN (SELECT id FROM k)),
+kept AS (SELECT * FROM p WHERE pass = 'a' AND NOT (NOT reliable AND EXISTS (SELECT 1 FROM adopted b WHERE b.key = p.key AND b.start_s < p.end_s AND p.start_s < b.end_s AND (least(b.end_s, p.end_s) - greatest(b.start_s, p.start_s)) / greatest(0.2, p.end_s - p.start_s) >= 0.5)))
+SELECT key, pass, start_s, end_s, reliable FROM kept UNION ALL SELECT key, pass, start_s, end_s, reliable FROM adopted""")
 def transcript_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two transcripts of one recording in one."""
     s = tables.spans(spark, sf_dir).where("kind in ('click', 'view')")
-    return store.merge_passes(s.select("key", F.when(F.col("kind") == "click", "a").otherwise("b").alias("pass"), "start_s", "end_s", (F.col("id") % 4 != 0).alias("reliable")), ["key"])
+    return store.merge_passes(s.select("key", F.when(F.col("kind") == "click", "a").otherwise("b").alias("pass"), "start_s", "end_s", (F.col("id") % 4 != 0).alias("reliable")), ["key"], BIN_S)
 
 
 @query()
@@ -753,9 +773,14 @@ def roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.match_roster(fuzzy.score_names(pairs, "channel", "entry"), ["p_brand", "channel"], "entry", "base", "generic")
 
 
-@query()
+@query(f"""WITH {FRAMES}, f AS (SELECT user_id, i, value AS a, coalesce(lag(value, 3) OVER (PARTITION BY user_id ORDER BY i), 0) AS b FROM frames), n AS (SELECT user_id, max(i) + 1 AS n FROM f GROUP BY 1),
+w AS (SELECT user_id, unnest(range(0, greatest(1, n - 29), 10)) AS pos FROM n), s AS (SELECT unnest(range(-6, 7)) AS shift),
+r AS (SELECT w.user_id, pos, shift, CASE WHEN count(*) > 2 AND stddev_pop(x.a) > 0 AND stddev_pop(y.b) > 0 THEN covar_pop(x.a, y.b) / (stddev_pop(x.a) * stddev_pop(y.b)) END AS r FROM w JOIN f x ON x.user_id = w.user_id AND x.i >= pos AND x.i < pos + 30 CROSS JOIN s JOIN f y ON y.user_id = x.user_id AND y.i = x.i + shift AND y.i >= pos AND y.i < pos + 30 GROUP BY ALL),
+t AS (SELECT user_id, pos, arg_max(shift, r) AS best, max(r) AS peak FROM r WHERE r IS NOT NULL GROUP BY ALL),
+m AS (SELECT t.user_id, t.pos, best, peak, coalesce(max(CASE WHEN abs(shift - best) > 2 THEN coalesce(r, -1) END), -1) AS second FROM t JOIN r ON r.user_id = t.user_id AND r.pos = t.pos GROUP BY ALL)
+SELECT user_id, pos AS "at", best AS shift, round(peak, 6) AS peak FROM m WHERE peak >= 0.55 AND peak - second >= 0.1""")
 def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windows of a user's values that match the values shifted by three."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     frames = read(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("i"), F.col("value").alias("a"), F.coalesce(F.lag("value", 3).over(w), F.lit(0.0)).alias("b"))
-    return timeline.drift(frames, "user_id", 30, 10, 6)
+    return timeline.drift(frames, "user_id", 30, 10, 6).select("user_id", F.col("at").cast("long").alias("at"), F.col("shift").cast("long").alias("shift"), F.round("peak", 6).alias("peak"))

@@ -1,4 +1,5 @@
 import random
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -6,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from spanweave.config import GATES, AlignConfig
+from spanweave.config import GATES, SEQUENCE, VAD, AlignConfig
 from spanweave.operators import gates, intervals, islands, mapping, segments, sequence, store
 from spanweave.operators import names as fuzzy
 from spanweave.plans import alignment, reports
@@ -120,32 +121,84 @@ def test_mapping_repair(spark):
     assert ("name_mismatch", "ann", "A") in i and ("verified_absent", "bob", None) in i
 
 
-def test_speech_runs():
-    p = [0.0] * 5 + [0.9] * 10 + [0.4] * 10 + [0.1] * 3 + [0.9] * 2 + [0.1] * 10 + [0.9]
-    assert segments.speech_runs(p, 0.032) == [(5 * 0.032, 30 * 0.032)]
-    assert segments.speech_runs([0.9] * 4, 0.032) == [(0.0, 4 * 0.032)] and segments.speech_runs([0.9, 0.9], 0.032) == []
-
-
-@settings(max_examples=40, deadline=None)
-@given(st.integers(1, 6), st.integers(1, 6), st.integers(0, 10_000))
-def test_best_path_is_optimal_without_merges(n, m, seed):
-    from dataclasses import replace
-
-    from spanweave.config import SEQUENCE
-
-    sim = np.random.default_rng(seed).random((n, m))
-    cfg, gap, least = replace(SEQUENCE, merge_cost=9.0), 0.35, 0.5
-    path = sequence.best_path(sim, np.zeros(n), np.zeros(m), gap, least, cfg)
-    got = sum(s if k == "pair" else -gap for k, _, _, s in path)
-
+def plain_regions(p, step, cfg=VAD):
+    """One frame after the other."""
+    off, runs, start, quiet = max(0.15, min(cfg.off, cfg.on - 0.15)), [], None, None
+    for k, x in enumerate([*p, None]):
+        if x is None:
+            runs += [(start, k)] if start is not None else []
+        elif x >= cfg.on:
+            start, quiet = (k if start is None else start), None
+        elif x < off and start is not None:
+            quiet = k if quiet is None else quiet
+            if (k - quiet) * step >= cfg.min_silence_s - 1e-9:
+                runs.append((start, quiet))
+                start = quiet = None
+    out = []
+    for a, b in runs:
+        if (b - a) * step >= cfg.min_speech_s - 1e-9:
+            a, b = max(0.0, a * step - cfg.pad_s), min(len(p) * step, b * step + cfg.pad_s)
+            if out and a <= out[-1][1]:
+                out[-1] = (out[-1][0], b)
+            else:
+                out.append((a, b))
+    return [(round(a, 3), round(b, 3)) for a, b in out]
+
+
+def test_speech_regions(spark):
+    rng = random.Random(2)
+    tracks = [[rng.choice([0.0, 0.1, 0.2, 0.4, 0.45, 0.6, 0.9]) if rng.random() < 0.5 else last for last in [rng.choice([0.0, 0.9])] for _ in range(rng.randrange(1, 200))] for _ in range(40)]
+    tracks += [[0.9], [0.9] * 4, [0.0] * 20, [0.0] * 5 + [0.9] * 10 + [0.4] * 10 + [0.1] * 3 + [0.9] * 2 + [0.1] * 10 + [0.9]]
+    for t in tracks[:20]:  # long stretches
+        for _ in range(6):
+            k = rng.randrange(len(t))
+            t[k : k + rng.randrange(20)] = [rng.choice([0.0, 0.3, 0.4, 0.9])] * len(t[k : k + rng.randrange(1, 20)])
+    rows = [(n, i, float(p), 0.032) for n, t in enumerate(tracks) for i, p in enumerate(t)]
+    found = segments.detect_speech(spark.createDataFrame(rows, "track int, i int, prob double, step_s double"), ["track"]).collect()
+    for n, t in enumerate(tracks):
+        assert sorted((r.start_s, r.end_s) for r in found if r.track == n) == plain_regions(t, 0.032), n
+
+
+def plain_best(sim, starts, others, gap, least, cfg):
+    """The best score over all monotone paths, by recursion."""
+    n, m = len(starts), len(others)
+    ok = lambda i, j: sim[i, j] if sim[i, j] >= least and abs(starts[i] - others[j]) <= cfg.band_s else -np.inf
+
+    @lru_cache(None)
     def best(i, j):
         if i == n or j == m:
             return -gap * (n - i + m - j)
-        pair = sim[i, j] + best(i + 1, j + 1) if sim[i, j] >= least else -np.inf
-        return max(pair, best(i + 1, j) - gap, best(i, j + 1) - gap)
-
-    assert np.isclose(got, best(0, 0))
-    assert sorted(i for k, i, _, _ in path if k != "extra") == list(range(n)) and sorted(j for k, _, j, _ in path if k != "missing") == list(range(m))
+        two = max(ok(i, j), ok(i, j + 1)) - cfg.merge_cost + best(i + 1, j + 2) if j + 1 < m else -np.inf
+        return max(ok(i, j) + best(i + 1, j + 1), two, best(i + 1, j) - gap, best(i, j + 1) - gap)
+
+    return best(0, 0)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.integers(0, 7), st.integers(0, 7), st.integers(0, 100_000), st.booleans())
+def test_best_path_is_optimal(n, m, seed, ordered):
+    rng = np.random.default_rng(seed)
+    sim = rng.integers(0, 11, (n, m)) / 10
+    starts, others = rng.integers(0, 90, n).astype(float), rng.integers(0, 90, m).astype(float)
+    if ordered:
+        starts, others = np.sort(starts), np.sort(others)
+    gap, least = 0.35, 0.5
+    path = sequence.best_path([(i, j, sim[i, j]) for i in range(n) for j in range(m)], starts, others, gap, least)
+    pairs = [(i, j) for k, i, j, _ in path if k == "pair"]
+    assert all(sim[i, j] >= least and abs(starts[i] - others[j]) <= 25 for i, j in pairs)
+    assert sorted(i for k, i, _, _ in path if k == "missing") == sorted(set(range(n)) - {i for i, _ in pairs})
+    extra = [j for k, _, j, _ in path if k == "extra"]
+    assert len(set(extra)) == len(extra) and not set(extra) & {j for _, j in pairs}
+    by_line = {}
+    for i, j in sorted(pairs):
+        by_line.setdefault(i, []).append(j)
+    flat = [j for i in sorted(by_line) for j in by_line[i]]
+    assert flat == sorted(flat) and all(len(js) <= 2 and js[-1] - js[0] == len(js) - 1 for js in by_line.values())
+    # others that are neither paired nor extra were taken by a merge beside a pair
+    taken = set(range(m)) - set(extra) - {j for _, j in pairs}
+    merged = sum(len(js) == 2 for js in by_line.values()) + len(taken)
+    got = sum(max(sim[i, j] for j in js) for i, js in by_line.items()) - 0.05 * merged - gap * (len(extra) + n - len(by_line))
+    assert np.isclose(got, plain_best(sim, tuple(starts), tuple(others), gap, least, SEQUENCE))
 
 
 def test_stores(spark):
@@ -155,11 +208,31 @@ def test_stores(spark):
     assert [r.k for r in store.added(old, new, "k").collect()] == [3]
 
 
-def test_draws_and_passes(spark):
-    draws = spark.createDataFrame([(1, "a", 0.0, 1.0, 0), (1, "b", 3.0, 4.0, 2), (1, "b", 20.0, 21.0, 1)], "key int, draw string, start_s double, end_s double, tier int")
-    assert sorted((r.start_s, r.tier, r.seen, r.draws) for r in store.cluster_draws(draws, ["key"], 2.5).collect()) == [(3.0, 2, 2, 2), (20.0, 1, 1, 2)]
-    passes = spark.createDataFrame([(1, "a", 0.0, 2.0, True), (1, "a", 5.0, 6.0, False), (1, "b", 0.0, 2.0, True), (1, "b", 5.0, 6.5, True), (1, "b", 9.0, 10.0, False)], "key int, pass string, start_s double, end_s double, reliable boolean")
-    assert sorted((r["pass"], r.start_s) for r in store.merge_passes(passes, ["key"]).collect()) == [("a", 0.0), ("b", 5.0)]
+def test_draws_against_brute_force(spark):
+    rng = random.Random(4)
+    rows = [(rng.randrange(4), rng.choice("abc"), float(a := rng.randrange(300)), float(a + rng.randrange(1, 6)), rng.randrange(3)) for _ in range(200)]
+    want = []
+    for key in range(4):
+        mine = sorted(r[1:] for r in rows if r[0] == key)
+        seen = []
+        for draw, a, b, t in mine:
+            hit = next((c for c in seen if c[0] <= b + 2.5 and a <= c[1] + 2.5), None)
+            if hit is None:
+                seen.append([a, b, t, 1])
+            else:
+                hit[3] += 1
+                if t > hit[2]:
+                    hit[:3] = [a, b, t]
+        n = len({r[0] for r in mine})
+        want += [(key, a, b, t, min(k, n), n) for a, b, t, k in seen]
+    df = spark.createDataFrame(rows, "key int, draw string, start_s double, end_s double, tier int")
+    assert sorted(map(tuple, store.cluster_draws(df, ["key"], 2.5).collect())) == sorted(want)
+
+
+def test_passes(spark):
+    passes = spark.createDataFrame([(1, "a", 0.0, 2.0, True), (1, "a", 5.0, 6.0, False), (1, "b", 0.0, 2.0, True), (1, "b", 5.0, 6.5, True), (1, "b", 9.0, 10.0, False), (2, "a", 0.0, 4.0, True), (2, "b", 2.0, 6.0, True), (2, "b", 2.1, 6.0, True), (2, "a", 4.0, 9.0, False), (2, "a", 4.0, 7.0, False)], "key int, pass string, start_s double, end_s double, reliable boolean")
+    got = sorted((r.key, r["pass"], r.start_s, r.end_s) for r in store.merge_passes(passes, ["key"], 4.0).collect())
+    assert got == [(1, "a", 0.0, 2.0), (1, "b", 5.0, 6.5), (2, "a", 0.0, 4.0), (2, "a", 4.0, 9.0), (2, "b", 2.1, 6.0)]
 
 
 def test_root_causes(spark):
@@ -185,11 +258,72 @@ def test_joined_timelines_map_back(spark):
     assert got == [10.0, 11.8, 29.9, 32.9, 33.2, 64.0]
 
 
-def test_drift_finds_the_shift():
-    from spanweave.operators.timeline import best_shift
+def plain_drift(a, b, window, hop, most):
+    out = []
+    for at in range(0, max(1, len(a) - window + 1), hop):
+        x, y, scores = a[at : at + window], b[at : at + window], {}
+        for shift in range(-most, most + 1):
+            pairs = [(x[t], y[t + shift]) for t in range(len(x)) if 0 <= t + shift < len(y)]
+            r = np.corrcoef(*zip(*pairs, strict=True))[0, 1] if len(pairs) > 2 and min(np.std([p[k] for p in pairs]) for k in (0, 1)) > 0 else -1.0
+            scores[shift] = r
+        top = max(scores, key=lambda s: (scores[s], -s))
+        rest = [r for s, r in scores.items() if abs(s - top) > 2]
+        if scores[top] >= 0.55 and scores[top] - max(rest, default=-1) >= 0.1:
+            out.append((at, top, round(scores[top], 9)))
+    return out
+
+
+def test_drift_against_brute_force(spark):
+    rng = np.random.default_rng(1)
+    tracks = {1: (x := rng.random(200), np.roll(x, 4)), 2: (y := rng.random(25), np.roll(y, -2)), 3: (np.ones(60), rng.random(60))}
+    rows = [(k, i, float(a[i]), float(b[i])) for k, (a, b) in tracks.items() for i in range(len(a))]
+    from spanweave.operators import timeline
+
+    got = timeline.drift(spark.createDataFrame(rows, "key int, i int, a double, b double"), "key", 30, 10, 6).collect()
+    want = [(k, *w) for k, (a, b) in tracks.items() for w in plain_drift(a, b, 30, 10, 6)]
+    assert sorted((r.key, r.at, r["shift"], round(r.peak, 9)) for r in got) == want and len(want) > 10
+
+
+def test_timeline_helpers(spark):
+    from spanweave.operators import timeline
 
-    a = np.random.default_rng(1).random(200)
-    assert best_shift(a[5:], a[:-5], 10)[0] in (5, -5)
+    points = spark.createDataFrame([(1, 1, 10.0), (1, 2, 100.0), (1, 3, 170.0), (2, 1, 5.0)], "key int, id int, at_s double")
+    windows = spark.createDataFrame([(1, 40.0, 1.5), (1, 115.0, -2.0)], "key int, center_s double, drift_s double")
+    assert {(r.key, r.id): r.drift_s for r in timeline.drift_at(points, windows, ["key"], ["id"], 9.0).collect()} == {(1, 1): 1.5, (1, 2): -2.0, (1, 3): -2.0, (2, 1): 9.0}
+    placed = timeline.concatenated(spark.createDataFrame([(1, float(i), float(i) + 0.1) for i in range(0, 50, 2)] + [(1, 100.0, 200.0)], "key int, start_s double, end_s double"), ["key"])
+    chunks = timeline.chunked(placed, ["key"], 10.0).orderBy("at_s").collect()
+    want, begin, n = [], None, -1
+    for r in placed.orderBy("at_s").collect():
+        if begin is None or r.at_s + r.to_s - r.from_s - begin > 10.0:
+            begin, n = r.at_s, n + 1
+        want.append(n)
+    assert [r.chunk for r in chunks] == want and max(want) >= 2
+    progress = spark.createDataFrame([(1, 1, 5), (1, 2, 5), (1, 3, 3), (1, 4, 9), (1, 5, 9), (1, 6, 10)], "key int, t int, pct int")
+    assert [r.t for r in timeline.monotone(progress, ["key"], ["t"], "pct").orderBy("t").collect()] == [1, 4, 6]
+    samples = [(1, t, float(v)) for t, v in [(0.0, 0), (1.0, 10), (2.5, 4), (4.0, 4)]]
+    got = {r.at_s: r.value for r in timeline.resampled(spark.createDataFrame(samples, "key int, at_s double, value double"), ["key"], 0.5).collect()}
+    assert got == {t: float(np.interp(t, [0, 1, 2.5, 4], [0, 10, 4, 4])) for t in np.arange(0, 4.01, 0.5)}
+
+
+def test_levels_of_speech(spark):
+    lines = spark.createDataFrame([(1, 1, 1.0, 2.0), (1, 2, 8.0, 9.0)], "key int, line int, start_s double, end_s double")
+    regions = spark.createDataFrame([(1, 1.2, 1.6), (1, 1.5, 1.8), (1, 5.0, 6.0)], "key int, start_s double, end_s double")
+    frames = spark.createDataFrame([(1, k / 10, (k + 1) / 10, (k % 7 + 1) / 10, (k % 5 + 1) / 10) for k in range(100)], "key int, start_s double, end_s double, rms double, peak double")
+    got = segments.levels_in_speech(lines, regions, frames, ["key"], ["line"], 5.0).collect()
+    touched = [k for k in range(100) if k / 10 < 1.8 and (k + 1) / 10 > 1.2]
+    power = (sum(((k % 7 + 1) / 10) ** 2 for k in touched) / len(touched)) ** 0.5
+    assert [(r.line, r.level_db, r.peak_db) for r in got] == [(1, round(20 * np.log10(power), 1), round(20 * np.log10(max((k % 5 + 1) / 10 for k in touched)), 1))]
+    level = segments.reference_level(frames, regions, ["key"], 5.0).first().reference_db
+    inside = [(k % 7 + 1) / 10 for a, b in ((1.2, 1.6), (1.5, 1.8), (5.0, 6.0)) for k in range(100) if k / 10 >= a and (k + 1) / 10 <= b]
+    assert level == round(20 * np.log10(float(np.median(inside))), 1)
+
+
+def test_sung_lines(spark):
+    frames = [(1, k / 10, (k + 1) / 10, 0.1, 0.2 if k < 100 else 0.01) for k in range(300)]
+    df = spark.createDataFrame(frames, "key int, start_s double, end_s double, voice double, music double")
+    lines = spark.createDataFrame([(1, 1, 4.0, 6.0), (1, 2, 20.0, 21.0), (1, 3, 90.0, 91.0)], "key int, line int, start_s double, end_s double")
+    got = {r.line: (r.sung, r.sung_margin_db) for r in segments.sung(lines, df, ["key"], ["line"], 5.0).collect()}
+    assert got == {1: (True, 6.0), 2: (False, -20.0), 3: (None, None)}
 
 
 def test_inventories(spark):
