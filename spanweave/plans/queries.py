@@ -112,10 +112,10 @@ ALIGNED = f"""{SPANS}, {OFFSETS}, moved AS (SELECT l.key, l.line, l.speaker, l.s
 owned AS (SELECT * FROM regions WHERE channel <> 'error'),
 own AS (SELECT m.key, m.line, sum(least(m.end_s, r.end_s) - greatest(m.start_s, r.start_s)) / greatest(1e-9, m.end_s - m.start_s) AS coverage, min(r.start_s) AS h0, max(r.end_s) AS h1
   FROM moved m JOIN owned r ON m.key = r.key AND m.speaker = r.channel AND r.start_s < m.end_s AND m.start_s < r.end_s GROUP BY m.key, m.line, m.start_s, m.end_s),
-side0 AS (SELECT m.key, m.line, r.channel, sum(least(m.end_s, r.end_s) - greatest(m.start_s, r.start_s)) / greatest(1e-9, m.end_s - m.start_s) AS c
+side0 AS (SELECT m.key, m.line, r.channel, min(r.start_s) AS s0, max(r.end_s) AS s1, sum(least(m.end_s, r.end_s) - greatest(m.start_s, r.start_s)) / greatest(1e-9, m.end_s - m.start_s) AS c
   FROM moved m JOIN owned r ON m.key = r.key AND m.speaker <> r.channel AND r.start_s < m.end_s AND m.start_s < r.end_s GROUP BY m.key, m.line, m.start_s, m.end_s, r.channel),
 side AS (SELECT * FROM side0 QUALIFY row_number() OVER (PARTITION BY key, line ORDER BY c DESC, channel) = 1),
-typed AS (SELECT m.*, own.coverage, h0, h1, side.channel AS sibling, side.c AS sibling_coverage, CASE
+typed AS (SELECT m.*, own.coverage, h0, h1, s0, s1, side.channel AS sibling, side.c AS sibling_coverage, CASE
   WHEN (own.coverage IS NULL OR own.coverage < 0.15) AND coalesce(side.c >= 0.15, false) THEN 'MISMATCH' WHEN own.coverage IS NULL OR own.coverage < 0.15 THEN 'MISSING' WHEN own.coverage < 0.75 THEN 'MISALIGNED' ELSE 'OK' END AS type
   FROM moved m LEFT JOIN own USING (key, line) LEFT JOIN side USING (key, line))"""
 
@@ -125,12 +125,12 @@ def _aligned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return alignment.align(tables.lines(spark, sf_dir), tables.regions(spark, sf_dir), own, BIN_S, HOURS)
 
 
-@query(f"""WITH {ALIGNED} SELECT key, line, type, coverage, CASE WHEN type = 'MISMATCH' THEN sibling END AS delivered_by,
+@query(f"""WITH {ALIGNED} SELECT key, line, type, CASE type WHEN 'MISMATCH' THEN sibling_coverage ELSE coalesce(coverage, 0) END AS coverage, CASE type WHEN 'MISMATCH' THEN s0 - offset_s WHEN 'MISALIGNED' THEN h0 - offset_s END AS audio_start_s, CASE type WHEN 'MISMATCH' THEN s1 - offset_s WHEN 'MISALIGNED' THEN h1 - offset_s END AS audio_end_s, CASE WHEN type = 'MISMATCH' THEN sibling END AS delivered_by,
   CASE WHEN type = 'MISALIGNED' THEN (greatest(start_s, h0) + least(end_s, h1)) / 2 - (start_s + end_s) / 2 END AS drift_s,
   CASE WHEN type = 'MISALIGNED' THEN CASE WHEN (greatest(start_s, h0) + least(end_s, h1)) / 2 - (start_s + end_s) / 2 > 0 THEN 'late' ELSE 'early' END END AS subtype FROM typed""")
 def line_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing, mismatched and misaligned lines, offsets taken off."""
-    return _aligned(spark, sf_dir)["findings"].select("key", "line", "type", "coverage", "delivered_by", "drift_s", "subtype")
+    return _aligned(spark, sf_dir)["findings"].select("key", "line", "type", "coverage", "audio_start_s", "audio_end_s", "delivered_by", "drift_s", "subtype")
 
 
 @query(f"""WITH {ALIGNED}, miss AS (SELECT key, line, start_s - offset_s AS start_s, end_s - offset_s AS end_s FROM typed WHERE type = 'MISSING'),
@@ -153,6 +153,55 @@ def sync_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _aligned(spark, sf_dir)["sync"].select("key", "speaker", "offset_s", "direction")
 
 
+@query(f"""WITH {ALIGNED} SELECT key, line, CASE WHEN (coverage IS NULL OR coverage < 0.15) AND coalesce(sibling_coverage >= 0.15, false) THEN 'MISMATCH' WHEN coverage IS NULL OR coverage < 0.15 THEN 'MISSING' WHEN coverage < 0.5 THEN 'MISALIGNED' ELSE 'OK' END AS type FROM typed""")
+def realigned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored lines judged anew at a tolerance of one second."""
+    return alignment.judge_lines(_aligned(spark, sf_dir)["scored"], replace(HOURS, tolerance_s=1.0)).select("key", "line", "type")
+
+
+# Lines of several speakers, some unmapped, some in a bundle; channels nobody owns, and a bundle.
+CAST = f"""{SPANS.replace("lines AS", "lines1 AS").replace("regions AS", "regions1 AS")},
+lines AS (SELECT key, line, unnest(CASE WHEN line % 7 = 0 THEN ['narrator'] WHEN line % 11 = 0 THEN ['guard'] WHEN line % 5 = 0 THEN ['click', 'view'] ELSE [speaker] END) AS speaker, start_s, end_s FROM lines1),
+regions AS (SELECT key, region, CASE WHEN region % 13 = 0 THEN 'spare' WHEN channel = 'error' THEN 'walla_bg' ELSE channel END AS channel, start_s, end_s FROM regions1)"""
+CAST_ALIGNED = ALIGNED.replace(SPANS, CAST).replace("channel <> 'error'", "channel IN ('click', 'signup', 'view')").replace("lines l LEFT JOIN offs", "(SELECT * FROM lines WHERE speaker IN ('click', 'signup', 'view')) l LEFT JOIN offs").replace("m.key, m.line,", "m.key, m.speaker, m.line,").replace("PARTITION BY key, line", "PARTITION BY key, speaker, line").replace("USING (key, line)", "USING (key, speaker, line)")
+
+
+def _cast(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    n = F.col("line")
+    who = F.when(n % 7 == 0, F.array(F.lit("narrator"))).when(n % 11 == 0, F.array(F.lit("guard"))).when(n % 5 == 0, F.array(F.lit("click"), F.lit("view"))).otherwise(F.array("speaker"))
+    lines = alignment.by_speaker(tables.lines(spark, sf_dir).withColumn("characters", who).drop("speaker"))
+    channel = F.when(F.col("region") % 13 == 0, "spare").when(F.col("channel") == "error", "walla_bg").otherwise(F.col("channel"))
+    own = spark.createDataFrame([(c, c) for c in ("click", "signup", "view")], "speaker string, channel string")
+    return alignment.align(lines, tables.regions(spark, sf_dir).withColumn("channel", channel), own, BIN_S, HOURS, spark.createDataFrame([("guard",)], "speaker string"))
+
+
+@query(f"""WITH {CAST_ALIGNED}, miss AS (SELECT key, speaker, line, start_s - offset_s AS start_s, end_s - offset_s AS end_s FROM typed WHERE type = 'MISSING'),
+c AS (SELECT m.key, m.speaker, m.line, r.channel, sum(least(m.end_s, r.end_s) - greatest(m.start_s, r.start_s)) / greatest(1e-9, m.end_s - m.start_s) AS coverage FROM miss m JOIN regions r ON m.key = r.key AND r.channel = 'spare' AND r.start_s < m.end_s AND m.start_s < r.end_s GROUP BY m.key, m.speaker, m.line, m.start_s, m.end_s, r.channel)
+SELECT t.key, t.speaker, t.line, type, CASE WHEN type = 'MISMATCH' THEN sibling END AS delivered_by, c.channel AS possibly_in FROM typed t LEFT JOIN c ON c.key = t.key AND c.speaker = t.speaker AND c.line = t.line AND c.coverage >= 0.3""")
+def script_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings where lines have several speakers and channels are bundles or nobody's."""
+    return _cast(spark, sf_dir)["findings"].select("key", "speaker", "line", "type", "delivered_by", "possibly_in")
+
+
+@query(f"WITH {CAST} SELECT DISTINCT key, speaker FROM lines WHERE speaker = 'narrator'")
+def unmapped_speakers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Speakers with lines and neither a channel nor a bundle."""
+    return _cast(spark, sf_dir)["unmapped"].select("key", "speaker")
+
+
+@query("""WITH m AS (SELECT s_nationkey AS key, 'S' || s_suppkey AS speaker, 'T' || s_suppkey AS channel, 'name' AS mapped_by FROM supplier),
+o AS (SELECT s_nationkey AS key, 'S' || min(s_suppkey) AS speaker, CASE WHEN s_nationkey % 5 <> 0 THEN 'T' || max(s_suppkey) END AS channel FROM supplier GROUP BY 1)
+SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.key = m.key AND (o.speaker = m.speaker OR o.channel = m.channel)) UNION ALL SELECT key, speaker, channel, 'manual' FROM o WHERE channel IS NOT NULL""")
+def manual_remap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping after a person gave each nation's first supplier the last one's track, or none."""
+    s = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), "s_suppkey")
+    name = lambda mark, c: F.concat(F.lit(mark), c)
+    named = s.select("key", name("S", F.col("s_suppkey")).alias("speaker"), name("T", F.col("s_suppkey")).alias("channel"), F.lit("name").alias("mapped_by"))
+    chosen = s.groupBy("key").agg(F.min("s_suppkey").alias("a"), F.max("s_suppkey").alias("b")).select("key", name("S", F.col("a")).alias("speaker"), F.when(F.col("key") % 5 != 0, name("T", F.col("b"))).alias("channel"))
+    issues = spark.createDataFrame([], mapping.ISSUE)
+    return alignment.remap(named, issues, chosen)[0]
+
+
 UNION = f"""{SPANS}, orig AS (SELECT key, line, start_s, end_s FROM lines WHERE end_s - start_s >= 1800),
 u0 AS (SELECT key, start_s, end_s, max(end_s) OVER (PARTITION BY key ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM regions),
 u1 AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS i FROM u0),
@@ -163,7 +212,7 @@ moved AS (SELECT l.key, line, start_s + coalesce(offset_s, 0) AS start_s, end_s
 own AS (SELECT m.key, m.line, sum(least(m.end_s, r.end_s) - greatest(m.start_s, r.start_s)) / greatest(1e-9, m.end_s - m.start_s) AS coverage FROM moved m JOIN u r ON m.key = r.key AND r.start_s < m.end_s AND m.start_s < r.end_s GROUP BY m.key, m.line, m.start_s, m.end_s)"""
 
 
-@query(f"WITH {UNION} SELECT m.key, m.line, coverage, CASE WHEN coverage IS NULL OR coverage < 0.15 THEN 'MISSING' WHEN coverage < 0.75 THEN 'MISALIGNED' ELSE 'OK' END AS type FROM moved m LEFT JOIN own USING (key, line)")
+@query(f"WITH {UNION} SELECT m.key, m.line, coalesce(coverage, 0) AS coverage, CASE WHEN coverage IS NULL OR coverage < 0.15 THEN 'MISSING' WHEN coverage < 0.75 THEN 'MISALIGNED' ELSE 'OK' END AS type FROM moved m LEFT JOIN own USING (key, line)")
 def scriptless_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Original spans against the union of all channels."""
     original = tables.lines(spark, sf_dir).select("key", "line", "start_s", "end_s")

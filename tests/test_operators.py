@@ -339,3 +339,11 @@ def test_inventories(spark):
     assert {r.request: r.entry for r in files.resolve(asked, registry).collect()} == {"Alphabet": "B", "First One": "A", "alphab": "A"}
     v = spark.range(1).select(files.voice_ids(F.lit("Ann Hindi abcdefghij0123456789\nBob ABCDEFGHIJ0123456789zz")).alias("v")).first().v
     assert [(x.name, x.id) for x in v] == [("Ann Hindi", "abcdefghij0123456789"), ("Bob", "ABCDEFGHIJ0123456789zz")]
+
+
+def test_remap_prunes_issues(spark):
+    named = spark.createDataFrame([(1, "ann", "A", "name"), (1, "ann", "A2", "content"), (1, "bob", "B", "name"), (2, "ann", "A", "name")], "key long, speaker string, channel string, mapped_by string")
+    issues = spark.createDataFrame([("rescued", 1, "ann", "A", None), ("grouped", 1, "cat", "B", None), ("twin_merged", 1, "bob", "B", None), ("name_mismatch", 1, "bob", "C", "ann"), ("rescued", 2, "ann", "A", None)], "kind string, key long, speaker string, channel string, other string")
+    m, i = alignment.remap(named, issues, spark.createDataFrame([(1, "ann", "B")], "key long, speaker string, channel string"))
+    assert sorted(map(tuple, m.collect())) == [(1, "ann", "B", "manual"), (2, "ann", "A", "name")]
+    assert sorted((r.kind, r.key) for r in i.collect()) == [("grouped", 1), ("rescued", 2)]
