@@ -10,9 +10,9 @@ def decibels(x: Column) -> Column:
     return F.round(20 * F.log10(F.greatest(x, F.lit(1e-9))), 1)
 
 
-def upper_median(x: Column) -> Column:
-    """The element at half the size of the sorted group, the upper of two middles."""
-    return F.element_at(F.array_sort(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)
+def clamp(x: Column, bound: float) -> Column:
+    """A shift, at most ``bound`` either way: a garbage median must not move every slot onto its neighbour."""
+    return F.greatest(F.lit(-bound), F.least(F.lit(bound), x))
 
 
 def dot(a: Column, b: Column) -> Column:

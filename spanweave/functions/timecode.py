@@ -29,6 +29,7 @@ def parse_timecode(tc: Column, fps: Column | float | None = None) -> Column:
 def infer_fps(max_frame: Column) -> Column:
     """The first usual rate above the largest frame number seen, 30 beyond all."""
     out = F.lit(30.0)
+    # fixed values: the usual rates
     for rate in (60, 50, 48, 30, 25, 24):
         out = F.when(max_frame < rate, float(rate)).otherwise(out)
     return out
@@ -40,6 +41,12 @@ def hms(seconds: Column) -> Column:
     return F.format_string("%02d:%02d:%02d.%d", F.floor(tenths / 36000), F.floor(tenths / 600) % 60, F.floor(tenths / 10) % 60, tenths % 10)
 
 
+def minutes(seconds: Column) -> Column:
+    """``m:ss.s``"""
+    tenths = F.floor(seconds * 10 + 0.5)
+    return F.format_string("%d:%02d.%d", F.floor(tenths / 600), F.floor(tenths / 10) % 60, tenths % 10)
+
+
 def smpte(seconds: Column, fps: int = 25) -> Column:
     """``HH:MM:SS:FF``; a fraction that rounds up to a whole second carries."""
     frames = F.floor(seconds * fps + 0.5)

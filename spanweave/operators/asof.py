@@ -25,3 +25,16 @@ def offsets(lines: DataFrame, regions: DataFrame, keys: list[str], ids: list[str
     delta = F.col("near_s") - F.col("start_s")
     enough: Column = F.count(F.lit(1)) >= min_anchors
     return found.groupBy(*keys).agg(F.count(F.lit(1)).alias("anchors"), F.when(enough, F.median(delta)).otherwise(0.0).alias("offset_s"))
+
+
+def best_in_window(lines: DataFrame, others: DataFrame, keys: list[str], ids: list[str], score: Column, within: float, shift: float = 0.0, bin_width: float = 60.0) -> DataFrame:
+    """Per line the other that starts at most ``within`` seconds before or after it (moved by ``shift``) with the highest ``score`` above 0; of equals the first.
+
+    ``score`` uses the lines' columns and the others', these prefixed with ``r_``.
+    """
+    low, high = F.col("start_s") + shift - within, F.col("end_s") + shift + within
+    spread = lines.withColumn("bin", F.explode(F.sequence(F.floor(low / bin_width), F.floor(high / bin_width))))
+    near = others.select(*keys, *(F.col(c).alias(f"r_{c}") for c in others.columns if c not in keys)).withColumn("bin", F.floor(F.col("r_start_s") / bin_width))
+    pairs = spread.join(near, [*keys, "bin"]).where((F.col("r_start_s") >= low) & (F.col("r_start_s") <= high)).withColumn("_score", score).where("_score > 0")
+    best = F.max(F.struct("_score", (-F.col("r_start_s")).alias("_at"))).alias("_best")
+    return pairs.groupBy(*keys, *ids).agg(best).select(*keys, *ids, F.col("_best._score").alias("score"), (-F.col("_best._at")).alias("at_s"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from spanweave.config import NAMES, NameConfig
-from spanweave.functions.names import squash, tokens
+from spanweave.functions.names import AFFIXES, squash, tokens
 
 
 @F.pandas_udf(T.DoubleType())
@@ -20,7 +20,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
 
 
-def score_names(pairs: DataFrame, channel: str, label: str, affixes: tuple[str, ...] = (), cfg: NameConfig = NAMES) -> DataFrame:
+def score_names(pairs: DataFrame, channel: str, label: str, affixes: tuple[str, ...] = AFFIXES, cfg: NameConfig = NAMES) -> DataFrame:
     """``pairs`` plus name_score: 1 for equal names, ``tokens`` where one's words are all the other's, ``glued``
     where one is inside the other and long enough, and at least the matching-block ratio. ``affixes`` are words
     that only channels carry. Equal names and names without letters never reach Python."""
@@ -36,6 +36,24 @@ def score_names(pairs: DataFrame, channel: str, label: str, affixes: tuple[str,
     return sure.union(rest).drop("_c", "_l", "_ct", "_lt")
 
 
+def score_aliases(pairs: DataFrame, channel: str, labels: str, ids: list[str], affixes: tuple[str, ...] = AFFIXES, cfg: NameConfig = NAMES) -> DataFrame:
+    """Per ``ids`` the best name_score of a channel's name with any of the labels (an array: name, id, aliases, further terms)."""
+    each = pairs.select(*ids, channel, F.explode(F.array_distinct(labels)).alias("_label"))
+    best = score_names(each, channel, "_label", affixes, cfg).groupBy(*ids).agg(F.max("name_score").alias("name_score"))
+    return pairs.join(best, ids, "left").fillna(0.0, ["name_score"])
+
+
+def match_voices(pairs: DataFrame, keys: list[str], entry: str, accept: float = 0.80, exact: float = 0.98) -> DataFrame:
+    """Per key the voice list's best entry by name_score or channel_score, whichever is higher, if it is high enough.
+
+    Of equal scores an entry with an id (has_id) goes first, then the list's order (ord). Generic names (generic) need ``exact``.
+    """
+    score = F.round(F.greatest("name_score", F.coalesce("channel_score", F.lit(0.0))), 9)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), F.col("has_id").desc(), "ord"))
+    best = pairs.withColumns({"score": score, "_r": rank}).where("_r = 1")
+    return best.where(F.col("score") >= F.when(F.col("generic"), exact).otherwise(accept)).select(*keys, entry, F.round("score", 3).alias("score"))
+
+
 def assign_greedily(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, accept: float) -> DataFrame:
     """One-to-one pairs of each key, best score first; of equals the greatest left and right name.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanweave.functions.names import untagged
+from spanweave.functions.texts import songlike, split_words
 from spanweave.functions.timecode import smpte
 
 MOSTLY_ABSENT = 0.5
@@ -69,14 +71,127 @@ def verify_order(findings: DataFrame, keys: list[str]) -> DataFrame:
     return one.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(F.coalesce("fragment", F.lit(False)), tier, "start_s", "line")))
 
 
-def recall_of_truth(truth: DataFrame, findings: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+def recall_of_truth(truth: DataFrame, findings: DataFrame, keys: list[str], tolerance: float, bin_width: float = 600.0) -> DataFrame:
     """Per truth span whether a finding overlaps it within the tolerance, ends included."""
-    other = findings.select(*keys, F.col("start_s").alias("f_start"), F.col("end_s").alias("f_end"))
+    spread = lambda df, more: df.withColumn("bin", F.explode(F.sequence(F.floor((F.col("start_s") - more) / bin_width), F.floor((F.col("end_s") + more) / bin_width))))
+    other = spread(findings.select(*keys, "start_s", "end_s"), tolerance).select(*keys, "bin", F.col("start_s").alias("f_start"), F.col("end_s").alias("f_end"))
     near = ~((F.col("f_end") + tolerance < F.col("start_s")) | (F.col("end_s") + tolerance < F.col("f_start")))
-    hit = truth.join(other, keys).where(near).select(*keys, "truth").distinct().withColumn("found", F.lit(True))
+    hit = spread(truth, 0.0).join(other, [*keys, "bin"]).where(near).select(*keys, "truth").distinct().withColumn("found", F.lit(True))
     return truth.join(hit, [*keys, "truth"], "left").fillna(False, ["found"])
 
 
+def entities(segments: DataFrame) -> DataFrame:
+    """A row per speaker (key) of segments (key, label, start_s, end_s, ord): labels, lines, seconds, first start and display name.
+
+    The name is the most frequent label without tags that names one speaker, of equals the one seen first, else the key in title case.
+    """
+    clean = F.trim(untagged(F.col("label")))
+    named = segments.select("key", clean.alias("name"), "ord").where("name <> '' and not contains(name, '/')").groupBy("key", "name").agg(F.count(F.lit(1)).alias("n"), F.min("ord").alias("first"))
+    name = named.groupBy("key").agg(F.max_by("name", F.struct("n", -F.col("first"))).alias("name"))
+    seconds = F.greatest(F.lit(0.0), F.col("end_s") - F.col("start_s"))
+    rolled = segments.groupBy("key").agg(F.sort_array(F.collect_set("label")).alias("aliases"), F.count(F.lit(1)).alias("line_count"), F.round(F.sum(seconds), 2).alias("total_s"), F.round(F.min("start_s"), 3).alias("first_s"))
+    return rolled.join(name, "key", "left").withColumn("name", F.coalesce("name", F.initcap(F.replace("key", F.lit("_"), F.lit(" ")))))
+
+
+def find(findings: DataFrame, language: str | None = None, kind: str | None = None, character: str | None = None, limit: int = 25) -> DataFrame:
+    """The first findings by language and time (lang, type, character, start_s, line) of a language, a type, and characters whose name holds a text: a top-k report."""
+    kept = findings
+    if language:
+        kept = kept.where(F.lower("lang") == language.lower())
+    if kind:
+        kept = kept.where(F.col("type") == kind.strip().upper())
+    if character:
+        kept = kept.where(F.lower("character").contains(character.strip().lower()))
+    return kept.orderBy("lang", "start_s", "line").limit(limit)
+
+
+def finding_order(findings: DataFrame, keys: list[str]) -> DataFrame:
+    """Findings with position: missing, mismatched, misaligned, extra, others, each by the script's time, else the audio's."""
+    rank = F.coalesce(*(F.when(F.col("type") == t, k) for k, t in enumerate(("MISSING", "MISMATCH", "MISALIGNED", "EXTRA"))), F.lit(4))
+    order = Window.partitionBy(*keys).orderBy(rank, F.coalesce("script_start_s", "audio_start_s", F.lit(0.0)), "line")
+    return findings.withColumn("position", F.row_number().over(order))
+
+
+def worst_first(summaries: DataFrame, keys: list[str]) -> DataFrame:
+    """Languages (lang, no_audio, missing, mismatch) with position: most undelivered characters first, then most missing, then most mismatched lines."""
+    order = [F.coalesce(c, F.lit(0)).desc() for c in ("no_audio", "missing", "mismatch")]
+    return summaries.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, "lang")))
+
+
+def _firsts(condition: Column, value: Column, order: Column, n: int) -> Column:
+    """The first ``n`` values of a group, by order; its task holds the group's values once more."""
+    return F.transform(F.slice(F.array_sort(F.collect_list(F.when(condition, F.struct(order.alias("o"), value.alias("v"))))), 1, n), lambda x: x["v"])
+
+
+def overview(findings: DataFrame, characters: DataFrame, channels: DataFrame, keys: list[str]) -> DataFrame:
+    """Per key findings by type, characters, tracks, and who has lines but neither a track nor a bundle.
+
+    ``characters``: keys, character, lines, channel, grouped_in; ``channels``: keys, channel.
+    """
+    undelivered = F.col("channel").isNull() & F.col("grouped_in").isNull() & (F.col("lines") > 0)
+    who = characters.groupBy(*keys).agg(F.count(F.lit(1)).alias("characters"), F.sort_array(F.collect_list(F.when(undelivered, F.col("character")))).alias("no_audio"))
+    n = findings.groupBy(*keys).agg(*(F.count_if(F.col("type") == t).alias(c) for c, t in {"missing": "MISSING", "wrong_speaker": "MISMATCH", "misaligned": "MISALIGNED", "extra": "EXTRA"}.items()))
+    tracks = channels.groupBy(*keys).agg(F.count_distinct("channel").alias("tracks"))
+    return who.join(tracks, keys, "left").join(n, keys, "left").fillna(0)
+
+
+def delivery_health(characters: DataFrame, channels: DataFrame, issues: DataFrame, keys: list[str], first: int = 4) -> DataFrame:
+    """Per key tracks, how many are mapped and which are not (the first few), characters without a track, and repairs by kind.
+
+    ``characters``: keys, character, lines, channel, grouped_in; ``channels``: keys, channel; ``issues``: keys, kind.
+    """
+    owned = characters.where("channel is not null").select(*keys, "channel").distinct().withColumn("_owned", F.lit(True))
+    free = F.col("_owned").isNull()
+    tracks = channels.select(*keys, "channel").distinct().join(owned, [*keys, "channel"], "left").groupBy(*keys).agg(F.count(F.lit(1)).alias("tracks"), F.count_if(free).alias("unclaimed"), _firsts(free, F.col("channel"), F.col("channel"), first).alias("unclaimed_first"))
+    absent = F.col("channel").isNull() & F.col("grouped_in").isNull() & (F.col("lines") > 0)
+    who = characters.groupBy(*keys).agg(F.count_if(absent).alias("no_track"), F.count_distinct("channel").alias("mapped"))
+    kinds = {"twins": "twin_merged", "swaps": "swap_repaired", "reassigned": "reassigned", "ambiguous": "ambiguous_name"}
+    repairs = issues.groupBy(*keys).agg(*(F.count_if(F.col("kind") == k).alias(c) for c, k in kinds.items()))
+    return tracks.join(who, keys, "left").join(repairs, keys, "left").fillna(0)
+
+
+def digest(stats: DataFrame, findings: DataFrame, n: int = 4, examples: int = 6) -> DataFrame:
+    """Per language missing lines, undelivered characters, the characters that miss most (the first few) and examples of missing lines.
+
+    ``stats``: lang, character, missing, lines; ``findings``: lang, line, start_s of missing lines.
+    """
+    gone = F.col("missing") == F.col("lines")
+    by = stats.groupBy("lang").agg(F.sum("missing").alias("missing"), F.count_if(gone).alias("no_audio"), _firsts(gone, F.col("character"), F.col("character"), n).alias("undelivered"), F.transform(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("missing")).alias("m"), "character"))), 1, n), lambda x: x["character"]).alias("top_missing"))
+    # examples are ranked before they are collected, so only a few rows of a language meet
+    few = findings.withColumn("_r", F.row_number().over(Window.partitionBy("lang").orderBy("start_s", "line"))).where(F.col("_r") <= examples)
+    shown = few.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", "line"))), lambda x: x["line"]).alias("examples"))
+    return by.join(shown, "lang", "left").withColumn("undelivered_more", F.greatest(F.col("no_audio") - n, F.lit(0)))
+
+
+def retimed(pairs: DataFrame, keys: list[str], tolerance: float) -> DataFrame:
+    """Lines present elsewhere than expected: of each line's pairs (line, start_s, other_start_s, sim) the best, of equals the first, if it is further off than the tolerance."""
+    best = pairs.groupBy(*keys, "line", "start_s").agg(F.max(F.struct("sim", (-F.col("other_start_s")).alias("o"))).alias("b"))
+    drift = -F.col("b.o") - F.col("start_s")
+    return best.where(F.abs(drift) > tolerance).select(*keys, "line", F.round(drift, 2).alias("drift_s"), F.when(drift > 0, "late").otherwise("early").alias("direction"), F.round("b.sim", 3).alias("coverage"))
+
+
+def admitted_extras(extras: DataFrame) -> DataFrame:
+    """Extra lines (text, reliable; null: not known) that count: read reliably, not song-like, of two words or more."""
+    text = F.col("text")
+    return extras.where(F.coalesce("reliable", F.lit(True)) & (text.isNull() | (~songlike(text) & (F.size(split_words(text)) >= 2))))
+
+
+def tier_evaluation(flags: DataFrame) -> DataFrame:
+    """Per tier of flags (tier, fill, start, end): how many, their share, the share in silence and the upper median duration."""
+    order = Window.partitionBy("tier").orderBy("seconds")
+    timed = flags.withColumn("seconds", F.coalesce(F.greatest(F.lit(0.0), F.col("end") - F.col("start")), F.lit(0.0)))
+    ranked = timed.withColumns({"_k": F.row_number().over(order), "_n": F.count(F.lit(1)).over(Window.partitionBy("tier"))})
+    out = ranked.groupBy("tier").agg(F.count(F.lit(1)).alias("n"), F.avg((F.coalesce("fill", F.lit("")) == "silence").cast("double")).alias("silence_share"), F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col("seconds"))).alias("median_s"))
+    return out.join(flags.agg(F.count(F.lit(1)).alias("_all"))).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
+
+
+def high_load(flags: DataFrame) -> DataFrame:
+    """How many high flags (episode, tier) an episode has: least, upper median and most, episodes without any included."""
+    each = flags.groupBy("episode").agg(F.count_if(F.col("tier") == "high").alias("high"))
+    ranked = each.withColumns({"_k": F.row_number().over(Window.orderBy("high")), "_n": F.count(F.lit(1)).over(Window.partitionBy())})  # a row per episode
+    return ranked.agg(F.min("high").alias("least"), F.max(F.when(F.col("_k") == F.floor(F.col("_n") / 2) + 1, F.col("high"))).alias("median"), F.max("high").alias("most"))
+
+
 def totals(findings: DataFrame, keys: list[str]) -> DataFrame:
     """Findings as a person counts them: blocks once, reprises and fragments not. Columns: block_id, song_reprise, fragment, tier."""
     yes = lambda c: F.coalesce(F.col(c), F.lit(False))
@@ -119,6 +234,12 @@ def first_hint(text: Column, hints: list[tuple[str, str]]) -> Column:
     return out
 
 
+def on_screen(findings: DataFrame, least_extra_s: float = 1.5) -> DataFrame:
+    """Findings as a text report lists them: extra speech from ``least_extra_s`` seconds on, all else."""
+    long = F.col("audio_end_s") - F.col("audio_start_s") >= least_extra_s
+    return findings.where((F.col("type") != "EXTRA") | F.coalesce(long, F.lit(False)))
+
+
 def write_report(report: DataFrame, path: str) -> None:
     """A table of findings as JSON lines."""
     report.write.mode("overwrite").json(path)

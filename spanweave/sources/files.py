@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spanweave.functions.names import common_prefix, cut_prefix, squash
+from spanweave.functions.names import common_prefix, cut_prefix, squash, voice_languages
+from spanweave.functions.timecode import samples
 
 AUDIO = r"(?i)\.(wav|flac|mp3|m4a|aif|aiff|ogg)$"
-LANGUAGES = ("hindi", "telugu", "tamil", "marathi", "malayalam", "kannada", "bengali", "english")
+# Languages in the order they are looked for, and how names spell them.
+LANGUAGES = {
+    "Malayalam": ("malayalam", "mala", "mal"), "Tamil": ("tamil", "tam"), "Telugu": ("telugu", "tel"), "Kannada": ("kannada", "kann", "kan"),
+    "Bengali": ("bengali", "bengoli", "beng", "bng", "ben"), "Marathi": ("marathi", "mar"), "Hindi": ("hindi", "hin"),
+}
 
 
 def scan_tree(nodes: DataFrame, root: Column, max_depth: int = 3) -> DataFrame:
@@ -43,8 +48,35 @@ def classify(name: Column, folder: Column) -> Column:
 
 
 def language_of(name: Column) -> Column:
-    """The first listed language that the name holds between letters' bounds."""
-    return F.coalesce(*(F.when(F.lower(name).rlike(f"(?<![a-z]){x}(?![a-z])"), x) for x in LANGUAGES))
+    """The first listed language that the name spells out or shortens, letters' bounds around."""
+    return F.coalesce(*(F.when(F.lower(name).rlike(f"(?<![a-z])(?:{'|'.join(spelled)})(?![a-z])"), language) for language, spelled in LANGUAGES.items()))
+
+
+def descend(nodes: DataFrame, start: DataFrame, max_depth: int = 3) -> DataFrame:
+    """start and id of the folder that holds a folder's tracks: down through folders without audio that have exactly one folder in them.
+
+    ``nodes``: id, parent, name, folder; ``start``: id. One join per level.
+    """
+    inside = nodes.groupBy(F.col("parent").alias("id")).agg(F.bool_or(~F.col("folder") & F.col("name").rlike(AUDIO)).alias("_audio"), F.count_if("folder").alias("_folders"), F.max(F.when(F.col("folder"), F.col("id"))).alias("_only"))
+    at = start.select(F.col("id").alias("start"), "id")
+    for _ in range(max_depth):
+        at = at.join(inside, "id", "left").select("start", F.when(~F.col("_audio") & (F.col("_folders") == 1), F.col("_only")).otherwise(F.col("id")).alias("id"))
+    return at
+
+
+def owner_of(folders: DataFrame, registry: DataFrame) -> DataFrame:
+    """folder and the first entry (by ord) whose folders, an array, hold it; null for nobody's. Configuration is exploded, so ids join."""
+    owned = registry.select("entry", "ord", F.explode("folders").alias("folder")).groupBy("folder").agg(F.min_by("entry", "ord").alias("entry"))
+    return folders.select("folder").join(owned, "folder", "left")
+
+
+def newest_revision(files: DataFrame, keys: list[str], stages: tuple[str, ...]) -> DataFrame:
+    """The file (name) of each key at the first stage, in the order given, that has one; of several the last by name, as revisions sort. ``mix`` and ``stmix`` are any mix but a premix."""
+    plain = squash(F.col("name"))
+    at = lambda stage: plain.contains("mix") & ~plain.contains("premix") if stage in ("mix", "stmix") else plain.contains(stage)
+    rank = F.coalesce(*(F.when(at(stage), k) for k, stage in enumerate(stages)))
+    name = F.coalesce(*(F.when(F.col("_stage") == k, stage) for k, stage in enumerate(stages)))
+    return pick(files.withColumn("_stage", rank).where("_stage is not null"), keys, [F.col("_stage"), F.col("name").desc()]).withColumn("stage", name).drop("_stage")
 
 
 def pick(candidates: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -74,12 +106,26 @@ def resolve(requests: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def alias_hits(texts: DataFrame, aliases: DataFrame, text: str) -> DataFrame:
-    """Texts and the one entry whose alias they hold as a whole word; texts with hits of several entries are left open (null).
+    """Texts and the one entry whose alias they hold as whole words; texts with hits of several entries are left open (null).
 
-    ``aliases``: entry, alias, of one word of three characters or more; joined on words.
+    ``aliases``: entry, alias, of three characters or more. Aliases of n words are joined on the texts' runs of n words,
+    and what joins is then looked for in the text as it stands.
     """
-    words = texts.select(text, F.explode(F.array_distinct(F.split(F.lower(text), "[^a-z0-9]+"))).alias("alias"))
-    hit = words.join(aliases.where(F.length("alias") >= 3).select("entry", F.lower("alias").alias("alias")), "alias")
+    split = lambda c: F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    known = aliases.where(F.length("alias") >= 3).select("entry", F.lower("alias").alias("alias"), split(F.col("alias")).alias("_w")).withColumn("run", F.array_join("_w", " ")).withColumn("_n", F.size("_w"))
+    lengths = [r[0] for r in known.select("_n").distinct().collect()]  # as many as aliases differ in words
+    words = texts.select(text, split(F.col(text)).alias("_t")).where(F.size("_t") > 0)
+
+    def runs_of(n: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size("_t") - n), lambda i: F.array_join(F.slice("_t", i + 1, n), " "))
+        return F.when(F.size("_t") >= n, every).otherwise(F.array().cast("array<string>"))
+
+    runs = [runs_of(n) for n in lengths]
+    if not runs:
+        return texts.select(text).where(F.lit(False)).select(text, F.lit(None).cast("string").alias("entry"), F.lit(0).cast("long").alias("hits"))
+    met = words.select(text, F.explode(F.array_distinct(F.concat(*runs))).alias("run")).join(known, "run")
+    quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), "alias", F.lit(r"\E(?![a-z0-9])"))
+    hit = met.where(F.regexp_like(F.lower(text), quoted))
     return hit.groupBy(text).agg(F.when(F.count_distinct("entry") == 1, F.min("entry")).alias("entry"), F.count_distinct("entry").alias("hits"))
 
 
@@ -100,6 +146,50 @@ def read_results(spark: SparkSession, paths: list[str], schema: T.StructType) ->
     return spark.read.schema(schema).option("multiLine", True).json(paths)
 
 
+def latest_results(results: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """One result of each key, as language: that which comes last; a rerun replaces what was there."""
+    return pick(results, keys, [F.col(order).desc()])
+
+
+#: What is read of a stored report.
+REPORT = "errors array<struct<type:string,script_start_s:double,script_end_s:double,text:string,coverage:double,slot_speech_cov:double,fill:string,fill_rel_db:double,fill_dyn_db:double,fragment:boolean,song_reprise:string,block:struct<id:int,n:int,first:boolean>,confidence:string>>"
+
+
+def flatten_reports(reports: DataFrame) -> DataFrame:
+    """A row per missing line of stored reports (run, workbook, report as JSON), series and episode from the workbook's name; fields that old reports lack are null."""
+    part = F.split("workbook", "_")
+    named = F.size(part) >= 2
+    episode = F.try_element_at(F.filter(part, lambda x: F.upper(x).rlike("^EP[0-9]+$")), F.lit(1))
+    e = reports.select("run", F.when(named, part[0]).otherwise("").alias("series"), F.when(named, F.coalesce(F.upper(episode), F.lit(""))).otherwise("").alias("episode"), F.explode(F.from_json("report", REPORT)["errors"]).alias("e")).where("e.type = 'MISSING'")
+    renamed = {"start": "script_start_s", "end": "script_end_s", "coverage": "coverage", "slot_cov": "slot_speech_cov", "fill": "fill", "fill_rel_db": "fill_rel_db", "fill_dyn_db": "fill_dyn_db"}
+    return e.select("run", "series", "episode", *(F.col(f"e.{c}").alias(n) for n, c in renamed.items()), F.coalesce("e.text", F.lit("")).alias("text"), F.coalesce("e.fragment", F.lit(False)).alias("fragment"), F.col("e.song_reprise").alias("song"), F.col("e.block.id").alias("block_id"), F.col("e.block.n").alias("block_n"), F.col("e.block.first").alias("block_first"), F.col("e.confidence").alias("confidence"))
+
+
+def read_markers(spark: SparkSession, path: str, fps: int = 25) -> DataFrame:
+    """A marker CSV (No., In, Color, Name, Comment) as no, name, comment and sample position. A header alone is no markers.
+
+    Raises on missing columns, blank names, positions that are no time code, and markers out of order.
+    """
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    if missing := {"In", "Name", "Comment"} - {c.lstrip("\ufeff") for c in raw.columns}:
+        raise ValueError(f"{path}: no column for {sorted(missing)}")
+    rows = raw.select(F.monotonically_increasing_id().alias("_row"), F.trim(F.coalesce("Name", F.lit(""))).alias("name"), F.trim(F.coalesce("Comment", F.lit(""))).alias("comment"), samples(F.trim("In"), fps).alias("position"))
+    order = Window.orderBy("_row")  # one file of markers
+    checked = rows.withColumn("_before", F.lag("position").over(order)).withColumn("no", F.row_number().over(order))
+    bad = checked.agg(F.count_if(F.col("name") == "").alias("blank"), F.count_if(F.col("position") < F.col("_before")).alias("late")).first()
+    if bad.blank:
+        raise ValueError(f"{path}: a marker has a blank name")
+    if bad.late:
+        raise ValueError(f"{path}: markers are not in time order")
+    return checked.select("no", "name", "comment", "position")
+
+
+def voice_entries(cell: Column) -> Column:
+    """(language, name, id) of a cell of voices; a voice of two languages is listed for each."""
+    listed = F.transform(voice_ids(cell), lambda v: F.transform(voice_languages(v["name"]), lambda x: F.struct(x.alias("language"), v["name"].alias("name"), v["id"].alias("id"))))
+    return F.flatten(listed)
+
+
 def voice_ids(cell: Column) -> Column:
     """(name, id) pairs of a cell: an id is a word of 20 to 22 letters and digits, its name what stands before it."""
     parts = F.regexp_extract_all(cell, F.lit(r"(?s)(.*?)(?<![A-Za-z0-9])([A-Za-z0-9]{20,22})(?![A-Za-z0-9])"), F.lit(0))
