@@ -95,9 +95,34 @@ def voice_languages(name: Column) -> Column:
 
 
 def slug(name: Column) -> Column:
-    """Words without separators: short upper-case ones stay, others get a capital."""
-    words = F.filter(F.split(name, "[^A-Za-z0-9]+"), lambda w: w != "")
-    return F.array_join(F.transform(words, lambda w: F.when((w == F.upper(w)) & (F.length(w) <= 4), w).otherwise(F.initcap(w))), "")
+    """Words with hyphens between: short upper-case ones stay, others get a capital."""
+    words = F.filter(F.split(F.coalesce(name, F.lit("")), "[^A-Za-z0-9]+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w: F.when((w == F.upper(w)) & (F.length(w) <= 4), w).otherwise(F.initcap(w))), "-")
+
+
+def output_name(series: Column, episode: Column, what: str, day: Column) -> Column:
+    """``Series_EP07_What_2024-01-31``; an episode that is no number is written as a word, an empty series left out."""
+    number = F.when(episode.rlike("^[0-9]+$"), F.concat(F.lit("EP"), F.lpad(episode.cast("int").cast("string"), F.greatest(F.lit(2), F.length(episode.cast("int").cast("string"))), F.lit("0")))).otherwise(slug(episode))
+    parts = F.filter(F.array(slug(series), number, F.lit(what), F.date_format(day, "yyyy-MM-dd")), lambda x: x != "")
+    return F.array_join(parts, "_")
+
+
+def command(text: Column) -> Column:
+    """What a message asks for: help, history, status, scan, audio_check, audio_run, run or check, the first that applies; else null."""
+    t = F.lower(F.trim(text))
+    says = lambda *words: t.rlike(rf"\b(?:{'|'.join(words)})\b")
+    whole = lambda *words: t.rlike(rf"^(?:{'|'.join(words)})$")
+    audio, launch = says("audio", "mix", "mixes", "scriptless", "no.?script"), says("run", "start", "go", "launch", "kick", "compare")
+    return (
+        F.when(whole("help", r"\?", "commands?", r"what can you do\??", "usage"), "help")
+        .when(whole("runs", "history", "recent", "recent runs", "my runs"), "history")
+        .when(says("status", "done", "ready", "result", "finish", "finished", "progress", "is it") & ~says("run", "check", "start"), "status")
+        .when(says("scan", "watch", "new files?", "uploads?", "what'?s new", "anything new"), "scan")
+        .when(audio & ~launch & says("check", "qc", "files?", "available", "availability", "delivered", "present"), "audio_check")
+        .when(audio & launch, "audio_run")
+        .when(says("run", "start", "go", "proceed", "yes", "do it", "launch", "kick"), "run")
+        .when(t.rlike(r"(?:ep|epi|episode)\s*#?\s*[0-9]{1,3}|\b[0-9]{1,3}\b"), "check")
+    )
 
 
 def common_prefix(low: Column, high: Column) -> Column:

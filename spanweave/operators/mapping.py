@@ -99,7 +99,7 @@ def repair(named: DataFrame, scores: DataFrame, speakers: DataFrame, cfg: Mappin
     top = lambda c: F.row_number().over(Window.partitionBy("key", "channel").orderBy(F.col(c).desc(), "speaker_ord"))
     by_name = owned.withColumn("r", top("name_score")).where((F.col("r") == 1) & (F.col("name_score") >= cfg.twin_name))
     by_voice = owned.withColumn("r", top("precision")).where((F.col("r") == 1) & (F.col("name_score") >= cfg.twin_fuzzy) & (F.col("precision") >= cfg.twin_precision) & (F.col("recall") >= cfg.twin_recall)).join(by_name.select("key", "channel"), ["key", "channel"], "left_anti")
-    twins = cut_lineage(by_name.union(by_voice).drop("r"))
+    twins = cut_lineage(by_name.unionByName(by_voice).drop("r"))
     rival = orphan.select("key", "channel", F.col("speaker").alias("rival"), F.col("precision").alias("rival_precision"))
     veto = twins.join(rival, ["key", "channel"]).where((F.col("rival") != F.col("speaker")) & beats("rival_precision", "precision"))
     twins = twins.join(veto.select("key", "channel").distinct(), ["key", "channel"], "left_anti")

@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanweave.config import LEVEL
-from spanweave.functions import levels, names, timecode
+from spanweave.config import LEVEL, MAPPING
+from spanweave.functions import levels, names, texts, timecode
 from spanweave.operators import asof, segments, timeline, vectors
 from spanweave.operators import names as fuzzy
+from spanweave.operators.mapping import group_named
 from spanweave.plans import reports
 from spanweave.plans.queries import ALIGNED, FRAMES, SPANS, TIERED, TURNS, XLANG, _aligned, _languages, _tiered, query
 from spanweave.sources import files, scripts, tables
@@ -101,9 +102,54 @@ def voice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.match_voices(pairs, ["c_custkey"], "s_suppkey")
 
 
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])(bg|walla|crowd|group|kids)($|[^a-z0-9])') OR contains(regexp_replace(t, '[^a-z0-9]', '', 'g'), 'walla') OR contains(regexp_replace(t, '[^a-z0-9]', '', 'g'), 'crowd') THEN true ELSE false END AS bundle, p_size <= 6 AND p_size * 7 <= 30 AS bit_part
+FROM (SELECT p_partkey, p_size, lower(p_name || CASE p_partkey % 5 WHEN 0 THEN '_BG' WHEN 1 THEN ' myWallas2' WHEN 2 THEN '-kids-' WHEN 3 THEN 'kidsmob' ELSE '' END) AS t FROM part)""")
+def bundles_and_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks named like bundles of small parts, and parts small enough to be in one."""
+    n = F.col("p_partkey") % 5
+    name = F.concat("p_name", F.when(n == 0, "_BG").when(n == 1, " myWallas2").when(n == 2, "-kids-").when(n == 3, "kidsmob").otherwise(""))
+    bit = (F.col("p_size") <= MAPPING.bit_lines) & (F.col("p_size") * 7 <= MAPPING.bit_seconds)
+    return read(spark, sf_dir, "part").select("p_partkey", group_named(name).alias("bundle"), bit.alias("bit_part"))
+
+
+@query("""WITH q AS (SELECT conv_id, turn, turn % 10 / 15.0 AS nsp, -(turn % 7) / 4.0 AS alp, 1.5 + turn % 5 / 3.0 AS cr, CASE turn % 3 WHEN 0 THEN 'sarvam' WHEN 1 THEN 'scribe' ELSE 'x' END AS engine, len(list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '')) AS n FROM conversations)
+SELECT conv_id, turn, CASE WHEN nsp >= 0.5 OR cr > CASE engine WHEN 'sarvam' THEN 1.7 ELSE 2.4 END OR (engine = 'scribe' AND alp < -0.35) THEN false ELSE alp > -1.2 OR n >= 4 END AS reliable, round(greatest(0.2, least(0.8, 1 - turn % 10 / 15.0 * 0.5)), 9) AS least_coverage FROM q""")
+def reliable_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a transcript that can be trusted, and the coverage asked for at a tolerance."""
+    n = F.col("turn")
+    q = F.struct((n % 10 / 15).alias("nsp"), (-(n % 7) / 4).alias("alp"), (1.5 + n % 5 / 3).alias("cr"), F.when(n % 3 == 0, "sarvam").when(n % 3 == 1, "scribe").otherwise("x").alias("engine"))
+    return read(spark, sf_dir, "conversations").select("conv_id", "turn", texts.reliable(q, F.col("text")).alias("reliable"), F.round(levels.tolerated_coverage(n % 10 / 15), 9).alias("least_coverage"))
+
+
+@query("""SELECT event_id, ((event_id % 24) * 3600 + (event_id % 60) * 60 + event_id % 59) * 48000 + (event_id % 25) * 1920 AS position, 'Show-X_EP' || printf('%02d', event_id % 120) || '_Report_2024-01-' || printf('%02d', 1 + event_id % 28) AS file,
+  CASE event_id % 6 WHEN 0 THEN 'help' WHEN 1 THEN 'status' WHEN 2 THEN 'audio_run' WHEN 3 THEN 'run' WHEN 4 THEN 'check' END AS command FROM events""")
+def positions_and_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sample positions of time codes, names of output files, and what messages ask for."""
+    n = F.col("event_id")
+    tc = F.format_string("%02d:%02d:%02d:%02d", n % 24, n % 60, n % 59, n % 25)
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (n % 28).cast("int"))
+    said = F.when(n % 6 == 0, "Help").when(n % 6 == 1, "is it ready").when(n % 6 == 2, "start scriptless").when(n % 6 == 3, "go ahead").when(n % 6 == 4, F.concat(F.lit("episode "), n % 100)).otherwise("hello")
+    return read(spark, sf_dir, "events").select("event_id", timecode.samples(tc).alias("position"), names.output_name(F.lit("show X"), (n % 120).cast("string"), "Report", day).alias("file"), names.command(said).alias("command"))
+
+
 # ---- inventories ----
 
 
+@query("""SELECT o_custkey AS lang, arg_max(o_orderkey, o_orderkey) AS run FROM orders GROUP BY 1""")
+def latest_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of each language that came last."""
+    return files.latest_results(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("lang"), F.col("o_orderkey").alias("run")), ["lang"], "run")
+
+
+@query("""WITH c AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN 'hi,ta' WHEN 1 THEN 'ta' ELSE '?' END AS l, 'abcdefghij01234567' || printf('%04d', s_suppkey % 10000) AS id FROM supplier)
+SELECT s_suppkey, unnest(string_split(l, ',')) AS language, CASE s_suppkey % 3 WHEN 0 THEN 'V Hindi/Tamil' WHEN 1 THEN 'V_HI_ta' ELSE 'Vee' END AS name, id FROM c""")
+def voice_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voices of a list's cells by language."""
+    n = F.col("s_suppkey")
+    cell = F.concat(F.when(n % 3 == 0, "V Hindi/Tamil").when(n % 3 == 1, "V_HI_ta").otherwise("Vee"), F.lit("\n"), F.lit("abcdefghij01234567"), F.lpad((n % 10000).cast("string"), 4, "0"))
+    return read(spark, sf_dir, "supplier").select("s_suppkey", F.explode(files.voice_entries(cell)).alias("v")).select("s_suppkey", "v.language", "v.name", "v.id")
+
+
 @query("""WITH n AS (SELECT 'r' || r_regionkey AS id, NULL AS parent, r_name AS name, true AS folder FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || (n_nationkey % 5), n_name, true FROM nation WHERE n_nationkey % 5 <> 0 OR n_nationkey = 0
   UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, s_name || CASE WHEN s_nationkey % 2 = 0 THEN '.wav' ELSE '.txt' END, false FROM supplier),
 i AS (SELECT parent AS id, bool_or(NOT folder AND name LIKE '%.wav') AS audio, count(*) FILTER (folder) AS k, max(CASE WHEN folder THEN id END) AS child FROM n GROUP BY parent),
@@ -233,6 +279,15 @@ def centred_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.round(F.col("embedding")[0], 4).alias("first"), F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
 
+@query(f"""WITH {SPANS}, w AS (SELECT key, start_s, greatest(0, start_s - 2) AS a, max(end_s) + 2 AS b FROM spans WHERE kind = 'click' GROUP BY ALL), p AS (SELECT *, coalesce(sum(b - a + 5) OVER (PARTITION BY key ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM w),
+q AS (SELECT user_id AS key, event_id AS id, (event_id * 997) % 100000 AS t FROM events) SELECT q.key, q.id, a + least(t - o, b - a) AS original_s FROM q JOIN p ON p.key = q.key AND t >= o AND t < o + b - a + 5""")
+def map_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of joined windows in original time."""
+    w = tables.spans(spark, sf_dir).where("kind = 'click'").groupBy("key", "start_s").agg(F.max("end_s").alias("end_s"))
+    points = read(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("id"), (F.col("event_id") * 997 % 100_000).cast("double").alias("at"))
+    return timeline.map_back(points, timeline.concatenated(w, ["key"], 2.0, 5.0), ["key"], 5.0, BIN_S).select("key", "id", "original_s")
+
+
 # ---- reports ----
 
 

@@ -50,7 +50,7 @@ def current_store(spark: SparkSession, folder: str, before: int, schema: T.Struc
     return spark.read.schema(schema).parquet(f"{folder}/version={before - 1}")
 
 
-def announce_once(stream: DataFrame, sink: Callable[[DataFrame], None], settled: str, key: str) -> DataStreamWriter:
-    """Give each settled run to ``sink`` once."""
-    done = stream.where(settled).dropDuplicates([key])
+def announce_once(stream: DataFrame, sink: Callable[[DataFrame], None], settled: str, key: str, at: str, forget_after: str) -> DataStreamWriter:
+    """Give each settled run to ``sink`` once; a run is remembered for ``forget_after``, so the state ends."""
+    done = first_seen(stream.where(settled), key, at, forget_after)
     return done.writeStream.foreachBatch(lambda batch, _: sink(batch))

@@ -35,7 +35,11 @@ def test_names(spark):
     assert one(spark, names.speakers(F.lit("Amane/Shoma [narration] & amane (V.O)"))) == ["amane", "shoma"]
     assert one(spark, names.episode_number(F.lit("Show EP 041 final"))) == 41
     assert one(spark, names.episode_number(F.lit("step 12"))) is None
-    assert one(spark, names.slug(F.lit("my DUB show-two"))) == "MyDUBShowTwo"
+    assert one(spark, names.slug(F.lit("my DUB show-two"))) == "My-DUB-Show-Two" and one(spark, names.slug(F.lit("HEROES (2023)"))) == "Heroes-2023"
+    day = F.lit("2024-03-01").cast("date")
+    assert [one(spark, names.output_name(F.lit(a), F.lit(b), "QC-Report", day)) for a, b in (("a b", "7"), ("", "123"), (None, "pilot x"))] == ["A-B_EP07_QC-Report_2024-03-01", "EP123_QC-Report_2024-03-01", "Pilot-X_QC-Report_2024-03-01"]
+    asked = {" Help ": "help", "my runs": "history", "is it done": "status", "run status": "run", "anything new?": "scan", "are the audio files delivered for ep 4": "audio_check", "start the scriptless compare": "audio_run", "yes": "run", "episode #12": "check", "hello": None}
+    assert {t: one(spark, names.command(F.lit(t))) for t in asked} == asked
     assert one(spark, names.common_prefix(F.lit("EP1_a"), F.lit("EP1_b"))) == "EP1_"
     assert one(spark, names.cut_prefix(F.lit("Show - EP1_ab"))) == "Show - "
     assert one(spark, names.cut_prefix(F.lit("EP1_ab"))) == "EP1_"
@@ -52,7 +56,6 @@ def test_texts(spark):
 
 
 def test_levels(spark):
-    df = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    assert df.agg(levels.upper_median(F.col("x"))).first()[0] == 3.0 and df.agg(F.median("x")).first()[0] == 2.5
+    assert [one(spark, levels.clamp(F.lit(x), 3.0)) for x in (-5.0, 1.5, 9.0)] == [-3.0, 1.5, 3.0]
     assert one(spark, levels.decibels(F.lit(0.0))) == -180.0 and one(spark, levels.decibels(F.lit(0.5))) == -6.0
     assert [one(spark, levels.tolerated_coverage(F.lit(t))) for t in (0.5, 1.0, 2.0, 0.0)] == [0.75, 0.5, 0.2, 0.8]

@@ -121,6 +121,44 @@ def test_mapping_repair(spark):
     assert ("name_mismatch", "ann", "A") in i and ("verified_absent", "bob", None) in i
 
 
+def test_mapping_repair_passes_one_by_one(spark):
+    """Each pass fires on a case of its own, and not where its bounds are missed."""
+
+    def run(named, scores, lines):
+        who, tracks = sorted({s for s, *_ in scores}), sorted({c for _, c, *_ in scores})
+        sc = spark.createDataFrame([(1, s, c, float(p), float(r), float(n), who.index(s), tracks.index(c)) for s, c, p, r, n in scores], "key long, speaker string, channel string, precision double, recall double, name_score double, speaker_ord int, channel_ord int")
+        m, i = mapping.repair(spark.createDataFrame([(1, *x) for x in named], "key long, speaker string, channel string"), sc, spark.createDataFrame([(1, s, n, float(n)) for s, n in lines.items()], "key long, speaker string, lines long, line_s double"))
+        return {r.speaker: r.channel for r in m.collect()}, {(r.kind, r.speaker, r.channel) for r in i.collect()}
+
+    nine = {"ann": 9, "bob": 9, "cat": 9}
+    # 1 a bundle is dropped, unless someone's voice fills it
+    assert run([("ann", "crowd_1")], [("ann", "crowd_1", 0.4, 0.2, 1)], nine)[0] == {}
+    assert run([("ann", "crowd_1")], [("ann", "crowd_1", 0.6, 0.2, 1)], nine)[0] == {"ann": "crowd_1"}
+    # 2 reassigned only with enough lines and margin
+    taken = [("ann", "A", 0.4, 0.2, 1), ("bob", "A", 0.6, 0.5, 0)]
+    assert run([("ann", "A")], taken, nine)[0] == {"bob": "A"}
+    assert ("reassigned", "bob", "A") not in run([("ann", "A")], taken, nine | {"bob": 3})[1]
+    assert ("reassigned", "bob", "A") not in run([("ann", "A")], [("ann", "A", 0.5, 0.2, 1), ("bob", "A", 0.6, 0.5, 0)], nine)[1]
+    # 3 no swap if only one side beats the other
+    m, i = run([("ann", "A"), ("bob", "B")], [("ann", "A", 0.1, 0.9, 1), ("bob", "A", 0.8, 0.9, 0), ("ann", "B", 0.1, 0.9, 0), ("bob", "B", 0.8, 0.9, 1)], nine)
+    assert m == {"ann": "A", "bob": "B"} and ("name_mismatch", "ann", "A") in i
+    # 4 possible matches stay unmapped and leave the track free; the better recall goes first
+    m, i = run([("ann", "A")], [("ann", "A", 0.9, 0.9, 1), ("bob", "A", 0, 0, 0), ("cat", "A", 0, 0, 0), ("ann", "X", 0, 0, 0), ("bob", "X", 0.3, 0.4, 0), ("cat", "X", 0.55, 0.35, 0)], nine)
+    assert m == {"ann": "A", "cat": "X"} and {("possible_match", "bob", "X"), ("rescued", "cat", "X")} <= i
+    # 5 a small part in a bundle, but not a large one
+    part = [("ann", "A", 0.9, 0.9, 1), ("bob", "A", 0, 0, 0), ("ann", "walla", 0.1, 0.1, 0), ("bob", "walla", 0.2, 0.9, 0)]
+    assert ("grouped", "bob", "walla") in run([("ann", "A")], part, {"ann": 9, "bob": 3})[1]
+    assert ("grouped", "bob", "walla") not in run([("ann", "A")], part, {"ann": 9, "bob": 7})[1]
+    # 7 second tracks by name, or by a weaker name and the voice, unless another voice is in them
+    twin = lambda name, p, r, other: run([("ann", "A")], [("ann", "A", 0.9, 0.9, 1), ("bob", "A", 0, 0, 0), ("ann", "A2", p, r, name), ("bob", "A2", other, 0.1, 0)], nine)[1]
+    assert ("twin_merged", "ann", "A2") in twin(0.8, 0.1, 0.1, 0.1) and ("twin_merged", "ann", "A2") in twin(0.5, 0.6, 0.2, 0.1)
+    assert ("twin_merged", "ann", "A2") not in twin(0.5, 0.3, 0.2, 0.1) and ("twin_merged", "ann", "A2") not in twin(0.8, 0.1, 0.1, 0.4)
+    # 8 names of several people in a file's name
+    assert ("ambiguous_name", None, "anna_bobby") in run([], [("anna", "anna_bobby", 0, 0, 0), ("bobby", "anna_bobby", 0, 0, 0)], {"anna": 9, "bobby": 9})[1]
+    # 9 nobody's voice anywhere
+    assert ("verified_absent", "bob", None) in run([("ann", "A")], [("ann", "A", 0.9, 0.9, 1), ("bob", "A", 0.1, 0.1, 0)], nine)[1]
+
+
 def plain_regions(p, step, cfg=VAD):
     """One frame after the other."""
     off, runs, start, quiet = max(0.15, min(cfg.off, cfg.on - 0.15)), [], None, None
