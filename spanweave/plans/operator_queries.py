@@ -182,13 +182,13 @@ def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.newest_revision(f, ["key"], ("stmix", "premix")).select("key", "name", "stage")
 
 
-@query("""SELECT event_id // 100 AS run, 'POA' AS series, 'EP' || (event_id // 100) % 20 AS episode, event_id AS start, round(value, 2) AS slot_cov, '' || event_id AS text, event_id % 10 = 0 AS fragment, CASE WHEN event_id % 4 = 0 THEN 3 END AS block_n FROM events WHERE event_type = 'view'""")
+@query("""SELECT event_id // 100 AS run, 'SHOW' AS series, 'EP' || (event_id // 100) % 20 AS episode, event_id AS start, round(value, 2) AS slot_cov, '' || event_id AS text, event_id % 10 = 0 AS fragment, CASE WHEN event_id % 4 = 0 THEN 3 END AS block_n FROM events WHERE event_type = 'view'""")
 def flat_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing lines of stored reports, one row each."""
     n = F.col("event_id")
     error = F.struct(F.when(F.col("event_type") == "view", "MISSING").otherwise("EXTRA").alias("type"), n.cast("double").alias("script_start_s"), F.round("value", 2).alias("slot_speech_cov"), n.cast("string").alias("text"), F.when(n % 10 == 0, True).alias("fragment"), F.when(n % 4 == 0, F.struct(F.lit(3).alias("n"))).alias("block"))
     run = F.floor(n / 100)
-    stored = read(spark, sf_dir, "events").groupBy(run.alias("run")).agg(F.to_json(F.struct(F.collect_list(error).alias("errors"))).alias("report")).withColumn("workbook", F.concat(F.lit("POA_Ep"), F.col("run") % 20, F.lit("_AudioQC.xlsx")))
+    stored = read(spark, sf_dir, "events").groupBy(run.alias("run")).agg(F.to_json(F.struct(F.collect_list(error).alias("errors"))).alias("report")).withColumn("workbook", F.concat(F.lit("SHOW_Ep"), F.col("run") % 20, F.lit("_AudioQC.xlsx")))
     return files.flatten_reports(stored).select("run", "series", "episode", F.col("start").cast("long").alias("start"), "slot_cov", "text", "fragment", "block_n")
 
 
