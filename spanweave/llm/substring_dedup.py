@@ -235,9 +235,8 @@ def contract(arcs: DataFrame) -> DataFrame:
     at = checkpoint(arcs.select("node", "head", "far", F.lit(True).alias("more")))
     while at.agg(F.bool_or("more")).first()[0]:
         onward = at.select(F.col("node").alias("head"), F.col("head").alias("beyond"), F.col("far").alias("further"))
-        step = at.where("more").join(onward, "head", "left")
-        moved = step.select("node", F.coalesce("beyond", "head").alias("head"), (F.col("far") + F.coalesce("further", F.lit(0))).alias("far"), F.col("beyond").isNotNull().alias("more"))
-        at = checkpoint(moved.union(at.where("not more")))
+        # pointers that have arrived find nothing beyond; a union of them would add its partitions in every round
+        at = checkpoint(at.join(onward, "head", "left").select("node", F.coalesce("beyond", "head").alias("head"), (F.col("far") + F.coalesce("further", F.lit(0))).alias("far"), F.col("beyond").isNotNull().alias("more")))
     return at.select("node", "head", "far")
 
 
