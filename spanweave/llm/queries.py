@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, html_text, packing, quality, secrets, sentencepiece_codec, simhash, substring_dedup, url_filter, warc
+from . import exact_dedup, filter_audit, html_text, packing, quality, secrets, sentencepiece_codec, sharding, simhash, spelling, substring_dedup, url_filter, warc
 from .common import read_table
 
 
@@ -52,6 +53,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(read_table(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"), damage=199)
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.assign(read_table(spark, sf_dir, "documents"))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,10 +85,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_secret_scan,
         op9_quality_rules,
         op10_simhash,
+        op11_spelling_variants,
+        op12_sharding,
+        op13_filter_audit,
         pipeline,
     )
 }
 
+#: CRC-32 of a list of bytes, by its polynomial.
+CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t"
+CRC = "xor(list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: ('0x' || x)::BIGINT), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295)"
+
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
@@ -97,4 +118,43 @@ FROM d""",
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
        doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+    "op11_spelling_variants": rf"""
+WITH RECURSIVE crc AS ({CRC_TABLE}),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+c AS (SELECT doc_id, run, count(*) AS m FROM r GROUP BY doc_id, run),
+h AS (SELECT run, m, {CRC.format("doc_id::VARCHAR || ':' || run")} AS h FROM c, crc),
+d AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, m FROM h),
+w AS (SELECT word, sum(m)::BIGINT AS n FROM d WHERE length(word) >= 6 GROUP BY word HAVING sum(m) >= 5),
+gone AS (SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1))::INT AS i FROM w)),
+pairs AS (
+  SELECT a.word, b.word AS other FROM gone a JOIN gone b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word FROM gone a JOIN w b ON a.rest = b.word
+  UNION SELECT b.word, a.word FROM gone a JOIN w b ON a.rest = b.word),
+near AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, other)) AS best, max(n) AS best_n FROM (SELECT p.word, p.other, w.n FROM pairs p JOIN w ON w.word = p.other) GROUP BY word),
+f AS (SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 5 * w.n THEN best END AS form, CASE WHEN best_n >= 5 * w.n THEN best_n END::BIGINT AS form_n FROM w LEFT JOIN near USING (word)),
+chain AS (SELECT word, word AS at, form AS next FROM f UNION ALL SELECT chain.word, f.word, f.form FROM chain JOIN f ON f.word = chain.next)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n FROM f JOIN chain ON chain.word = f.word AND chain.next IS NULL""",
+    "op12_sharding": rf"""
+WITH crc AS ({CRC_TABLE}),
+d AS (SELECT doc_id, coalesce(source, '') AS s, strlen(coalesce(text, ''))::BIGINT + 16 AS size, {CRC.format("coalesce(text, '')")}::BIGINT AS text_crc32, md5('42:' || doc_id || ':' || sha256(coalesce(text, ''))) AS k FROM documents, crc),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY k, doc_id) - 1 AS r, count(*) OVER (PARTITION BY s) AS n FROM d),
+f AS (SELECT *, (r + ('0x' || substr(md5('42:' || s), 1, 13))::BIGINT::DOUBLE / 4503599627370496) / n AS f FROM r),
+p AS (SELECT *, row_number() OVER (ORDER BY f, s, k, doc_id) - 1 AS p, count(*) OVER () AS total FROM f),
+c AS (SELECT *, p * 40 // total AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'rows' AS law, shard::INT AS shard, p - min(p) OVER (PARTITION BY shard) AS slot, NULL::INT AS grown_shard FROM c""",
+    "op13_filter_audit": r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (SELECT w.doc_id, part, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic,
+  CASE WHEN len(ws) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 'B' ELSE '' END
+  || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+  || CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails
+  FROM w LEFT JOIN labels USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM g GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+s AS (SELECT part, filter_order, step, substr(filter_order, step, 1) AS f, fails, n, good, toxic, coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda x: strpos(filter_order, x))), 6) AS fell FROM c, o, (SELECT unnest([1, 2, 3, 4, 5])::INT AS step)),
+z AS (SELECT part, filter_order, step, f, sum(n) FILTER (fell > step) AS kept, sum(n) FILTER (fell = step) AS removed, sum(n) FILTER (fell < step AND contains(fails, f)) AS redundant,
+  sum(n) FILTER (fails = f) AS unique_fails, sum(good) FILTER (fell = step) AS good_lost, sum(toxic) FILTER (fell = step) AS toxic_lost FROM s GROUP BY ALL)
+SELECT part, filter_order, step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant, coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+  coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost, coalesce(sum(removed) OVER (PARTITION BY part, f), 0)::BIGINT AS shapley FROM z""",
 }
