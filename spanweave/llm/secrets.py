@@ -8,8 +8,8 @@ automaton. What the base spans leave of the runs of the labels' alphabet is scor
 character under the best automaton that accepts it, against that of ordinary tokens; what is above the
 threshold becomes a span of kind ``format``. As a run may hold a key, a path or a full stop beside the
 value, everything in it that begins at its start or after a symbol and ends at its end or before one is
-scored, from the labels' least length on: single pieces and whole runs of any length, several pieces
-together up to the length of the longest label. Of overlapping ones the longest stays.
+scored, from the labels' least length on and without a longest: a walk ends where no format has a step, and
+walks in the same states go on as one. Of overlapping ones the longest stays.
 
 Training reads a bounded sample: the ``MAX_LABELLED`` values of each kind, and as many ordinary
 tokens, that come first by hash; ordinary is what base spans leave of the same runs, digits and symbols
@@ -29,11 +29,12 @@ import hashlib
 import math
 import re
 import string
-from bisect import bisect_left, bisect_right
+from bisect import bisect_right
 from collections import Counter, deque
 from collections.abc import Callable
-from itertools import accumulate
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
@@ -48,7 +49,6 @@ MIN_ASSIGN, MIN_ACCESS = 8, 16
 ALPHABET = string.ascii_letters + string.digits + "+/_.=-"
 RUN = re.compile(rf"[A-Za-z0-9+/_.=-]{{{MIN_ASSIGN},}}")
 SYMBOL = re.compile("[+/_.=-]")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 MAX_LABELLED, MERGE_ERROR, THRESHOLD = 2000, 0.05, 0.5
 #: Log likelihood of a step that ordinary tokens never took.
 UNSEEN = math.log(1e-4)
@@ -64,16 +64,6 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(found + [(2, m.start(), m.end(), m[0]) for m in HEX.finditer(text)], key=lambda s: (s[1], s[0]))
 
 
-def candidates(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Long tokens that no base span overlaps."""
-    found = [(3, m.start(), m.end(), m[0]) for m in CANDIDATE.finditer(text)]
-    if not taken:
-        return found
-    starts, reach = [s[1] for s in taken], list(accumulate((s[2] for s in taken), max))
-    # of the spans that start before a candidate ends, none may reach beyond its start
-    return [c for c in found if not (k := bisect_left(starts, c[2])) or reach[k - 1] <= c[1]]
-
-
 def free_runs(text: str, taken: list[tuple[int, int, int, str]]) -> list[tuple[int, int]]:
     """What base spans leave of the runs of the labels' alphabet, where it is as long as a label."""
     found, k, reach = [], 0, 0
@@ -94,25 +84,10 @@ def credentials(text: str, taken: list[tuple[int, int, int, str]], formats: Form
     """Spans beside those of the base patterns that read like a learned format."""
     if not formats.formats or not formats.may.search(text):
         return []
-    found = {c[1:3] for c in candidates(text, taken) if formats.score(c[3]) > threshold}
-    for a, b in free_runs(text, taken):
-        if not formats.may.search(text, a, b):
-            continue
-        symbols = [m.start() for m in SYMBOL.finditer(text, a, b)]
-        ends = [*symbols, b]
-        for start in [a, *(x + 1 for x in symbols)]:
-            k = bisect_right(ends, start)
-            far = bisect_right(ends, start + formats.longest)
-            stops = ends[k : max(far, k + 1)] + ([b] if start == a and far < len(ends) else [])
-            lengths = sorted({x - start for x in stops if x - start >= MIN_ASSIGN})
-            if lengths:
-                value = text[start : start + lengths[-1]]
-                found |= {(start, start + n) for n, score in zip(lengths, formats.scores(value, lengths), strict=True) if score > threshold}
     chosen: list[tuple[int, int]] = []
-    for span in sorted(found, key=lambda s: (s[0] - s[1], s[0])):
-        k = bisect_left(chosen, span)
-        if (k == 0 or chosen[k - 1][1] <= span[0]) and (k == len(chosen) or span[1] <= chosen[k][0]):
-            chosen.insert(k, span)
+    for a, b in free_runs(text, taken):
+        if formats.may.search(text, a, b):
+            chosen += [(a + x, a + y) for x, y in formats.above(text[a:b], threshold)]
     return [(3, a, b, text[a:b]) for a, b in chosen]
 
 
@@ -225,7 +200,6 @@ class Formats:
         known = {c for f in self.formats.values() for steps in f.steps for c in steps}
         # no format accepts a value with other symbols, so text without such a run needs no scoring
         self.may = re.compile("[" + re.escape("".join(c for c in ALPHABET if classes(c) in known) or "-") + f"]{{{MIN_ASSIGN},}}")
-        self.longest = max((len(x) for v in labelled.values() for x in v), default=0)
 
     def accepts(self, value: str) -> bool:
         """Whether some format has a path for the value."""
@@ -243,6 +217,95 @@ class Formats:
     def score(self, value: str) -> float:
         return self.scores(value, [len(value)])[0]
 
+    def above(self, run: str, threshold: float) -> list[tuple[int, int]]:
+        """Of all that begins at the start of ``run`` or after a symbol, ends at its end or before one and scores above the threshold: the longest, then the longest beside it, and so on."""
+        symbols = [m.start() for m in SYMBOL.finditer(run)]
+        starts, ends, seen = [0, *(x + 1 for x in symbols)], [*symbols, len(run)], classes(run)
+        walks = [w for f in self.formats.values() for w in _walks(f, self.ordinary, seen, starts, set(ends), threshold)]
+        heap = [(-n, w.start, k) for k, w in enumerate(walks) if (n := w.longest(len(run)))]
+        heapify(heap)
+        chosen: list[tuple[int, int]] = []
+        while heap:
+            n, start, k = heappop(heap)
+            at = bisect_right(chosen, (start, len(run)))
+            if at and chosen[at - 1][1] > start:
+                continue
+            limit = chosen[at][0] if at < len(chosen) else len(run)
+            if start - n <= limit:
+                chosen.insert(at, (start, start - n))
+            elif n := walks[k].longest(limit):
+                heappush(heap, (-n, start, k))
+        return chosen
+
+
+class _Track:
+    """What walks that are in the same states share from where they met: the ends passed and the gain at each."""
+
+    def __init__(self, gain: float):
+        self.gain, self.ends, self.gains = gain, [], []
+        self.into: tuple[_Track, float, int] | None = None
+
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(self.ends, list):
+            self.ends, self.gains = np.array(self.ends, np.int64), np.array(self.gains, np.float64)
+        return self.ends, self.gains
+
+
+class _Walk:
+    """The values that begin at ``start``; on ``track`` their gain is the track's plus ``more``."""
+
+    def __init__(self, start: int, track: _Track, more: float):
+        self.start, self.track, self.more = start, track, more
+
+    def longest(self, limit: int) -> int:
+        """Length of the longest value with a gain that ends at ``limit`` or before; 0 if there is none of the least length."""
+        parts, track, more, since = [], self.track, self.more, self.start + MIN_ASSIGN
+        while True:
+            parts.append((track, more, since))
+            if track.into is None:
+                break
+            track, added, met = track.into
+            more, since = more + added, max(since, met)
+        for track, more, since in reversed(parts):
+            ends, gains = track.arrays()
+            low, high = np.searchsorted(ends, since), np.searchsorted(ends, limit, "right")
+            hit = np.flatnonzero(gains[low:high] > -more)
+            if len(hit):
+                return int(ends[low + hit[-1]]) - self.start
+        return 0
+
+
+def _walks(form: Automaton, ordinary: Automaton, seen: str, starts: list[int], ends: set[int], threshold: float) -> list[_Walk]:
+    """Walks through both automata from every start, all at once. A walk ends where the format has no step. Walks that come
+    into the same two states go on as one, so a run of any length takes a step a character and pair of states."""
+    live: dict[tuple[int, int | None], _Track] = {}
+    walks, begins = [], set(starts)
+    for at in range(len(seen) + 1):
+        if at in ends:
+            for (f, o), track in live.items():
+                stop = form.steps[f].get(END)
+                if stop is not None:
+                    track.ends.append(at)
+                    track.gains.append(track.gain + stop - (UNSEEN if o is None else ordinary.steps[o].get(END, UNSEEN)) - threshold)
+        if at == len(seen):
+            break
+        if at in begins:
+            track = live.setdefault((0, 0), _Track(0.0))
+            walks.append(_Walk(at, track, -track.gain))
+        c, onward = seen[at], {}
+        for (f, o), track in live.items():
+            step = form.steps[f].get(c)
+            if step is None:
+                continue
+            plain = None if o is None else ordinary.steps[o].get(c)
+            track.gain += step - (UNSEEN if plain is None else plain) - threshold
+            state = form.same[form.next[f][c]], None if plain is None else ordinary.same[ordinary.next[o][c]]
+            first = onward.setdefault(state, track)
+            if first is not track:
+                track.into = first, track.gain - first.gain, at + 1
+        live = onward
+    return walks
+
 
 def spans_of(docs: DataFrame, id_col: str, text_col: str, find: Callable[[str], list[tuple[int, int, int, str]]]) -> DataFrame:
     """doc_id and the spans that ``find`` has of every row."""
