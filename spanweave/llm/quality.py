@@ -9,20 +9,21 @@ Cutoffs are searched along chains fixed beforehand, from loose to strict, that e
 such a fixed sequence needs no division of the error by its length. Of the five plans of a stratum, four
 are chains of joint cutoffs, one beginning with each rule: it goes down the grid in one rule, then in the
 next, and each step counts the documents that any rule so far rejects. The fifth, ``apart``, gives each rule
-a chain of its own and an equal share of the rate. The plans have shares of the error (``SHARES``), which is
+a chain of its own and an equal share of the rate. The plans have equal shares of the error (``SHARES``), which is
 divided by the strata that have labels of good quality, so the bounds of all plans hold at once and one may
 be chosen freely: that which rejects most labelled documents of bad quality, of equal ones ``apart`` before
 the others and these in the order of RULES; plans without cutoffs come last. Where no plan has one, only the
-base rules reject.
+base rules reject. The bound needs independent labels, so copies of a text count once in a stratum.
 
 Defined results: a null text is an empty one (no words, base rule fails it); a null language is a
-stratum of its own; null and repeated labels count once per document with the lowest quality given;
+stratum of its own; null labels do not count, repeated ones and those of equal texts once with the lowest quality given;
 labels without a document are ignored; an empty table gives an empty result; further columns are not
 read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -33,6 +34,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, LongType
 
 from .common import checkpoint, map_texts, words
 
@@ -59,8 +61,8 @@ RULES = {
     "word_length": ("word_chars", 40.0),
 }
 #: Plan -> its share of the error: rules apart, or the rule that a chain of joint cutoffs begins with.
-SHARES = {"apart": 1 / 8, "symbols": 1 / 2, "dup_lines": 1 / 8, "repeats": 1 / 8, "word_length": 1 / 8}
-COUNTS = "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+SHARES = dict.fromkeys(("apart", *RULES), 1 / (1 + len(RULES)))
+COUNTS = "digest binary, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 
 def repeat_words(w: list[bytes]) -> int:
@@ -92,14 +94,15 @@ def count_text(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
-    """The counts of every document, one row each."""
+    """The counts of every document, one row each; ids are integers or binary keys."""
 
     def batch(ids: list, texts: list, strata: list) -> dict:
         n, chars, symbols, dup, rep = zip(*map(count_text, texts), strict=True) if texts else ([],) * 5
-        return {"doc_id": ids, "stratum": strata, "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": rep}
+        return {"doc_id": ids, "digest": [hashlib.sha256((t or "").encode()).digest() for t in texts], "stratum": strata, "n_words": n, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": dup, "n_repeat_words": rep}
 
-    picked = docs.select(F.col(id_col).cast("long"), F.col(text_col), F.coalesce(F.col(stratum_col), F.lit("\0null")))
-    counts = map_texts(picked, batch, COUNTS)
+    key = docs.schema[id_col].dataType if docs.schema[id_col].dataType == BinaryType() else LongType()
+    picked = docs.select(F.col(id_col).cast(key), F.col(text_col), F.coalesce(F.col(stratum_col), F.lit("\0null")))
+    counts = map_texts(picked, batch, f"doc_id {key.simpleString()}, {COUNTS}")
     n = F.col("n_words")
     return counts.withColumn("base_failed", (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * n))
 
@@ -151,8 +154,10 @@ def walk(left: np.ndarray, steps: int, rate: float, error: float) -> int:
 
 def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """One row per stratum: a nullable cutoff per rule. Reads every labelled document."""
-    quality = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    quality = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast(counts.schema["doc_id"].dataType).alias("doc_id")).agg(F.min("quality").alias("quality"))
     known = counts.where(~F.col("base_failed")).join(quality, "doc_id")
+    # equal texts have equal counts
+    known = known.groupBy("stratum", "digest", "n_words", *(c for c, _ in RULES.values())).agg(F.min("quality").alias("quality"))
     grid, names = risk.grid, list(RULES)
     # a value in step s lies in ((s - 1) * width, s * width]: a cutoff of s * width keeps it; the last step is open above
     step = {r: F.least(F.lit(grid), F.ceil(F.col(c) / F.col("n_words") / F.lit(top / grid))).cast("int") for r, (c, top) in RULES.items()}

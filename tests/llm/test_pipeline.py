@@ -42,7 +42,7 @@ def test_stages(spark):
     assert clean.columns == columns and {r.doc_id for r in clean.collect()} == set(texts)
     for r in clean.collect():
         assert r.n_chars == len(r.text)
-        if not secrets.base_spans(texts[r.doc_id]) and not secrets.candidates(texts[r.doc_id], []):
+        if not secrets.base_spans(texts[r.doc_id]) and not secrets.free_runs(texts[r.doc_id], []):
             assert r.text == texts[r.doc_id]
         assert not [s for s in secrets.base_spans(r.text) if s[0] in (1, 2)]
 
@@ -66,7 +66,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 def table(spark, rows, extra=True):
     df = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], SCHEMA)
-    return df.select("*", *(F.lit(7).alias(c) for c in ("kept", "fp", "component_id", "keep_id", "stratum", "spans", "plain", "quality"))) if extra else df
+    return df.select("*", *(F.lit(7).alias(c) for c in ("kept", "fp", "component_id", "keep_id", "stratum", "spans", "plain", "quality", "key", "again", "KEY_", "_stage_key", "_stage_again", "digest"))) if extra else df
 
 
 GOOD = " ".join(f"word{i} is here" for i in range(40))
@@ -100,6 +100,14 @@ def test_edges_of_stages(spark, name):
         assert len(got) == len(ROWS) and any(t and t.endswith("password = [assign] end") for _, t in got)
 
 
+def test_colliding_hashes_lose_no_document(spark, monkeypatch):
+    """Texts whose chunk identifiers and doc_ids all collide are still two documents."""
+    rows = [(7, GOOD + f" {i}") for i in range(20)] * 2
+    exact = stages.exact_dedup.exact_dedup
+    monkeypatch.setattr(stages.exact_dedup, "exact_dedup", lambda docs: exact(docs, identify=lambda c: F.lit(1).cast("long")))
+    assert stage_rows(spark, "exact", rows) == sorted(set(rows), key=repr)
+
+
 def test_secret_stage_without_n_chars(spark):
     df = table(spark, ROWS, extra=False).drop("n_chars")
     assert stages.redacted(df).columns == df.columns and stages.redacted(df).count() == len(ROWS)

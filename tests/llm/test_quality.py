@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 from spanweave.llm import quality
 
 
@@ -83,3 +85,23 @@ def test_chain_ends_at_first_failure():
     left[10] = 216
     assert quality.walk(left, 10, 0.02, 0.0125) == 0
     assert math.isclose(sum(quality.SHARES.values()), 1)
+
+
+def test_copies_among_the_labels_keep_the_error(spark):
+    """Each of many strata is a trial: a tenth of the good texts may lie above a cutoff, and each is labelled in forty copies."""
+    rng = random.Random(9)
+    rows = []
+    for s in range(60):
+        good = [rng.randrange(1, 400) if rng.random() < 0.1 else 0 for _ in range(700)]
+        for q, values in ((1, good), (0, range(1, 400, 10))):
+            rows += [(len(rows) + k, f"{s}/{q}/{k}".encode(), f"s{s}", 100, 400, v, 0, 0, False, q) for k, v in enumerate(values)]
+    schema = "doc_id long, digest binary, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, quality int"
+    copies = F.explode(F.sequence(F.lit(0), F.lit(39))).alias("copy")
+    each = spark.createDataFrame(rows, schema).select("*", copies).withColumn("doc_id", F.col("doc_id") * 40 + F.col("copy"))
+    counts, labels = each.drop("copy", "quality"), each.select("doc_id", "quality")
+    # of fresh texts a cutoff c rejects one tenth of the share of values above 100 c
+    true = lambda c: 0.1 * (399 - min(399, int(100 * c))) / 399
+    broken = lambda df: sum(r.symbols is not None and true(r.symbols) > 0.02 for r in quality.cutoffs(df, labels).collect())
+    assert broken(counts) == 0
+    # were each copy an own text, the stated error of one in twenty that any stratum breaks would be exceeded by far
+    assert broken(counts.withColumn("digest", F.col("doc_id").cast("string").cast("binary"))) >= 5
