@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanweave.operators.grouped import column, map_groups
 from spanweave.operators.intervals import overlap_join, overlap_seconds
 from spanweave.session import cut_lineage
 
@@ -38,32 +39,55 @@ def cluster_draws(draws: DataFrame, keys: list[str], tolerance: float) -> DataFr
 
     In the order of draws and times a finding joins the first cluster whose representative it meets within the
     tolerance, else it opens one; a higher tier becomes the representative. Findings further apart than that from
-    all others never meet, so a key is parted into such islands first, and only an island is one task's work.
+    all others never meet, so a key is parted into such islands first. A finding alone in its island is its own cluster;
+    tasks walk the other islands, many of a batch after each other, and an island is one task's work.
     """
     w = Window.partitionBy(*keys).orderBy("start_s", "end_s", "draw")
     reach = F.max("end_s").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    parted = draws.select(*keys, "draw", "start_s", "end_s", "tier").withColumn("_open", F.when(F.col("start_s") - reach <= tolerance, 0).otherwise(1))
-    parted = parted.withColumn("_island", F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).drop("_open")
-    schema = ", ".join(f"`{c}` {draws.schema[c].dataType.simpleString()}" for c in keys)
+    opens = F.when(F.col("start_s") - reach <= tolerance, 0).otherwise(1)
+    parted = draws.select(*keys, "draw", F.col("start_s").cast("double").alias("start_s"), F.col("end_s").cast("double").alias("end_s"), F.col("tier").cast("int").alias("tier")).withColumn("_open", opens)
+    parted = parted.withColumns({"_island": F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("long"), "_alone": (F.col("_open") == 1) & (F.coalesce(F.lead("_open").over(w), F.lit(1)) == 1)}).drop("_open")
+    alone = parted.where("_alone").select(*keys, "start_s", "end_s", "tier", F.lit(1).cast("long").alias("members"))
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        low, high, tier = (column(table, c) for c in ("start_s", "end_s", "tier"))
+        heads, members = [], []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            for row, n in _walk_island(low[a:b].tolist(), high[a:b].tolist(), tier[a:b].tolist(), tolerance):
+                heads.append(a + row)
+                members.append(n)
+        return table.select([*keys, "start_s", "end_s", "tier"]).take(pa.array(heads, pa.int64())).append_column("members", pa.array(members, pa.int64())).combine_chunks().to_batches()[0]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["draw", "start_s", "end_s"])
-        low, high, tier = (ordered[c].to_numpy() for c in ("start_s", "end_s", "tier"))
-        chief: list[int] = []  # row of each cluster's representative
-        member = np.zeros(len(ordered), np.int64)
-        for row in range(len(ordered)):
-            near = np.flatnonzero((low[chief] <= high[row] + tolerance) & (high[chief] >= low[row] - tolerance)) if chief else []
-            member[row] = near[0] if len(near) else len(chief)
-            if not len(near):
-                chief.append(row)
-            elif tier[row] > tier[chief[near[0]]]:
-                chief[near[0]] = row
-        head = ordered[keys].iloc[:1].loc[ordered.index[:1].repeat(len(chief))].reset_index(drop=True)
-        return head.assign(start_s=low[chief], end_s=high[chief], tier=tier[chief].astype("int32"), members=np.bincount(member))
-
-    found = parted.groupBy(*keys, "_island").applyInPandas(run, f"{schema}, start_s double, end_s double, tier int, members long")
+    schema = ", ".join(f"`{c}` {draws.schema[c].dataType.simpleString()}" for c in keys)
+    met = map_groups(parted.where("not _alone").drop("_alone"), [*keys, "_island"], ["draw", "start_s", "end_s"], run, f"{schema}, start_s double, end_s double, tier int, members long")
     total = draws.groupBy(*keys).agg(F.count_distinct("draw").cast("int").alias("draws"))
-    return found.join(total, keys).select(*keys, "start_s", "end_s", "tier", F.least("members", "draws").cast("int").alias("seen"), "draws")
+    return alone.union(met).join(total, keys).select(*keys, "start_s", "end_s", "tier", F.least("members", "draws").cast("int").alias("seen"), "draws")
+
+
+def _walk_island(low: list[float], high: list[float], tier: list[int], tolerance: float) -> list[tuple[int, int]]:
+    """(row of the representative, members) of each cluster, in order of opening. Representatives are looked up by the time
+    bins they touch, as wide as a finding on average, so a long island costs what lies around each finding."""
+    width = max(sum(high) - sum(low), 0.0) / len(low) + tolerance or 1.0
+    chief: list[int] = []
+    members: list[int] = []
+    at: dict[int, list[int]] = {}
+    for row, (a, b) in enumerate(zip(low, high, strict=True)):
+        near = {c for k in range(int((a - tolerance) // width), int((b + tolerance) // width) + 1) for c in at.get(k, ())}
+        mine = min((c for c in near if low[chief[c]] <= b + tolerance and high[chief[c]] >= a - tolerance), default=None)
+        if mine is None:
+            mine = len(chief)
+            chief.append(row)
+            members.append(0)
+        elif tier[row] > tier[chief[mine]]:
+            old = chief[mine]
+            for k in range(int(low[old] // width), int(high[old] // width) + 1):
+                at[k].remove(mine)
+            chief[mine] = row
+        members[mine] += 1
+        if chief[mine] == row:
+            for k in range(int(a // width), int(b // width) + 1):
+                at.setdefault(k, []).append(mine)
+    return list(zip(chief, members, strict=True))
 
 
 def merge_passes(passes: DataFrame, keys: list[str], bin_width: float) -> DataFrame:

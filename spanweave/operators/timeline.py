@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from spanweave.operators.grouped import column, map_groups
 from spanweave.operators.islands import number_runs
 
 
@@ -32,27 +35,67 @@ def words_to_lines(words: DataFrame, keys: list[str], gap_s: float = 0.7) -> Dat
     return runs.groupBy(*keys, "line").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("words"))
 
 
-def drift(frames: DataFrame, key: str, window: int, hop: int, most: int, peak: float = 0.55, margin: float = 0.10) -> DataFrame:
-    """Windows of two envelopes (i from 0, a, b) that match at a shift: key, at, shift, peak.
+def best_shifts(a: np.ndarray, b: np.ndarray, window: int, most: int, apart: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best shift, peak and margin of every window (rows of ``a``) against ``b``, rows of which hold frames from ``most`` before the window on; NaN where there is none.
 
-    A window's shift is that with the highest correlation of a[t] and b[t + shift] inside it, accepted from ``peak`` on
-    and with a lead of ``margin`` over all shifts further than two away. Each frame goes to the windows it lies in and
-    each shift, so a track is no single task.
+    All shifts of a window are one correlation by Fourier transform; means and norms of the shifted segments come from
+    prefix sums. Scores are rounded to nine digits, of equal ones the smallest shift wins.
     """
-    last = F.max("i").over(Window.partitionBy(key))
-    a = frames.select(key, "i", "a", last.alias("last"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("shift")).withColumn("j", F.col("i") + F.col("shift"))
-    pairs = a.join(frames.select(key, F.col("i").alias("j"), "b"), [key, "j"])
-    low, high = F.least("i", "j"), F.greatest("i", "j")
-    # windows begin at multiples of hop, hold both frames and end within the track (a short track is one window)
-    first = F.greatest(F.lit(0), F.ceil((high - (window - 1)) / hop))
-    ends = F.greatest(F.lit(0), F.floor((F.col("last") + 1 - window) / hop))
-    placed = pairs.withColumn("k", F.explode(F.when(F.least(F.floor(low / hop), ends) >= first, F.sequence(first, F.least(F.floor(low / hop), ends)))))
-    scores = placed.groupBy(key, (F.col("k") * hop).cast("int").alias("at"), "shift").agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")).alias("r"))
-    scores = scores.withColumn("r", F.when(F.col("n") > 2, F.col("r")))  # null where a side does not vary
-    top = scores.where("r is not null").groupBy(key, "at").agg(F.max(F.struct("r", (-F.col("shift")).alias("s"))).alias("top")).select(key, "at", F.col("top.r").alias("peak"), (-F.col("top.s")).alias("best"))
-    rest = scores.join(top, [key, "at"]).groupBy(key, "at", "peak", "best").agg(F.max(F.when(F.abs(F.col("shift") - F.col("best")) > 2, F.coalesce("r", F.lit(-1.0)))).alias("second"))
-    kept = rest.where((F.col("peak") >= peak) & (F.col("peak") - F.coalesce("second", F.lit(-1.0)) >= margin))
-    return kept.select(key, "at", F.col("best").cast("int").alias("shift"), "peak")
+    size = 1 << (window + b.shape[1] - 1).bit_length()
+    centred = a - a.mean(axis=1, keepdims=True)
+    norm = np.linalg.norm(centred, axis=1)
+    there = np.isfinite(b)
+    known = np.where(there, b, 0.0)
+    # sums of values near their mean lose fewer digits
+    known = np.where(there, known - known.sum(axis=1, keepdims=True) / np.maximum(1, there.sum(axis=1, keepdims=True)), 0.0)
+    dots = np.fft.irfft(np.fft.rfft(known, size) * np.conj(np.fft.rfft(centred, size)), size)[:, : 2 * most + 1]
+    ahead = lambda x: np.pad(np.cumsum(x, axis=1), ((0, 0), (1, 0)))
+    over = lambda x: (s := ahead(x))[:, window : window + 2 * most + 1] - s[:, : 2 * most + 1]
+    spread = np.sqrt(np.maximum(0.0, over(known**2) - over(known) ** 2 / window))
+    usable = (over(there.astype(np.int64)) == window) & (spread >= 1e-6)
+    scores = np.where(usable, np.round(dots / (np.where(norm > 0, norm, 1.0)[:, None] * np.where(usable, spread, 1.0)), 9), -1.0)
+    best = scores.argmax(axis=1)
+    peak = scores[np.arange(len(a)), best]
+    far = np.abs(np.arange(2 * most + 1) - best[:, None]) >= apart
+    rival = np.where(far, scores, -np.inf).max(axis=1)
+    return best - most, peak, peak - np.where(np.isfinite(rival), rival, 0.0)
+
+
+def drift(frames: DataFrame, key: str, window: int, hop: int, most: int, apart: int, peak: float = 0.55, margin: float = 0.10, quiet: float = 0.05, block: int = 64) -> DataFrame:
+    """Windows of an original's envelope that match the dub's at a shift: key, at, shift, peak, margin.
+
+    ``frames``: key, i from 0 without gaps, a (the original) and b (the dub), null beyond the end of either. A window of
+    the original, every ``hop`` frames, is compared with each whole segment of the dub that begins up to ``most`` frames
+    before or after it. It is accepted from ``peak`` on if no shift ``apart`` frames away or more comes closer than ``margin``;
+    windows whose deviation is below ``quiet`` have nothing to match. A track goes to tasks in blocks of ``block`` windows
+    with the frames around them, so shifts cost no rows and no track is one task.
+    """
+    span = block * hop  # frames from one block's first window to the next one's
+    reach = (block - 1) * hop + window
+    low = F.greatest(F.lit(0), F.ceil((F.col("i") - (reach + most - 1)) / span))
+    spread = frames.select(key, F.col("i").cast("long").alias("i"), F.col("a").cast("double").alias("a"), F.col("b").cast("double").alias("b"), F.explode(F.sequence(low, F.floor((F.col("i") + most) / span))).alias("block"))
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        i, a, b, number = (column(table, c) for c in ("i", "a", "b", "block"))
+        rows: list[tuple[np.ndarray, ...]] = []
+        for s, e in zip(starts, np.append(starts[1:], len(i)), strict=True):
+            base = int(number[s]) * span
+            line = np.full((2, reach + 2 * most), np.nan)
+            at = i[s:e] - (base - most)
+            line[:, at] = a[s:e], b[s:e]
+            places = np.arange(block) * hop
+            pieces = np.lib.stride_tricks.sliding_window_view(line[0, most : most + reach], window)[places]
+            wanted = np.flatnonzero(np.isfinite(pieces).all(axis=1))
+            wanted = wanted[pieces[wanted].std(axis=1) >= quiet]
+            if len(wanted):
+                around = np.lib.stride_tricks.sliding_window_view(line[1], window + 2 * most)[places[wanted]]
+                shift, top, lead = best_shifts(pieces[wanted], around, window, most, apart)
+                kept = np.flatnonzero((top >= peak) & (lead >= margin))
+                rows.append((np.full(len(kept), s), base + places[wanted[kept]], shift[kept], top[kept], lead[kept]))
+        who, at, shift, top, lead = map(np.concatenate, zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 5
+        return pa.RecordBatch.from_arrays([table[key].take(pa.array(who, pa.int64())).combine_chunks(), *(pa.array(x, t) for x, t in ((at, pa.int64()), (shift, pa.int64()), (top, pa.float64()), (lead, pa.float64())))], [key, "at", "shift", "peak", "margin"])
+
+    return map_groups(spread, [key, "block"], ["i"], run, f"`{key}` {frames.schema[key].dataType.simpleString()}, at long, shift long, peak double, margin double")
 
 
 def drift_at(points: DataFrame, windows: DataFrame, keys: list[str], ids: list[str], fallback: float, within: float = 60.0) -> DataFrame:

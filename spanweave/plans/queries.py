@@ -822,14 +822,19 @@ def roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fuzzy.match_roster(fuzzy.score_names(pairs, "channel", "entry"), ["p_brand", "channel"], "entry", "base", "generic")
 
 
-@query(f"""WITH {FRAMES}, f AS (SELECT user_id, i, value AS a, coalesce(lag(value, 3) OVER (PARTITION BY user_id ORDER BY i), 0) AS b FROM frames), n AS (SELECT user_id, max(i) + 1 AS n FROM f GROUP BY 1),
-w AS (SELECT user_id, unnest(range(0, greatest(1, n - 29), 10)) AS pos FROM n), s AS (SELECT unnest(range(-6, 7)) AS shift),
-r AS (SELECT w.user_id, pos, shift, CASE WHEN count(*) > 2 AND stddev_pop(x.a) > 0 AND stddev_pop(y.b) > 0 THEN covar_pop(x.a, y.b) / (stddev_pop(x.a) * stddev_pop(y.b)) END AS r FROM w JOIN f x ON x.user_id = w.user_id AND x.i >= pos AND x.i < pos + 30 CROSS JOIN s JOIN f y ON y.user_id = x.user_id AND y.i = x.i + shift AND y.i >= pos AND y.i < pos + 30 GROUP BY ALL),
-t AS (SELECT user_id, pos, arg_max(shift, r) AS best, max(r) AS peak FROM r WHERE r IS NOT NULL GROUP BY ALL),
-m AS (SELECT t.user_id, t.pos, best, peak, coalesce(max(CASE WHEN abs(shift - best) > 2 THEN coalesce(r, -1) END), -1) AS second FROM t JOIN r ON r.user_id = t.user_id AND r.pos = t.pos GROUP BY ALL)
-SELECT user_id, pos AS "at", best AS shift, round(peak, 6) AS peak FROM m WHERE peak >= 0.55 AND peak - second >= 0.1""")
+@query(f"""WITH {FRAMES}, n AS (SELECT user_id, count(*) AS n FROM frames GROUP BY 1), f AS (SELECT user_id, i, value AS a, coalesce(lag(value, 25) OVER (PARTITION BY user_id ORDER BY i), i % 7) AS b FROM frames),
+w AS (SELECT user_id, n, unnest(range(0, n - 19, 10)) AS pos FROM n), s AS (SELECT unnest(range(-30, 31)) AS shift),
+a AS (SELECT user_id, pos, n, avg(f.a) AS m, sqrt(var_pop(f.a) * 20) AS norm FROM w JOIN f USING (user_id) WHERE i >= pos AND i < pos + 20 GROUP BY ALL HAVING stddev_pop(f.a) >= 0.05),
+b AS (SELECT a.user_id, pos, shift, avg(f.b) AS mb, sqrt(var_pop(f.b) * 20) AS nb FROM a CROSS JOIN s JOIN f ON f.user_id = a.user_id AND f.i >= pos + shift AND f.i < pos + shift + 20 WHERE pos + shift >= 0 AND pos + shift + 20 <= n GROUP BY ALL),
+r AS (SELECT b.user_id, b.pos, b.shift, CASE WHEN nb < 1e-6 THEN -1 ELSE round(sum((x.a - a.m) * (y.b - mb)) / (norm * nb), 9) END AS r FROM b JOIN a USING (user_id, pos) JOIN f x ON x.user_id = b.user_id AND x.i >= pos AND x.i < pos + 20 JOIN f y ON y.user_id = b.user_id AND y.i = x.i + b.shift GROUP BY b.user_id, b.pos, b.shift, nb, norm),
+e AS (SELECT a.user_id, a.pos, shift, coalesce(r, -1) AS r FROM a CROSS JOIN s LEFT JOIN r USING (user_id, pos, shift)),
+t AS (SELECT user_id, pos, -max(struct_pack(r := r, s := -shift)).s AS best, max(r) AS peak FROM e GROUP BY ALL),
+m AS (SELECT t.user_id, t.pos, best, peak, max(r) FILTER (abs(shift - best) >= 3) AS rival FROM t JOIN e USING (user_id, pos) GROUP BY ALL)
+SELECT user_id, pos AS "at", best AS shift, round(peak, 6) AS peak, round(peak - rival, 6) AS margin FROM m WHERE peak >= 0.55 AND peak - rival >= 0.1""")
 def drift_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Windows of a user's values that match the values shifted by three."""
+    """Windows of 20 of a user's values and where, up to 30 further, they come again: 25 later, beyond the window itself."""
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    frames = read(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("i"), F.col("value").alias("a"), F.coalesce(F.lag("value", 3).over(w), F.lit(0.0)).alias("b"))
-    return timeline.drift(frames, "user_id", 30, 10, 6).select("user_id", F.col("at").cast("long").alias("at"), F.col("shift").cast("long").alias("shift"), F.round("peak", 6).alias("peak"))
+    frames = read(spark, sf_dir, "events").select("user_id", (F.row_number().over(w) - 1).alias("i"), F.col("value").alias("a"), F.lag("value", 25).over(w).alias("b"))
+    frames = frames.withColumn("b", F.coalesce("b", (F.col("i") % 7).cast("double")))
+    found = timeline.drift(frames, "user_id", window=20, hop=10, most=30, apart=3, block=4)
+    return found.select("user_id", "at", "shift", F.round("peak", 6).alias("peak"), F.round("margin", 6).alias("margin"))

@@ -3,6 +3,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -296,30 +297,39 @@ def test_joined_timelines_map_back(spark):
     assert got == [10.0, 11.8, 29.9, 32.9, 33.2, 64.0]
 
 
-def plain_drift(a, b, window, hop, most):
+def plain_drift(a, b, window, hop, most, apart):
+    """Shift by shift, from the rule: centred windows against centred segments of equal length."""
     out = []
-    for at in range(0, max(1, len(a) - window + 1), hop):
-        x, y, scores = a[at : at + window], b[at : at + window], {}
+    for at in range(0, len(a) - window + 1, hop):
+        x = a[at : at + window]
+        if x.std() < 0.05:
+            continue
+        scores = {}
         for shift in range(-most, most + 1):
-            pairs = [(x[t], y[t + shift]) for t in range(len(x)) if 0 <= t + shift < len(y)]
-            r = np.corrcoef(*zip(*pairs, strict=True))[0, 1] if len(pairs) > 2 and min(np.std([p[k] for p in pairs]) for k in (0, 1)) > 0 else -1.0
-            scores[shift] = r
+            y = b[at + shift : at + shift + window] if at + shift >= 0 else b[:0]
+            spread = np.linalg.norm(y - y.mean()) if len(y) == window else 0
+            scores[shift] = round(float((x - x.mean()) @ (y - y.mean()) / (np.linalg.norm(x - x.mean()) * spread)), 9) if spread >= 1e-6 else -1.0
         top = max(scores, key=lambda s: (scores[s], -s))
-        rest = [r for s, r in scores.items() if abs(s - top) > 2]
-        if scores[top] >= 0.55 and scores[top] - max(rest, default=-1) >= 0.1:
-            out.append((at, top, round(scores[top], 9)))
+        lead = scores[top] - max((r for s, r in scores.items() if abs(s - top) >= apart), default=0.0)
+        if scores[top] >= 0.55 and lead >= 0.1:
+            out.append((at, top, round(scores[top], 6), round(lead, 6)))
     return out
 
 
-def test_drift_against_brute_force(spark):
+@pytest.mark.parametrize("block", [1, 3, 64])
+def test_drift_against_brute_force(spark, block):
     rng = np.random.default_rng(1)
-    tracks = {1: (x := rng.random(200), np.roll(x, 4)), 2: (y := rng.random(25), np.roll(y, -2)), 3: (np.ones(60), rng.random(60))}
-    rows = [(k, i, float(a[i]), float(b[i])) for k, (a, b) in tracks.items() for i in range(len(a))]
+    noise = lambda n: rng.random(n)
+    x, y, z = noise(300), noise(45), noise(260)
+    tracks = {1: (x, np.r_[noise(40), x]), 2: (y, y[7:]), 3: (np.full(60, 0.4), noise(60)), 4: (z, np.r_[z[50:90], np.zeros(100), z[100:]]), 5: (noise(10), noise(90)), 6: (np.tile([0.0, 1.0, 0.3], 60), np.tile([0.0, 1.0, 0.3], 60))}
+    rows = [(k, i, float(a[i]) if i < len(a) else None, float(b[i]) if i < len(b) else None) for k, (a, b) in tracks.items() for i in range(max(len(a), len(b)))]
     from spanweave.operators import timeline
 
-    got = timeline.drift(spark.createDataFrame(rows, "key int, i int, a double, b double"), "key", 30, 10, 6).collect()
-    want = [(k, *w) for k, (a, b) in tracks.items() for w in plain_drift(a, b, 30, 10, 6)]
-    assert sorted((r.key, r.at, r["shift"], round(r.peak, 9)) for r in got) == want and len(want) > 10
+    got = timeline.drift(spark.createDataFrame(rows, "key int, i int, a double, b double"), "key", 25, 10, 60, 4, block=block).collect()
+    want = [(k, *w) for k, (a, b) in tracks.items() for w in plain_drift(a, b, 25, 10, 60, 4)]
+    assert sorted((r.key, r.at, r["shift"], round(r.peak, 6), round(r.margin, 6)) for r in got) == want
+    # a shift longer than the window is found wherever the segment lies within the dub
+    assert {s for k, _, s, *_ in want if k == 1} == {40} and len([w for w in want if w[0] == 1]) == 28 and {s for k, _, s, *_ in want if k == 2} == {-7}
 
 
 def test_timeline_helpers(spark):
