@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -54,24 +58,57 @@ def shares_word(a: Column, b: Column, least: int = 3) -> Column:
     return F.arrays_overlap(long(a), long(b))
 
 
-def _number(name: Column, pattern: str) -> Column:
-    found = F.regexp_extract(name, pattern, 1)
-    return F.when(found != "", found.try_cast("int"))
+# Words that stand before an episode's number; folders also cut the longest one short.
+EPISODE_WORDS, CUT_WORD = ("EP", "EPI", "EPISODE"), "EPISOD"
+
+
+def _parts(name: Column) -> Column:
+    """A name as its runs of digits and what stands between them, all white space as blanks."""
+    return F.regexp_extract_all(F.regexp_replace(name, r"\s", " "), F.lit("[0-9]+|[^0-9]+"), F.lit(0))
+
+
+def _first_number(name: Column, rule: Callable[[Column, Column, Column, Column], Column]) -> Column:
+    """The first number of a name for which ``rule`` holds of it, its index, what stands before it and after it; null without."""
+    parts = _parts(name)
+    held = F.filter(parts, lambda x, i: F.substring(x, 1, 1).between("0", "9") & rule(x, i, F.coalesce(F.get(parts, i - 1), F.lit("")), F.coalesce(F.get(parts, i + 1), F.lit(""))))
+    return F.try_element_at(held, F.lit(1)).try_cast("int")
+
+
+def _bare(before: Column) -> Column:
+    """What stands before a number, upper-cased, less one hyphen or underscore and the blanks around it."""
+    cut = F.rtrim(F.upper(before))
+    return F.rtrim(F.when(F.substring(cut, -1, 1).isin("-", "_"), F.substring(cut, F.lit(1), F.length(cut) - 1)).otherwise(cut))
+
+
+def _last_word(before: Column, letters: str = "A-Z") -> Column:
+    return F.regexp_extract(_bare(before), f"[{letters}]*$", 0)
 
 
 def folder_episode(name: Column) -> Column:
-    """The number after ``EP``, ``EPI`` or ``EPISODE`` wherever it stands in a folder's name."""
-    return _number(name, r"(?i)EP(?:ISODE?|I)?\s*[-_]?\s*0*([0-9]{1,9})")
+    """The number after a word that ends in ``EP``, ``EPI``, ``EPISOD`` or ``EPISODE``."""
+    return _first_number(name, lambda x, i, before, after: _ends_in(_last_word(before), *EPISODE_WORDS, CUT_WORD))
+
+
+def _ends_in(word: Column, *ends: str) -> Column:
+    return reduce(or_, (F.endswith(word, F.lit(e)) for e in ends))
 
 
 def episode_number(name: Column) -> Column:
-    """The number after ``#``, else after ``EP``, ``EPI`` or ``EPISODE`` where no letter stands before, else after a capital ``E`` that begins a word; or null."""
-    return F.coalesce(_number(name, "#([0-9]{1,9})"), _number(name, r"(?i)(?<![A-Z])EP(?:ISODE|I)?\s*[-_]?\s*0*([0-9]{1,9})"), _number(name, "(?<![A-Za-z0-9])E([0-9]{1,9})"))
+    """The number right after ``#``, else after the word ``EP``, ``EPI`` or ``EPISODE``, else right after a capital ``E`` on its own; or null."""
+    marked = _first_number(name, lambda x, i, before, after: F.endswith(before, F.lit("#")))
+    worded = _first_number(name, lambda x, i, before, after: _last_word(before).isin(*EPISODE_WORDS))
+    # a part that is all E behind a number belongs to it
+    short = _first_number(name, lambda x, i, before, after: (F.regexp_extract(before, "[A-Za-z]*$", 0) == "E") & ~((before == "E") & (i >= 2)))
+    return F.coalesce(marked, worded, short)
 
 
 def watched_episode(path: Column) -> Column:
-    """The number after ``#``, else after a word ``EP``, of three digits at most, in a path."""
-    return F.coalesce(_number(path, r"#\s*([0-9]{1,3})"), _number(path, r"(?i)\bEP(?:ISODE|I)?\s*[-_]?\s*([0-9]{1,3})\b"))
+    """The number after ``#``, of which three digits count, else one of three digits at most after ``EP``, ``EPI`` or ``EPISODE``, both words of their own."""
+    marked = F.filter(_parts(path), lambda x, i: F.substring(x, 1, 1).between("0", "9") & F.endswith(F.rtrim(F.coalesce(F.get(_parts(path), i - 1), F.lit(""))), F.lit("#")))
+    alone = lambda after: ~F.substring(after, 1, 1).rlike("[A-Za-z_]")
+    # nothing but the word between two numbers makes one word of all
+    worded = _first_number(path, lambda x, i, before, after: _last_word(before, "A-Z_").isin(*EPISODE_WORDS) & ~((i >= 2) & _bare(before).isin(*EPISODE_WORDS)) & (F.length(x) <= 3) & alone(after))
+    return F.coalesce(F.substring(F.try_element_at(marked, F.lit(1)), 1, 3).try_cast("int"), worded)
 
 
 def names_episode(name: Column, number: Column) -> Column:
@@ -82,8 +119,10 @@ def names_episode(name: Column, number: Column) -> Column:
 
 def episode_range(name: Column) -> Column:
     """first and last episode of a folder of several, ``41 to 45`` or ``41-45``; null without."""
-    part = lambda k: F.regexp_extract(name, r"([0-9]{1,9})\s*(?:to|[-–—])\s*([0-9]{1,9})", k).try_cast("int")
-    return F.when(part(1).isNotNull(), F.struct(part(1).alias("first"), part(2).alias("last")))
+    parts = _parts(name)
+    joins = lambda x: F.trim(x).isin("to", "-", "–", "—")
+    spans = F.filter(F.transform(parts, lambda x, i: F.when(joins(x) & (i > 0), F.struct(F.get(parts, i - 1).try_cast("int").alias("first"), F.get(parts, i + 1).try_cast("int").alias("last")))), lambda x: x["first"].isNotNull() & x["last"].isNotNull())
+    return F.try_element_at(spans, F.lit(1))
 
 
 def voice_languages(name: Column) -> Column:
@@ -107,22 +146,44 @@ def output_name(series: Column, episode: Column, what: str, day: Column) -> Colu
     return F.array_join(parts, "_")
 
 
+# What a whole message may be, and words and phrases that it may hold, by intent.
+WHOLE = {
+    "help": ("?", "command", "commands", "help", "usage", "what can you do", "what can you do?"),
+    "history": ("history", "my runs", "recent", "recent runs", "runs"),
+}
+HOLDS = {
+    "asks": ("done", "finish", "finished", "is it", "progress", "ready", "result", "status"),
+    "watches": ("anything new", "new file", "new files", "scan", "upload", "uploads", "watch", "whats new"),
+    "sounds": ("audio", "mix", "mixes", "no script", "noscript", "scriptless"),
+    "views": ("availability", "available", "check", "delivered", "file", "files", "present", "qc"),
+    "starts": ("compare", "go", "kick", "launch", "run", "start"),
+    "agrees": ("do it", "go", "kick", "launch", "proceed", "run", "start", "yes"),
+    "acts": ("check", "run", "start"),
+}
+
+
 def command(text: Column) -> Column:
-    """What a message asks for: help, history, status, scan, audio_check, audio_run, run or check, the first that applies; else null."""
-    t = F.lower(F.trim(text))
-    says = lambda *words: t.rlike(rf"\b(?:{'|'.join(words)})\b")
-    whole = lambda *words: t.rlike(rf"^(?:{'|'.join(words)})$")
-    audio, launch = says("audio", "mix", "mixes", "scriptless", "no.?script"), says("run", "start", "go", "launch", "kick", "compare")
-    return (
-        F.when(whole("help", r"\?", "commands?", r"what can you do\??", "usage"), "help")
-        .when(whole("runs", "history", "recent", "recent runs", "my runs"), "history")
-        .when(says("status", "done", "ready", "result", "finish", "finished", "progress", "is it") & ~says("run", "check", "start"), "status")
-        .when(says("scan", "watch", "new files?", "uploads?", "what'?s new", "anything new"), "scan")
-        .when(audio & ~launch & says("check", "qc", "files?", "available", "availability", "delivered", "present"), "audio_check")
-        .when(audio & launch, "audio_run")
-        .when(says("run", "start", "go", "proceed", "yes", "do it", "launch", "kick"), "run")
-        .when(t.rlike(r"(?:ep|epi|episode)\s*#?\s*[0-9]{1,3}|\b[0-9]{1,3}\b"), "check")
-    )
+    """What a message asks for: help, history, status, scan, audio_check, audio_run, run or check, the first that applies; else null.
+
+    Help and history are whole messages. Of the rest, a question for a state comes before a look at what is new, that
+    before anything about sound, and a bare consent before a bare episode.
+    """
+    said = F.lower(F.trim(text))
+    words = F.array_join(F.filter(F.split(F.replace(said, F.lit("'"), F.lit("")), "[^a-z0-9_]+"), lambda w: w != ""), " ")
+    padded = F.concat(F.lit(" "), words, F.lit(" "))
+    holds = {k: reduce(or_, (F.contains(padded, F.lit(f" {p} ")) for p in phrases)) for k, phrases in HOLDS.items()}
+    short = F.exists(F.split(words, " "), lambda w: w.try_cast("int").isNotNull() & (F.length(w) <= 3))
+    cases = [
+        ("help", said.isin(*WHOLE["help"])),
+        ("history", said.isin(*WHOLE["history"])),
+        ("status", holds["asks"] & ~holds["acts"]),
+        ("scan", holds["watches"]),
+        ("audio_check", holds["sounds"] & holds["views"] & ~holds["starts"]),
+        ("audio_run", holds["sounds"] & holds["starts"]),
+        ("run", holds["agrees"]),
+        ("check", short | folder_episode(text).isNotNull()),
+    ]
+    return F.coalesce(*(F.when(applies, intent) for intent, applies in cases))
 
 
 def common_prefix(low: Column, high: Column) -> Column:

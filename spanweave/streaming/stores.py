@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,9 +46,3 @@ def current_store(spark: SparkSession, folder: str, before: int, schema: T.Struc
     if before == 0:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{folder}/version={before - 1}")
-
-
-def announce_once(stream: DataFrame, sink: Callable[[DataFrame], None], settled: str, key: str, at: str, forget_after: str) -> DataStreamWriter:
-    """Give each settled run to ``sink`` once; a run is remembered for ``forget_after``, so the state ends."""
-    done = first_seen(stream.where(settled), key, at, forget_after)
-    return done.writeStream.foreachBatch(lambda batch, _: sink(batch))

@@ -59,3 +59,29 @@ def test_levels(spark):
     assert [one(spark, levels.clamp(F.lit(x), 3.0)) for x in (-5.0, 1.5, 9.0)] == [-3.0, 1.5, 3.0]
     assert one(spark, levels.decibels(F.lit(0.0))) == -180.0 and one(spark, levels.decibels(F.lit(0.5))) == -6.0
     assert [one(spark, levels.tolerated_coverage(F.lit(t))) for t in (0.5, 1.0, 2.0, 0.0)] == [0.75, 0.5, 0.2, 0.8]
+
+
+def test_episode_grammars(spark):
+    """name, number of the name, of a folder, as watched, and range."""
+    cases = [
+        ("Show_#07_SCLA", 7, None, 7, None), ("# 9 x", None, None, 9, None), ("a#1234", 1234, None, 123, None), ("EP 40", 40, 40, 40, None), ("MAL_SHOW_EPI 040_FOR AI", 40, 40, None, None), ("MALEPI40", None, 40, None, None),
+        ("Episode - 12", 12, 12, 12, None), ("episod 3", None, 3, None, None), ("EP_320", 320, 320, 320, None), ("EP3201", 3201, 3201, None, None), ("S1_E40", 40, None, None, None), ("Rider2", None, None, None, None), ("Step 2", None, 2, None, None),
+        ("E5e6", 5, None, None, None), ("2E7", None, None, None, None), ("EP\t8", 8, 8, 8, None), ("EP 9x", 9, 9, None, None), ("12EP9", 9, 9, None, None), ("EP 41 to 45", 41, 41, 41, (41, 45)), ("41-45", None, None, None, (41, 45)), ("1 – 2", None, None, None, (1, 2)),
+        ("4 of 5", None, None, None, None), ("", None, None, None, None), ("EP--4", None, None, None, None), ("X EP 1, #2", 2, 1, 2, None),
+    ]
+    df = spark.createDataFrame([(c[0],) for c in cases], "n string")
+    n = F.col("n")
+    got = df.select("n", names.episode_number(n).alias("a"), names.folder_episode(n).alias("b"), names.watched_episode(n).alias("w"), names.episode_range(n).alias("r")).collect()
+    for case, r in zip(cases, got, strict=True):
+        assert (r.n, r.a, r.b, r.w, tuple(r.r) if r.r else None) == case
+    held = df.where(names.names_episode(n, F.lit(40))).collect()
+    assert {r.n for r in held} == {"EP 40", "MAL_SHOW_EPI 040_FOR AI", "MALEPI40", "S1_E40"}
+
+
+def test_commands(spark):
+    said = {
+        "Help": "help", "what can you do?": "help", "my runs": "history", "help me": None, "is it done yet": "status", "is the check done": None, "what's new?": "scan", "any uploads": "scan", "check the audio files": "audio_check", "no-script qc": "audio_check",
+        "run scriptless": "audio_run", "compare mixes": "audio_run", "yes": "run", "do it": "run", "go ahead": "run", "ep 42": "check", "ep42 please": "check", "number 1234": None, "7": "check", "hello": None, "status of the run": "run", "": None, "start check of 5": "run",
+    }
+    df = spark.createDataFrame([(k,) for k in said], "t string")
+    assert {r.t: r.c for r in df.select("t", names.command(F.col("t")).alias("c")).collect()} == said
