@@ -85,3 +85,33 @@ def reprises(loose: DataFrame, lyrics: DataFrame, keys: list[str], cfg: GateConf
 def reprise_neighbourhood(tagged: DataFrame, keys: list[str], cfg: GateConfig = GATES) -> DataFrame:
     """Spans around clusters of tagged lines (at_s), in which further loose lines count as sung."""
     return clusters(tagged, keys, cfg.cluster_gap_s, cfg.cluster_edge_s)
+
+
+def song_tags(missing: DataFrame, keys: list[str], cfg: GateConfig = GATES, bank: DataFrame | None = None) -> DataFrame:
+    """Loose missing lines that are sung: keys, line, source (bank, block or between) and the block whose words come again.
+
+    ``missing``: keys, line, at_s, text, block (null for loose lines). Lines of blocks, and the words of ``bank`` (keys,
+    word), are lyrics if they have ``reprise_words`` words or more. A loose line that repeats enough of one is a reprise.
+    Two shared words do not make one, but they say that a song is on: reprises and such lines are anchors, and loose
+    lines inside a cluster of anchors are sung, too.
+    """
+    lines = missing.select(*keys, "line", "at_s", "text", "block", content_words(F.coalesce("text", F.lit(""))).alias("words"))
+    least = cfg.reprise_words
+    # lyrics are numbered by time; the bank comes after them
+    lyrics = lines.where(F.col("block").isNotNull()).select(*keys, F.struct(F.lit(0).alias("bank"), "at_s", "line", F.col("block").alias("id")).alias("lyric"), "words")
+    if bank is not None:
+        none = lambda c: F.lit(None).cast(lines.schema[c].dataType).alias("id" if c == "block" else c)
+        lyrics = lyrics.union(bank.groupBy(*keys).agg(F.collect_set("word").alias("words")).select(*keys, F.struct(F.lit(1).alias("bank"), none("at_s"), none("line"), none("block")).alias("lyric"), "words"))
+    lyrics = lyrics.where(F.size("words") >= least)
+    again = reprises(lines.where("block is null").select(*keys, "line", "text"), lyrics.select(*keys, F.col("lyric").alias("block"), "words"), keys, cfg)
+    worded = lines.select(*keys, "line", "at_s", F.explode("words").alias("word")).join(lyrics.select(*keys, "lyric", F.explode("words").alias("word")), [*keys, "word"])
+    hints = worded.groupBy(*keys, "line", "at_s", "lyric").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= 2).select(*keys, "line", "at_s").distinct()
+    spans = reprise_neighbourhood(hints.where("at_s is not null"), keys, cfg)
+    loose = lines.where("block is null and at_s is not null").select(*keys, "line", "at_s").join(again.select(*keys, "line"), [*keys, "line"], "left_anti")
+    # clusters of a key lie apart, so a line is in one at most; both sides meet in bins of the cluster's gap
+    width = float(cfg.cluster_gap_s)
+    binned = spans.withColumn("bin", F.explode(F.sequence(F.floor(F.col("start_s") / width), F.floor(F.col("end_s") / width))))
+    within = loose.withColumn("bin", F.floor(F.col("at_s") / width)).join(binned, [*keys, "bin"]).where((F.col("start_s") <= F.col("at_s")) & (F.col("at_s") <= F.col("end_s")))
+    found = again.select(*keys, "line", F.when(F.col("block.bank") == 1, "bank").otherwise("block").alias("source"), F.col("block.id").alias("block"))
+    between = within.select(*keys, "line", F.lit("between").alias("source"), F.lit(None).cast(lines.schema["block"].dataType).alias("block")).distinct()
+    return found.union(between)

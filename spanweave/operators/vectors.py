@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.levels import dot
+from spanweave.operators.grouped import column, map_groups
 
 
 def centred(vectors: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
@@ -13,9 +16,57 @@ def centred(vectors: DataFrame, keys: list[str], vector: str = "vector") -> Data
 
     The mean is taken place by place, so no key's vectors are gathered; a vector equal to the mean stays zero.
     """
+    moved = less_mean(vectors, keys, vector)
+    length = F.sqrt(dot(F.col(vector), F.col(vector)))
+    return moved.withColumn("_length", length).withColumn(vector, F.transform(vector, lambda x: x / F.greatest(F.col("_length"), F.lit(1e-12)))).drop("_length")
+
+
+def less_mean(vectors: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
+    """Vectors less the mean of their key's, of whatever length."""
     place = vectors.select(*keys, F.posexplode(vector).alias("_p", "_v")).groupBy(*keys, "_p").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
     mean = place.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "_m"))), lambda x: x["_m"]).alias("_mean"))
-    moved = vectors.join(mean, keys).withColumn("_moved", F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m))
-    length = F.sqrt(dot(F.col("_moved"), F.col("_moved")))
-    unit = F.transform("_moved", lambda x: x / F.greatest(F.col("_length"), F.lit(1e-12)))
-    return moved.withColumn("_length", length).withColumn(vector, unit).drop("_mean", "_moved", "_length")
+    return vectors.join(mean, keys).withColumn(vector, F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m)).drop("_mean")
+
+
+def rescan(flags: DataFrame, frames: DataFrame, key: str, rate: float, span_s: float = 2.0, step_s: float = 0.4, clears: float = 0.60) -> DataFrame:
+    """Flagged lines compared with what lies near their expected place: key, flag, at_s (of the best window), sim and cleared.
+
+    ``flags``: key, flag, at_s, window_s, vector; ``frames``: key, i from 0 (``rate`` a second), vector. Windows as long as
+    the flag's begin every ``step_s`` from ``span_s`` before its place to ``span_s`` after it, kept within the recording. A
+    window's vector is the mean of its frames' brought to length 1, from prefix sums over the flag's stretch; the best is
+    the first of those with the highest cosine, and from ``clears`` on the line is there. Flags without a window are left out.
+
+    A flag meets only the frames of its stretch, over bins of time, so a recording is no single task.
+    """
+    length = frames.groupBy(key).agg(((F.max("i") + 1) / rate).alias("_end"))
+    placed = flags.join(length, key).withColumn("_from", F.greatest(F.lit(0.0), F.least(F.col("at_s") - span_s, F.col("_end") - F.col("window_s"))))
+    placed = placed.withColumn("_to", F.greatest("_from", F.least(F.col("_end") - F.col("window_s"), F.col("at_s") + span_s))).where(F.col("_from") + F.col("window_s") <= F.col("_end") + 1e-6)
+    width = 8 * span_s
+    near = placed.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor((F.col("_to") + F.col("window_s")) / width))))
+    binned = frames.select(key, F.col("i").cast("long").alias("_i"), F.col("vector").cast("array<double>").alias("_v"), F.floor(F.col("i") / rate / width).alias("_bin"))
+    inside = (F.col("_i") / rate >= F.col("_from") - 1e-9) & (F.col("_i") / rate < F.col("_to") + F.col("window_s") + 1e-9)
+    met = near.select(key, "flag", "window_s", "_from", "_to", "_end", F.col("vector").cast("array<double>").alias("_ref"), "_bin").join(binned, [key, "_bin"]).where(inside).drop("_bin")
+
+    def run(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        i, low, high, window, end = (column(table, c) for c in ("_i", "_from", "_to", "window_s", "_end"))
+        out = []
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), table.num_rows], strict=True):
+            vectors = np.array(table["_v"].slice(a, b - a).to_pylist(), float)
+            ref = np.array(table["_ref"][a].as_py(), float)
+            begins = np.round(low[a] + np.arange(int((high[a] - low[a]) / step_s + 1e-9) + 1) * step_s, 2)
+            begins = begins[begins + window[a] <= end[a] + 1e-6]
+            if not len(begins):
+                begins = low[a : a + 1]
+            sums = np.vstack([np.zeros(vectors.shape[1]), np.cumsum(vectors, axis=0)])
+            first = np.searchsorted(i[a:b], np.ceil(begins * rate - 1e-6))
+            last = np.searchsorted(i[a:b], np.ceil((begins + window[a]) * rate - 1e-6))
+            pooled = (sums[last] - sums[first]) / np.maximum(1, last - first)[:, None]
+            sims = np.round(pooled @ ref / np.maximum(np.linalg.norm(pooled, axis=1), 1e-12), 9)
+            best = int(sims.argmax())
+            out.append((a, float(begins[best]), float(sims[best])))
+        at = pa.array([o[0] for o in out], pa.int64())
+        return pa.RecordBatch.from_arrays([*(table[c].take(at).combine_chunks() for c in (key, "flag")), pa.array([o[1] for o in out], pa.float64()), pa.array([o[2] for o in out], pa.float64())], [key, "flag", "at_s", "sim"])
+
+    kinds = {c: flags.schema[c].dataType.simpleString() for c in (key, "flag")}
+    best = map_groups(met, [key, "flag"], ["_i"], run, f"`{key}` {kinds[key]}, flag {kinds['flag']}, at_s double, sim double")
+    return best.withColumn("cleared", F.col("sim") >= clears)

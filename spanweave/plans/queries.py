@@ -623,8 +623,9 @@ SELECT key, bool_or(script) AS script, bool_or(original) AS original, count(*) F
 def readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes with a script, an original and enough tracks."""
     size = F.col("p_size") % 4
-    name = F.when(size == 0, "a.docx").when(size == 1, "a.mp4").when(size == 2, "a.wav").otherwise("a.txt")
-    return files.readiness(read(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_type").alias("folder"), files.classify(name, F.col("p_type")).alias("kind")), ["key"])
+    name = F.when(size == 0, "a.docx").when(size < 3, "a.wav").otherwise("a.mp4")
+    at = F.when(size == 2, F.concat_ws(" ", "p_type", F.lit("tracks"))).otherwise(F.col("p_type"))
+    return files.readiness(read(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), F.col("p_type").alias("folder"), files.classify(name, at).alias("kind")), ["key"])
 
 
 @query("""WITH r AS (SELECT DISTINCT split_part(p_name, ' ', 1) || ' ' || lower(p_type) AS request FROM part), q AS (SELECT request, regexp_replace(lower(request), '[^a-z0-9]', '', 'g') AS q FROM r),

@@ -246,5 +246,5 @@ def write_report(report: DataFrame, path: str) -> None:
 
 
 def write_markers(rows: DataFrame, path: str) -> None:
-    """Marker rows as CSV with a header, in time order."""
-    rows.orderBy("no").write.mode("overwrite").option("header", True).csv(path)
+    """Marker rows as CSV with a header, in time order; quotes inside cells are doubled."""
+    rows.orderBy("no").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,11 +43,19 @@ def tracks(files: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, "channel", "path", F.row_number().over(Window.partitionBy(*keys).orderBy("channel")).alias("channel_ord"))
 
 
+# Extensions of scripts and audio, words in the names of track folders, and languages there as whole words.
+SCRIPT_ENDS, AUDIO_ENDS = ("csv", "doc", "docx", "pdf", "srt", "txt", "xlsx"), ("aif", "aiff", "flac", "m4a", "mp3", "ogg", "wav")
+TRACK_FOLDERS = ("dub", "for ai", "speaker", "stems", "track", "vo", "voiceover")
+FOLDER_LANGUAGES = ("ben", "bengali", "hin", "hindi", "kan", "kannada", "mal", "malayalam", "mar", "marathi", "punjabi", "tam", "tamil", "tel", "telugu")
+
+
 def classify(name: Column, folder: Column) -> Column:
-    """script, original, track or other, by extension and by what name and folder say."""
-    low, at = F.lower(name), F.lower(folder)
-    audio = name.rlike(AUDIO)
-    return F.when(low.rlike(r"\.(docx|srt|csv|tsv)$"), "script").when(low.rlike(r"\.(mp4|mov|mkv|mxf)$") | (audio & (low.rlike("original|premix|mix") | at.rlike("original"))), "original").when(audio, "track").otherwise("other")
+    """script, original, track or other. Scripts and audio go by extension; audio is a track in a folder of tracks or a
+    language, whatever its own name says, and an original elsewhere."""
+    low, at = F.lower(name), F.lower(F.coalesce(folder, F.lit("")))
+    ext = F.regexp_extract(low, r"[^.].*?\.([^.]*)$", 1)
+    tracks = reduce(or_, (F.contains(at, F.lit(w)) for w in TRACK_FOLDERS)) | at.rlike(rf"\b(?:{'|'.join(FOLDER_LANGUAGES)})\b")
+    return F.when(ext.isin(*SCRIPT_ENDS), "script").when(ext.isin(*AUDIO_ENDS), F.when(tracks, "track").otherwise("original")).otherwise("other")
 
 
 def language_of(name: Column) -> Column:
@@ -141,9 +152,25 @@ def uniform(values: DataFrame, keys: list[str], value: str, share: float = 0.9,
     return out.withColumn("uniform", (F.col("n") >= least) & (F.col("low") >= share * F.col("high")))
 
 
-def read_results(spark: SparkSession, paths: list[str], schema: T.StructType) -> DataFrame:
-    """Stored results, a JSON file per language, as one table; fields that old files lack are null."""
-    return spark.read.schema(schema).option("multiLine", True).json(paths)
+def load_results(files: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Stored results (path, content: a JSON object a file) as one table with their path, and the log of files that were skipped.
+
+    Fields that old files lack are null. A file that is no object, or whose fields do not have the schema's types, costs
+    one row of the log (path, bytes, reason) and nothing else.
+    """
+    corrupt = "_corrupt"
+    asked = T.StructType([*schema.fields, T.StructField(corrupt, T.StringType())])
+    read = files.select("path", "content", F.from_json("content", asked, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt}).alias("r"))
+    blank = F.coalesce("content", F.lit("")).rlike(r"^\s*$")
+    reason = F.when(blank, "empty").when(~F.startswith(F.ltrim(F.regexp_replace("content", r"\s", " ")), F.lit("{")), "no object").when(F.col("r").isNull() | F.col(f"r.{corrupt}").isNotNull(), "broken")
+    judged = read.withColumn("reason", reason)
+    skipped = judged.where("reason is not null").select("path", F.coalesce(F.octet_length("content"), F.lit(0)).alias("bytes"), "reason")
+    return judged.where("reason is null").select("path", *(F.col(f"r.`{f.name}`").alias(f.name) for f in schema.fields)), skipped
+
+
+def read_results(spark: SparkSession, paths: list[str], schema: T.StructType) -> tuple[DataFrame, DataFrame]:
+    """Results from files, a JSON object each, and the log of skipped ones. A file of no bytes is in neither, as Spark opens none."""
+    return load_results(spark.read.format("binaryFile").load(paths).select("path", F.col("content").cast("string").alias("content")), schema)
 
 
 def latest_results(results: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -170,7 +197,7 @@ def read_markers(spark: SparkSession, path: str, fps: int = 25) -> DataFrame:
 
     Raises on missing columns, blank names, positions that are no time code, and markers out of order.
     """
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
     if missing := {"In", "Name", "Comment"} - {c.lstrip("\ufeff") for c in raw.columns}:
         raise ValueError(f"{path}: no column for {sorted(missing)}")
     rows = raw.select(F.monotonically_increasing_id().alias("_row"), F.trim(F.coalesce("Name", F.lit(""))).alias("name"), F.trim(F.coalesce("Comment", F.lit(""))).alias("comment"), samples(F.trim("In"), fps).alias("position"))
