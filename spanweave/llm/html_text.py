@@ -5,8 +5,10 @@ end tags that the standard lets authors leave out (``p``, ``li``, ``dt``, ``dd``
 ruby and table parts) are implied, stray end tags are dropped. A ``head`` ends, without its end tag, at
 the first text or element that no head may hold; ``html``, ``head`` and ``body`` exist once, later tags of
 theirs open nothing. The tree is then rendered: elements that browsers do
-not show, by name, by the ``hidden`` attribute or by an inline ``display: none``, are left out; an inline
-``visibility: hidden`` leaves out text but not descendants made visible again; blocks stand on lines of their own, headings and paragraphs with
+not show, by name, by the ``hidden`` attribute or by an inline ``display: none``, are left out, as are closed dialogs
+and what closed details hold beside their summary; an inline
+``visibility: hidden`` leaves out text but not descendants made visible again; of several declarations the last valid one
+counts, important ones first; form fields show their values, placeholders and labels; blocks stand on lines of their own, headings and paragraphs with
 a blank line around; list items carry their mark and indentation; the cells of a table are aligned in
 columns by the width that characters take, also below cells of several rows; preformatted text keeps its white space; elsewhere white space collapses.
 
@@ -28,15 +30,23 @@ from .common import map_texts
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe datalist audio video canvas noembed noframes title meta link".split())
+#: Raw text whose character references are decoded.
+DECODED = frozenset(["textarea", "title"])
+HIDDEN = frozenset("head script style template noscript iframe datalist audio video canvas noembed noframes title meta link meter progress".split())
+#: Elements that keep white space, and fields that show no text of theirs.
+KEPT = frozenset("pre textarea xmp listing plaintext".split())
+WORDLESS = frozenset("hidden checkbox radio file color range password".split())
+#: Values of ``display``, and those of ``white-space`` that keep white space.
+DISPLAYS = frozenset("block contents flex flow-root grid inherit initial inline inline-block inline-flex inline-grid inline-table list-item none revert revert-layer ruby table table-caption table-cell table-column table-column-group table-footer-group table-header-group table-row table-row-group unset".split())
+SPACED = frozenset("break-spaces pre pre-line pre-wrap".split())
 #: What may stand in a head; anything else ends it.
 METADATA = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Elements of foreign content that are not shown where they stand.
 UNSHOWN = {"svg": frozenset("title desc defs metadata".split()), "math": frozenset("annotation annotation-xml".split())}
-APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure hr dl".split())
-BLOCK = APART | frozenset("html body div section article aside header footer nav main address form fieldset ul ol li dt dd figcaption details summary tr caption thead tbody tfoot center option select".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre table figure hr dl xmp listing plaintext".split())
+BLOCK = APART | frozenset("html body div section article aside header footer nav main address form fieldset ul ol li dt dd figcaption details summary tr caption thead tbody tfoot center option select optgroup legend dialog search hgroup menu dir".split())
 #: Start tag -> the open elements whose end it implies, and the elements that it does not look beyond.
-LIST, TABLE = frozenset(["ul", "ol", "menu"]), frozenset(["table"])
+LIST, TABLE = frozenset(["ul", "ol", "menu", "dir"]), frozenset(["table"])
 IMPLIED = {
     "li": (frozenset(["li"]), LIST),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"])),
@@ -48,13 +58,13 @@ IMPLIED = {
     "td": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     "th": (frozenset(["td", "th"]), frozenset(["tr", "table"])),
     **{x: (frozenset(["thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"]), TABLE) for x in ("thead", "tbody", "tfoot")},
-    **{x: (frozenset(["p"]), frozenset(["button", "td", "th", "table", "object"])) for x in (APART | BLOCK) - frozenset("html body li dt dd tr caption thead tbody tfoot option select summary figcaption".split())},
+    **{x: (frozenset(["p"]), frozenset(["button", "td", "th", "table", "object"])) for x in (APART | BLOCK) - frozenset("html body li dt dd tr caption thead tbody tfoot option optgroup select legend".split())},
 }
-PARSED = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)*+)(?:>|\Z)|([^<]+|<)", re.S)
+PARSED = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?=[^A-Za-z])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)?)*+)(?:>|\Z)|([^<]+|<)", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>][^\s>]*)))?""")
 CLOSED = re.compile(r"""(?:^|[\s"']|\s[^\s="']+)/\Z""")
-UNSEEN = re.compile(r"display\s*:\s*none\s*(?:!\s*important\s*)?(?:;|$)", re.I)
-VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|initial|hidden|collapse)\s*(?:!\s*important\s*)?(?=;|$)", re.I)
+DECLARATION = re.compile(r"""((?:[^;"']|"[^"]*"|'[^']*'|["'])+)""")
+IMPORTANT = re.compile(r"\s*!\s*important\Z")
 SPACES = re.compile(r"[ \t\n\f\r]+")
 
 
@@ -86,6 +96,11 @@ def parse(html: str) -> Node:
             open_names[stack.pop().name] -= 1
 
     while at < len(html):
+        if (open_names.get("svg") or open_names.get("math")) and html.startswith("<![CDATA[", at):
+            end = html.find("]]>", at)
+            stack[-1].children.append(html[at + 9 : end if end >= 0 else len(html)])
+            at = end + 3 if end >= 0 else len(html)
+            continue
         m = PARSED.match(html, at)
         if m is None:  # an end tag or a quote that never closes
             m = re.compile(r"<[^<]*").match(html, at)
@@ -108,9 +123,15 @@ def parse(html: str) -> Node:
                 if open_names.get(name):
                     depth = max(i for i, node in enumerate(stack) if node.name == name)
                     close(depth)
-                elif name == "p":
-                    stack[-1].children.append(Node("p", {}))
+                elif name in ("p", "br"):
+                    stack[-1].children.append(Node(name, {}))
                 continue
+            if name == "image" and not open_names.get("svg"):
+                name = "img"
+            if name == "plaintext":
+                stack[-1].children.append(node := Node(name, {}))
+                node.children.append(html[at:])
+                break
             if name in IMPLIED:
                 ended, stop = IMPLIED[name]
                 if any(map(open_names.get, ended)):
@@ -128,7 +149,7 @@ def parse(html: str) -> Node:
             if name in RAW:
                 end = re.compile(rf"</{name}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(html, at)
                 stop_at = end.start() if end else len(html)
-                node.children.append(html[at:stop_at] if name in ("script", "style") else unescape(html[at:stop_at]))
+                node.children.append(unescape(html[at:stop_at]) if name in DECODED else html[at:stop_at])
                 at = end.end() if end else len(html)
             elif name not in VOID:
                 stack.append(node)
@@ -136,17 +157,75 @@ def parse(html: str) -> Node:
     return root
 
 
+def declared(node: Node, name: str, valid: frozenset[str]) -> str | None:
+    """The value that inline style gives a property: the last valid one, of important ones if there are any."""
+    style = node.attrs.get("style", "").lower()
+    if name not in style:
+        return None
+    found = [None, None]
+    for part in DECLARATION.findall(re.sub(r"/\*.*?(?:\*/|\Z)", "", style, flags=re.S)):
+        key, _, value = part.partition(":")
+        if key.strip() == name:
+            bare = IMPORTANT.sub("", value.strip())
+            if bare in valid:
+                found[bare != value.strip()] = bare
+    return found[1] or found[0]
+
+
 def shown(node: Node) -> bool:
     """Whether a browser would show the element."""
-    if node.name in HIDDEN or "hidden" in node.attrs or (node.name == "input" and node.attrs.get("type", "").lower() == "hidden"):
+    if node.name in HIDDEN or "hidden" in node.attrs or (node.name == "dialog" and "open" not in node.attrs):
         return False
-    return not ("style" in node.attrs and UNSEEN.search(node.attrs["style"]))
+    return declared(node, "display", DISPLAYS) != "none"
 
 
 def visible(node: Node, inherited: bool) -> bool:
-    """Whether the element's own text is visible: the last inline declaration, or else what its parent has."""
-    said = VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else []
-    return said[-1].lower() in ("visible", "initial") if said else inherited
+    """Whether the element's own text is visible: as declared, or else what its parent has."""
+    said = declared(node, "visibility", frozenset(["collapse", "hidden", "initial", "visible"]))
+    return inherited if said is None else said in ("visible", "initial")
+
+
+def field_text(node: Node) -> str:
+    """What a form field shows."""
+    kind = node.attrs.get("type", "").lower()
+    if kind in WORDLESS:
+        return ""
+    if kind == "image":
+        return node.attrs.get("alt", "")
+    return node.attrs.get("value") or (node.attrs.get("placeholder", "") if kind not in ("submit", "reset", "button") else "")
+
+
+def children(node: Node) -> list:
+    """The children that are shown; a closed ``details`` shows its first summary only, a labelled option its label."""
+    if node.name == "details" and "open" not in node.attrs:
+        return [c for c in node.children if not isinstance(c, str) and c.name == "summary"][:1]
+    if node.name == "option" and node.attrs.get("label"):
+        return [node.attrs["label"]]
+    if node.name == "optgroup" and node.attrs.get("label"):
+        return [node.attrs["label"], *node.children]
+    if node.name == "textarea" and not any(node.children):
+        return [node.attrs.get("placeholder", "")]
+    return node.children
+
+
+def numeral(n: int, kind: str) -> str:
+    """The number of a list item: decimal, letters or Roman numerals; what has none of the latter is decimal."""
+    if kind in ("a", "A") and n > 0:
+        out = ""
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+    elif kind in ("i", "I") and 0 < n < 4000:
+        out = ""
+        for value, digits in ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"), (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i")):
+            out, n = out + digits * (n // value), n % value
+    else:
+        return str(n)
+    return out.upper() if kind.isupper() else out
+
+
+def whole(raw: str | None) -> int | None:
+    return int(raw) if raw is not None and re.fullmatch(r"\s*[-+]?[0-9]{1,9}\s*", raw) else None
 
 
 class Page:
@@ -230,7 +309,7 @@ def rendered(root: Node) -> str:
             page.end(blank=x.name in APART)
             if extra is not None:
                 page.prefix, page.mark = extra, ""
-            if x.name in ("ul", "ol", "menu"):
+            if x.name in LIST:
                 counters.pop()
         elif what == "table":
             rows = [[c.result() for c in row] for row in extra if row]
@@ -241,7 +320,7 @@ def rendered(root: Node) -> str:
                     page.end()
             page.end(blank=True)
         elif shown(x) and x.name not in extra[2]:
-            inner = (extra[0] or x.name in ("pre", "textarea"), visible(x, extra[1]), UNSHOWN.get(x.name, extra[2]) if x.name != "foreignobject" else frozenset())
+            inner = (extra[0] or x.name in KEPT or declared(x, "white-space", SPACED) is not None, visible(x, extra[1]), UNSHOWN.get(x.name, extra[2]) if x.name != "foreignobject" else frozenset())
             if x.name == "br":
                 page.end(force=True)
             elif x.name == "hr":
@@ -249,6 +328,9 @@ def rendered(root: Node) -> str:
             elif x.name == "img":
                 if inner[1]:
                     page.text(x.attrs.get("alt", ""), False)
+            elif x.name == "input":
+                if inner[1] and field_text(x).strip():
+                    page.text(f" {field_text(x)} ", False)
             elif x.name == "table":
                 _table(x, page, work, inner[1])
             else:
@@ -256,17 +338,24 @@ def rendered(root: Node) -> str:
                 if x.name in BLOCK:
                     page.end(blank=x.name in APART)
                     if x.name == "li":
-                        kind = counters[-1] if counters else ["ul", 0]
-                        kind[1] += 1
+                        kind = counters[-1] if counters else ["ul", 0, 1, "1"]
+                        said = whole(x.attrs.get("value"))
+                        kind[1] = kind[1] + kind[2] if said is None else said
                         before = page.prefix
-                        page.mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
+                        page.mark = f"{numeral(kind[1], x.attrs.get('type') or kind[3])}. " if kind[0] == "ol" else "- "
                     elif x.name in ("dd", "blockquote"):
                         before, page.prefix = page.prefix, page.prefix + "  "
                     work.append(("end", x, page, before))
-                if x.name in ("ul", "ol", "menu"):
-                    start = x.attrs.get("start", "1")
-                    counters.append([x.name, int(start) - 1 if re.fullmatch(r"-?[0-9]{1,9}", start) else 0])
-                for child in reversed(x.children):
+                if x.name in LIST:
+                    back = x.name == "ol" and "reversed" in x.attrs
+                    first = whole(x.attrs.get("start"))
+                    if first is None:
+                        first = sum(not isinstance(c, str) and c.name == "li" for c in x.children) if back else 1
+                    counters.append([x.name, first + 1 if back else first - 1, -1 if back else 1, x.attrs.get("type", "1")])
+                inside = children(x)
+                if x.name in ("pre", "listing", "textarea") and inside and isinstance(inside[0], str) and inside[0].startswith("\n"):
+                    inside = [inside[0][1:], *inside[1:]]  # the line break right behind the start tag is none
+                for child in reversed(inside):
                     work.append(("text" if isinstance(child, str) else "node", child, page, inner))
     return page.result()
 
@@ -300,7 +389,8 @@ def _table(table: Node, page: Page, work: list[tuple], seen: bool) -> None:
                 row.append(Page())
             start = len(row)
             row.append(cell)
-            plan += [("text" if isinstance(c, str) else "node", c, cell, inner) for c in x.children]
+            kept = (declared(x, "white-space", SPACED) is not None, *inner[1:])
+            plan += [("text" if isinstance(c, str) else "node", c, cell, kept) for c in x.children]
             row += [Page() for _ in range(_span(x.attrs.get("colspan", "1"), 1000) - 1)]
             down = _span(x.attrs.get("rowspan", "1"), 65_534) or 65_534  # 0: to the end of the row group
             if down > 1:

@@ -1,4 +1,6 @@
+import itertools
 import random
+import re
 import time
 
 import pytest
@@ -65,7 +67,7 @@ HEADS = {
     "<body>a<body hidden>b": "ab",
     "<head><template><p>no</p></template><link rel=x>\n<body>yes": "yes",
     "<table><tr><td>\u4f60\u597d<td>x<tr><td>abcd<td>y</table>": "\u4f60\u597d  x\nabcd  y",
-    "<select><optgroup label=a><option>1<optgroup><option>2</select>": "1\n2",
+    "<select><optgroup label=a><option>1<optgroup><option>2</select>": "a\n1\n2",
     "<ruby>\u6f22<rp>(<rt>kan<rp>)</ruby>": "\u6f22(kan)",
 }
 
@@ -113,3 +115,89 @@ def test_bad_attributes_end_in_time():
         began = time.time()
         visible_text(bad)
         assert time.time() - began < 20
+
+
+PROBES = {
+    "<p>x</p><!-->y<!-- c --!>z": "x\n\nyz",
+    "a<!--->b<!-- c -- > d -->e<!---->f": "abef",
+    "a</ no>b</>c<?php x ?>d<!DOCTYPE html>e": "abcde",
+    "<svg><text><![CDATA[a < b]]></text></svg><![CDATA[no]]>c": "a < bc",
+    "<p style='display:none;display:block'>yes</p><p style='display:none!important;display:block'>no</p>": "yes",
+    "<p style='x-display:none'>a</p><p style='display:none;display:nonsense'>no</p><p style='/*display:none*/'>b</p><p style='content:\";display:none\"'>c": "a\n\nb\n\nc",
+    "Name<input type=submit value=Go><input value='x &amp; y'><input type=hidden value=no><input type=checkbox value=no><input placeholder=hint><input type=password value=no><input type=image alt=pic>": "Name Go x & y hint pic",
+    "<select><optgroup label=Fruit><option>a<option label=B>no<optgroup label=C hidden><option>no</select>": "Fruit\na\nB",
+    "<dialog>no</dialog><dialog open>yes</dialog><details><p>no</p><summary>head</summary>no</details><details open><summary>s</summary>body</details>": "yes\nhead\ns\nbody",
+    "<fieldset><legend>Name</legend>text</fieldset><search>a</search>b": "Name\ntext\na\nb",
+    "<ol><li value=4>a<li>b<li value=x>c</ol><ol reversed><li>a<li>b</ol><ol type=a start=26><li>z<li>aa</ol><ol type=I><li value=1994>m<li type=1>n</ol>": "4. a\n5. b\n6. c\n2. a\n1. b\nz. z\naa. aa\nMCMXCIV. m\n1995. n",
+    "<xmp>&lt;b>  x</xmp>y<plaintext><b>&amp;</b></plaintext>": "&lt;b>  x\n\ny\n\n<b>&amp;</b></plaintext>",
+    "<pre>\n  a\n</pre><div style='white-space: pre'>b   c</div>a</br>b<image alt=q>": "  a\n\nb   c\na\nbq",
+    "<textarea placeholder=p></textarea> <textarea placeholder=no>\nv</textarea><meter>no</meter><progress>no</progress>": "p v",
+}
+
+
+@pytest.mark.parametrize("html", PROBES)
+def test_probes(html):
+    assert visible_text(html) == PROBES[html]
+
+
+def drawn(rng, counter, depth, seen):
+    """A random piece of markup and the words of it that show, both from the same draw; no parser takes part."""
+    word = lambda: f"w{next(counter)}"
+    out, shows = [], []
+    for _ in range(rng.randrange(1, 5)):
+        w = word()
+        kind = rng.randrange(13 if depth else 5)
+        if kind == 0:
+            out.append(f" {w} ")
+            shows += [w] * seen
+        elif kind == 1:
+            out.append(rng.choice(["<!-- {} -->", "<!--{}--!>", "<!-->", "<!--->", "<!-- > {} -- -->", "<?x {}?>", "</ {}>", "<!x {}>"]).format(w))
+        elif kind == 2:
+            shown = rng.random() < 0.5
+            attrs = rng.choice(["value={}", 'value="{}" type=TEXT', "type=submit value='{}'", "placeholder={}", "value='' placeholder={}", "type=image alt={}"] if shown else ["type=hidden value={}", "type=radio value={}", "type=password value={}", "name={}", "hidden value={}", "type=submit placeholder={}"])
+            out.append(f"<input {attrs.format(w)}{rng.choice(['', ' /', ' data-x=1'])}>")
+            shows += [w] * (shown and seen)
+        elif kind == 3:
+            out.append(f"<img {rng.choice(['alt', 'ALT'])}='{w} '>")
+            shows += [w] * seen
+        elif kind == 4:
+            tag = rng.choice(["script", "style", "textarea", "xmp"])
+            out.append(f"<{tag}> {w} </{tag}>")
+            shows += [w] * (seen and tag in ("textarea", "xmp"))
+        elif kind == 5:
+            w2 = word()
+            out.append(f"<select><optgroup label={w}><option>{w2}{rng.choice(['', '</option>'])}<option label={w2}b>{word()}</select>")
+            shows += [w, w2, f"{w2}b"] * seen
+        elif kind == 6:
+            opened = rng.random() < 0.5
+            a, b = drawn(rng, counter, depth - 1, seen and opened)
+            out.append(f"<details{' open' * opened}><summary> {w} </summary>{a}</details>")
+            shows += [w] * seen + b
+        elif kind == 7:
+            opened = rng.random() < 0.5
+            a, b = drawn(rng, counter, depth - 1, seen and opened)
+            out.append(f"<dialog{' open' * opened}>{a}</dialog>")
+            shows += b
+        elif kind == 8:
+            style, shown = rng.choice([("display:none", 0), ("display:none;display:block", 1), ("display:block;DISPLAY: none", 0), ("display:none !important;display:block", 0), ("x-display:none", 1), ("display:none;display:bad", 0), ("--display: none", 1), ("color:red;;display : none ;", 0)])
+            a, b = drawn(rng, counter, depth - 1, seen and bool(shown))
+            out.append(f'<div class="a>b" style="{style}">{a}</div>')
+            shows += b
+        elif kind == 9:
+            a, b = drawn(rng, counter, depth - 1, seen)
+            c, d = drawn(rng, counter, depth - 1, seen)
+            out.append(rng.choice(["<ul><li>{}<li>{}</ul>", "<ol reversed><li value=7>{}</li><li>{}</ol>", "<dl><dt>{}<dd>{}</dl>", "<table><tr><td>{}<td rowspan=2>{}</table>", "<fieldset><legend>{}</legend>{}</fieldset>"]).format(a, c))
+            shows += b + d
+        else:
+            tag = rng.choice(["div", "b", "section", "blockquote", "span", "form", "h2", "label", "button", "article", "em", "noscript", "template", "datalist"])
+            a, b = drawn(rng, counter, depth - 1, seen and tag not in ("noscript", "template", "datalist"))
+            out.append(f"<{tag} title='it \"is\"' data-y={w}>{a}</{tag}>")
+            shows += b
+    return "".join(out), shows
+
+
+def test_drawn_pages_show_what_they_should():
+    rng = random.Random(21)
+    for _ in range(1500):
+        html, shows = drawn(rng, itertools.count(), 4, True)
+        assert sorted(re.findall(r"w\d+b?", visible_text(html))) == sorted(shows), html
