@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 #: Groups of a batch, as the table of their rows and where each begins.
 Groups = Callable[[pa.Table, np.ndarray], pa.RecordBatch]
@@ -26,7 +26,7 @@ def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def map_groups(df: DataFrame, keys: list[str], order: list[str], fn: Groups, schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], order: list[str | Column], fn: Groups, schema: str) -> DataFrame:
     """Apply ``fn`` to whole groups of ``keys``, each sorted by ``order``, as many at a time as an Arrow batch holds.
 
     Groups are parted by a shuffle on the keys and sorted there; a group is held whole by the task that works on it,

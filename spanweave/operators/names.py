@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,18 +14,23 @@ from pyspark.sql.window import Window
 
 from spanweave.config import NAMES, NameConfig
 from spanweave.functions.names import AFFIXES, squash, tokens
+from spanweave.operators.grouped import map_groups
 
 
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block similarity of two strings, which no built-in function gives."""
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b, strict=True)])
+    """Matching-block similarity of two strings, which no built-in function gives; each pair of a batch is compared once, and null costs nothing."""
+    known: dict[tuple[str, str], float] = {}
+    for pair in zip(a, b, strict=True):
+        if pair[0] is not None and pair[1] is not None and pair not in known:
+            known[pair] = SequenceMatcher(None, *pair).ratio()
+    return pd.Series([known.get(pair, 0.0) for pair in zip(a, b, strict=True)], dtype=float)
 
 
 def score_names(pairs: DataFrame, channel: str, label: str, affixes: tuple[str, ...] = AFFIXES, cfg: NameConfig = NAMES) -> DataFrame:
     """``pairs`` plus name_score: 1 for equal names, ``tokens`` where one's words are all the other's, ``glued``
     where one is inside the other and long enough, and at least the matching-block ratio. ``affixes`` are words
-    that only channels carry. Equal names and names without letters never reach Python."""
+    that only channels carry. Equal names and names without letters are not compared."""
     words = F.array_except(tokens(F.col(channel)), F.array(*map(F.lit, affixes)).cast("array<string>"))
     kept = F.filter(tokens(F.col(channel)), lambda t: ~t.isin(*affixes)) if affixes else tokens(F.col(channel))
     df = pairs.withColumns({"_c": F.array_join(kept, ""), "_l": squash(F.col(label)), "_ct": words, "_lt": tokens(F.col(label))})
@@ -31,9 +38,9 @@ def score_names(pairs: DataFrame, channel: str, label: str, affixes: tuple[str,
     inside = (F.contains("_c", "_l") | F.contains("_l", "_c")) & (F.least(F.length("_c"), F.length("_l")) >= cfg.glued_length)
     plain = F.when(subset, cfg.tokens).when(inside, cfg.glued).otherwise(0.0)
     empty, equal = (F.col("_c") == "") | (F.col("_l") == ""), F.col("_c") == F.col("_l")
-    sure = df.where(empty | equal).withColumn("name_score", F.when(empty, 0.0).otherwise(1.0))
-    rest = df.where(~(empty | equal)).withColumn("name_score", F.greatest(plain, ratio("_c", "_l")))
-    return sure.union(rest).drop("_c", "_l", "_ct", "_lt")
+    compared = lambda c: F.when(~(empty | equal), F.col(c))
+    scored = df.withColumn("_ratio", ratio(compared("_c"), compared("_l")))
+    return scored.withColumn("name_score", F.when(empty, 0.0).when(equal, 1.0).otherwise(F.greatest(plain, F.col("_ratio")))).drop("_c", "_l", "_ct", "_lt", "_ratio")
 
 
 def score_aliases(pairs: DataFrame, channel: str, labels: str, ids: list[str], affixes: tuple[str, ...] = AFFIXES, cfg: NameConfig = NAMES) -> DataFrame:
@@ -57,21 +64,24 @@ def match_voices(pairs: DataFrame, keys: list[str], entry: str, accept: float =
 def assign_greedily(pairs: DataFrame, keys: list[str], left: str, right: str, score: str, accept: float) -> DataFrame:
     """One-to-one pairs of each key, best score first; of equals the greatest left and right name.
 
-    The pairs of a key meet in one task: a key is an episode with tens of names on either side.
+    A key is an episode with tens of names on either side; a task walks many keys after each other.
     """
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*keys, left, right, score).schema)
-
-    def assign(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([score, left, right], ascending=False)
-        seen_left, seen_right, keep = set(), set(), []
-        for i, a, b in zip(pdf.index, pdf[left], pdf[right], strict=True):
-            if a not in seen_left and b not in seen_right:
-                seen_left.add(a)
-                seen_right.add(b)
-                keep.append(i)
-        return pdf.loc[keep]
-
-    return pairs.where(F.col(score) >= accept).select(*keys, left, right, score).groupBy(*keys).applyInPandas(assign, schema)
+    kept = pairs.where(F.col(score) >= accept).select(*keys, left, right, score)
+
+    def assign(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        a, b = table[left].to_pylist(), table[right].to_pylist()
+        taken, begins = [], set(starts.tolist())
+        for row in range(table.num_rows):
+            if row in begins:
+                seen_left, seen_right = set(), set()
+            if a[row] not in seen_left and b[row] not in seen_right:
+                seen_left.add(a[row])
+                seen_right.add(b[row])
+                taken.append(row)
+        return table.take(pa.array(taken, pa.int64())).combine_chunks().to_batches()[0]
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
+    return map_groups(kept, keys, [F.col(c).desc() for c in (score, left, right)], assign, schema)
 
 
 def match_roster(pairs: DataFrame, keys: list[str], entry: str, base: str, generic: str, cfg: NameConfig = NAMES) -> DataFrame:

@@ -122,6 +122,68 @@ def test_mapping_repair(spark):
     assert ("name_mismatch", "ann", "A") in i and ("verified_absent", "bob", None) in i
 
 
+def plain_repair(named, score, lines, speakers, channels, cfg):
+    """Reassignment, swaps and rescues of one key, one entry after another; no track is a bundle."""
+    mapping, by, events = dict(named), dict.fromkeys(named, "name"), []
+    at = lambda who, where, k=0: score[who, where][k]
+    for who, where in list(mapping.items()):
+        owner = max(speakers, key=lambda x: (at(x, where), -speakers.index(x)))
+        if owner == who or owner in mapping or at(owner, where) < cfg.strong_precision or at(owner, where, 1) < cfg.rescue_recall:
+            continue
+        if at(owner, where) - at(who, where) >= cfg.margin and lines[owner] >= lines[who]:
+            del mapping[who], by[who]
+            mapping[owner], by[owner] = where, "content"
+            events.append(("reassigned", owner, where))
+    order = list(mapping)
+    for i, a in enumerate(order):
+        for b in order[i + 1 :]:
+            x, y = mapping[a], mapping[b]
+            if at(a, y) >= cfg.flag_precision and at(a, y) - at(b, y) >= cfg.margin and at(b, x) >= cfg.flag_precision and at(b, x) - at(a, x) >= cfg.margin:
+                mapping[a], mapping[b], by[a], by[b] = y, x, "content", "content"
+                events.append(("swap_repaired", a, y))
+    taken = set(mapping.values())
+    best = lambda who: max(((at(who, c, 1), -channels.index(c)) for c in channels if c not in taken and at(who, c, 1) > 0), default=(0, 0))
+    for who in sorted((x for x in speakers if x not in mapping), key=lambda x: -best(x)[0]):
+        recall, k = best(who)
+        where = channels[-k]
+        if recall >= cfg.rescue_recall and at(who, where) >= cfg.rescue_precision:
+            if at(who, where) >= cfg.strong_precision:
+                mapping[who], by[who] = where, "content"
+                taken.add(where)
+                events.append(("rescued", who, where))
+            else:
+                events.append(("possible_match", who, where))
+    return {(s, c, by[s]) for s, c in mapping.items()}, events
+
+
+def test_mapping_repair_in_sequence(spark):
+    """Random scores, so that claims and swaps follow from one another."""
+    rng = random.Random(11)
+    cfg = mapping.MAPPING
+    keys, rows, names, people = {}, [], [], []
+    for key in range(150):
+        speakers, channels = [f"s{k}" for k in range(rng.randrange(2, 7))], [f"T{k}" for k in range(rng.randrange(2, 7))]
+        score = {(s, c): (round(rng.choice([0.0, rng.random(), rng.random()]), 3), round(rng.choice([0.0, rng.random()]), 3)) for s in speakers for c in channels}
+        lines = {s: rng.choice([3, 5, 8]) for s in speakers}
+        held = dict(zip(rng.sample(speakers, k=rng.randrange(1, len(speakers) + 1)), rng.sample(channels, k=len(channels)), strict=False))
+        held = {s: held[s] for s in speakers if s in held}
+        keys[key] = plain_repair(held, score, lines, speakers, channels, cfg)
+        rows += [(key, s, c, *score[s, c], 0.0, speakers.index(s), channels.index(c)) for s, c in score]
+        names += [(key, s, c) for s, c in held.items()]
+        people += [(key, s, n, 99.0) for s, n in lines.items()]
+    found, issues = mapping.repair(spark.createDataFrame(names, "key long, speaker string, channel string"), spark.createDataFrame(rows, "key long, speaker string, channel string, precision double, recall double, name_score double, speaker_ord int, channel_ord int"), spark.createDataFrame(people, "key long, speaker string, lines long, line_s double"))
+    got, said = {k: set() for k in keys}, {k: [] for k in keys}
+    for r in found.collect():
+        got[r.key].add((r.speaker, r.channel, r.mapped_by))
+    for r in issues.where("kind in ('reassigned', 'swap_repaired', 'rescued', 'possible_match')").collect():
+        said[r.key].append((r.kind, r.speaker, r.channel))
+    for k, (want, events) in keys.items():
+        assert got[k] == want and sorted(said[k]) == sorted(events), k
+    kinds = [e[0] for _, events in keys.values() for e in events]
+    # some keys need several rounds of either
+    assert max(sum(e[0] == kind for e in events) for _, events in keys.values() for kind in ("reassigned", "swap_repaired")) > 1 and {"reassigned", "swap_repaired", "rescued", "possible_match"} == set(kinds)
+
+
 def test_mapping_repair_passes_one_by_one(spark):
     """Each pass fires on a case of its own, and not where its bounds are missed."""
 
