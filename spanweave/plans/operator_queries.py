@@ -171,14 +171,14 @@ def folder_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.owner_of(read(spark, sf_dir, "nation").select(F.concat(F.lit("F"), "n_nationkey").alias("folder")), registry)
 
 
-@query("""WITH f AS (SELECT p_brand AS key, p_partkey, CASE p_size % 4 WHEN 0 THEN 'A_PRE MIX_R' || p_size WHEN 1 THEN 'A_Tam_MIX_R' || p_size WHEN 2 THEN 'A_other' ELSE 'A_ST_MIX' END AS name FROM part WHERE p_partkey % 9 < 2),
+@query("""WITH f AS (SELECT p_brand AS key, p_partkey, CASE p_size % 4 WHEN 0 THEN 'A_PRE MIX_R' || p_size WHEN 1 THEN 'A_Tam_MIX_R' || p_size WHEN 2 THEN 'A_other' ELSE 'A_ST_MIX' END AS name FROM part),
 g AS (SELECT key, name, CASE WHEN p.plain LIKE '%premix%' THEN 1 WHEN p.plain LIKE '%mix%' THEN 0 END AS stage FROM f, LATERAL (SELECT regexp_replace(lower(name), '[^a-z0-9]', '', 'g') AS plain) p)
 SELECT DISTINCT key, name, CASE stage WHEN 0 THEN 'stmix' ELSE 'premix' END AS stage FROM (SELECT * FROM g WHERE stage IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY stage, name DESC) = 1)""")
 def newest_revision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last revision at the first stage that was delivered."""
     size = F.col("p_size")
     name = F.when(size % 4 == 0, F.concat(F.lit("A_PRE MIX_R"), size)).when(size % 4 == 1, F.concat(F.lit("A_Tam_MIX_R"), size)).when(size % 4 == 2, "A_other").otherwise("A_ST_MIX")
-    f = read(spark, sf_dir, "part").where("p_partkey % 9 < 2").select(F.col("p_brand").alias("key"), name.alias("name"))
+    f = read(spark, sf_dir, "part").select(F.col("p_brand").alias("key"), name.alias("name"))
     return files.newest_revision(f, ["key"], ("stmix", "premix")).select("key", "name", "stage")
 
 
@@ -341,13 +341,13 @@ def delivery_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.delivery_health(who, tracks, read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("key"), kind.alias("kind")), ["key"])
 
 
-@query(f"""WITH {XLANG}, f AS (SELECT n_name AS lang, l_orderkey * 10 + l_linenumber AS line, l_orderkey AS start_s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 0 AND l_returnflag = 'R'),
+@query(f"""WITH {XLANG}, f AS (SELECT n_name AS lang, l_orderkey * 10 + l_linenumber AS line, l_orderkey AS start_s FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE l_returnflag = 'R'),
 e AS (SELECT lang, list(line ORDER BY start_s, line)[1:6] AS examples FROM f GROUP BY lang)
 SELECT s.lang, sum(missing)::BIGINT AS missing, count(*) FILTER (missing = lines) AS no_audio, coalesce(list_sort(list(character) FILTER (missing = lines))[1:4], []) AS undelivered, list(character ORDER BY missing DESC, character)[1:4] AS top_missing, any_value(examples) AS examples, greatest(count(*) FILTER (missing = lines) - 4, 0) AS undelivered_more FROM stats s LEFT JOIN e ON e.lang = s.lang GROUP BY s.lang""")
 def language_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per language the characters that miss most and the first missing lines."""
     t = lambda n: read(spark, sf_dir, n)
-    nation = t("nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("lang"))
+    nation = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("lang"))
     owner = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey")).join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey").join(nation, "c_nationkey").select("l_orderkey", "lang")
     missing = t("lineitem").where("l_returnflag = 'R'").join(owner, "l_orderkey").select("lang", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), F.col("l_orderkey").alias("start_s"))
     return reports.digest(reports.language_stats(*_languages(spark, sf_dir)), missing)

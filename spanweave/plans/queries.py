@@ -470,16 +470,16 @@ def cosine_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- across languages ----
 
 XLANG = """chars AS (SELECT n_name AS lang, p_brand AS character, count(*) AS lines, CASE WHEN count(*) % 7 <> 0 THEN 'track' END AS channel, NULL::VARCHAR AS grouped_in, count(*) FILTER (l_returnflag = 'R' AND l_shipdate > o_orderdate) AS found
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey WHERE n_regionkey = 0 GROUP BY ALL),
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN part ON l_partkey = p_partkey GROUP BY ALL),
 stats AS (SELECT lang, character, CASE WHEN channel IS NULL THEN lines ELSE found END AS missing, lines FROM chars WHERE CASE WHEN channel IS NULL THEN lines ELSE found END > 0),
 causes AS (SELECT character, count(*) AS affected, count(*) FILTER (missing / lines >= 0.5) AS absent, count(*) FILTER (missing / lines < 0.5) AS partial, max(missing / lines) AS worst_rate, sum(missing)::BIGINT AS missing, (SELECT count(DISTINCT lang) FROM chars) AS n FROM stats GROUP BY character),
 caused AS (SELECT character, affected, absent, partial, worst_rate, missing, n - affected AS delivered, CASE WHEN absent = n THEN 'script' WHEN absent > 0 THEN 'delivery' WHEN affected = n AND n > 1 THEN 'hard-lines' ELSE 'dub' END AS cause FROM causes)"""
 
 
 def _languages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Nations of a region as languages, brands as characters, line items as lines, late returns as missing."""
+    """Nations as languages, brands as characters, line items as lines, late returns as missing."""
     t = lambda n: read(spark, sf_dir, n)
-    nation = t("nation").where("n_regionkey = 0").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("lang"))
+    nation = t("nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("lang"))
     orders = t("orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"), "o_orderdate")
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_returnflag", "l_shipdate").join(orders, "l_orderkey").join(t("customer").select("c_custkey", "c_nationkey"), "c_custkey").join(nation, "c_nationkey").join(t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("character")), "l_partkey")
     characters = lines.groupBy("lang", "character").agg(F.count(F.lit(1)).alias("lines")).withColumns({"channel": F.when(F.col("lines") % 7 != 0, "track"), "grouped_in": F.lit(None).cast("string")})
@@ -555,13 +555,17 @@ def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.added(o.where(F.col("o_orderdate") < cut), o.where(F.col("o_orderdate") >= cut), "o_custkey").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"))
 
 
-@query("""SELECT user_id, count(*) FILTER (event_type = 'purchase') AS done, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type IN ('click', 'view')) AS running,
-  CASE WHEN count(*) FILTER (event_type IN ('click', 'view')) > 0 THEN 'running' WHEN count(*) FILTER (event_type = 'error') > 0 THEN 'failed' WHEN count(*) FILTER (event_type = 'purchase') > 0 THEN 'done' ELSE 'nothing' END AS header FROM events GROUP BY user_id""")
+@query("""WITH e AS (SELECT user_id AS run, event_id, event_type, CASE event_type WHEN 'purchase' THEN 'done' WHEN 'error' THEN 'failed' WHEN 'signup' THEN 'skipped' ELSE 'running' END AS state, event_id % 5 AS missing, event_id % 10 >= 5 AS high FROM events),
+t AS (SELECT run, count(*) FILTER (state = 'done') AS done, count(*) FILTER (state = 'failed') AS failed, count(*) FILTER (state = 'running') AS running, count(*) FILTER (state = 'skipped') AS skipped FROM e GROUP BY run)
+SELECT run, event_id AS lang, state, CASE state WHEN 'failed' THEN 'broken' WHEN 'done' THEN CASE WHEN missing = 0 THEN 'green' WHEN high THEN 'orange' ELSE 'yellow' END WHEN 'running' THEN 'waiting' ELSE 'absent' END AS sign,
+  row_number() OVER (PARTITION BY run ORDER BY CASE state WHEN 'failed' THEN 0 WHEN 'done' THEN 1 WHEN 'running' THEN 2 ELSE 3 END, CASE WHEN state = 'done' THEN missing ELSE 0 END DESC, event_id) AS position,
+  CASE WHEN running > 0 THEN 'running' WHEN failed > 0 THEN 'failed' WHEN done > 0 THEN 'done' ELSE 'nothing' END AS header, running = 0 AS settled FROM e JOIN t USING (run)""")
 def run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tally of states with the header's precedence."""
-    n = lambda *kinds: F.count_if(F.col("event_type").isin(*kinds))
-    out = read(spark, sf_dir, "events").groupBy("user_id").agg(n("purchase").alias("done"), n("error").alias("failed"), n("click", "view").alias("running"))
-    return out.withColumn("header", F.when(F.col("running") > 0, "running").when(F.col("failed") > 0, "failed").when(F.col("done") > 0, "done").otherwise("nothing"))
+    """The state of each language of a run, failures first, under a header for the run."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    state = F.when(kind == "purchase", "done").when(kind == "error", "failed").when(kind == "signup", "skipped").otherwise("running")
+    out = reports.run_status(read(spark, sf_dir, "events").select(F.col("user_id").alias("run"), n.alias("lang"), state.alias("state"), (n % 5).alias("missing"), (n % 10 >= 5).alias("high")))
+    return out.select("run", "lang", "state", "sign", F.col("position").cast("long").alias("position"), "header", "settled")
 
 
 @query("""SELECT n_name, count(s_suppkey) AS tracks, count(s_suppkey) > 0 AS present, count(s_suppkey) >= 2 AND n_regionkey < 3 AS runnable FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name, n_regionkey""")
@@ -578,7 +582,7 @@ def truth_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truth spans that a finding meets within the tolerance."""
     s = tables.spans(spark, sf_dir)
     truth = s.where("kind = 'signup'").select("key", F.col("id").alias("truth"), "start_s", "end_s")
-    return reports.recall_of_truth(truth, s.where("kind = 'view'"), ["key"], 2.5).select("key", "truth", "found")
+    return reports.recall_of_truth(truth, s.where("kind = 'view'"), ["key"], 2.5, BIN_S).select("key", "truth", "found")
 
 
 @query("""WITH d AS (SELECT event_id, event_type, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id * 7919 % 10007, event_id) AS depth FROM events)
@@ -814,12 +818,12 @@ def compression_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def roster_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names against a roster of types, unless two are alike."""
+    """Part names against a roster of names with a role behind them, unless one of another base is as like: a third of the names is one word, which many entries have."""
     p = read(spark, sf_dir, "part")
-    left = p.select("p_brand", F.col("p_name").alias("channel")).distinct()
-    roster = p.select(F.col("p_name").alias("entry")).distinct()
-    first = F.element_at(F.split("entry", " "), 1)
-    pairs = left.join(roster.withColumn("base", first), F.element_at(F.split("channel", " "), 1) == F.col("base")).withColumn("generic", F.length("channel") < 8)
+    named = F.when(F.col("p_partkey") % 3 == 0, F.element_at(F.split("p_name", " "), -1)).otherwise(F.col("p_name"))
+    left = p.select("p_brand", named.alias("channel")).distinct().withColumn("word", F.explode(F.split("channel", " ")))
+    roster = p.select(F.concat_ws(" as ", "p_name", F.lower("p_type")).alias("entry"), F.col("p_name").alias("base")).distinct().withColumn("word", F.explode(F.split("base", " ")))
+    pairs = left.join(roster, "word").select("p_brand", "channel", "entry", "base").distinct().withColumn("generic", F.length("channel") < 8)
     return fuzzy.match_roster(fuzzy.score_names(pairs, "channel", "entry"), ["p_brand", "channel"], "entry", "base", "generic")
 
 

@@ -80,6 +80,22 @@ def recall_of_truth(truth: DataFrame, findings: DataFrame, keys: list[str], tole
     return truth.join(hit, [*keys, "truth"], "left").fillna(False, ["found"])
 
 
+def run_status(parts: DataFrame) -> DataFrame:
+    """The parts of each run in the order in which they are told, with the run's tally and header.
+
+    ``parts``: run, lang, state (done, failed, running, skipped), missing, high (whether a finding is of high confidence).
+    Failures come first, then what is done, most missing first, then what runs, then what was not delivered. A run is
+    running while any part is, else failed if any part is; it is settled once nothing runs.
+    """
+    state, missing = F.col("state"), F.coalesce("missing", F.lit(0))
+    rank = F.when(state == "failed", 0).when(state == "done", 1).when(state == "running", 2).otherwise(3)
+    sign = F.when(state == "failed", "broken").when(state == "running", "waiting").when(state != "done", "absent").when(missing == 0, "green").when(F.coalesce("high", F.lit(False)), "orange").otherwise("yellow")
+    tally = parts.groupBy("run").agg(*(F.count_if(state == s).alias(s) for s in ("done", "failed", "running", "skipped")))
+    header = F.when(F.col("running") > 0, "running").when(F.col("failed") > 0, "failed").when(F.col("done") > 0, "done").otherwise("nothing")
+    order = Window.partitionBy("run").orderBy(rank, F.when(state == "done", missing).otherwise(0).desc(), "lang")
+    return parts.join(tally, "run").withColumns({"sign": sign, "position": F.row_number().over(order), "header": header, "settled": F.col("running") == 0})
+
+
 def entities(segments: DataFrame) -> DataFrame:
     """A row per speaker (key) of segments (key, label, start_s, end_s, ord): labels, lines, seconds, first start and display name.
 

@@ -11,6 +11,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from spanweave.config import NAMES
 from spanweave.functions.names import AFFIXES
 
 SF = "/root/testdata/sf0.001"
@@ -85,18 +86,20 @@ def test_fuzzy_name_assign(spark, duck):
 
 
 def test_roster_match(spark, duck):
-    channels = duck.execute("SELECT DISTINCT p_brand, p_name FROM part").fetchall()
-    entries = [e for (e,) in duck.execute("SELECT DISTINCT p_name FROM part").fetchall()]
-    want = []
+    channels = duck.execute("SELECT DISTINCT p_brand, CASE WHEN p_partkey % 3 = 0 THEN split_part(p_name, ' ', -1) ELSE p_name END FROM part").fetchall()
+    entries = duck.execute("SELECT DISTINCT p_name || ' as ' || lower(p_type), p_name FROM part").fetchall()
+    want, rivalled = [], 0
     for brand, c in channels:
-        scored = sorted(((-plain_name_score(c, e), e) for e in entries if e.split()[0] == c.split()[0]))
-        top, best = -scored[0][0], scored[0][1]
-        generic = len(c) < 8
-        # all entries of a channel share its first word, so none is a rival
-        if top >= (0.92 if generic else 0.8):
-            want.append((brand, c, best))
+        scored = sorted((-plain_name_score(c, e), e, base) for e, base in entries if set(base.split()) & set(c.split()))
+        top, best, base = -scored[0][0], *scored[0][1:]
+        rival = max((-s for s, _, b in scored if b != base), default=0.0)
+        if top >= (NAMES.roster_generic if len(c) < 8 else NAMES.roster_accept):
+            rivalled += rival >= top - NAMES.ambiguity
+            if rival < top - NAMES.ambiguity:
+                want.append((brand, c, best))
     got = QUERIES["roster_match"](spark, SF).select("p_brand", "channel", "entry").collect()
-    assert sorted(map(tuple, got)) == sorted(want)
+    assert sorted(map(tuple, got)) == sorted(want) and want
+    assert rivalled > 0
 
 
 def test_draw_union(spark, duck):
