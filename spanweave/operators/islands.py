@@ -14,6 +14,27 @@ def number_runs(df: DataFrame, keys: list[str], order: list[str], breaks: Column
     return df.withColumn("_b", F.when(first | breaks, 1).otherwise(0)).withColumn(name, F.sum("_b").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_b")
 
 
+def ahead_in_blocks(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the greatest ``value`` of all rows ahead of each in its key.
+
+    ``df`` has a column block that follows the order. The maximum is taken within blocks and over the blocks ahead, and the
+    greater one counts, so that a key with all rows is as many tasks as it has blocks.
+    """
+    inside = Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    ends = df.groupBy(*keys, "block").agg(F.max(value).alias("_of"))
+    before = ends.select(*keys, "block", F.max("_of").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
+    return df.withColumn("_own", F.max(value).over(inside)).join(before, [*keys, "block"]).withColumn(name, F.greatest("_own", "_before")).drop("_own", "_before")
+
+
+def number_in_blocks(df: DataFrame, keys: list[str], order: list[str], opens: str, name: str) -> DataFrame:
+    """Like number_runs(), by blocks: how many rows up to each one have ``opens``."""
+    one = F.when(F.col(opens), 1).otherwise(0)
+    total = df.groupBy(*keys, "block").agg(F.sum(one).alias("_n"))
+    before = total.select(*keys, "block", F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.sum(one).over(Window.partitionBy(*keys, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return df.withColumn("_own", own).join(before, [*keys, "block"]).withColumn(name, F.col("_own") + F.col("_before")).drop("_own", "_before", "_n")
+
+
 def blocks(missing: DataFrame, keys: list[str], gap_s: float, least: int, quiet: float) -> DataFrame:
     """Blocks of at least ``least`` missing lines: close in time, of consecutive numbers, in quiet slots.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from spanweave.operators.grouped import column, map_groups
-from spanweave.operators.islands import number_runs
+from spanweave.operators.islands import ahead_in_blocks, number_in_blocks, number_runs
 
 
 def concatenated(windows: DataFrame, keys: list[str], pad_s: float = 0.2, gap_s: float = 0.5) -> DataFrame:
@@ -27,11 +27,19 @@ def map_back(points: DataFrame, placed: DataFrame, keys: list[str], gap_s: float
     return inside.withColumn("original_s", F.col("from_s") + F.least(F.col("at") - F.col("at_s"), length)).drop("from_s", "to_s", "at_s", "bin")
 
 
-def words_to_lines(words: DataFrame, keys: list[str], gap_s: float = 0.7) -> DataFrame:
-    """Lines of words: a new one after a pause, after a word that ends a sentence (ends), or in another window (window)."""
-    w = Window.partitionBy(*keys).orderBy("start_s", "word")
-    breaks = (F.col("start_s") - F.lag("end_s").over(w) > gap_s) | F.lag("ends").over(w) | (F.col("window") != F.lag("window").over(w))
-    runs = number_runs(words, keys, ["start_s", "word"], breaks, "line")
+def words_to_lines(words: DataFrame, keys: list[str], gap_s: float = 0.7, block_s: float | None = None) -> DataFrame:
+    """Lines of words: a new one after a pause, after a word that ends a sentence (ends), or in another window (window). With ``block_s`` a key is worked on in blocks of that many seconds."""
+    order = ["start_s", "word"]
+    if block_s is None:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        breaks = (F.col("start_s") - F.lag("end_s").over(w) > gap_s) | F.lag("ends").over(w) | (F.col("window") != F.lag("window").over(w))
+        runs = number_runs(words, keys, order, breaks, "line")
+    else:
+        # the word ahead is the greatest by order of those ahead
+        said = F.struct(*order, "end_s", "ends", "window")
+        ahead = ahead_in_blocks(words.withColumn("block", F.floor(F.col("start_s") / block_s)), keys, order, said, "_ahead")
+        breaks = (F.col("start_s") - F.col("_ahead.end_s") > gap_s) | F.col("_ahead.ends") | (F.col("window") != F.col("_ahead.window"))
+        runs = number_in_blocks(ahead.withColumn("_opens", F.coalesce(breaks, F.lit(True))), keys, order, "_opens", "line")
     return runs.groupBy(*keys, "line").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count(F.lit(1)).alias("words"))
 
 

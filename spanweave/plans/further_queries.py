@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from spanweave.operators import gates, vectors
+from spanweave.operators import gates, intervals, timeline, vectors
 from spanweave.plans import reports
-from spanweave.plans.queries import ALIGNED, TURNS, _aligned, query
+from spanweave.plans.queries import ALIGNED, SPANS, TURNS, _aligned, query
 from spanweave.sources import assets, files, scripts, tables
-from spanweave.sources.tables import read
+from spanweave.sources.tables import BIN_S, read
 
 # ---- scripts ----
 
@@ -116,6 +116,37 @@ def result_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("path", none("reason", "string"), "missing", "lang").union(skipped.select("path", "reason", none("missing", "long"), none("lang", "string")))
 
 
+# ---- spans ----
+
+
+@query(f"""WITH {SPANS}, a AS (SELECT key, id, start_s, end_s FROM spans WHERE kind <> 'click' UNION ALL SELECT key, -key, min(start_s), max(end_s) FROM spans GROUP BY key), b AS (SELECT key, id, start_s, CASE WHEN id % 2 = 0 THEN end_s ELSE start_s + 30 END AS end_s FROM spans WHERE kind = 'click')
+SELECT a.key, a.id, count(*) AS met, sum(least(a.end_s, b.end_s) - greatest(a.start_s, b.start_s)) AS overlap_s FROM a JOIN b ON a.key = b.key AND b.start_s < a.end_s AND a.start_s < b.end_s GROUP BY a.key, a.id""")
+def overlap_any_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of half a minute, of hours and of a user's whole time against each other, in bins of a minute."""
+    s = tables.spans(spark, sf_dir).select("key", "id", "kind", "start_s", "end_s")
+    hull = s.groupBy("key").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s")).select("key", (-F.col("key")).alias("id"), "start_s", "end_s")
+    a = s.where("kind <> 'click'").drop("kind").union(hull)
+    b = s.where("kind = 'click'").select("key", "id", "start_s", F.when(F.col("id") % 2 == 0, F.col("end_s")).otherwise(F.col("start_s") + 30).alias("end_s"))
+    shared = intervals.overlap_seconds(F.col("start_s"), F.col("end_s"), F.col("r_start_s"), F.col("r_end_s"))
+    return intervals.overlap_join(a, b, ["key"], 60.0, any_length=True).groupBy("key", "id").agg(F.count(F.lit(1)).alias("met"), F.sum(shared).alias("overlap_s"))
+
+
+@query(f"""WITH {SPANS}, o AS (SELECT *, max(end_s) OVER (PARTITION BY kind ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM (SELECT kind, start_s, start_s + value * 10 AS end_s FROM spans)),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start_s > reach THEN 1 ELSE 0 END) OVER (PARTITION BY kind ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS g FROM o) SELECT kind, min(start_s) AS start_s, max(end_s) AS end_s FROM g GROUP BY kind, g""")
+def hot_track_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The union of the spans of five keys that hold all rows, by blocks of time."""
+    s = tables.spans(spark, sf_dir).select("kind", "start_s", (F.col("start_s") + F.col("value") * 10).alias("end_s"))
+    return intervals.coalesce_spans(s, ["kind"], block_s=BIN_S)
+
+
+@query(f"""WITH {SPANS}, w AS (SELECT kind, id, start_s, start_s + 60 AS end_s, id % 50 = 0 AS ends, floor(start_s / 864000) AS win FROM spans), b AS (SELECT *, coalesce(start_s - lag(end_s) OVER o > 300 OR lag(ends) OVER o OR win <> lag(win) OVER o, true) AS b FROM w WINDOW o AS (PARTITION BY kind ORDER BY start_s, id)),
+r AS (SELECT *, sum(b::INT) OVER (PARTITION BY kind ORDER BY start_s, id ROWS UNBOUNDED PRECEDING) AS line FROM b) SELECT kind, line::BIGINT AS line, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS words FROM r GROUP BY kind, line""")
+def hot_word_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of five keys that hold all rows, joined to lines by blocks of time."""
+    words = tables.spans(spark, sf_dir).select("kind", F.col("id").alias("word"), "start_s", (F.col("start_s") + 60).alias("end_s"), (F.col("id") % 50 == 0).alias("ends"), F.floor(F.col("start_s") / 864_000).alias("window"))
+    return timeline.words_to_lines(words, ["kind"], 300.0, block_s=BIN_S)
+
+
 # ---- evidence ----
 
 

@@ -1,4 +1,5 @@
 import random
+import time
 from functools import lru_cache
 
 import numpy as np
@@ -103,6 +104,23 @@ def test_names_and_greedy_pairs(spark):
     assert sorted((r.l, r.r) for r in fuzzy.assign_greedily(scored, ["key"], "l", "r", "s", 0.55).collect()) == [("a", "y"), ("b", "x")]
 
 
+def test_overlap_join_of_spans_of_all_lengths(spark):
+    """Seconds beside years, in one key: each pair once, and few rows a span."""
+    rng = random.Random(6)
+    made = lambda n, seed: [(rng.randrange(2), i, float(a := rng.choice([0, rng.randrange(4000), rng.randrange(10**7)])), a + rng.choice([0.0, 0.5, 7.0, 8.0, 16.0, 300.0, 40_000.0, 3.2e7])) for i in range(n)]
+    a, b = made(150, 1), made(150, 2)
+    want = sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and y[2] < x[3] and x[2] < y[3])
+    joined = intervals.overlap_join(spark.createDataFrame(a, SPAN), spark.createDataFrame(b, SPAN), ["key"], 8.0, any_length=True)
+    assert sorted((r.id, r.r_id) for r in joined.collect()) == want and joined.columns == ["key", "id", "start_s", "end_s", "r_id", "r_start_s", "r_end_s"]
+    empty = spark.createDataFrame([], SPAN)
+    assert intervals.overlap_join(spark.createDataFrame(a, SPAN), empty, ["key"], 8.0, any_length=True).collect() == [] == intervals.overlap_join(empty, spark.createDataFrame(b, SPAN), ["key"], 8.0, any_length=True).collect()
+    # a year among seconds: a bin a second would be 32 million rows
+    year = spark.createDataFrame([(1, 0, 0.0, 3.2e7)], SPAN)
+    seconds = spark.range(20_000).selectExpr("1 AS key", "int(id) AS id", "double(id) AS start_s", "id + 1.0D AS end_s")
+    began = time.time()
+    assert intervals.overlap_join(year, seconds, ["key"], 1.0, any_length=True).count() == 20_000 and time.time() - began < 30
+
+
 def test_mapping_repair(spark):
     def run(named, scores, lines):
         who = sorted({s for s, *_ in scores})
