@@ -461,7 +461,7 @@ def test_inventories(spark):
     got = files.tracks(spark.createDataFrame(rows, "key int, name string, path string"), ["key"]).collect()
     assert sorted((r.key, r.channel, r.channel_ord) for r in got) == [(1, "Ann", 1), (1, "Bob", 2), (2, "Solo", 1)]
     kinds = spark.createDataFrame([("a.srt", ""), ("x.mp4", ""), ("final_mix.wav", ""), ("Ann.wav", ""), ("Ann.wav", "Original"), ("z.pdf", "")], "n string, f string").select(files.classify(F.col("n"), F.col("f")).alias("k"))
-    assert [r.k for r in kinds.collect()] == ["script", "original", "original", "track", "original", "other"]
+    assert [r.k for r in kinds.collect()] == ["script", "other", "original", "original", "original", "script"]
     registry = spark.createDataFrame([("A", 1, "alpha", ["first one"]), ("B", 2, "alphabet", [])], "entry string, ord int, key string, aliases array<string>")
     asked = spark.createDataFrame([("Alphabet",), ("First One",), ("alphab",), ("zz",)], "request string")
     assert {r.request: r.entry for r in files.resolve(asked, registry).collect()} == {"Alphabet": "B", "First One": "A", "alphab": "A"}
