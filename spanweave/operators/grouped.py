@@ -57,6 +57,29 @@ def map_groups(df: DataFrame, keys: list[str], order: list[str | Column], fn: Gr
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*columns).mapInArrow(run, schema)
 
 
+def fold_groups(df: DataFrame, keys: list[str], order: list[str | Column], fn: Callable[[pa.Table, object], tuple[pa.RecordBatch, object]], schema: str) -> DataFrame:
+    """Go through the rows of each group in order, a piece of it at a time: ``fn`` gets rows of one group and what it returned for the piece before (None at first).
+
+    Nothing but that is held between pieces, so a group of any size streams through its task.
+    """
+    columns = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, state = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            goes_on = last is not None and len(starts_of(pa.concat_tables([last, table.slice(0, 1)]), keys)) == 1
+            starts = starts_of(table, keys).tolist()
+            for k, (a, b) in enumerate(zip(starts, [*starts[1:], table.num_rows], strict=True)):
+                out, state = fn(table.slice(a, b - a), state if k == 0 and goes_on else None)
+                yield out
+            last = table.slice(table.num_rows - 1)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).select(*columns).mapInArrow(run, schema)
+
+
 def column(table: pa.Table, name: str) -> np.ndarray:
     """A column as numpy values, nulls of numbers as NaN."""
     return table[name].to_numpy()

@@ -107,7 +107,13 @@ def merge_passes(passes: DataFrame, keys: list[str], bin_width: float) -> DataFr
     return first.join(retired, "_row", "left_anti").union(adopted).drop("_row")
 
 
-def sample_strata(df: DataFrame, strata: list[str], group: str, order: Column, n: int) -> DataFrame:
-    """``n`` rows of each stratum, taken in turn from its groups."""
+def sample_strata(df: DataFrame, strata: list[str], group: str, order: Column, n: int, parts: int = 64) -> DataFrame:
+    """``n`` rows of each stratum, taken in turn from its groups.
+
+    A stratum's groups are dealt to ``parts``, of which each can give ``n`` rows at most, so no task sees more of a
+    stratum than its share or ``parts`` times ``n`` rows.
+    """
     deep = df.withColumn("depth", F.row_number().over(Window.partitionBy(*strata, group).orderBy(order))).where(F.col("depth") <= n)  # deeper rows cannot be picked
-    return deep.withColumn("pick", F.row_number().over(Window.partitionBy(*strata).orderBy("depth", group))).where(F.col("pick") <= n)
+    dealt = deep.withColumn("_part", F.pmod(F.xxhash64(group), F.lit(parts)))
+    first = dealt.withColumn("_pick", F.row_number().over(Window.partitionBy(*strata, "_part").orderBy("depth", group))).where(F.col("_pick") <= n).drop("_pick", "_part")
+    return first.withColumn("pick", F.row_number().over(Window.partitionBy(*strata).orderBy("depth", group))).where(F.col("pick") <= n)

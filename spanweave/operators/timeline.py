@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from spanweave.operators.grouped import column, map_groups
+from spanweave.operators.grouped import column, fold_groups, map_groups
 from spanweave.operators.islands import ahead_in_blocks, number_in_blocks, number_runs
 
 
@@ -118,18 +118,31 @@ def drift_at(points: DataFrame, windows: DataFrame, keys: list[str], ids: list[s
 def chunked(placed: DataFrame, keys: list[str], most_s: float = 560.0) -> DataFrame:
     """Placed windows (from_s, to_s, at_s of ``concatenated``) with chunk: runs whose joined length stays within ``most_s``, cut between windows.
 
-    Where a chunk ends depends on where it began, so the windows of a recording are walked in order; a longer window is alone.
+    Where a chunk ends depends on where it began, so the windows of a recording are gone through in order, a chunk's end
+    found by search; between batches only its begin and number are held. A longer window is alone.
     """
-    rows = placed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at_s", "from_s", "to_s"))).alias("w"))
-    start = F.struct(F.lit(0.0).alias("begin"), F.lit(-1).alias("n"), F.array().cast("array<int>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        fresh = (acc["n"] < 0) | (x["at_s"] + x["to_s"] - x["from_s"] - acc["begin"] > most_s)
-        n = F.when(fresh, acc["n"] + 1).otherwise(acc["n"])
-        return F.struct(F.when(fresh, x["at_s"]).otherwise(acc["begin"]).alias("begin"), n.alias("n"), F.concat(acc["out"], F.array(n)).alias("out"))
-
-    numbered = rows.select(*keys, F.explode(F.arrays_zip("w", F.aggregate("w", start, step, lambda a: a["out"]).alias("chunk"))).alias("x"))
-    return numbered.select(*keys, "x.w.from_s", "x.w.to_s", "x.w.at_s", F.col("x.chunk").alias("chunk"))
+    def run(table: pa.Table, state: tuple[float, int] | None) -> tuple[pa.RecordBatch, tuple[float, int]]:
+        at, low, high = (column(table, c) for c in ("at_s", "from_s", "to_s"))
+        ends, chunk, row = at + high - low, np.zeros(len(at), np.int32), 0
+        begin, n = state or (at[0], 0)
+        first = state is None
+        while row < len(at):
+            stop = max(row + first, row + int(np.searchsorted(ends[row:], begin + most_s, "right")))
+            # the sum may round the other way than the difference that counts
+            while stop > row + first and ends[stop - 1] - begin > most_s:
+                stop -= 1
+            while stop < len(at) and ends[stop] - begin <= most_s:
+                stop += 1
+            chunk[row:stop] = n
+            row = stop
+            if row < len(at):
+                begin, n, first = at[row], n + 1, True
+        return pa.RecordBatch.from_arrays([*(table[c].combine_chunks() for c in (*keys, "from_s", "to_s", "at_s")), pa.array(chunk)], [*keys, "from_s", "to_s", "at_s", "chunk"]), (float(begin), n)
+
+    kept = placed.select(*keys, *(F.col(c).cast("double").alias(c) for c in ("from_s", "to_s", "at_s")))
+    schema = ", ".join(f"`{c}` {placed.schema[c].dataType.simpleString()}" for c in keys)
+    return fold_groups(kept, keys, ["at_s"], run, f"{schema}, from_s double, to_s double, at_s double, chunk int")
 
 
 def monotone(events: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -475,3 +475,26 @@ def test_remap_prunes_issues(spark):
     m, i = alignment.remap(named, issues, spark.createDataFrame([(1, "ann", "B")], "key long, speaker string, channel string"))
     assert sorted(map(tuple, m.collect())) == [(1, "ann", "B", "manual"), (2, "ann", "A", "name")]
     assert sorted((r.kind, r.key) for r in i.collect()) == [("grouped", 1), ("rescued", 2)]
+
+
+def test_chunks_one_window_after_another(spark):
+    """In batches of seven rows, so that recordings and chunks run over them."""
+    from spanweave.operators import timeline
+
+    rng = random.Random(9)
+    rows, want = [], []
+    for key in (None, *range(6)):
+        at, begin, n = 0.0, None, -1
+        for _ in range(rng.choice([1, 3, 60])):
+            length = rng.choice([0.5, 3.0, 7.25, 25.0])
+            if begin is None or at + length - begin > 20.0:
+                begin, n = at, n + 1
+            rows.append((key, 100.0 + at, 100.0 + at + length, at))
+            want.append((key, at, n))
+            at += length + 0.5
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = timeline.chunked(spark.createDataFrame(rows, "key int, from_s double, to_s double, at_s double"), ["key"], 20.0).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(((r.key, r.at_s, r.chunk) for r in got), key=repr) == sorted(want, key=repr)
