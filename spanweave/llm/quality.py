@@ -184,7 +184,7 @@ def cutoffs(counts: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFr
         return pd.DataFrame(rows).astype(dict.fromkeys(names, float))
 
     plans = checkpoint(histogram.groupBy("stratum").applyInPandas(choose, schema))
-    bad = known.where("quality <> 1").join(F.broadcast(plans), "stratum").where(over(F.col)).groupBy("stratum", "plan").agg(F.count(F.lit(1)).alias("caught"))
+    bad = known.where("quality <> 1").join(plans, "stratum").where(over(F.col)).groupBy("stratum", "plan").agg(F.count(F.lit(1)).alias("caught"))
     rank = F.struct(F.coalesce("caught", F.lit(0)), F.coalesce(*RULES).isNotNull(), -F.col("place"))
     best = plans.join(bad, ["stratum", "plan"], "left").groupBy("stratum").agg(F.max_by(F.struct(*RULES), rank).alias("x"))
     return best.select("stratum", "x.*")
