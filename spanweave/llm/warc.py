@@ -14,8 +14,9 @@ whose digest is right count, as the trailer vouches for nothing. Compressed and
 of both are read. An archive is one task's work and is read in blocks, so a task holds a block and the
 member or record at hand; the list of archives stays a table.
 
-Of equal payloads the smallest page_id is an aggregate joined back on unique digests, so adaptive
-execution can split the rows of a common payload, the empty one for instance.
+Payloads are equal if their SHA-1 digests are, as revisit records say it. Of equal ones the smallest page_id is
+an aggregate joined back on unique digests, so adaptive execution can split the rows of a common payload, the
+empty one for instance. A record that is not compressed and whose header exceeds ``BLOCK`` bytes is quarantined.
 
 Defined results: a null page is an empty payload; a null page_id is larger than all others and never
 referred to while another has the payload; repeated rows each have their record, of one smallest
