@@ -111,6 +111,13 @@ def watched_episode(path: Column) -> Column:
     return F.coalesce(F.substring(F.try_element_at(marked, F.lit(1)), 1, 3).try_cast("int"), worded)
 
 
+def path_episode(url: Column) -> Column:
+    """The number, of four digits at most behind its zeros, that begins the part of a path after one of two letters; the first such part counts, longer numbers do not."""
+    # DuckDB makes the dotted capital one letter, ICU two
+    low = F.lower(F.replace(url, F.lit("İ"), F.lit("i")))
+    return F.regexp_extract(low, "/[a-z]{2}/0*([0-9]{1,4})(?:[^0-9]|$)", 1).try_cast("int")
+
+
 def names_episode(name: Column, number: Column) -> Column:
     """Whether a name holds the number on its own, zeros before it allowed."""
     held = F.regexp_extract_all(name, F.lit("[0-9]+"), F.lit(0))
