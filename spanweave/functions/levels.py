@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 
 def decibels(x: Column) -> Column:
-    return F.round(20 * F.log10(F.greatest(x, F.lit(1e-9))), 1)
+    """A level in decibels; just below full scale it stays negative, -0.0, as SQL has it."""
+    level = 20 * F.log10(F.greatest(x, F.lit(1e-9)))
+    return F.when((level < 0) & (level > -0.05), F.lit(-0.0)).otherwise(F.round(level, 1))
 
 
 def clamp(x: Column, bound: float) -> Column:

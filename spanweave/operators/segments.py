@@ -51,10 +51,13 @@ def line_levels(line_frames: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def levels_in_speech(lines: DataFrame, regions: DataFrame, frames: DataFrame, keys: list[str], ids: list[str], bin_width: float, cfg: LevelConfig = LEVEL) -> DataFrame:
-    """Level and peak of lines (start_s, end_s) from the frames (start_s, end_s, rms, peak) that touch speech in their padded window; lines without any have no row."""
+    """Level and peak of lines (start_s, end_s) from the frames (start_s, end_s, rms, peak) that touch speech in their padded window, each once though it touches two stretches; lines without any have no row.
+
+    Frames that begin together with other levels all count.
+    """
     stretches = frames_of_lines(lines, regions, keys, ids, bin_width, cfg)
     hit = overlap_join(stretches, frames.select(*keys, "start_s", "end_s", "rms", "peak"), keys, bin_width)
-    each = hit.select(*keys, *ids, F.col("r_start_s").alias("at"), F.col("r_rms").alias("rms"), F.col("r_peak").alias("peak")).dropDuplicates([*keys, *ids, "at"])
+    each = hit.select(*keys, *ids, F.col("r_start_s").alias("at"), F.col("r_rms").alias("rms"), F.col("r_peak").alias("peak")).distinct()
     return line_levels(each, [*keys, *ids])
 
 

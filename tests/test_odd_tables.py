@@ -1,5 +1,7 @@
 """Queries against their SQL over small tables that hold what the supplied ones lack."""
 
+from datetime import datetime, timedelta
+
 import duckdb
 
 import __spark_entry__ as entry
@@ -27,3 +29,17 @@ def test_episode_numbers_in_paths(spark, tmp_path):
     }
     got, want = both(spark, tmp_path, "episode_number", pages=(list(enumerate(urls)), "page_id long, url string"))
     assert got == want and {r[0]: r[1] for r in got} == dict(enumerate(urls.values()))
+
+
+EVENT = "event_id long, user_id long, event_type string, value double, ts timestamp_ntz"
+
+
+def events(*rows):
+    """Events as (user, type, value, seconds), numbered in order."""
+    return [(n, user, kind, value, datetime(2024, 1, 1) + timedelta(seconds=s)) for n, (user, kind, value, s) in enumerate(rows)], EVENT
+
+
+def test_frames_that_begin_together(spark, tmp_path):
+    told = events((1, "purchase", 1.0, 500), (1, "view", 0.9, 500), (1, "click", 200.0, 500), (1, "error", 200.0, 500), (2, "purchase", 0.5, 0), (2, "view", 498.3, 10), (3, "purchase", 2.0, 0))
+    got, want = both(spark, tmp_path, "levels_in_speech", events=told)
+    assert list(map(repr, got)) == list(map(repr, want)) and len(got) == 2
