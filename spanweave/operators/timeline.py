@@ -12,10 +12,10 @@ from spanweave.operators.grouped import column, fold_groups, map_groups
 from spanweave.operators.islands import ahead_in_blocks, number_in_blocks, number_runs
 
 
-def concatenated(windows: DataFrame, keys: list[str], pad_s: float = 0.2, gap_s: float = 0.5) -> DataFrame:
-    """Where each padded window starts on the timeline of all windows in a row with gaps between; adds from_s, to_s and at_s."""
+def concatenated(windows: DataFrame, keys: list[str], pad_s: float = 0.2, gap_s: float = 0.5, ids: tuple[str, ...] = ()) -> DataFrame:
+    """Where each padded window starts on the timeline of all windows in a row with gaps between; adds from_s, to_s and at_s. Windows that start together go by their end, then by ``ids``; those without a start come last."""
     padded = windows.withColumns({"from_s": F.greatest(F.lit(0.0), F.col("start_s") - pad_s), "to_s": F.col("end_s") + pad_s})
-    before = Window.partitionBy(*keys).orderBy("start_s").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(F.col("start_s").asc_nulls_last(), F.col("end_s").asc_nulls_last(), *ids).rowsBetween(Window.unboundedPreceding, -1)
     return padded.withColumn("at_s", F.coalesce(F.sum(F.col("to_s") - F.col("from_s") + gap_s).over(before), F.lit(0.0)))
 
 

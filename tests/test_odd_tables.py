@@ -36,10 +36,27 @@ EVENT = "event_id long, user_id long, event_type string, value double, ts timest
 
 def events(*rows):
     """Events as (user, type, value, seconds), numbered in order."""
-    return [(n, user, kind, value, datetime(2024, 1, 1) + timedelta(seconds=s)) for n, (user, kind, value, s) in enumerate(rows)], EVENT
+    return [(n, user, kind, value, s if s is None else datetime(2024, 1, 1) + timedelta(seconds=s)) for n, (user, kind, value, s) in enumerate(rows)], EVENT
 
 
 def test_frames_that_begin_together(spark, tmp_path):
     told = events((1, "purchase", 1.0, 500), (1, "view", 0.9, 500), (1, "click", 200.0, 500), (1, "error", 200.0, 500), (2, "purchase", 0.5, 0), (2, "view", 498.3, 10), (3, "purchase", 2.0, 0))
     got, want = both(spark, tmp_path, "levels_in_speech", events=told)
     assert list(map(repr, got)) == list(map(repr, want)) and len(got) == 2
+
+
+def test_windows_that_start_together(spark, tmp_path):
+    """The SQL leaves the order of such windows open, so these rows are held to the order that the operator states."""
+    told, schema = events((1, "click", 1.0, 100), (1, "click", 0.5, 100), (1, "click", 0.5, 100), (1, "click", 0.1, 90), (1, "click", 0.1, 5_000))
+    spark.createDataFrame(told[::-1], schema).coalesce(1).write.parquet(f"{tmp_path}/1/events.parquet")
+    spark.createDataFrame(told, schema).coalesce(1).write.parquet(f"{tmp_path}/2/events.parquet")
+    for k in (1, 2):
+        rows = QUERIES["concat_timeline"](spark, f"{tmp_path}/{k}").collect()
+        assert {r.id: r.at_s for r in rows} == {3: 0.0, 1: 70.0, 2: 380.0, 0: 690.0, 4: 1300.0}
+        assert all(r.to_s - r.from_s == told[r.id][3] * 600 + 5 for r in rows)
+
+
+def test_windows_without_a_start(spark, tmp_path):
+    told = events((1, "click", 1.0, 100), (1, "click", 0.5, None), (1, "click", 0.5, 50), (1, "click", None, 70))
+    got, want = both(spark, tmp_path, "concat_timeline", events=told)
+    assert got == want and len(got) == 4
