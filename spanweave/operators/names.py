@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -50,14 +51,25 @@ def score_aliases(pairs: DataFrame, channel: str, labels: str, ids: list[str], a
     return pairs.join(best, ids, "left").fillna(0.0, ["name_score"])
 
 
-def match_voices(pairs: DataFrame, keys: list[str], entry: str, accept: float = 0.80, exact: float = 0.98) -> DataFrame:
-    """Per key the voice list's best entry by name_score or channel_score, whichever is higher, if it is high enough.
+def match_voices(characters: DataFrame, entries: DataFrame, keys: list[str], within: list[str], entry: str, scores: list[tuple[str, str, Callable[[Column, Column], Column]]], accept: float = 0.80, exact: float = 0.98) -> DataFrame:
+    """Per character (keys) the voice list's best entry of the same ``within``, by whichever of ``scores`` is highest, if it is high enough.
 
-    Of equal scores an entry with an id (has_id) goes first, then the list's order (ord). Generic names (generic) need ``exact``.
+    A score is named by a column of ``characters``, one of ``entries`` and what the two give; null scores nothing. Of equal
+    scores an entry with an id (has_id) goes first, then the list's order (ord). Generic names (generic) need ``exact``.
+
+    The best pair is the best by one score, and of entries with one value only the first can be that. So each score is
+    worked out once per pair of distinct values, and characters are joined to the results: no pairs of rows are made.
     """
-    score = F.round(F.greatest("name_score", F.coalesce("channel_score", F.lit(0.0))), 9)
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(score.desc(), F.col("has_id").desc(), "ord"))
-    best = pairs.withColumns({"score": score, "_r": rank}).where("_r = 1")
+    found, tops = characters, [f"_top{n}" for n in range(len(scores))]
+    for top, (left, right, score) in zip(tops, scores, strict=True):
+        first = F.min(F.struct((~F.col("has_id")).alias("bare"), "ord", F.col(entry).alias("entry"))).alias("first")
+        firsts = entries.groupBy(*within, F.col(right).alias("_right")).agg(first)
+        values = characters.select(*within, F.col(left).alias("_left")).distinct()
+        scored = values.join(firsts, within).withColumn("_less", -F.round(score(F.col("_left"), F.col("_right")), 9)).where("_less is not null")
+        best = scored.groupBy(*within, F.col("_left").alias(left)).agg(F.min(F.struct(F.col("_less").alias("less"), "first")).alias(top))
+        found = found.join(best, [*within, left], "left")
+    either = found.select(*keys, F.array_min(F.array(*tops)).alias("top"), "generic").where("top is not null")
+    best = either.groupBy(*keys).agg(F.min(F.struct("top", "generic")).alias("best")).select(*keys, F.col("best.top.first.entry").alias(entry), (-F.col("best.top.less")).alias("score"), "best.generic")
     return best.where(F.col("score") >= F.when(F.col("generic"), exact).otherwise(accept)).select(*keys, entry, F.round("score", 3).alias("score"))
 
 

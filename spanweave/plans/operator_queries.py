@@ -95,11 +95,12 @@ def alias_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, greatest(name_score, coalesce(channel_score, 0)) AS score, row_number() OVER (PARTITION BY c_custkey ORDER BY greatest(name_score, coalesce(channel_score, 0)) DESC, has_id DESC, s_suppkey) AS r FROM p)
 SELECT c_custkey, s_suppkey, round(score, 3) AS score FROM r WHERE r = 1 AND score >= CASE WHEN generic THEN 0.98 ELSE 0.8 END""")
 def voice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The voice list's best entry for each character, by name or by channel."""
+    """The voice list's best entry for each character, by name or by channel; names and channels are remainders of the keys, which are not negative."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    pairs = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("s_nationkey")).join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey"), "s_nationkey")
-    pairs = pairs.select("c_custkey", "s_suppkey", s.alias("ord"), ((c * 7 + s * 13) % 101 / 100).alias("name_score"), F.when(s % 3 == 0, (c + s) % 100 / 100).alias("channel_score"), (s % 2 == 0).alias("has_id"), (c % 4 == 0).alias("generic"))
-    return fuzzy.match_voices(pairs, ["c_custkey"], "s_suppkey")
+    characters = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (c * 7 % 101).alias("name"), (c % 100).alias("channel"), (c % 4 == 0).alias("generic"))
+    entries = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (s * 13 % 101).alias("voice"), F.when(s % 3 == 0, s % 100).alias("track"), (s % 2 == 0).alias("has_id"), s.alias("ord"))
+    scores = [("name", "voice", lambda a, b: (a + b) % 101 / 100), ("channel", "track", lambda a, b: (a + b) % 100 / 100)]
+    return fuzzy.match_voices(characters, entries, ["c_custkey"], ["nation"], "s_suppkey", scores)
 
 
 @query("""SELECT p_partkey, CASE WHEN regexp_matches(t, '(^|[^a-z0-9])(bg|walla|crowd|group|kids)($|[^a-z0-9])') OR contains(regexp_replace(t, '[^a-z0-9]', '', 'g'), 'walla') OR contains(regexp_replace(t, '[^a-z0-9]', '', 'g'), 'crowd') THEN true ELSE false END AS bundle, p_size <= 6 AND p_size * 7 <= 30 AS bit_part

@@ -60,3 +60,37 @@ def test_windows_without_a_start(spark, tmp_path):
     told = events((1, "click", 1.0, 100), (1, "click", 0.5, None), (1, "click", 0.5, 50), (1, "click", None, 70))
     got, want = both(spark, tmp_path, "concat_timeline", events=told)
     assert got == want and len(got) == 4
+
+
+def most_rows(df):
+    """The rows of the longest output of a step of a plan that has run."""
+    name = lambda node: node.getClass().getSimpleName()
+    todo, most = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        rows = node.metrics().get("numOutputRows")
+        most = max(most, rows.get().value() if rows.isDefined() else 0)
+        inner = node.executedPlan() if name(node) == "AdaptiveSparkPlanExec" else node.plan() if name(node).endswith("QueryStageExec") else None
+        children = node.children()
+        todo += [inner] if inner else [children.apply(i) for i in range(children.size())]
+    return most
+
+
+CUSTOMER, SUPPLIER = "c_custkey long, c_nationkey int", "s_suppkey long, s_nationkey int"
+
+
+def test_voices_of_many_alike(spark, tmp_path):
+    """Keys whose names and channels are the same: no step makes the 120,000 pairs of rows."""
+    told = dict(customer=([(10_100 * i + 3, 1) for i in range(400)], CUSTOMER), supplier=([(30_300 * j + 6, 1) for j in range(300)], SUPPLIER))
+    got, want = both(spark, tmp_path, "voice_match", **told)
+    assert got == want and len(got) == 400
+    df = QUERIES["voice_match"](spark, str(tmp_path))
+    df.collect()
+    assert 400 <= most_rows(df) <= 800
+
+
+def test_voices_of_odd_keys(spark, tmp_path):
+    customers = [(i * 37 % 1009, i % 7 or None) for i in range(300)] + [(None, 1), (5, 2), (5, 3), (5, 3)]
+    suppliers = [(j * 53 % 811, j % 5 or None) for j in range(200)] + [(None, 1), (9, 4), (9, 4), (10**12 + 1, 6)]
+    got, want = both(spark, tmp_path, "voice_match", customer=(customers, CUSTOMER), supplier=(suppliers, SUPPLIER))
+    assert got == want and len(got) > 100
