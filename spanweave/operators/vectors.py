@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanweave.functions.levels import dot
-from spanweave.operators.grouped import column, map_groups
+from spanweave.operators.grouped import column, fold_groups, map_groups
+
+#: Least and most vectors of a block that a task holds, and the products that it makes at once.
+BLOCK, PRODUCTS = (4_096, 65_536), 1 << 22
 
 
 def centred(vectors: DataFrame, keys: list[str], vector: str = "vector") -> DataFrame:
@@ -28,6 +32,53 @@ def less_mean(vectors: DataFrame, keys: list[str], vector: str = "vector") -> Da
     return vectors.join(mean, keys).withColumn(vector, F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m)).drop("_mean")
 
 
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray:
+    """Vectors as rows in double; as in SQL, they must have one length and no null places."""
+    lists = vectors.combine_chunks()
+    lengths, places = pc.unique(pc.list_value_length(lists)), lists.flatten()
+    if len(lengths) != 1 or places.null_count:
+        raise ValueError("vectors that are compared must have one length and no null places")
+    return places.to_numpy(zero_copy_only=False).astype(float).reshape(len(lists), lengths[0].as_py())
+
+
+def best_inner(queries: DataFrame, others: DataFrame, keys: list[str], id: str, vector: str = "vector", block: tuple[int, int] = BLOCK) -> DataFrame:
+    """Per query's id sim, the greatest inner product in double with a vector of the same keys and another id; null where these are all null, no row where there are none.
+
+    All pairs are compared, so the time is quadratic, but no pair is a row: vectors of a key go to blocks by their id, a
+    twentieth of the key within the bounds of ``block``, and each query to all blocks of its key. A task holds a block and
+    makes the products of the queries that pass by as products of matrices, a piece at a time, so a key of any size is spread
+    over tasks and nothing of it must be held whole.
+    """
+    size = F.greatest(F.lit(block[0]), F.least(F.lit(block[1]), F.ceil(F.col("_n") / 20)))
+    sizes = others.groupBy(*keys).agg(F.count(vector).alias("_n"), F.min(id).alias("_low"), F.max(id).alias("_high")).withColumn("_blocks", F.greatest(F.lit(1), F.ceil(F.col("_n") / size)))
+    asked, held = (df.where(F.col(id).isNotNull()).join(sizes, keys) for df in (queries, others))
+    go = lambda df, asks, at: df.where(F.col(vector).isNotNull()).select(*keys, at.alias("_block"), F.lit(asks).alias("_asks"), id, vector)
+    met = go(held, False, F.pmod(F.xxhash64(id), "_blocks")).unionByName(go(asked, True, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))))
+
+    def run(table: pa.Table, state: list[tuple[np.ndarray, np.ndarray]] | None) -> tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]:
+        n = table.num_rows - int(column(table, "_asks").sum())
+        pieces, asking = state or [], table.slice(n)
+        if n:
+            pieces = [*pieces, (column(table.slice(0, n), id), matrix(table[vector].slice(0, n)))]
+        best = np.empty(asking.num_rows)
+        there = np.zeros(asking.num_rows, bool)
+        if pieces and asking.num_rows:
+            pieces = [tuple(map(np.concatenate, zip(*pieces, strict=True)))]
+            (names, values), wanted = pieces[0], matrix(asking[vector])
+            low, high = (np.searchsorted(names, column(asking, id), side) for side in ("left", "right"))
+            there, step = high - low < len(names), max(1, PRODUCTS // len(names))
+            for a in range(0, len(best), step):
+                products = wanted[a : a + step] @ values.T
+                for r in np.flatnonzero((high > low)[a : a + step]).tolist():
+                    products[r, low[a + r] : high[a + r]] = -np.inf
+                best[a : a + step] = products.max(axis=1)
+        return pa.RecordBatch.from_arrays([asking[id].filter(pa.array(there)).combine_chunks(), pa.array(best[there], pa.float64())], [id, "sim"]), pieces
+
+    sims = fold_groups(met, [*keys, "_block"], ["_asks", id], run, f"`{id}` {queries.schema[id].dataType.simpleString()}, sim double")
+    others_there = asked.where((F.col("_low") != F.col(id)) | (F.col("_high") != F.col(id))).select(id, F.lit(None).cast("double").alias("sim"))
+    return sims.unionByName(others_there).groupBy(id).agg(F.max("sim").alias("sim"))
+
+
 def rescan(flags: DataFrame, frames: DataFrame, key: str, rate: float, span_s: float = 2.0, step_s: float = 0.4, clears: float = 0.60) -> DataFrame:
     """Flagged lines compared with what lies near their expected place: key, flag, at_s (of the best window), sim and cleared.
 

@@ -3,8 +3,11 @@
 from datetime import datetime, timedelta
 
 import duckdb
+import numpy as np
+import pytest
 
 import __spark_entry__ as entry
+from spanweave.operators import vectors
 
 QUERIES, SQL = entry.queries(), entry.oracle_sql()
 
@@ -94,3 +97,38 @@ def test_voices_of_odd_keys(spark, tmp_path):
     suppliers = [(j * 53 % 811, j % 5 or None) for j in range(200)] + [(None, 1), (9, 4), (9, 4), (10**12 + 1, 6)]
     got, want = both(spark, tmp_path, "voice_match", customer=(customers, CUSTOMER), supplier=(suppliers, SUPPLIER))
     assert got == want and len(got) > 100
+
+
+EMBEDDING = "vec_id long, embedding array<float>, label int"
+
+
+def test_best_of_many_vectors(spark, tmp_path):
+    """One label holds all: no step makes the pairs of 100 queries with 2,000 vectors, however few a block holds."""
+    rng = np.random.default_rng(1)
+    told = [(i, rng.normal(size=8).round(3).tolist(), 1) for i in range(2_000)]
+    got, want = both(spark, tmp_path, "cosine_best", embeddings=(told, EMBEDDING))
+    assert got == want and len(got) == 100
+    df = QUERIES["cosine_best"](spark, str(tmp_path))
+    df.collect()
+    assert 2_000 <= most_rows(df) <= 2_200
+    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
+    for block in ((7, 7), (150, 400), (1, 1_999)):
+        best = vectors.best_inner(e.where("vec_id % 20 = 0"), e, ["label"], "vec_id", "embedding", block)
+        assert sorted((r.vec_id, round(r.sim, 4)) for r in best.collect()) == sorted(got)
+
+
+def test_best_of_odd_vectors(spark, tmp_path):
+    """Ids given twice, equal vectors, labels and vectors that are null, lone ones, and labels whose vectors have another length."""
+    told = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (1, [0.0, 2.0], 1), (20, None, 1), (40, [1.0, 1.0], 2), (40, [3.0, 1.0], 2), (60, [1.0, 2.0, 3.0], 3), (80, [1.0, 2.0, 3.0], 3)]
+    told += [(100, [1.0], 4), (101, None, 4), (120, [1.0], None), (121, [1.0], None), (None, [9.0, 9.0], 1), (140, [1.0], 5), (0, [-5.0], 6), (7, [float("inf")], 6), (160, [-1.0], 7), (161, [2.0], 7), (180, [float("nan")], 8), (181, [2.0], 8)]
+    got, want = both(spark, tmp_path, "cosine_best", embeddings=(told, EMBEDDING))
+    assert list(map(repr, got)) == list(map(repr, want))
+    assert {r[0] for r in got} == {0, 20, 60, 80, 100, 160, 180} and dict(got)[20] is None and dict(got)[100] is None
+
+
+@pytest.mark.parametrize("odd", [[1.0, 2.0], [1.0, None, 2.0]])
+def test_vectors_that_cannot_be_compared(spark, tmp_path, odd):
+    told = [(0, [1.0, 0.0, 2.0], 1), (1, odd, 1)]
+    spark.createDataFrame(told, EMBEDDING).write.parquet(f"{tmp_path}/embeddings.parquet")
+    with pytest.raises(Exception, match="must have one length"):
+        QUERIES["cosine_best"](spark, str(tmp_path)).collect()
