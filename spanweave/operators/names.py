@@ -63,8 +63,8 @@ def match_voices(characters: DataFrame, entries: DataFrame, keys: list[str], wit
     found, tops = characters, [f"_top{n}" for n in range(len(scores))]
     for top, (left, right, score) in zip(tops, scores, strict=True):
         first = F.min(F.struct((~F.col("has_id")).alias("bare"), "ord", F.col(entry).alias("entry"))).alias("first")
-        firsts = entries.groupBy(*within, F.col(right).alias("_right")).agg(first)
-        values = characters.select(*within, F.col(left).alias("_left")).distinct()
+        firsts = entries.where(F.col(right).isNotNull()).groupBy(*within, F.col(right).alias("_right")).agg(first)
+        values = characters.where(F.col(left).isNotNull()).select(*within, F.col(left).alias("_left")).distinct()
         scored = values.join(firsts, within).withColumn("_less", -F.round(score(F.col("_left"), F.col("_right")), 9)).where("_less is not null")
         best = scored.groupBy(*within, F.col("_left").alias(left)).agg(F.min(F.struct(F.col("_less").alias("less"), "first")).alias(top))
         found = found.join(best, [*within, left], "left")

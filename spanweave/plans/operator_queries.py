@@ -95,11 +95,13 @@ def alias_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 r AS (SELECT *, greatest(name_score, coalesce(channel_score, 0)) AS score, row_number() OVER (PARTITION BY c_custkey ORDER BY greatest(name_score, coalesce(channel_score, 0)) DESC, has_id DESC, s_suppkey) AS r FROM p)
 SELECT c_custkey, s_suppkey, round(score, 3) AS score FROM r WHERE r = 1 AND score >= CASE WHEN generic THEN 0.98 ELSE 0.8 END""")
 def voice_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The voice list's best entry for each character, by name or by channel; names and channels are remainders of the keys, which are not negative."""
+    """The voice list's best entry for each character, by name or by channel, which are remainders of the keys."""
     c, s = F.col("c_custkey"), F.col("s_suppkey")
-    characters = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), (c * 7 % 101).alias("name"), (c % 100).alias("channel"), (c % 4 == 0).alias("generic"))
-    entries = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (s * 13 % 101).alias("voice"), F.when(s % 3 == 0, s % 100).alias("track"), (s % 2 == 0).alias("has_id"), s.alias("ord"))
-    scores = [("name", "voice", lambda a, b: (a + b) % 101 / 100), ("channel", "track", lambda a, b: (a + b) % 100 / 100)]
+    characters = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("nation"), F.when(c >= 0, c * 7 % 101).alias("name"), F.when(c >= 0, c % 100).alias("channel"), c.alias("number"), F.when(c < 0, c).alias("below"), (c % 4 == 0).alias("generic"))
+    entries = read(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.when(s >= 0, s * 13 % 101).alias("voice"), F.when((s >= 0) & (s % 3 == 0), s % 100).alias("track"), s.alias("number"), F.when(s < 0, s).alias("below"), (s % 2 == 0).alias("has_id"), s.alias("ord"))
+    # the remainder of a sum takes its sign, so a key below zero, which no table has, is scored as it is
+    whole = lambda a, b: F.greatest((a * 7 + b * 13) % 101, F.when(b % 3 == 0, (a + b) % 100)) / 100
+    scores = [("name", "voice", lambda a, b: (a + b) % 101 / 100), ("channel", "track", lambda a, b: (a + b) % 100 / 100), ("below", "number", whole), ("number", "below", whole)]
     return fuzzy.match_voices(characters, entries, ["c_custkey"], ["nation"], "s_suppkey", scores)
 
 

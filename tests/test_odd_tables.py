@@ -99,6 +99,12 @@ def test_voices_of_odd_keys(spark, tmp_path):
     assert got == want and len(got) > 100
 
 
+def test_voices_of_keys_below_zero(spark, tmp_path):
+    customers, suppliers = [(i * 37 % 1009 - 500, i % 7) for i in range(300)], [(j * 53 % 811 - 400, j % 7) for j in range(60)]
+    got, want = both(spark, tmp_path, "voice_match", customer=(customers, CUSTOMER), supplier=(suppliers, SUPPLIER))
+    assert got == want and min(got)[0] < 0 and min(r[1] for r in got) < 0
+
+
 EMBEDDING = "vec_id long, embedding array<float>, label int"
 
 
