@@ -55,16 +55,19 @@ def best_inner(queries: DataFrame, others: DataFrame, keys: list[str], id: str,
     go = lambda df, asks, at: df.where(F.col(vector).isNotNull()).select(*keys, at.alias("_block"), F.lit(asks).alias("_asks"), id, vector)
     met = go(held, False, F.pmod(F.xxhash64(id), "_blocks")).unionByName(go(asked, True, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1))))
 
-    def run(table: pa.Table, state: list[tuple[np.ndarray, np.ndarray]] | None) -> tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]:
+    def run(table: pa.Table, state: list[pa.Table] | tuple[np.ndarray, np.ndarray] | None) -> tuple[pa.RecordBatch, list[pa.Table] | tuple[np.ndarray, np.ndarray]]:
         n = table.num_rows - int(column(table, "_asks").sum())
-        pieces, asking = state or [], table.slice(n)
+        # tables of the block until a query comes, then its ids and vectors
+        held, asking = state or [], table.slice(n)
         if n:
-            pieces = [*pieces, (column(table.slice(0, n), id), matrix(table[vector].slice(0, n)))]
+            held = [*held, table.slice(0, n)]
         best = np.empty(asking.num_rows)
         there = np.zeros(asking.num_rows, bool)
-        if pieces and asking.num_rows:
-            pieces = [tuple(map(np.concatenate, zip(*pieces, strict=True)))]
-            (names, values), wanted = pieces[0], matrix(asking[vector])
+        if held and asking.num_rows:
+            if isinstance(held, list):
+                whole = pa.concat_tables(held)
+                held = column(whole, id), matrix(whole[vector])
+            (names, values), wanted = held, matrix(asking[vector])
             low, high = (np.searchsorted(names, column(asking, id), side) for side in ("left", "right"))
             there, step = high - low < len(names), max(1, PRODUCTS // len(names))
             for a in range(0, len(best), step):
@@ -72,7 +75,7 @@ def best_inner(queries: DataFrame, others: DataFrame, keys: list[str], id: str,
                 for r in np.flatnonzero((high > low)[a : a + step]).tolist():
                     products[r, low[a + r] : high[a + r]] = -np.inf
                 best[a : a + step] = products.max(axis=1)
-        return pa.RecordBatch.from_arrays([asking[id].filter(pa.array(there)).combine_chunks(), pa.array(best[there], pa.float64())], [id, "sim"]), pieces
+        return pa.RecordBatch.from_arrays([asking[id].filter(pa.array(there)).combine_chunks(), pa.array(best[there], pa.float64())], [id, "sim"]), held
 
     sims = fold_groups(met, [*keys, "_block"], ["_asks", id], run, f"`{id}` {queries.schema[id].dataType.simpleString()}, sim double")
     others_there = asked.where((F.col("_low") != F.col(id)) | (F.col("_high") != F.col(id))).select(id, F.lit(None).cast("double").alias("sim"))

@@ -127,6 +127,7 @@ def test_best_of_odd_vectors(spark, tmp_path):
     """Ids given twice, equal vectors, labels and vectors that are null, lone ones, and labels whose vectors have another length."""
     told = [(0, [1.0, 0.0], 1), (0, [0.0, 1.0], 1), (1, [0.0, 2.0], 1), (20, None, 1), (40, [1.0, 1.0], 2), (40, [3.0, 1.0], 2), (60, [1.0, 2.0, 3.0], 3), (80, [1.0, 2.0, 3.0], 3)]
     told += [(100, [1.0], 4), (101, None, 4), (120, [1.0], None), (121, [1.0], None), (None, [9.0, 9.0], 1), (140, [1.0], 5), (0, [-5.0], 6), (7, [float("inf")], 6), (160, [-1.0], 7), (161, [2.0], 7), (180, [float("nan")], 8), (181, [2.0], 8)]
+    told += [(201, [1.0, 2.0], 9), (202, [1.0], 9), (203, [None], 9)]  # nobody asks for these, so they may be of any length
     got, want = both(spark, tmp_path, "cosine_best", embeddings=(told, EMBEDDING))
     assert list(map(repr, got)) == list(map(repr, want))
     assert {r[0] for r in got} == {0, 20, 60, 80, 100, 160, 180} and dict(got)[20] is None and dict(got)[100] is None
